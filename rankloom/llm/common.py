@@ -45,7 +45,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def table_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a table from ``written``, by the scan's own statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
