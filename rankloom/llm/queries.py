@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import chat, decontamination, exact_dedup, html_text, language_id, simhash, token_counts
+from rankloom.llm import chat, decontamination, exact_dedup, html_text, language_id, simhash, token_counts, warc
+from rankloom.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_counts,
         op4_decontamination,
         op6_simhash,
+        op7_warc,
         op8_html_text,
         op10_chat,
     )
@@ -93,4 +101,12 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(length(shown) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 11 ELSE 14 + 2 * octet_length(encode(role)) END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+             q AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS s FROM p),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY s, n) AS keep FROM q)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest, CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to
+        FROM g
+    """,
 }
