@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import exact_dedup, language_id, simhash
+from rankloom.llm import decontamination, exact_dedup, language_id, piece_codec, simhash
 from rankloom.llm.common import written
 
 
@@ -25,10 +25,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.drop_near_copies(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids as little-endian 32-bit integers, and whether they decode to the text."""
+    return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("language identification", identify_language),
     ("exact deduplication", drop_exact_copies),
     ("near deduplication", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("piece encoding", encode_pieces),
 ]
 
 #: Compression, decoding and components are beyond SQL; the tests compare with brute force.

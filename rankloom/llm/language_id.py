@@ -80,20 +80,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Dictionaries from the labelled rows that aren't held out.
 
     The sample is bounded: for each language the ``sample_rows`` rows with the smallest hash
-    of the id, among whole texts of at most SAMPLE_TEXT_BYTES. Only their ids are ranked and
-    shuffled, with a limit in each map task, so one very frequent language does no harm.
+    of the id, among whole texts of 64 to SAMPLE_TEXT_BYTES bytes. Only the ids of hashes under a
+    bound that follows from the language's count are ranked, so a frequent language does no harm.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()}
+    fits = F.octet_length("t").between(64, SAMPLE_TEXT_BYTES)
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.count_if(fits).alias("short")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    short = rows.where((F.octet_length("t") <= SAMPLE_TEXT_BYTES) & (F.octet_length("t") >= 64))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    ids = short.select("l", "i").distinct().withColumn("rank", rank).where(F.col("rank") <= sample_rows)
+    if not counts:
+        return LanguageModel({})
+    short = rows.where(fits).withColumn("hash", F.xxhash64("i"))
+    # About eight times the sample, by a bound on the hash: no frequent language is ranked whole.
+    below = {r["l"]: int(2**63 * min(1.0, 8 * sample_rows / max(1, r["short"])) * 2 - 2**63) for r in counts}
+    drawn = F.coalesce(*(F.when(F.col("l") == lang, F.col("hash") <= min(bound, 2**63 - 1)) for lang, bound in below.items()))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("hash", "i"))
+    ids = short.where(drawn).select("l", "i", "hash").distinct().withColumn("rank", rank).where(F.col("rank") <= sample_rows).drop("hash")
     found = short.join(F.broadcast(ids), ["l", "i"]).select("l", "rank", "t").orderBy("rank", "t").collect()
     out: dict[str, bytes] = {}
-    for lang in counts:
+    for lang in [r["l"] for r in counts]:
         whole = b" ".join(dict.fromkeys(normalised(r["t"]) for r in found if r["l"] == lang))
         if whole:
             out[lang] = whole[:DICT_BYTES]

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import chat, decontamination, exact_dedup, html_text, language_id, simhash, token_counts, warc
+from rankloom.llm import chat, decontamination, exact_dedup, html_text, language_id, piece_codec, simhash, token_counts, warc
 from rankloom.llm.common import new_path
 
 
@@ -47,6 +48,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "exact")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_simhash,
         op7_warc,
         op8_html_text,
+        op9_piece_codec,
         op10_chat,
     )
 }
