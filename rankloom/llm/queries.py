@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, decontamination, exact_dedup, html_text, language_id, piece_codec, simhash, token_counts, warc
+from rankloom.llm import chat, decontamination, exact_dedup, html_text, language_id, passage_dedup, piece_codec, simhash, token_counts, warc
 from rankloom.llm.common import new_path
 
 
@@ -34,6 +34,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_exact_dedup,
         op3_token_counts,
         op4_decontamination,
+        op5_passage_dedup,
         op6_simhash,
         op7_warc,
         op8_html_text,
