@@ -1 +1 @@
-
+"""Registered queries and the inputs they derive from the given tables."""
