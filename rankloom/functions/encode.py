@@ -41,30 +41,37 @@ def encode(value: Column, strategy: str, size: int, depth: int = 0, **options) -
     return chosen(value, size, **options)
 
 
-def _limbs(value: Column) -> list[Column]:
-    return [F.shiftrightunsigned(value, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")) for k in range(4)]
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def wrapping_multiply(value: Column, factor: int) -> Column:
-    """Product modulo 2**64 on the bit pattern; a plain product would overflow under ANSI rules."""
-    own, other = _limbs(value), [factor >> (16 * k) & 0xFFFF for k in range(4)]
-    out, carry = F.lit(0).cast("long"), F.lit(0).cast("long")
+    """Product modulo 2**64 on the bit pattern, by 16-bit limbs; a plain product would overflow
+    under ANSI rules. ``value`` should be a bound name, as it occurs many times."""
+    part = lambda v, shift, mask: F.shiftrightunsigned(v, shift).bitwiseAND(F.lit(mask).cast("long"))
+    own, other = [part(value, 16 * k, 0xFFFF) for k in range(4)], [factor >> (16 * k) & 0xFFFF for k in range(4)]
+    sums = []
     for k in range(4):
-        total = carry
-        for i in range(k + 1):
+        total = own[0] * F.lit(other[k]).cast("long")
+        for i in range(1, k + 1):
             total = total + own[i] * F.lit(other[k - i]).cast("long")
-        out = out.bitwiseOR(F.shiftleft(total.bitwiseAND(F.lit(0xFFFF).cast("long")), 16 * k))
-        carry = F.shiftrightunsigned(total, 16)
-    return out
+        sums.append(total)
+
+    def assembled(c: Column) -> Column:
+        low = c[0] + F.shiftleft(c[1], 16) + F.shiftleft(c[2].bitwiseAND(F.lit(0xFFFF).cast("long")), 32)
+        top = F.shiftrightunsigned(low, 48) + F.shiftrightunsigned(c[2], 16) + c[3]
+        return low.bitwiseAND(F.lit((1 << 48) - 1).cast("long")).bitwiseOR(F.shiftleft(top, 48))
+
+    return bind(F.array(*sums), assembled)
 
 
 def mix64(value: Column) -> Column:
     """Finaliser that spreads all 64 bits."""
-    value = value.bitwiseXOR(F.shiftrightunsigned(value, 30))
-    value = wrapping_multiply(value, MIX_FIRST)
-    value = value.bitwiseXOR(F.shiftrightunsigned(value, 27))
-    value = wrapping_multiply(value, MIX_SECOND)
-    return value.bitwiseXOR(F.shiftrightunsigned(value, 31))
+    fold = lambda shift: lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, shift))
+    value = bind(bind(value, fold(30)), lambda v: wrapping_multiply(v, MIX_FIRST))
+    value = bind(bind(value, fold(27)), lambda v: wrapping_multiply(v, MIX_SECOND))
+    return bind(value, fold(31))
 
 
 def low_bits(value: Column, buckets: int, remix: bool = False, seed: int = 0) -> Column:

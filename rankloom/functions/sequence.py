@@ -77,10 +77,11 @@ def merged_by_time(streams: dict[str, Column], time: str = "time") -> Column:
 
     Ties: the earlier stream first, then the later place last, so the merge is stable.
     """
-    parts = [
-        F.transform(events, lambda e, i, k=k: F.struct(e[time].alias("time"), F.lit(k).alias("stream"), i.alias("place"), e.alias("event")))
-        for k, events in enumerate(streams.values())
-    ]
+
+    def tagged(events: Column, k: int) -> Column:
+        return F.transform(events, lambda e, i: F.struct(e[time].alias("time"), F.lit(k).alias("stream"), i.alias("place"), e.alias("event")))
+
+    parts = [tagged(events, k) for k, events in enumerate(streams.values())]
     return F.array_sort(F.concat(*parts))
 
 

@@ -66,11 +66,12 @@ def time_faults(df: DataFrame, layout: Layout) -> DataFrame:
 
 def bag_group_mismatches(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """(group, rows, positions) where bags that should be aligned differ in inner length."""
-    parts = []
-    for name, columns in groups.items():
-        zipped = F.arrays_zip(*(F.transform(F.col(c), _size).alias(c) for c in columns))
-        bad = F.size(F.filter(zipped, lambda z, columns=columns: F.size(F.array_distinct(F.array(*(z[c] for c in columns)))) > 1))
-        parts.append(F.struct(F.lit(name).alias("group"), bad.alias("n")))
+
+    def unequal(columns: list[str]) -> Column:
+        zipped = F.arrays_zip(*(F.transform(F.col(c), lambda x: _size(x)).alias(c) for c in columns))
+        return F.size(F.filter(zipped, lambda z: F.size(F.array_distinct(F.array(*(z[c] for c in columns)))) > 1))
+
+    parts = [F.struct(F.lit(name).alias("group"), unequal(columns).alias("n")) for name, columns in groups.items()]
     return df.select(F.inline(F.array(*parts))).groupBy("group").agg(F.sum((F.col("n") > 0).cast("long")).alias("rows"), F.sum("n").cast("long").alias("positions"))
 
 

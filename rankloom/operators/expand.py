@@ -26,6 +26,11 @@ def history(df: DataFrame, sequence: Sequence, anchor: str | None = None, limit:
     return F.filter(events, lambda e: e[anchor].isNotNull()) if anchor else events
 
 
+def _fields(events: Column, sequence: Sequence) -> Column:
+    """Events with the sequence's own fields only."""
+    return F.transform(events, lambda e: F.struct(*(e[n].alias(n) for n in sequence.fields)))
+
+
 def violations(df: DataFrame, layout: Layout) -> Column:
     """First structural fault of an agg row as text, null if there is none."""
     requests, targets = F.col(layout.request_index), F.col(layout.candidate_index)
@@ -99,7 +104,7 @@ def expand_agg(df: DataFrame, layout: Layout, keys: tuple[str, ...] = (), valida
     out += [_label(singleton(F.col(c)) if _is_nested(df, c) else F.col(c), layout).alias(c) for c in labels]
     for s in layout.sequences:
         seen = F.filter(F.col(f"__{s.name}"), lambda e: F.array_contains(e["members"], F.col("request_id")))
-        out.append(F.transform(seen, lambda e, s=s: F.struct(*(e[name].alias(name) for name in s.fields))).alias(s.name))
+        out.append(_fields(seen, s).alias(s.name))
     return flat.select(*out)
 
 
@@ -107,7 +112,7 @@ def expand_req(df: DataFrame, layout: Layout, keys: tuple[str, ...] = ()) -> Dat
     """One row per candidate of req rows, whose request columns are plain values or lists."""
     labels = [c for c in layout.labels if c in df.columns]
     fields = (*layout.candidate_scalars, *layout.candidate_bags, *layout.candidate_meta, *labels)
-    events = {s.name: F.transform(F.arrays_zip(*(_empty_as_missing(c, df).alias(n) for n, c in s.fields.items())), lambda e, s=s: F.struct(*(e[n].alias(n) for n in s.fields))) for s in layout.sequences}
+    events = {s.name: _fields(F.arrays_zip(*(_empty_as_missing(c, df).alias(n) for n, c in s.fields.items())), s) for s in layout.sequences}
     wide = df.withColumns({f"__{k}": v for k, v in events.items()})
     kept = dict.fromkeys([*keys, *layout.request_scalars, *layout.request_bags, *layout.request_meta])
     flat = wide.select(*kept, *(F.col(f"__{k}").alias(k) for k in events), F.posexplode(F.arrays_zip(*(F.col(c).alias(c) for c in fields))).alias("candidate_position", "__c"))

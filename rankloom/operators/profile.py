@@ -116,7 +116,11 @@ def list_lengths(df: DataFrame, column: str) -> DataFrame:
     smallest length whose cumulative count reaches it."""
     depth = depth_of(df, column)
     cells = _at_depth(F.col(column), depth)
-    sizes = [F.transform(F.filter(cells[k], lambda x: x.isNotNull()), lambda x, k=k: F.struct(F.lit(k).alias("depth"), F.size(x).alias("n"))) for k in range(depth)]
+
+    def lengths(k: int) -> Column:
+        return F.transform(F.filter(cells[k], lambda x: x.isNotNull()), lambda x: F.struct(F.lit(k).alias("depth"), F.size(x).alias("n")))
+
+    sizes = [lengths(k) for k in range(depth)]
     flat = df.select(F.inline(F.concat(*sizes)))
     quantiles = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY n)").cast("int").alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
     return flat.groupBy("depth").agg(F.count("*").alias("count"), F.min("n").alias("min"), *quantiles, F.max("n").alias("max"))
