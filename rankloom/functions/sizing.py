@@ -46,7 +46,7 @@ def bag_cap(largest: Column) -> Column:
 def power_of_two(value: Column, minimum: int = MIN_BUCKETS) -> Column:
     """Smallest power of two that is neither below the value nor the minimum."""
     bits = F.when(value > 1, F.length(F.bin((value - 1).cast("long")))).otherwise(0)
-    return F.greatest(F.lit(minimum).cast("long"), F.shiftleft(F.lit(1).cast("long"), bits))
+    return F.greatest(F.lit(minimum).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), bits))
 
 
 def sequence_cap(quantile: Column, *caps: Column) -> Column:

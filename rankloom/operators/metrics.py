@@ -155,5 +155,5 @@ def pooled(bags: DataFrame, table: DataFrame, key: str, ids: str, width: int, co
     counts = members.where("true" if count_padding else "id <> 0").groupBy(key).agg(F.count("*").alias("n"))
     vectors = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("v"))
     joined = bags.select(key).join(counts, key, "left").join(vectors, key, "left")
-    mean = F.transform("v", lambda x: F.round(x["s"] / F.col("n"), 5))
+    mean = F.transform("v", lambda x: x["s"] / F.col("n"))
     return joined.select(key, F.coalesce(mean, F.array_repeat(F.lit(0.0).cast("double"), width)).alias("pooled"))
