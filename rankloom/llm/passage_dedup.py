@@ -9,7 +9,9 @@ block picks the units: of any LOOK consecutive starts the one with the smallest
 opens a unit of UNIT words. So any two copies of a passage of LOOK + UNIT - 1 = 51 words or more
 share a unit, whatever stands around them, and meet on the digest of its words.
 
-Of each cluster the copy in the document with the smallest id, then the first place, stays.
+Of each cluster the copy in the document with the smallest id, then the first place, stays. Units
+are judged one by one: at the rim of a passage some copies may share a unit that the first copy
+has too but didn't pick, and then the first of those copies keeps it.
 
 Defined results: null and empty texts have no units. Repeats within one document alone are left;
 rows that repeat an id are one document. Documents with a null id are one document without id.

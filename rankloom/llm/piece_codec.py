@@ -12,7 +12,8 @@ piece; then each chunk is traced back by itself. Where a safe boundary stands, w
 reaches across, the matrix has rank one, and what lies between safe boundaries is solved once.
 
 Defined results: a null text counts as empty and has no tokens. Special strings in a text are
-ordinary text; unknown characters become their bytes. Repeated rows each get a row.
+ordinary text; unknown characters become their bytes. A text that holds the space mark itself
+decodes with a space there, so it isn't exact. Repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -323,14 +324,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     small = rows.where(F.char_length("text") <= chunk).mapInArrow(_small(path), f"id {kind}, n_tokens long, ids binary, exact boolean")
-    giant = rows.where(F.char_length("text") > chunk).select(F.monotonically_increasing_id().alias("uid"), "id", F.concat(F.lit(META), F.translate("text", " ", META)).alias("text"))
+    giant = rows.where(F.char_length("text") > chunk).select(F.monotonically_increasing_id().alias("uid"), "id", F.contains("text", F.lit(META)).alias("lossy"), F.concat(F.lit(META), F.translate("text", " ", META)).alias("text"))
     around = 2 * model(path).longest
     size = F.char_length("text")
-    giant = giant.select("uid", "id", "text", size.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("k"))
+    giant = giant.select("uid", "id", "lossy", "text", size.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("k"))
     low = F.greatest(F.lit(0), F.col("k") * chunk - around)
     high = F.least("n", (F.col("k") + 1) * chunk)
     cut = giant.select(
-        "uid", "id", F.col("k").cast("long").alias("k"), F.substr("text", low + 1, F.least("n", high + around) - low).alias("text"), (F.col("k") * chunk - low).cast("long").alias("start"),
+        "uid", "id", "lossy", F.col("k").cast("long").alias("k"), F.substr("text", low + 1, F.least("n", high + around) - low).alias("text"), (F.col("k") * chunk - low).cast("long").alias("start"),
         (high - low).cast("long").alias("end"), (F.col("k") == 0).alias("first"), (high == F.col("n")).alias("last"),
     )
     chunks = written(cut.repartition("uid", "k"), "chunks")
@@ -340,7 +341,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     traced = own.join(written(states, "boundary-states"), ["uid", "k"]).mapInArrow(_traced(path), "uid long, k long, ids binary, exact boolean")
     whole = traced.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("v"), F.min("exact").alias("exact"))
     ids = F.array_join(F.transform("v", lambda x: x["ids"].cast("string")), "").cast("binary")
-    whole = whole.join(chunks.where("first").select("uid", "id"), "uid").select("id", ids.alias("ids"), "exact")
+    whole = whole.join(chunks.where("first").select("uid", "id", "lossy"), "uid").select("id", ids.alias("ids"), (F.col("exact") & ~F.col("lossy")).alias("exact"))
     whole = whole.select("id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "exact")
     return small.unionByName(whole).withColumnRenamed("id", id_col)
 
