@@ -207,3 +207,9 @@ def bag_collisions(df: DataFrame, column: str, buckets: int, seed: int = 0) -> D
     mapped = lambda remix: F.sum(F.size(F.array_distinct(F.transform("b", lambda x: low_bits(x, buckets, remix, seed)))))
     rate = lambda remix: F.round(1 - mapped(remix) / F.sum(F.size("b")), 9)
     return bags.agg(F.count("*").alias("groups"), rate(False).alias("raw_rate"), rate(True).alias("mixed_rate"))
+
+
+def overfull_scalars(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, longest) of scalar columns whose deepest lists hold more than one value somewhere."""
+    parts = F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.array_max(F.transform(_at_depth(F.col(c), depth_of(df, c))[-2], lambda x: F.size(x))), F.lit(0)).alias("n")) for c in columns))
+    return df.select(F.inline(parts)).groupBy("field").agg(F.max("n").alias("longest")).where("longest > 1")

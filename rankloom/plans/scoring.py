@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import sizing
 from rankloom.sources.shared import shared_folder
-from rankloom.operators import contract, metrics, profile
+from rankloom.operators import contract, expand, metrics, profile
 from rankloom.plans import fixtures
-from rankloom.plans.registry import FLAT, ITEM, REQ, SCORED, SEEN, joined, mixed, query, signed, unsigned
+from rankloom.plans.registry import FLAT, REQ, SCORED, SEEN, joined, mixed, query, signed, unsigned
 from rankloom.streaming import incremental
 
 _SIG = "(1 / (1 + exp(-logit)))"
@@ -359,3 +359,32 @@ def shared_group_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(first)
     rows = fixtures.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), root.alias("root"), F.lit("id").alias("kind"), (F.col("n_nationkey") % 2).alias("buckets"), F.lit(8).alias("width"))
     return contract.shared_group_faults(rows)
+
+
+@query("SELECT 'item_parts' AS field, max(n) AS longest FROM (SELECT count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY l_orderkey) HAVING max(n) > 1")
+def overfull_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.overfull_scalars(fixtures.nested(spark, sf_dir), ["item_parts", "item_id", "label"])
+    return found.select("field", F.col("longest").cast("long").alias("longest"))
+
+
+@query(f"""WITH {REQ}, {SEEN}, m AS (SELECT user_id, request_id, id % 97 + 1 AS id FROM seen WHERE stream = 'purchase'),
+    p AS (SELECT user_id, request_id, round(avg(CAST(embedding[1] AS DOUBLE)), 3) + 0.0 AS first FROM m JOIN embeddings ON vec_id = id GROUP BY ALL)
+    SELECT r.user_id, r.request_id, coalesce(p.first, 0.0) AS first FROM req r LEFT JOIN p USING (user_id, request_id) WHERE r.user_id IN (SELECT o_custkey FROM orders)""")
+def sequence_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the embeddings of each request's visible purchases; zeros where it sees none."""
+    nested = fixtures.nested(spark, sf_dir)
+    own = fixtures.LAYOUT.sequences[2]
+    every = nested.select("user_id", F.explode("context_indices").alias("request_id"))
+    ids = expand.events(nested, own, fixtures.KEYS).groupBy("user_id", "request_id").agg(F.collect_list(F.col("id") % 97 + 1).alias("ids"))
+    bags = every.join(ids, ["user_id", "request_id"], "left").select(F.struct("user_id", "request_id").alias("k"), F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    table = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return metrics.pooled(bags, table, "k", "ids", 64).select("k.user_id", "k.request_id", (F.round(F.col("pooled")[0], 3) + 0.0).alias("first"))
+
+
+@query("SELECT p_partkey, p_size FROM part")
+def drop_constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named and constant columns go, by a profile of distinct counts."""
+    rows = fixtures.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", F.lit(7).alias("always"))
+    counts = rows.agg(*(F.countDistinct(c).alias(c) for c in ("p_size", "always")))
+    constants = counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("distinct")) for c in ("p_size", "always")))))
+    return expand.drop_columns(rows, ["p_name"], constants)
