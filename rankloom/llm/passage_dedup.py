@@ -3,7 +3,9 @@
 Two kinds of units come from one pass over the texts. Paragraphs (lines of MIN_WORDS or more)
 get BANDS band keys of ROWS MinHash values over their 5-word shingles: at a similarity of 0.8 a
 pair misses all bands in 1 of 460 cases. Distinct paragraphs that share a band are verified by
-exact Jaccard in their bucket, which gives spanning edges, and form clusters by components.
+exact Jaccard in their bucket, which gives spanning edges, and form clusters by components. A
+bucket of more than BUCKET paragraphs is cut into blocks and each two blocks are a group of their
+own, so no task holds more than two.
 Inside long texts, where a repeated passage need not be a paragraph, the MinHash of a sliding
 block picks the units: of any LOOK consecutive starts the one with the smallest shingle hash
 opens a unit of UNIT words. So any two copies of a passage of LOOK + UNIT - 1 = 51 words or more
@@ -34,7 +36,7 @@ from rankloom.llm.graph import components
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 20
 BANDS, ROWS, UNIT, LOOK = 6, 2, 26, 26
-FILTER_BUCKETS, _NO_ID = 1 << 18, -(1 << 63)
+BUCKET, FILTER_BUCKETS, _NO_ID = 512, 1 << 18, -(1 << 63)
 _MIX = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -144,7 +146,7 @@ def similar(cids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cid, shingles) come sorted by key; each bucket gives its edges."""
+    """Rows (key, i, j, cid, shingles) come sorted by group; each group gives its edges."""
 
     def edges(cids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         one = dict(zip(cids, sets, strict=True))
@@ -153,8 +155,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, cids, sets = None, [], []
     for batch in batches:
         out: list[tuple[int, int]] = []
-        values, offsets = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
-        for i, (k, c) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        values, offsets = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
+        for i, (*k, c) in enumerate(zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True)):
             if k != key:
                 out += edges(cids, sets)
                 key, cids, sets = k, [], []
@@ -166,18 +168,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
-def similar_paragraphs(docs: DataFrame, contents: DataFrame) -> DataFrame:
+def similar_paragraphs(docs: DataFrame, contents: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct paragraphs (cid, place, bands) that Jaccard verifies."""
     keyed = written(contents.select("cid", F.explode("bands").alias("key")), "bands")
-    shared = written(keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("key"), "shared-bands")
+    shared = written(keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks")), "shared-bands")
     met = written(keyed.join(shared, "key"), "colliding")
     wanted = contents.join(met.select("cid").distinct(), "cid").groupBy(F.col("place.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("place.start").alias("start"), F.col("place.n").alias("n"), "cid")).alias("wanted"))
     wanted = written(wanted, "wanted")
     bucket = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BUCKETS))
     some = docs.join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
     shingles = written(some.join(wanted, "doc").select("text", "wanted").mapInArrow(_shingled, "cid long, shingles array<long>").dropDuplicates(["cid"]), "shingles")
-    rows = met.join(shingles, "cid").select("key", "cid", "shingles")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    rows = met.select("key", "cid", F.inline(pairs)).join(shingles, "cid").select("key", "i", "j", "cid", "shingles")
+    group = ["key", "i", "j"]
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_linked, "a long, b long")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,8 +6,9 @@ three bits away. Then two words a bit apart share a key, and the decoded codewor
 among the keys of the other. If two fingerprints differ in at most three bits, the two segments
 with the fewest differences have at most one each. So it is enough to index a fingerprint by
 the pair of decoded codewords for each two segments and to probe with all pairs of keys. Only
-distinct fingerprints are keyed; a bucket is verified in blocks, in its own task, and gives a
-spanning set of edges, not all its pairs. Components over the edges give the groups.
+distinct fingerprints are keyed. A bucket gives a spanning set of edges, not all its pairs. One of
+more than BUCKET rows is cut into blocks of its two sides, and each pair of blocks is a group of
+its own, so no task holds more than two blocks. Components over the edges give the groups.
 
 Defined results: null and empty texts have no shingles and fingerprint zero, which links like
 any other. Copies share a fingerprint and so a component. Repeated rows each get a row.
@@ -25,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import ASCII_LOWER, written
+from rankloom.llm.common import ASCII_LOWER, broadcast_if_small, written
 from rankloom.llm.graph import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: Shingles whose bits are counted at a time, and comparisons made at a time in a bucket.
 BLOCK, COMPARED = 200_000, 1 << 22
+#: Rows of a bucket, or of either side of a block pair, that one group may have.
+BUCKET, BROADCAST_BYTES = 8192, 8 << 20
 #: (shift, bits) of the segments, and the generator polynomial of the Golay code.
 SEGMENTS, GENERATOR = ((0, 22), (22, 21), (43, 21)), 0b110001110101
 
@@ -144,11 +147,11 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a bucket is linked as soon as its last row is there."""
+    """Rows come sorted by group; a group is linked as soon as its last row is there."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def edges_of(keys, fps, indexed) -> pa.RecordBatch:
-        cuts = np.concatenate(([0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]))
+        cuts = np.concatenate(([0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(keys)]))
         out: list[tuple[int, int]] = []
         sizes, found = np.diff(cuts), np.add.reduceat(indexed.astype(np.int64), cuts[:-1])
         for k in np.nonzero((sizes > 1) & (found > 0))[0]:
@@ -156,26 +159,44 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             out += linked(fps[s:e][indexed[s:e]], fps[s:e])
         return pa.RecordBatch.from_arrays([_signed([x[0] for x in out]), _signed([x[1] for x in out])], ["a", "b"])
 
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate([p[i] for p in held]) for i in range(3)]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, fps, indexed = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        fps = fps.astype(np.int64).view(np.uint64)
-        last = np.searchsorted(keys, keys[-1], "left")
-        if last > 0 or held and held[0][0][0] != keys[0]:
-            cut = last if last > 0 else 0
-            parts = [*held, (keys[:cut], fps[:cut], indexed[:cut])]
-            yield edges_of(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        keys, fps, indexed = np.stack(columns[:3], axis=1), columns[3].astype(np.int64).view(np.uint64), columns[4]
+        same = (keys == keys[-1]).all(axis=1)
+        last = len(keys) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if last or held and (held[0][0][0] != keys[0]).any():
+            held.append((keys[:last], fps[:last], indexed[:last]))
+            yield edges_of(*joined())
             held = []
         held.append((keys[last:], fps[last:], indexed[last:]))
     if held:
-        yield edges_of(*(np.concatenate([p[i] for p in held]) for i in range(3)))
+        yield edges_of(*joined())
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that span what MAX_BITS links."""
     keyed = fps.select("fp").mapInArrow(_keyed, "key long, fp long, indexed boolean")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, "a long, b long")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("indexed").alias("own")).where(F.col("n") > bucket)
+    blocks = lambda c: F.ceil(F.col(c) / bucket).cast("int")
+    hot = written(sizes.select("key", F.greatest(F.lit(1), blocks("own")).alias("s"), blocks("n").alias("t")), "hot-keys")
+    zero = F.lit(0)
+    if hot.isEmpty():
+        rows = keyed.select("key", zero.alias("i"), zero.alias("p"), "fp", "indexed")
+    else:
+        place = lambda i, p, own: F.struct(i.alias("i"), p.alias("p"), F.lit(own).alias("indexed"))
+        block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "fp"), F.col(n)).cast("int")
+        probes = F.transform(F.sequence(zero, F.col("s") - 1), lambda i: place(i, block(1, "t"), False))
+        found = F.transform(F.sequence(zero, F.col("t") - 1), lambda p: place(block(2, "s"), p, True))
+        none = F.slice(probes, 1, 0)
+        places = F.when(F.col("s").isNull(), F.array(F.struct(zero.alias("i"), zero.alias("p"), F.col("indexed").alias("indexed")))).otherwise(F.concat(probes, F.when(F.col("indexed"), found).otherwise(none)))
+        rows = keyed.join(broadcast_if_small(hot, BROADCAST_BYTES), "key", "left").select("key", "fp", F.inline(places)).select("key", "i", "p", "fp", "indexed")
+    group = ["key", "i", "p"]
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_bucket_edges, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,6 +77,32 @@ def test_bucket_links_all(frame):
     assert got == want
 
 
+def test_blocks_of_hot_buckets(spark):
+    rng = np.random.default_rng(7)
+    base = np.uint64(0x0123456789ABCDEF)
+    fps = np.unique([base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False))) for _ in range(400)])
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3)
+    want = brute.groups([(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if int(a ^ b).bit_count() <= 3], [int(f) for f in fps])
+    for bucket in (20, 8192):
+        edges = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(df, bucket).collect()]
+        assert brute.groups(edges, [int(f) for f in fps]) == want
+
+
+def test_blocks_of_hot_bands(frame, monkeypatch):
+    rng = random.Random(12)
+    base = passage(rng, 60).split()
+    rows = []
+    for i in range(50):
+        t = list(base)
+        t[59] = f"w{i}"
+        rows.append((i, " ".join(t)))
+    sizes = []
+    for bucket in (4, 512):
+        monkeypatch.setattr(passage_dedup.similar_paragraphs, "__defaults__", (bucket,))
+        sizes.append(sorted((r["doc_id"], r["cluster_id"]) for r in passage_dedup.repeated_passages(frame(rows)).collect()))
+    assert sizes[0] == sizes[1] and {c for _, c in sizes[0]} == {0} and len(sizes[0]) == 50
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(60)] + [(5, 5)]
