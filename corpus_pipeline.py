@@ -11,24 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import decontamination, exact_dedup, language_id, piece_codec, simhash
 from rankloom.llm.common import written
+from rankloom.sources.shared import shipped
 
 
+@shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
+@shipped
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+@shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_copies(docs)
 
 
+@shipped
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@shipped
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids as little-endian 32-bit integers, and whether they decode to the text."""
     return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
