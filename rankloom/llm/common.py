@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +58,19 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+def each_value(column: pa.Array, step: int = 512) -> Iterator[Any]:
+    """A column's values one by one; only ``step`` of them are Python objects at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
+def release_memory() -> None:
+    """Give back what a finished task has freed: its Python worker lives on and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def local_tmp() -> str:
     """A folder for the spill files of the task that calls this; the caller removes it."""
     return tempfile.mkdtemp(prefix="spill-", dir=os.environ.get("TMPDIR") or None)

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import ASCII_LOWER, local_tmp
+from rankloom.llm.common import ASCII_LOWER, each_value, local_tmp, release_memory
 
 #: Bytes of text that a table or an unpartitioned run of rows holds; ways each spill level splits.
-BUDGET_BYTES, WAYS = 64 << 20, 16
+BUDGET_BYTES, WAYS = 16 << 20, 16
 _MAX_LEVEL = 14
 
 
@@ -98,7 +98,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct texts of a map task, as far as a table's budget goes at a time."""
     table = ContentTable()
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, t in zip(each_value(batch.column(0)), each_value(batch.column(1)), strict=True):
             text = normalised(t)
             digest = hashlib.sha256(text).digest()
             table.add(_hash(digest), digest, text, 1, i)
@@ -106,6 +106,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _rows_of(table)
                 table = ContentTable()
     yield from _rows_of(table)
+    del table
+    release_memory()
 
 
 def _grace(batches: Iterator[pa.RecordBatch], level: int, budget: int, folder: list[str]) -> Iterator[ContentTable]:
@@ -121,7 +123,7 @@ def _grace(batches: Iterator[pa.RecordBatch], level: int, budget: int, folder: l
         table = ContentTable()
         while held:
             batch = held.pop(0)
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*map(each_value, batch.columns), strict=True):
                 table.add(_hash(row[0]), row[0], row[1], row[2], row[3])
         yield table
         return
@@ -162,6 +164,7 @@ def _grouped(budget: int):
         finally:
             for path in folder:
                 shutil.rmtree(path, ignore_errors=True)
+            release_memory()
 
     return run
 
@@ -175,8 +178,8 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [normalised(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(map(len, texts), pa.int64())], ["i", "sha", "n_bytes"])
+        found = [(hashlib.sha256(t).hexdigest(), len(t)) for t in map(normalised, each_value(batch.column(1)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], ["i", "sha", "n_bytes"])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET_BYTES) -> DataFrame:
@@ -190,6 +193,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, with all their columns, that stay: for each text the one with the largest id.
 
     The ids that stay are a skinny semi-join side; whole rows are shuffled by id, which is even.
+    Rows that repeat an id are one document here and stay or go together.
     """
     kept = text_groups(docs, id_col, text_col, budget).select(F.col("keep_id").alias("__keep")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import each_value, release_memory
+
 #: Bounds of the training sample: rows a language, bytes a sampled text, bytes a dictionary.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES, DICT_BYTES, MAX_LANGUAGES = 96, 8192, 65536, 200
 LEVEL, BLOCK = 6, 8192
@@ -109,8 +111,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _judged(model: LanguageModel, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.judge(t) for t in batch.column(text_col).to_pylist()]
+            got = [model.judge(t) for t in each_value(batch.column(text_col))]
             yield batch, got
+        release_memory()
 
     return run
 

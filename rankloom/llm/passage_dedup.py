@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.llm.common import ASCII_LOWER, written
+from rankloom.llm.common import ASCII_LOWER, each_value, written
 from rankloom.llm.graph import components
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 20
@@ -99,7 +99,7 @@ _UNITS = ["whole", "doc", "start", "n", "d1", "d2", "bands"]
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, text in zip(each_value(batch.column(0)), each_value(batch.column(1)), strict=True):
             w = Words(text)
             paragraphs = w.paragraphs()
             if paragraphs:
@@ -114,7 +114,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, shingles) of the wanted places (start, n, cid) of each text."""
     for batch in batches:
         cids, out = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, wanted in zip(each_value(batch.column(0)), each_value(batch.column(1)), strict=True):
             w = Words(text)
             for x in wanted:
                 if x["start"] + x["n"] <= w.n and _signed([w.digest(x["start"], x["n"])[0]])[0].as_py() == x["cid"]:

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import written
+from rankloom.llm.common import each_value, release_memory, written
 from rankloom.llm.token_counts import META, by_bytes, word_parts
 
-CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS, CACHED_CHARS, BATCH_CHARS = 1 << 16, 600_000, 600_000, 40, 8 << 20
+CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS, CACHED_CHARS, BATCH_CHARS = 1 << 16, 350_000, 400_000, 40, 4 << 20
 NONE = float("-inf")
 #: First of 256 private characters that no piece of a vocabulary holds.
 _PRIVATE = 0x10FF00
@@ -164,6 +164,11 @@ class PieceModel:
         solved = self.solve({META + t.replace(" ", META) for t in texts if t})
         return [solved[META + t.replace(" ", META)] if t else b"" for t in texts]
 
+    def forget(self) -> None:
+        """Drop the solved words: a Python worker lives on after its task and serves other stages."""
+        self._words = {}
+        release_memory()
+
     def decode(self, data: bytes, start: bool = True) -> str:
         """The text of ids; ``start`` says that the first space mark was put in front."""
         text = "".join(map(self.shown.__getitem__, np.frombuffer(data, "<i4").tolist()))
@@ -255,13 +260,16 @@ def _chunk_ids(m: PieceModel, text: str, start: int, end: int, entry: State, lea
 def _small(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
-            at = 0
-            for texts in by_bytes(batch.column(1).to_pylist(), BATCH_CHARS):
-                found = m.whole(texts)
-                exact = [m.decode(f) == t for f, t in zip(found, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary()), pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
-                at += len(texts)
+        try:
+            for batch in batches:
+                at = 0
+                for texts in by_bytes(each_value(batch.column(1)), BATCH_CHARS):
+                    found = m.whole(texts)
+                    exact = [m.decode(f) == t for f, t in zip(found, texts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary()), pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
+                    at += len(texts)
+        finally:
+            m.forget()
 
     return run
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import ASCII_LOWER, broadcast_if_small, written
+from rankloom.llm.common import ASCII_LOWER, broadcast_if_small, each_value, written
 from rankloom.llm.graph import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t) for t in each_value(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
@@ -213,6 +213,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of their group."""
+    """The rows of ``docs``, with all their columns, whose id is the smallest of their group.
+
+    Rows that repeat an id are one document here and stay or go together."""
     kept = near_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__keep")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")

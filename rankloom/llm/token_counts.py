@@ -12,13 +12,15 @@ counted alike, each on its own; rows keep their partition and nothing is shuffle
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import each_value
+
 BATCH_BYTES, CACHED_PARTS, CACHED_CHARS = 4 << 20, 300_000, 40
 META = "▁"
 _SAFE_SPACE = re.compile(f"(?<=[^ {META}]) ")
@@ -103,7 +105,7 @@ def long_parts(text: str, limit: int = LONG_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
+def by_bytes(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
     """Consecutive runs of texts of about ``limit`` characters each."""
     run, held = [], 0
     for t in texts:
@@ -126,7 +128,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for batch in batches:
-            counts = [n for texts in by_bytes(batch.column(2).to_pylist()) for n in count(texts)]
+            counts = [n for texts in by_bytes(each_value(batch.column(2))) for n in count(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
