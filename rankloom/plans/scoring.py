@@ -128,29 +128,44 @@ def repeated_score_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BAGS = "bags AS (SELECT l_orderkey AS k, (l_partkey % 200) AS id FROM lineitem WHERE l_linenumber <= 4 AND l_orderkey % 3 = 0)"
+_WHOLE_BAGS = "bags AS (SELECT l_orderkey AS k, (l_partkey % 200) AS id FROM lineitem)"
 
 
-def _pool_sql(counted: str) -> str:
-    return f"""WITH {_BAGS}, n AS (SELECT k, count(*) AS n FROM bags WHERE {counted} GROUP BY k), v AS (SELECT vec_id, d, embedding[d] AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS d FROM embeddings)),
+def _pool_sql(counted: str, bags: str = _BAGS) -> str:
+    return f"""WITH {bags}, n AS (SELECT k, count(*) AS n FROM bags WHERE {counted} GROUP BY k), v AS (SELECT vec_id, d, embedding[d] AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS d FROM embeddings)),
         s AS (SELECT k, d, round(sum(CAST(x AS DOUBLE)) / max(n), 3) AS m FROM bags JOIN n USING (k) JOIN v ON vec_id = id WHERE id <> 0 GROUP BY k, d)
         SELECT o.k, coalesce(max(m) FILTER (d = 1), 0.0) + 0.0 AS first, coalesce(max(m) FILTER (d = 64), 0.0) + 0.0 AS last FROM (SELECT DISTINCT k FROM bags) o LEFT JOIN s USING (k) GROUP BY o.k"""
 
 
-def _pool(spark: SparkSession, sf_dir: str, count_padding: bool) -> DataFrame:
-    lines = fixtures.table(spark, sf_dir, "lineitem").where("l_linenumber <= 4 AND l_orderkey % 3 = 0")
+def _pool(spark: SparkSession, sf_dir: str, count_padding: bool, some: str = "true") -> DataFrame:
+    lines = fixtures.table(spark, sf_dir, "lineitem").where(some)
     bags = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.col("l_partkey") % 200).alias("ids"))
     table = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     found = metrics.pooled(bags, table, "k", "ids", 64, count_padding)
     return found.select("k", (F.round(F.col("pooled")[0], 3) + 0.0).alias("first"), (F.round(F.col("pooled")[63], 3) + 0.0).alias("last"))
 
 
+#: The filter in the SQL of the two queries that follow; the two after them pool every line of every order.
+_SOME_BAGS = "l_linenumber <= 4 AND l_orderkey % 3 = 0"
+
+
 @query(_pool_sql("id <> 0"))
 def bag_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir, False)
+    return _pool(spark, sf_dir, False, _SOME_BAGS)
 
 
 @query(_pool_sql("true"))
 def bag_mean_pool_with_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir, True, _SOME_BAGS)
+
+
+@query(_pool_sql("id <> 0", _WHOLE_BAGS))
+def bag_mean_pool_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir, False)
+
+
+@query(_pool_sql("true", _WHOLE_BAGS))
+def bag_mean_pool_whole_with_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pool(spark, sf_dir, True)
 
 

@@ -46,3 +46,18 @@ def test_expansion_has_no_exchange(spark, sf):
     path.write.parquet(folder)
     plan = expand.expand_agg(spark.read.parquet(folder), fixtures.LAYOUT, fixtures.KEYS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name,padding", [("bag_mean_pool_whole", False), ("bag_mean_pool_whole_with_padding", True)])
+def test_whole_pooling_has_every_order_and_line(spark, con, sf, name, padding):
+    vectors = {i: v for i, v in con.execute("SELECT vec_id, embedding FROM embeddings").fetchall()}
+    bags = {}
+    for k, i in con.execute("SELECT l_orderkey, l_partkey % 200 FROM lineitem").fetchall():
+        bags.setdefault(k, []).append(i)
+    assert any(len(x) > 4 for x in bags.values()) and any(k % 3 for k in bags)
+    got = {r["k"]: (r["first"], r["last"]) for r in registry.QUERIES[name](spark, sf).collect()}
+    assert got.keys() == bags.keys()
+    for k, ids in bags.items():
+        n = max(1, len(ids) if padding else sum(i != 0 for i in ids))
+        for d, x in zip((0, 63), got[k], strict=True):
+            assert abs(x - sum(vectors[i][d] for i in ids if i) / n) < 0.00051
