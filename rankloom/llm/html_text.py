@@ -5,7 +5,10 @@ the mean number of punctuation marks of its nodes are multiplied to a ratio; a n
 the ratio of its path, smoothed along the page and fused with its own length. Nodes above a
 threshold relative to the page's spread are content seeds. The element that holds most of the
 seeds' text, an article or main element before others, is the article: its blocks are returned but for those inside elements that are menus,
-adverts, forms, comments and the like by tag, role or class.
+adverts, forms, comments and the like by tag, role or class. A class or id says so as a whole: by
+one of OUTSIDE_WORDS, or joined from them and COMPANIONS. No class, and no form, cuts an element
+that holds the longest main or article, or most of the seeds' text where no main or article with
+text stands beside it: an advert or a discussion may well be longer than the article.
 
 Defined results: a null page is empty and gives an empty text; a page without content gives an
 empty text. Broken pages are read as far as they go: unclosed elements end with their parent, a
@@ -27,8 +30,8 @@ from rankloom.llm.common import each_value
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<(?=[/!a-zA-Z])[^>]*\Z|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_CUE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？、；：]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +43,9 @@ OUTSIDE_WORDS = frozenset(
     "related recommended share sharing social comment comments discussion respond reply replies disqus cookie cookies consent gdpr notice alert popup modal overlay subscribe subscription newsletter "
     "signup login search toolbar pager pagination skip copyright disclaimer contentinfo complementary".split()
 )
+#: Words that may stand beside those in one class: related-posts, site-footer.
+COMPANIONS = frozenset("area bar block bottom box container inner link links list outer posts section site slot top unit wrap wrapper".split())
+HEADER_WORDS = frozenset(("header", "masthead"))
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Open elements that the start of another ends, up to the nearest of the third set.
 _LIST, _TABLE = frozenset(("ul", "ol", "menu")), frozenset(("table",))
@@ -51,43 +57,65 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption blockquote summa
 THRESHOLD, SPREAD, SHARE = 0.5, 1.0, 0.6
 
 
-def _says_outside(tag: str) -> bool:
-    if "=" not in tag and "hidden" not in tag:
-        return False
-    for m in _CUE.finditer(tag):
-        value = next(x for x in m.groups() if x is not None)
-        if not OUTSIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-            return True
-    return bool(_HIDDEN.search(tag))
+def _says_outside(tag: str, name: str, in_article: bool) -> set[str]:
+    """The words by which a tag says that its element isn't part of the article; "hidden" if it isn't shown."""
+    if "=" not in tag and "hidden" not in tag.lower():
+        return set()
+    said: set[str] = set()
+    for m in _ATTRIBUTE.finditer(tag, 1 + len(name)):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" and value in ("", "hidden") or key == "aria-hidden" and value == "true" or key == "style" and _NO_DISPLAY.search(value):
+            said.add("hidden")
+        for token in value.split() if key in ("class", "id", "role") else [value] if key == "aria-label" else ():
+            words = {x for x in re.split(r"[^a-z]+", token) if x}
+            own = words & OUTSIDE_WORDS
+            if own and words - own <= COMPANIONS and not (in_article and own <= HEADER_WORDS):
+                said |= own
+    return said
 
 
 class _Block:
-    __slots__ = ("chain", "outside", "parts", "path")
+    """cuts: ids of the open elements that say that they are outside the article."""
 
-    def __init__(self, path: tuple, chain: tuple, outside: bool) -> None:
-        self.path, self.chain, self.outside, self.parts = path, chain, outside, []
+    __slots__ = ("chain", "cuts", "parts", "path")
 
+    def __init__(self, path: tuple, chain: tuple, cuts: tuple) -> None:
+        self.path, self.chain, self.cuts, self.parts = path, chain, cuts, []
 
-def blocks(page: str) -> list[_Block]:
-    """Blocks in page order; chain holds the ids of the block's elements, outermost first."""
-    out: list[_Block] = []
+
+class _Page:
+    """Blocks in page order. soft: elements outside by their words or as a form; marks: name and cuts
+    of each article and main."""
+
+    def __init__(self) -> None:
+        self.blocks: list[_Block] = []
+        self.soft: set[int] = set()
+        self.marks: dict[int, tuple[str, tuple]] = {}
+
+
+def blocks(page: str) -> _Page:
+    """A page's blocks; chain holds the ids of the block's elements, outermost first."""
+    out = _Page()
     names: list[str] = []
     ids: list[int] = []
-    outs: list[bool] = []
+    outs: list[tuple] = []
     raw, current, serial = "", None, 0
     for m in _TOKEN.finditer(page):
         token = m.group()
         if token[0] != "<" or token == "<":
-            if raw or outs and outs[-1] and not token.strip():
+            cuts = outs[-1] if outs else ()
+            if raw or cuts and not token.strip():
                 continue
-            if current is None:
+            into = current
+            if current is None or cuts != current.cuts:
                 k = len(names)
                 while k and names[k - 1] not in BLOCK:
                     k -= 1
-                current = _Block(tuple(names[:k]), tuple(ids[:k]), bool(outs and outs[-1]))
-                out.append(current)
-            if not (outs and outs[-1]) or current.outside:
-                current.parts.append(token)
+                into = _Block(tuple(names[:k]), tuple(ids[:k]), cuts)
+                out.blocks.append(into)
+                if current is None or len(cuts) < len(current.cuts):  # else the block goes on after what is cut
+                    current = into
+            into.parts.append(token)
             continue
         found = _NAME.match(token)
         if not found:
@@ -128,36 +156,74 @@ def blocks(page: str) -> list[_Block]:
         if name in VOID or token.endswith("/>"):
             continue
         serial += 1
-        outside = bool(outs and outs[-1]) or name in OUTSIDE or name == "header" and "article" not in names and "main" not in names or name not in ("html", "body", "article", "main") and _says_outside(token)
-        if outside and not (outs and outs[-1]):
-            current = None
+        cuts, in_article = outs[-1] if outs else (), "article" in names or "main" in names
+        said = _says_outside(token, name, in_article) if name not in ("html", "body", "article", "main") else set()
+        if name in ("article", "main"):
+            out.marks[serial] = name, cuts
+        if said or name in OUTSIDE or name == "header" and not in_article:
+            cuts += (serial,)
+            if name == "form" or name not in OUTSIDE and name != "header":
+                out.soft.add(serial)
         names.append(name)
         ids.append(serial)
-        outs.append(outside)
+        outs.append(cuts)
     return out
 
 
-def main_text(page: str | None) -> str:
-    found = []
-    for b in blocks(page or ""):
-        text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
-        if text:
-            found.append((b, text))
-    inside = [(b, t) for b, t in found if not b.outside]
-    if not inside:
-        return ""
-    lengths = np.array([len(t) for _, t in inside], float)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for _, t in inside], float)
+def _seeds(found: list[tuple[_Block, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the blocks, and which of them are content seeds."""
+    lengths = np.array([len(t) for _, t in found], float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for _, t in found], float)
     paths: dict[tuple, list[int]] = {}
-    for i, (b, _) in enumerate(inside):
+    for i, (b, _) in enumerate(found):
         paths.setdefault(b.path, []).append(i)
-    ratio = np.empty(len(inside))
+    ratio = np.empty(len(found))
     for own in paths.values():
         ratio[own] = lengths[own].mean() * (0.1 + marks[own].mean())
     padded = np.pad(ratio, 1, mode="edge")
     smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
     fused = np.sqrt(np.maximum(smooth, 0)) * np.sqrt(lengths)
-    seeds = fused >= min(THRESHOLD * fused.mean() + 0.1 * SPREAD * fused.std(), fused.max())
+    return lengths, fused >= min(THRESHOLD * fused.mean() + 0.1 * SPREAD * fused.std(), fused.max())
+
+
+def _kept(page: _Page, found: list[tuple[_Block, str]]) -> set[int]:
+    """Elements that aren't cut though they say so, as they hold what the page is about."""
+    shown = [(b, t) for b, t in found if page.soft.issuperset(b.cuts)]
+    if not any(b.cuts for b, _ in shown):
+        return set()
+    kept: set[int] = set()
+    for kind in ("main", "article"):
+        size = {e: 0 for e, (name, _) in page.marks.items() if name == kind}
+        for b, t in shown:
+            for e in size.keys() & set(b.chain):
+                size[e] += len(t)
+        longest = max(size, key=size.get, default=0)
+        if longest and size[longest]:
+            kept.update(page.marks[longest][1])
+    if any(not b.cuts and not page.marks.keys().isdisjoint(b.chain) for b, _ in shown):
+        return kept
+    lengths, seeds = _seeds(shown)
+    held: dict[int, float] = {}
+    for i in np.nonzero(seeds)[0]:
+        for e in shown[i][0].cuts:
+            held[e] = held.get(e, 0.0) + lengths[i]
+    most = [e for e, n in held.items() if 2 * n > lengths[seeds].sum()]
+    kept.update(e for e in most if not any(e not in b.cuts and not page.marks.keys().isdisjoint(b.chain) for b, _ in shown))
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    parsed = blocks(page or "")
+    found = []
+    for b in parsed.blocks:
+        text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
+        if text:
+            found.append((b, text))
+    kept = _kept(parsed, found)
+    inside = [(b, t) for b, t in found if kept.issuperset(b.cuts)]
+    if not inside:
+        return ""
+    lengths, seeds = _seeds(inside)
     held: dict[int, float] = {}
     for i in np.nonzero(seeds)[0]:
         for element in inside[i][0].chain:

@@ -135,6 +135,32 @@ def test_html():
     assert html_text.main_text(f"<body><div id=menu>A, b.</div><div>{body}</div></body>").count("number") == 5
 
 
+TEXT = [f"Sentence number {i}, which goes on for a while, and then on. It ends here." for i in range(4)]
+PARAS = "".join(f"<p>{t}</p>" for t in TEXT)
+
+
+@pytest.mark.parametrize("wrapper", ['class="page with-sidebar"', 'class="comments-open"', 'class="overflow-hidden"', 'class="widget"', "hidden", 'data-id="search"', 'title="see class=ad"'])
+def test_html_wrappers_of_the_article_stay(wrapper):
+    for inner in (f"<article><h1>Head</h1>{PARAS}</article>", f"<main><h1>Head</h1>{PARAS}</main>", f"<div><h1>Head</h1>{PARAS}</div>"):
+        got = html_text.main_text(f"<body><div class=menu>A, b.</div><div {wrapper}>{inner}</div><footer>Us, 2020.</footer></body>")
+        assert got.split("\n\n") == ["Head", *TEXT]
+    assert html_text.main_text(f"<body><form id=aspnet><div>{PARAS}</div></form></body>").split("\n\n") == TEXT
+
+
+def test_html_header_classes_in_the_article_stay():
+    for name in ("entry-header", "header", "site-header"):
+        assert html_text.main_text(f'<body><article><div class="{name}"><h1>Head</h1></div>{PARAS}</article></body>').split("\n\n") == ["Head", *TEXT]
+
+
+def test_html_outside_words_still_cut():
+    for name in ("ad", "related-posts", "cookie-notice", "share top", "comments"):
+        assert html_text.main_text(f'<body><article>{PARAS}<div class="{name}"><p>Not this, no.</p></div></article></body>').split("\n\n") == TEXT
+    talk = "".join(f"<article>{t} No.</article>" for t in TEXT * 9)
+    assert html_text.main_text(f'<body><article>{PARAS}</article><div class="comments">{talk}</div></body>').split("\n\n") == TEXT
+    assert html_text.main_text("<body><article><p>Before it, <button>Go, now.</button> after it.</p></article></body>") == "Before it, after it."
+    assert html_text.main_text("<body><article><p hidden>Not, shown.</p><p>Some, shown.</p></article></body>") == "Some, shown."
+
+
 def test_html_frame(spark):
     rows = [(1, "u", PAGE, 3), (1, "u", PAGE, 3), (2, None, None, 4), (None, "v", "", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
