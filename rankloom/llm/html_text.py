@@ -4,7 +4,11 @@ Text nodes are grouped by their root-to-leaf tag path. For each path the mean te
 the mean number of punctuation marks of its nodes are multiplied to a ratio; a node's value is
 the ratio of its path, smoothed along the page and fused with its own length. Nodes above a
 threshold relative to the page's spread are content seeds. The element that holds most of the
-seeds' text, an article or main element before others, is the article: its blocks are returned but for those inside elements that are menus,
+seeds' text, an article or main element before others, is the article's core. Up to the lowest
+element that holds all strong seeds, the parts beside the core that hold some belong to the article
+too: whole where seeds are most of their text, else the blocks on the seeds' paths or between seeds.
+So do the headline before it and headings between its parts. Beside an article or main only other
+articles count, or what is in the same main. The article's blocks are returned but for those inside elements that are menus,
 adverts, forms, comments and the like by tag, role or class. A class or id says so as a whole: by
 one of OUTSIDE_WORDS, or joined from them and COMPANIONS. No class, and no form, cuts an element
 that holds the longest main or article, or most of the seeds' text where no main or article with
@@ -54,6 +58,7 @@ _P_ENDERS = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "d
 _P_SCOPE = frozenset("article section main td th div body html button".split())
 #: Blocks of text themselves, never the element that holds an article.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption blockquote summary hgroup ul ol dl tr address".split())
+HEADINGS = tuple("h1 h2 h3 h4 h5 h6 hgroup".split())
 THRESHOLD, SPREAD, SHARE = 0.5, 1.0, 0.6
 
 
@@ -170,8 +175,8 @@ def blocks(page: str) -> _Page:
     return out
 
 
-def _seeds(found: list[tuple[_Block, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the blocks, and which of them are content seeds."""
+def _seeds(found: list[tuple[_Block, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and values of the blocks, and which of them are content seeds."""
     lengths = np.array([len(t) for _, t in found], float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for _, t in found], float)
     paths: dict[tuple, list[int]] = {}
@@ -183,7 +188,7 @@ def _seeds(found: list[tuple[_Block, str]]) -> tuple[np.ndarray, np.ndarray]:
     padded = np.pad(ratio, 1, mode="edge")
     smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
     fused = np.sqrt(np.maximum(smooth, 0)) * np.sqrt(lengths)
-    return lengths, fused >= min(THRESHOLD * fused.mean() + 0.1 * SPREAD * fused.std(), fused.max())
+    return lengths, fused, fused >= min(THRESHOLD * fused.mean() + 0.1 * SPREAD * fused.std(), fused.max())
 
 
 def _kept(page: _Page, found: list[tuple[_Block, str]]) -> set[int]:
@@ -202,7 +207,7 @@ def _kept(page: _Page, found: list[tuple[_Block, str]]) -> set[int]:
             kept.update(page.marks[longest][1])
     if any(not b.cuts and not page.marks.keys().isdisjoint(b.chain) for b, _ in shown):
         return kept
-    lengths, seeds = _seeds(shown)
+    lengths, _, seeds = _seeds(shown)
     held: dict[int, float] = {}
     for i in np.nonzero(seeds)[0]:
         for e in shown[i][0].cuts:
@@ -212,6 +217,49 @@ def _kept(page: _Page, found: list[tuple[_Block, str]]) -> set[int]:
     return kept
 
 
+def _widened(found: list[_Block], names: dict[int, str], own: int, lengths: np.ndarray, fused: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Which blocks are the article: those of its core ``own``, and what belongs to it beside the core."""
+    picked = np.array([own in b.chain for b in found])
+    core = next(b.chain for b in found if own in b.chain)
+    core = core[: core.index(own) + 1]
+    strong = seeds & ~picked & (fused >= THRESHOLD * fused[seeds & picked].mean())
+    semantic = any(names[e] in ("article", "main") for e in core)
+    main = next((e for e in core if names[e] == "main"), 0)
+    regions: dict[int, list[int]] = {}
+    for i in np.nonzero(strong)[0]:
+        chain = found[i].chain
+        article = next((e for e in chain if names[e] == "article" and e not in core), 0)
+        if semantic and (main not in chain if main else not article):
+            continue
+        split = next((k for k, e in enumerate(chain) if k >= len(core) or e != core[k]), len(chain))
+        regions.setdefault(article or (chain[split] if split < len(chain) else 0), []).append(i)
+    parts: dict[int, list[int]] = {e: [] for e in regions}
+    for i, b in enumerate(found):
+        for e in parts.keys() & set(b.chain):
+            parts[e].append(i)
+    common = len(core)
+    for e, own_seeds in regions.items():
+        chain = found[own_seeds[0]].chain
+        common = min(common, next((k for k, x in enumerate(chain) if k >= len(core) or x != core[k]), len(chain)))
+        part = parts[e] if e else own_seeds
+        whole = e and (names[e] == "article" or lengths[part][seeds[part]].sum() >= SHARE * lengths[part].sum())
+        paths = {found[i].path for i in own_seeds}
+        for i in part:
+            picked[i] |= bool(whole) or found[i].path in paths or own_seeds[0] < i < own_seeds[-1] and found[i].path[-1:] and found[i].path[-1] in LEAVES
+    first, last = np.nonzero(picked)[0][[0, -1]]
+    for i in range(first, last):
+        b = found[i]
+        picked[i] |= bool(b.path) and b.path[-1] in LEAVES and len(b.chain) == common + 1 and b.chain[:-1] == core[:common]
+    for heads in (("h1",), HEADINGS):
+        if any(picked[i] and found[i].path and found[i].path[-1] in heads for i in range(len(found))):
+            break
+        near = [i for i in range(first) if found[i].path and found[i].path[-1] in heads and not {*found[i].chain[-3:-1]}.isdisjoint(core)]
+        if near:
+            picked[near[-1]] = True
+            break
+    return picked
+
+
 def main_text(page: str | None) -> str:
     parsed = blocks(page or "")
     found = []
@@ -223,7 +271,7 @@ def main_text(page: str | None) -> str:
     inside = [(b, t) for b, t in found if kept.issuperset(b.cuts)]
     if not inside:
         return ""
-    lengths, seeds = _seeds(inside)
+    lengths, fused, seeds = _seeds(inside)
     held: dict[int, float] = {}
     for i in np.nonzero(seeds)[0]:
         for element in inside[i][0].chain:
@@ -235,7 +283,10 @@ def main_text(page: str | None) -> str:
     if not own:
         several = [e for e in whole if sum(e in b.chain for b, _ in inside) > 1]
         own = max(several, default=0)
-    return "\n\n".join(t for b, t in inside if not own or own in b.chain)
+    if not own:
+        return "\n\n".join(t for _, t in inside)
+    picked = _widened([b for b, _ in inside], names, own, lengths, fused, seeds)
+    return "\n\n".join(t for (_, t), is_in in zip(inside, picked, strict=True) if is_in)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

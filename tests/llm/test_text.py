@@ -161,6 +161,18 @@ def test_html_outside_words_still_cut():
     assert html_text.main_text("<body><article><p hidden>Not, shown.</p><p>Some, shown.</p></article></body>") == "Some, shown."
 
 
+def test_html_keeps_headline_and_siblings_with_content():
+    more = [f"Further text {i}, that says something else, with some words. It is here." for i in range(2)]
+    second = "".join(f"<p>{t}</p>" for t in more)
+    text = lambda body: html_text.main_text(f"<body><div class=menu>A, b.</div>{body}<div><a>One</a></div><footer>Us, 2020.</footer></body>").split("\n\n")
+    assert text(f"<div id=content><h1>Head</h1><div class=text>{PARAS}</div></div>") == ["Head", *TEXT]
+    assert text(f"<div id=content><div class=top><h1>Head</h1></div><div class=text>{PARAS}</div></div>") == ["Head", *TEXT]
+    assert text(f"<div><h1>Head</h1><section>{PARAS}</section><h2>More</h2><section>{second}<ul><li>Point</ul></section></div>") == ["Head", *TEXT, "More", *more, "Point"]
+    assert text(f"<main><h1>Head</h1><article>{PARAS}</article><article><h2>More</h2>{second}</article></main>") == ["Head", *TEXT, "More", *more]
+    assert text(f"<main><article>{PARAS}</article><div>{second}</div></main>") == [*TEXT, *more]
+    assert text(f"<article>{PARAS}</article><div>{second}</div>") == TEXT
+
+
 def test_html_frame(spark):
     rows = [(1, "u", PAGE, 3), (1, "u", PAGE, 3), (2, None, None, 4), (None, "v", "", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
