@@ -1,7 +1,7 @@
 """Repeated passages across documents by paragraph MinHash banding.
 
-Two kinds of units come from one pass over the texts. Paragraphs (lines of MIN_WORDS or more)
-get BANDS band keys of ROWS MinHash values over their 5-word shingles: at a similarity of 0.8 a
+Two kinds of units come from one pass over the texts. Paragraphs (lines of MIN_WORDS or more,
+neighbouring shorter lines joined, and whole blocks of wrapped lines, of WRAPPED words at most) get BANDS band keys of ROWS MinHash values over their 5-word shingles: at a similarity of 0.8 a
 pair misses all bands in 1 of 460 cases. Distinct paragraphs that share a band are verified by
 exact Jaccard in their bucket, which gives spanning edges, and form clusters by components. A
 bucket of more than BUCKET paragraphs is cut into blocks and each two blocks are a group of their
@@ -9,7 +9,9 @@ own, so no task holds more than two.
 Inside long texts, where a repeated passage need not be a paragraph, the MinHash of a sliding
 block picks the units: of any LOOK consecutive starts the one with the smallest shingle hash
 opens a unit of UNIT words. So any two copies of a passage of LOOK + UNIT - 1 = 51 words or more
-share a unit, whatever stands around them, and meet on the digest of its words.
+share a unit, whatever stands around them, and meet on the digest of its words. A unit then grows
+word by word to both sides as far as it equals its kept copy. As LOOK - 1 words at most lie between
+a passage's end and its outermost unit, REACH words suffice.
 
 Of each cluster the copy in the document with the smallest id, then the first place, stays. Units
 are judged one by one: at the rim of a passage some copies may share a unit that the first copy
@@ -36,6 +38,7 @@ from rankloom.llm.graph import components
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 20
 BANDS, ROWS, UNIT, LOOK = 6, 2, 26, 26
+WRAPPED, REACH = 2 * MIN_WORDS, LOOK - 1
 BUCKET, FILTER_BUCKETS, _NO_ID = 512, 1 << 18, -(1 << 63)
 _MIX = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -59,12 +62,32 @@ class Words:
         return whole >> 64, whole & ((1 << 64) - 1)
 
     def paragraphs(self) -> list[tuple[int, int]]:
-        out, at = [], 0
-        for n in self.lines:
+        out, at, run, block, longest, lines = set(), 0, 0, 0, 0, 0
+        for n in [*self.lines, 0]:
+            if n == 0 or n >= MIN_WORDS:
+                if run >= MIN_WORDS:
+                    out.add((at - run, run))
+                run = 0
+            if n == 0:
+                if lines > 1 and block >= MIN_WORDS and longest <= WRAPPED:
+                    out.add((at - block, block))
+                block, longest, lines = 0, 0, 0
+                continue
             if n >= MIN_WORDS:
-                out.append((at, n))
+                out.add((at, n))
+            else:
+                run += n
+            block, longest, lines = block + n, max(longest, n), lines + 1
             at += n
-        return out
+        return sorted(out)
+
+    def around(self, start: int) -> tuple[bytes, bytes]:
+        """Digests of the REACH words before and after a unit, the nearest first; 0 past the text."""
+        digest = xxhash.xxh64_intdigest
+        word = lambda i: digest(self.joined[self.starts[i] : self.ends[i]]) or 1
+        left = [word(i) for i in range(start - 1, max(-1, start - 1 - REACH), -1)]
+        right = [word(i) for i in range(start + UNIT, min(self.n, start + UNIT + REACH))]
+        return tuple(np.array(x + [0] * (REACH - len(x)), np.uint64).tobytes() for x in (left, right))
 
     def units(self) -> list[int]:
         """Starts of the units that the sliding block picks."""
@@ -123,6 +146,43 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["cid", "shingles"])
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, start, d1, left, right) of the wanted units (start, d1) of each text."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, text, wanted in zip(*map(each_value, batch.columns), strict=True):
+            w = Words(text)
+            rows += [(doc, x["start"], x["d1"], *w.around(x["start"])) for x in wanted if x["start"] + UNIT <= w.n and _signed([w.digest(x["start"], UNIT)[0]])[0].as_py() == x["d1"]]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["doc", "start", "d1", "left", "right"])
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, start, keep_doc, keep_start, left, right, and both of the kept copy) give the unit grown."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, start, keep_doc, keep_start = (batch.column(i).to_numpy() for i in range(4))
+        a, b, c, d = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, REACH) for i in range(4, 8))
+        left, right = (((x == y) & (x != 0)).cumprod(axis=1).sum(axis=1) for x, y in ((a, c), (b, d)))
+        room = np.where(doc == keep_doc, np.maximum(start - keep_start - UNIT, 0), 2 * REACH)  # none may reach into its kept copy
+        right = np.minimum(right, room)
+        left = np.minimum(left, room - right)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((doc, pa.int64()), (start - left, pa.int32()), (UNIT + left + right, pa.int32()), (keep_doc, pa.int64()), (keep_start - left, pa.int32()))], ["doc", "start", "n", "keep_doc", "keep_start"])
+
+
+def grown(docs: DataFrame, inner: DataFrame) -> DataFrame:
+    """Verbatim units (doc, start, d1, keep_doc, keep_start) that don't stay, grown to the ends of what they repeat."""
+    places = inner.select("doc", "start", "d1").unionByName(inner.select(F.col("keep_doc").alias("doc"), F.col("keep_start").alias("start"), "d1")).distinct()
+    wanted = written(places.groupBy("doc").agg(F.collect_list(F.struct("start", "d1")).alias("wanted")), "wanted-units")
+    found = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_around, "doc long, start int, d1 long, left binary, right binary")
+    found = found.groupBy("doc", "start", "d1").agg(F.min(F.struct("left", "right")).alias("s")).select("doc", "start", "d1", "s.left", "s.right")
+    found = written(found, "around")
+    kept = found.select(F.col("doc").alias("keep_doc"), F.col("start").alias("keep_start"), "d1", F.col("left").alias("keep_left"), F.col("right").alias("keep_right"))
+    rows = inner.join(found, ["doc", "start", "d1"]).join(kept, ["keep_doc", "keep_start", "d1"])
+    return rows.select("doc", "start", "keep_doc", "keep_start", "left", "right", "keep_left", "keep_right").mapInArrow(_grow, "doc long, start int, n int, keep_doc long, keep_start int")
+
+
 def similar(cids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Spanning edges between the members of a bucket whose shingle sets have SIMILARITY or more."""
     sizes = np.array([len(s) for s in sets])
@@ -200,7 +260,12 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     inner = units.where("NOT whole").groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.max("doc").alias("last")).where("keep.doc < last")
     kept = written(paragraphs.unionByName(inner.select(F.lit(False).alias("whole"), "d1", "d2", "keep")), "kept")
     same = (units["whole"] == kept["whole"]) & (units["d1"] == kept["d1"]) & (units["whole"] | (units["d2"] == kept["d2"]))
-    return units.join(kept, same).select(units["doc"], units["start"], units["n"], F.col("keep.doc").alias("keep_doc"), F.col("keep.start").alias("keep_start"))
+    met = units.join(kept, same).select(units["whole"], units["doc"], units["start"], units["n"], units["d1"], F.col("keep.doc").alias("keep_doc"), F.col("keep.start").alias("keep_start"))
+    met = written(met, "met")
+    stays = (F.col("keep_doc") == F.col("doc")) & (F.col("keep_start") == F.col("start"))
+    inner = met.where(~F.col("whole") & ~stays).select("doc", "start", "d1", "keep_doc", "keep_start")
+    names = ["doc", "start", "n", "keep_doc", "keep_start"]
+    return met.where(F.col("whole") | stays).select(*names).unionByName(grown(docs, inner))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -158,3 +158,25 @@ def test_paragraph_clusters_equal_brute_force():
     close = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
     want = brute.groups([(i, j) for i in range(40) for j in range(i + 1, 40) if close(sets[i], sets[j])], range(40))
     assert brute.groups(passage_dedup.similar(list(range(40)), sets), range(40)) == want
+
+
+def test_repeated_passages_are_reported_to_their_ends(frame):
+    rng = random.Random(19)
+    shared = passage(rng, 51)
+    rows = [(i, passage(rng, 30 + i) + " " + shared + " " + passage(rng, 25)) for i in range(12)]
+    got = {r["doc_id"]: r for r in passage_dedup.repeated_passages(frame(rows)).collect()}
+    assert got[0]["removed"] == []
+    for i in range(1, 12):
+        assert [tuple(s) for s in got[i]["removed"]] == [(30 + i, 80 + i)] and got[i]["removed_words"] == 51
+
+
+def test_edited_copies_of_wrapped_text(frame):
+    rng = random.Random(20)
+    words = passage(rng, 120).split()
+    edited = [w if i not in (40, 80) else "zzz" for i, w in enumerate(words)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    rows = [(0, wrap(words, 12)), (1, passage(rng, 5) + "\n\n" + wrap(edited, 11)), (2, wrap(passage(rng, 90).split(), 12))]
+    got = {r["doc_id"]: r for r in passage_dedup.repeated_passages(frame(rows)).collect()}
+    assert set(got) == {0, 1} and [tuple(s) for s in got[1]["removed"]] == [(5, 124)]
+    assert passage_dedup.Words(wrap(words, 12)).paragraphs() == [(0, 120)]
+    assert passage_dedup.Words(" ".join(words[:60]) + "\nshort line").paragraphs() == [(0, 60)]
