@@ -1,191 +1,228 @@
 """Repeated passages across documents by paragraph MinHash banding.
 
-Two kinds of units come from one pass over the texts. Paragraphs (lines of MIN_WORDS or more,
-neighbouring shorter lines joined, and whole blocks of wrapped lines, of WRAPPED words at most) get BANDS band keys of ROWS MinHash values over their 5-word shingles: at a similarity of 0.8 a
-pair misses all bands in 1 of 460 cases. Distinct paragraphs that share a band are verified by
-exact Jaccard in their bucket, which gives spanning edges, and form clusters by components. A
-bucket of more than BUCKET paragraphs is cut into blocks and each two blocks are a group of their
-own, so no task holds more than two.
-Inside long texts, where a repeated passage need not be a paragraph, the MinHash of a sliding
-block picks the units: of any LOOK consecutive starts the one with the smallest shingle hash
-opens a unit of UNIT words. So any two copies of a passage of LOOK + UNIT - 1 = 51 words or more
-share a unit, whatever stands around them, and meet on the digest of its words. A unit then grows
-word by word to both sides as far as it equals its kept copy. As LOOK - 1 words at most lie between
-a passage's end and its outermost unit, REACH words suffice.
-
-Of each cluster the copy in the document with the smallest id, then the first place, stays. Units
-are judged one by one: at the rim of a passage some copies may share a unit that the first copy
-has too but didn't pick, and then the first of those copies keeps it.
-
-Defined results: null and empty texts have no units. Repeats within one document alone are left;
-rows that repeat an id are one document. Documents with a null id are one document without id.
-Documents without a repeated unit get no row.
+Units of one pass over the texts, all banded, verified and clustered alike:
+
+- Paragraphs: every line, and every run of lines of at most WRAPPED words, which are wrapped text.
+  They get BANDS keys of ROWS MinHash values over their 5-word shingles: a pair at a similarity of
+  0.8 misses all of them in 1 of 300 cases, one at 0.3 meets in 1 of 5. Up to 7 words a
+  similarity of 0.8 means equality, so shorter lines meet on their content alone.
+- Blocks: a sliding block of LOOK shingles goes over each text of LOOK + UNIT - 1 = 51 words or
+  more, and the MinHash of one function picks its start of a unit of UNIT words; that value is its
+  band key. Any two copies of a passage of 51 words or more share a block, whatever stands around
+  them and wherever lines end.
+
+Equal units are one content, by 128 bits of digest. Distinct contents that share a band are
+verified by exact Jaccard in their bucket, which gives spanning edges, and form clusters by
+components. A bucket of more than BUCKET contents is split by their rarest shingles there: two
+sets of a similarity of 0.8 must share one of the first size - ceil(0.8 size) + 1 by frequency, so
+nothing is lost. What is still as large is cut into blocks, and each two of these are a group of
+their own, so no task holds more than two.
+
+Of each cluster the copy in the document with the smallest id, then the first place, stays. The
+ends of a document's run of units that go are grown word by word as far as they equal the kept
+copy; as LOOK - 1 words at most lie between a passage's end and its outermost unit, REACH suffice.
+Neighbouring units make a passage, which is reported from MIN_PASSAGE words on: less is a phrase
+or a boilerplate line.
+
+Defined results: null and empty texts have no units. Repeats within one document alone are left.
+A document is an id with a text: rows that repeat both are one document, and rows with a null id
+are told apart by their text. Documents without a repeated passage get no row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.llm.common import ASCII_LOWER, each_value, written
+from rankloom.llm.common import ASCII_LOWER, each_value, release_memory, written
 from rankloom.llm.graph import components
 
-SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 20
-BANDS, ROWS, UNIT, LOOK = 6, 2, 26, 26
-WRAPPED, REACH = 2 * MIN_WORDS, LOOK - 1
+SHINGLE, SIMILARITY, MIN_PASSAGE = 5, 0.8, 26
+BANDS, ROWS, UNIT, LOOK = 8, 3, 26, 26
+WRAPPED, REACH = 40, LOOK - 1
+#: Lines of fewer words are equal if similar.
+BANDED_WORDS = 8
 BUCKET, FILTER_BUCKETS, _NO_ID = 512, 1 << 18, -(1 << 63)
-_MIX = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+#: Characters of text that are cut at a time; words whose hashes a task remembers.
+BATCH_CHARS, KNOWN_WORDS = 1 << 20, 200_000
+_LAST = np.uint64(2**64 - 1)
+_RANDOM = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, (3, 80), dtype=np.uint64) | np.uint64(1)
+_KEY = ["k", "h"]
 
 
-class Words:
-    """A text's words, with A-Z lower-cased, and the hashes of its shingles."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of consecutive ranges in one array, and where each range begins in it."""
+    at = np.cumsum(sizes) - sizes
+    return np.repeat(starts - at, sizes) + np.arange(int(sizes.sum())), at
+
+
+class _Known(dict):
+    """Hashes of words, computed on first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
 
-    def __init__(self, text: str | None) -> None:
-        lines = [line.split() for line in (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split(b"\n")]
-        self.lines = [len(x) for x in lines]
-        words = [w for x in lines for w in x]
+
+class Words:
+    """The words of some texts side by side, A-Z lower-cased, as hashes."""
+
+    def __init__(self, texts: Iterable[str | None], known: _Known | None = None) -> None:
+        known = _Known() if known is None else known
+        words: list[bytes] = []
+        lines: list[int] = []
+        cuts, line_cuts = [0], [0]
+        for text in texts:
+            for line in (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split(b"\n"):
+                own = line.split()
+                words += own
+                lines.append(len(own))
+            cuts.append(len(words))
+            line_cuts.append(len(lines))
+        if len(known) > KNOWN_WORDS:
+            known.clear()
         self.n = len(words)
-        self.joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, self.n) + 1) - 1
-        self.starts, self.ends = np.concatenate(([0], ends[:-1] + 1)).tolist() if self.n else [], ends.tolist()
-        digest = xxhash.xxh64_intdigest
-        self.shingles = np.array([digest(self.joined[s:e]) for s, e in zip(self.starts, self.ends[SHINGLE - 1 :], strict=False)], np.uint64)
-
-    def digest(self, start: int, n: int) -> tuple[int, int]:
-        whole = xxhash.xxh128_intdigest(self.joined[self.starts[start] : self.ends[start + n - 1]])
-        return whole >> 64, whole & ((1 << 64) - 1)
-
-    def paragraphs(self) -> list[tuple[int, int]]:
-        out, at, run, block, longest, lines = set(), 0, 0, 0, 0, 0
-        for n in [*self.lines, 0]:
-            if n == 0 or n >= MIN_WORDS:
-                if run >= MIN_WORDS:
-                    out.add((at - run, run))
-                run = 0
-            if n == 0:
-                if lines > 1 and block >= MIN_WORDS and longest <= WRAPPED:
-                    out.add((at - block, block))
-                block, longest, lines = 0, 0, 0
-                continue
-            if n >= MIN_WORDS:
-                out.add((at, n))
-            else:
-                run += n
-            block, longest, lines = block + n, max(longest, n), lines + 1
-            at += n
-        return sorted(out)
-
-    def around(self, start: int) -> tuple[bytes, bytes]:
-        """Digests of the REACH words before and after a unit, the nearest first; 0 past the text."""
-        digest = xxhash.xxh64_intdigest
-        word = lambda i: digest(self.joined[self.starts[i] : self.ends[i]]) or 1
-        left = [word(i) for i in range(start - 1, max(-1, start - 1 - REACH), -1)]
-        right = [word(i) for i in range(start + UNIT, min(self.n, start + UNIT + REACH))]
-        return tuple(np.array(x + [0] * (REACH - len(x)), np.uint64).tobytes() for x in (left, right))
-
-    def units(self) -> list[int]:
+        self.hashes = np.fromiter(map(known.__getitem__, words), np.uint64, self.n)
+        self.cuts, self.lines, self.line_cuts = np.array(cuts), np.array(lines, np.int64), np.array(line_cuts)
+        whole = np.zeros(max(0, self.n - SHINGLE + 1), np.uint64)
+        for j in range(SHINGLE):
+            whole += self.hashes[j : j + len(whole)] * _RANDOM[2, j]
+        self.shingles = np.append(_mixed(whole), np.full(SHINGLE, _LAST))
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and word counts of lines and of runs of wrapped ones."""
+        starts = np.cumsum(self.lines) - self.lines
+        wrapped = (self.lines > 0) & (self.lines <= WRAPPED)
+        first = np.zeros(len(self.lines) + 1, bool)
+        first[self.line_cuts] = True
+        opens = wrapped & (first[:-1] | ~np.append(False, wrapped[:-1]))
+        run = np.cumsum(opens)[wrapped] - 1
+        sizes = np.bincount(run, self.lines[wrapped]).astype(np.int64)
+        several = np.bincount(run) > 1
+        full = self.lines > 0
+        return np.concatenate((starts[full], starts[opens][several])), np.concatenate((self.lines[full], sizes[several]))
+
+    def blocks(self) -> np.ndarray:
         """Starts of the units that the sliding block picks."""
-        last = self.n - UNIT + 1
-        if last < LOOK:
-            return []
-        blocks = np.lib.stride_tricks.sliding_window_view(self.shingles[:last], LOOK)
-        return np.unique(np.concatenate([blocks[i : i + 50_000].argmin(axis=1) + np.arange(i, min(i + 50_000, len(blocks))) for i in range(0, len(blocks), 50_000)])).tolist()
-
-    def bands(self, paragraphs: list[tuple[int, int]]) -> np.ndarray:
-        """Band keys, a row for each paragraph."""
-        cuts = np.array([x for s, n in paragraphs for x in (s, s + n - SHINGLE + 1)], np.int64)
-        hashes = np.append(self.shingles, np.uint64(2**64 - 1))
-        least = np.empty((BANDS * ROWS, len(paragraphs)), np.uint64)
-        for k in range(BANDS * ROWS):
-            mixed = (hashes ^ (hashes >> np.uint64(29))) * _MIX[0, k] + _MIX[1, k]
-            least[k] = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), cuts)[::2]
-        keys = np.zeros((BANDS, len(paragraphs)), np.uint64)
-        for r in range(ROWS):
-            keys = (keys ^ least[r::ROWS]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
-            keys ^= keys >> np.uint64(31)
+        if self.n < LOOK + UNIT - 1:
+            return np.zeros(0, np.int64)
+        views = np.lib.stride_tricks.sliding_window_view(self.shingles[: self.n], LOOK)
+        at = np.arange(len(views))
+        end = np.repeat(self.cuts[1:], np.diff(self.cuts))[: len(views)]
+        at = at[at + LOOK - 1 <= end - UNIT]
+        return np.unique(np.concatenate([at[i : i + 50_000] + views[at[i : i + 50_000]].argmin(axis=1) for i in range(0, len(at), 50_000)])) if len(at) else at
+
+    def digests(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Two 64-bit digests of each range of words."""
+        if not len(starts):
+            return np.zeros((2, 0), np.uint64)
+        at, cuts = _ranges(starts, sizes)
+        words, place = self.hashes[at], (at - np.repeat(starts, sizes)).astype(np.uint64)
+        return np.array([_mixed(np.add.reduceat(words * (_mixed((place + np.uint64(1)) * _RANDOM[2, k]) | np.uint64(1)), cuts) + sizes.astype(np.uint64)) for k in (11, 12)])
+
+    def bands(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Band keys, a row for each range of words."""
+        keys = np.zeros((BANDS, len(starts)), np.uint64)
+        if not len(starts):
+            return keys.T
+        at, cuts = _ranges(starts, sizes - SHINGLE + 1)
+        own = self.shingles[at]
+        for b in range(BANDS):
+            for r in range(ROWS):
+                k = b * ROWS + r
+                least = np.minimum.reduceat((own ^ (own >> np.uint64(29))) * _RANDOM[0, k] + _RANDOM[1, k], cuts)
+                keys[b] = _mixed((keys[b] ^ least) + _RANDOM[2, 32 + k])
         return keys.T
 
+    def shingle_set(self, text: int, start: int, n: int) -> np.ndarray:
+        at = int(self.cuts[text]) + start
+        return np.unique(self.shingles[at : at + n - SHINGLE + 1]).view(np.int64)
+
+    def near(self, text: int, at: int, right: bool) -> bytes:
+        """Hashes of the REACH words after or before a place of a text, the nearest first; 0 past its end."""
+        low, high = int(self.cuts[text]), int(self.cuts[text + 1])
+        own = self.hashes[low + at : min(high, low + at + REACH)] if right else self.hashes[max(low, low + at - REACH) : low + at][::-1]
+        out = np.zeros(REACH, np.uint64)
+        out[: len(own)] = np.where(own == 0, np.uint64(1), own)
+        return out.tobytes()
+
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of a column's texts of about BATCH_CHARS together, with the row of the first."""
+    at, run, held = 0, [], 0
+    for i, text in enumerate(each_value(column)):
+        run.append(text)
+        held += len(text or "")
+        if held >= BATCH_CHARS:
+            yield at, run
+            at, run, held = i + 1, [], 0
+    if run:
+        yield at, run
 
 
-_UNITS = ["whole", "doc", "start", "n", "d1", "d2", "bands"]
+_UNITS = "k long, h long, start int, n int, d1 long, d2 long, bands array<long>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Known()
     for batch in batches:
-        rows: list[tuple] = []
-        for doc, text in zip(each_value(batch.column(0)), each_value(batch.column(1)), strict=True):
-            w = Words(text)
-            paragraphs = w.paragraphs()
-            if paragraphs:
-                keys = w.bands(paragraphs).view(np.int64).tolist()
-                rows += [(True, doc, s, n, *w.digest(s, n), k) for (s, n), k in zip(paragraphs, keys, strict=True)]
-            rows += [(False, doc, s, UNIT, *w.digest(s, UNIT), None) for s in w.units()]
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), _signed(cols[4]), _signed(cols[5]), pa.array(cols[6], pa.list_(pa.int64()))], _UNITS)
+        for at, texts in _texts(batch.column(2)):
+            w = Words(texts, known)
+            starts, sizes = w.paragraphs()
+            blocks = w.blocks()
+            banded = sizes >= BANDED_WORDS
+            keys = w.bands(starts[banded], sizes[banded])
+            widths = np.concatenate((np.where(banded, BANDS, 0), np.ones(len(blocks), np.int64)))
+            values = np.concatenate((keys.ravel(), _mixed(w.shingles[blocks] + _RANDOM[2, 30])))
+            starts, sizes = np.concatenate((starts, blocks)), np.concatenate((sizes, np.full(len(blocks), UNIT)))
+            text = np.searchsorted(w.cuts, starts, "right") - 1
+            digests = w.digests(starts, sizes)
+            digests[0, len(starts) - len(blocks) :] ^= _RANDOM[2, 13]  # a block is never one content with a paragraph, which has other bands
+            digests = digests.view(np.int64)
+            own = pa.array(text + at)
+            bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(widths)), pa.int32()), pa.array(values.view(np.int64)))
+            columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(starts - w.cuts[text], pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests[0]), pa.array(digests[1]), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "h", "start", "n", "d1", "d2", "bands"])
+    del known
+    release_memory()
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, shingles) of the wanted places (start, n, cid) of each text."""
+    known = _Known()
     for batch in batches:
-        cids, out = [], []
-        for text, wanted in zip(each_value(batch.column(0)), each_value(batch.column(1)), strict=True):
-            w = Words(text)
-            for x in wanted:
-                if x["start"] + x["n"] <= w.n and _signed([w.digest(x["start"], x["n"])[0]])[0].as_py() == x["cid"]:
+        for at, texts in _texts(batch.column(0)):
+            w = Words(texts, known)
+            cids, out = [], []
+            for i, wanted in enumerate(each_value(batch.column(1).slice(at, len(texts)))):
+                for x in wanted:
                     cids.append(x["cid"])
-                    out.append(np.unique(w.shingles[x["start"] : x["start"] + x["n"] - SHINGLE + 1]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["cid", "shingles"])
-
-
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, start, d1, left, right) of the wanted units (start, d1) of each text."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for doc, text, wanted in zip(*map(each_value, batch.columns), strict=True):
-            w = Words(text)
-            rows += [(doc, x["start"], x["d1"], *w.around(x["start"])) for x in wanted if x["start"] + UNIT <= w.n and _signed([w.digest(x["start"], UNIT)[0]])[0].as_py() == x["d1"]]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["doc", "start", "d1", "left", "right"])
-
-
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, start, keep_doc, keep_start, left, right, and both of the kept copy) give the unit grown."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        doc, start, keep_doc, keep_start = (batch.column(i).to_numpy() for i in range(4))
-        a, b, c, d = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, REACH) for i in range(4, 8))
-        left, right = (((x == y) & (x != 0)).cumprod(axis=1).sum(axis=1) for x, y in ((a, c), (b, d)))
-        room = np.where(doc == keep_doc, np.maximum(start - keep_start - UNIT, 0), 2 * REACH)  # none may reach into its kept copy
-        right = np.minimum(right, room)
-        left = np.minimum(left, room - right)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((doc, pa.int64()), (start - left, pa.int32()), (UNIT + left + right, pa.int32()), (keep_doc, pa.int64()), (keep_start - left, pa.int32()))], ["doc", "start", "n", "keep_doc", "keep_start"])
-
-
-def grown(docs: DataFrame, inner: DataFrame) -> DataFrame:
-    """Verbatim units (doc, start, d1, keep_doc, keep_start) that don't stay, grown to the ends of what they repeat."""
-    places = inner.select("doc", "start", "d1").unionByName(inner.select(F.col("keep_doc").alias("doc"), F.col("keep_start").alias("start"), "d1")).distinct()
-    wanted = written(places.groupBy("doc").agg(F.collect_list(F.struct("start", "d1")).alias("wanted")), "wanted-units")
-    found = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_around, "doc long, start int, d1 long, left binary, right binary")
-    found = found.groupBy("doc", "start", "d1").agg(F.min(F.struct("left", "right")).alias("s")).select("doc", "start", "d1", "s.left", "s.right")
-    found = written(found, "around")
-    kept = found.select(F.col("doc").alias("keep_doc"), F.col("start").alias("keep_start"), "d1", F.col("left").alias("keep_left"), F.col("right").alias("keep_right"))
-    rows = inner.join(found, ["doc", "start", "d1"]).join(kept, ["keep_doc", "keep_start", "d1"])
-    return rows.select("doc", "start", "keep_doc", "keep_start", "left", "right", "keep_left", "keep_right").mapInArrow(_grow, "doc long, start int, n int, keep_doc long, keep_start int")
+                    out.append(w.shingle_set(i, x["start"], x["n"]))
+            cuts = np.cumsum([0, *map(len, out)])
+            values = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))], ["cid", "shingles"])
+    del known
+    release_memory()
 
 
 def similar(cids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Spanning edges between the members of a bucket whose shingle sets have SIMILARITY or more."""
     sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True)) if sizes.min() >= SIMILARITY * sizes.max() - 1e-9 else 0
+        return [(cids[0], cids[1])] if common >= SIMILARITY * (sizes.sum() - common) - 1e-9 else []
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(ids, kind="stable")
@@ -226,62 +263,174 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
     out = edges(cids, sets)
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+    release_memory()
 
 
-def similar_paragraphs(docs: DataFrame, contents: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct paragraphs (cid, place, bands) that Jaccard verifies."""
-    keyed = written(contents.select("cid", F.explode("bands").alias("key")), "bands")
-    shared = written(keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks")), "shared-bands")
-    met = written(keyed.join(shared, "key"), "colliding")
-    wanted = contents.join(met.select("cid").distinct(), "cid").groupBy(F.col("place.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("place.start").alias("start"), F.col("place.n").alias("n"), "cid")).alias("wanted"))
-    wanted = written(wanted, "wanted")
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BUCKETS))
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents (k, h, text) with the wanted list of each. A filter of at most FILTER_BUCKETS
+    numbers spares most of the others the shuffle."""
+    bucket = F.pmod(F.xxhash64(*_KEY), F.lit(FILTER_BUCKETS))
     some = docs.join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
-    shingles = written(some.join(wanted, "doc").select("text", "wanted").mapInArrow(_shingled, "cid long, shingles array<long>").dropDuplicates(["cid"]), "shingles")
+    return some.join(wanted, _KEY)
+
+
+def _blocks(members: DataFrame, counts: DataFrame, bucket_rows: int) -> DataFrame:
+    """(key, i, j, cid): members (key, cid) of keys that several have, by group of two blocks."""
+    shared = counts.where("n > 1").select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    rows = met.select("key", "cid", F.inline(pairs)).join(shingles, "cid").select("key", "i", "j", "cid", "shingles")
+    return members.join(shared, "key").select("key", F.inline(pairs), "cid")
+
+
+def _rarest(members: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(key, cid): members of large buckets by the shingles of which two similar ones must share one."""
+    tokens = written(members.select("key", "cid").join(shingles, "cid").select("key", "cid", F.size("shingles").alias("size"), F.explode("shingles").alias("s")), "tokens")
+    counts = written(tokens.groupBy("key", "s").agg(F.count("*").alias("f")), "token-counts")
+    rank = F.row_number().over(Window.partitionBy("key", "cid").orderBy("f", "s"))
+    first = tokens.join(counts, ["key", "s"]).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1)
+    return written(first.where("f > 1").select(F.xxhash64("key", "s").alias("key"), "cid"), "rarest")
+
+
+def similar_contents(docs: DataFrame, contents: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between distinct contents (cid, place, bands) that Jaccard verifies; docs: k, h, text."""
+    keyed = written(contents.select("cid", F.explode("bands").alias("key")), "bands")
+    counts = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    met = written(keyed.join(counts, "key"), "colliding")
+    wanted = contents.join(met.select("cid").distinct(), "cid").groupBy(F.col("place.k").alias("k"), F.col("place.h").alias("h"))
+    wanted = written(wanted.agg(F.collect_list(F.struct(F.col("place.start").alias("start"), F.col("place.n").alias("n"), "cid")).alias("wanted")), "wanted")
+    found = _texts_of(docs, wanted).select("text", "wanted").mapInArrow(_shingled, "cid long, shingles array<long>")
+    shingles = written(found.dropDuplicates(["cid"]), "shingles")
+    groups = met.where(F.col("n") <= bucket_rows).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "cid")
+    large = met.where(F.col("n") > bucket_rows)
+    if not large.isEmpty():
+        first = _rarest(large, shingles)
+        groups = groups.unionByName(_blocks(first, first.groupBy("key").agg(F.count("*").alias("n")), bucket_rows))
     group = ["key", "i", "j"]
+    rows = groups.join(shingles, "cid").select(*group, "cid", "shingles")
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_linked, "a long, b long")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Units in clusters over more than one document: doc, start, n, keep_doc, keep_start."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    units = written(docs.mapInArrow(_cut, "whole boolean, doc long, start int, n int, d1 long, d2 long, bands array<long>"), "units")
-    place = F.struct("doc", "start", "n")
-    contents = units.where("whole").groupBy("d1").agg(F.min(place).alias("place"), F.max("doc").alias("last"), F.any_value("bands").alias("bands")).withColumnRenamed("d1", "cid")
-    contents = written(contents, "paragraphs")
-    roots = components(similar_paragraphs(docs, contents))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+
+
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """Units of documents (k, h, text) in clusters over more than one document: k, h, start, n and their kept copy."""
+    units = written(docs.mapInArrow(_cut, _UNITS), "units")
+    folded = units.groupBy("d1", "d2").agg(F.min(F.struct("k", "h", "start", "n")).alias("place"), F.max(F.struct("k", "h")).alias("last"), F.any_value("bands").alias("bands"))
+    contents = written(folded.withColumn("cid", F.monotonically_increasing_id()), "contents")
+    roots = components(similar_contents(docs, contents))
     roots = written(roots.select(F.col("node").alias("cid"), "root").unionByName(roots.select(F.col("root").alias("cid"), "root").distinct()), "roots")
-    own = written(contents.select("cid", "place", "last").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
-    clusters = own.groupBy("root").agg(F.min("place").alias("keep"), F.max("last").alias("last")).where("keep.doc < last").select("root", "keep")
-    paragraphs = own.join(written(clusters, "clusters"), "root").select(F.lit(True).alias("whole"), F.col("cid").alias("d1"), F.lit(None).cast("long").alias("d2"), "keep")
-    inner = units.where("NOT whole").groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.max("doc").alias("last")).where("keep.doc < last")
-    kept = written(paragraphs.unionByName(inner.select(F.lit(False).alias("whole"), "d1", "d2", "keep")), "kept")
-    same = (units["whole"] == kept["whole"]) & (units["d1"] == kept["d1"]) & (units["whole"] | (units["d2"] == kept["d2"]))
-    met = units.join(kept, same).select(units["whole"], units["doc"], units["start"], units["n"], units["d1"], F.col("keep.doc").alias("keep_doc"), F.col("keep.start").alias("keep_start"))
-    met = written(met, "met")
-    stays = (F.col("keep_doc") == F.col("doc")) & (F.col("keep_start") == F.col("start"))
-    inner = met.where(~F.col("whole") & ~stays).select("doc", "start", "d1", "keep_doc", "keep_start")
-    names = ["doc", "start", "n", "keep_doc", "keep_start"]
-    return met.where(F.col("whole") | stays).select(*names).unionByName(grown(docs, inner))
+    several: Column = F.struct("place.k", "place.h") < F.col("last")
+    own = contents.drop("bands").join(roots, "cid", "left").where(F.col("root").isNotNull() | several).withColumn("root", F.coalesce("root", "cid"))
+    own = written(own, "rooted")
+    clusters = own.groupBy("root").agg(F.min("place").alias("keep"), F.max("last").alias("last")).where(F.struct("keep.k", "keep.h") < F.col("last")).select("root", "keep")
+    kept = written(own.join(written(clusters, "clusters"), "root").select("d1", "d2", "keep"), "kept")
+    met = units.drop("bands").join(kept, ["d1", "d2"])
+    return met.select("k", "h", "start", "n", *(F.col(f"keep.{x}").alias(f"keep_{x}") for x in ("k", "h", "start", "n")))
+
+
+def _stays(row: dict, k: int, h: int) -> bool:
+    return (row["keep_k"], row["keep_h"], row["keep_start"]) == (k, h, row["start"])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, h, units): both ends of each run of units that don't stay, with the place in the kept copy."""
+    for batch in batches:
+        out: list[tuple] = []
+        for k, h, units in zip(*map(each_value, batch.columns), strict=True):
+            gone = sorted((u["start"], u["start"] + u["n"], j) for j, u in enumerate(units) if not _stays(u, k, h))
+            for i, (start, end, j) in enumerate(gone):
+                u = units[j]
+                opens, reached = not i or start > reached, end if not i else max(reached, end)  # noqa: F821
+                if (u["keep_k"], u["keep_h"]) == (k, h):
+                    continue
+                if opens:
+                    out.append((k, h, start, False, u["keep_k"], u["keep_h"], u["keep_start"]))
+                if end == reached and (i + 1 == len(gone) or gone[i + 1][0] > reached):
+                    out.append((k, h, end, True, u["keep_k"], u["keep_h"], u["keep_start"] + u["keep_n"]))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["k", "h", "at", "right", "keep_k", "keep_h", "keep_at"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, h, at, right, near) of the wanted places (at, right) of each text."""
+    known = _Known()
+    for batch in batches:
+        for at, texts in _texts(batch.column(2)):
+            w = Words(texts, known)
+            rows = [(i + at, x["at"], x["right"], w.near(i, x["at"], x["right"])) for i, wanted in enumerate(each_value(batch.column(3).slice(at, len(texts)))) for x in wanted]
+            own = pa.array([x[0] for x in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array([x[i] for x in rows], t) for i, t in ((1, pa.int32()), (2, pa.bool_()), (3, pa.binary())))], ["k", "h", "at", "right", "near"])
+    del known
+    release_memory()
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, h, at, right, keep_k, keep_h, keep_at, near, keep_near) give the words that both have there."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, REACH) for i in (7, 8))
+        same = ((a == b) & (a != 0)).cumprod(axis=1).sum(axis=1)
+        back = np.where(batch.column(3).to_numpy(zero_copy_only=False), 0, same)
+        n = pa.array(same, pa.int32())
+        columns = [batch.column(0), batch.column(1), pa.array(batch.column(2).to_numpy() - back, pa.int32()), n, batch.column(4), batch.column(5), pa.array(batch.column(6).to_numpy() - back, pa.int32()), n]
+        yield pa.RecordBatch.from_arrays(columns, ["k", "h", "start", "n", "keep_k", "keep_h", "keep_start", "keep_n"])
+
+
+def _by_document(units: DataFrame) -> DataFrame:
+    return units.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n", "keep_k", "keep_h", "keep_start", "keep_n")).alias("units"))
+
+
+def grown(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """What the ends of the runs of ``units`` share further with their kept copies, as rows like units."""
+    ends = written(_by_document(units).mapInArrow(_ends, "k long, h long, at int, right boolean, keep_k long, keep_h long, keep_at int"), "ends")
+    kept = ends.select(F.col("keep_k").alias("k"), F.col("keep_h").alias("h"), F.col("keep_at").alias("at"), "right")
+    wanted = ends.select("k", "h", "at", "right").unionByName(kept).groupBy(*_KEY).agg(F.collect_set(F.struct("at", "right")).alias("wanted"))
+    near = _texts_of(docs, written(wanted, "wanted-ends")).select("k", "h", "text", "wanted").mapInArrow(_near, "k long, h long, at int, right boolean, near binary")
+    near = written(near.dropDuplicates(["k", "h", "at", "right"]), "near")
+    other = near.select(F.col("k").alias("keep_k"), F.col("h").alias("keep_h"), F.col("at").alias("keep_at"), "right", F.col("near").alias("keep_near"))
+    rows = ends.join(near, [*_KEY, "at", "right"]).join(other, ["keep_k", "keep_h", "keep_at", "right"])
+    rows = rows.select("k", "h", "at", "right", "keep_k", "keep_h", "keep_at", "near", "keep_near")
+    return rows.mapInArrow(_grow, "k long, h long, start int, n int, keep_k long, keep_h long, keep_start int, keep_n int").where("n > 0")
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans (start, end) joined where they touch."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for i, (k, h, units) in enumerate(zip(*map(each_value, batch.columns), strict=True)):
+            passages = [p for p in _merged([(u["start"], u["start"] + u["n"]) for u in units]) if p[1] - p[0] >= MIN_PASSAGE]
+            if not passages:
+                continue
+            starts, ends = (np.array([p[x] for p in passages]) for x in (0, 1))
+            at = np.searchsorted(starts, [u["start"] for u in units], "right") - 1
+            inside = [u for u, p in zip(units, at, strict=True) if p >= 0 and u["start"] < ends[p]]
+            removed = _merged([(u["start"], u["start"] + u["n"]) for u in inside if not _stays(u, k, h)])
+            keep = sorted({u["keep_k"] for u in inside})
+            rows.append((i, [{"first": s, "last": e - 1} for s, e in removed], sum(e - s for s, e in removed), [None if x == _NO_ID else x for x in keep]))
+        span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        own = batch.column(0).take(pa.array([x[0] for x in rows], pa.int64()))
+        yield pa.RecordBatch.from_arrays([own, pa.array([x[1] for x in rows], span), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.list_(pa.int64())), pa.array([x[3][0] for x in rows], pa.int64())], ["k", "removed", "removed_words", "keep_ids", "cluster_id"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with a repeated passage: id, removed (word ranges first to last whose
     kept copy is elsewhere), removed_words, keep_ids (documents that hold the kept copies, itself
     included where its own stay), cluster_id (the smallest of keep_ids)."""
-    units = written(repeated_units(docs, id_col, text_col), "repeated")
-    stays = (F.col("keep_doc") == F.col("doc")) & (F.col("keep_start") == F.col("start"))
-    w = Window.partitionBy("doc").orderBy("start")
-    gone = units.where(~stays).select("doc", "start", (F.col("start") + F.col("n") - 1).alias("last")).distinct()
-    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = gone.withColumn("new", F.coalesce((F.col("start") > before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc", "run").agg(F.min("start").alias("first"), F.max("last").alias("last"))
-    spans = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed"), F.sum(F.col("last") - F.col("first") + 1).cast("long").alias("removed_words"))
-    keep = units.groupBy("doc").agg(F.array_sort(F.collect_set("keep_doc")).alias("keep_ids"))
-    rows = keep.join(spans, "doc", "left")
-    ids = F.transform("keep_ids", lambda x: F.nullif(x, F.lit(_NO_ID)))
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    return rows.select(F.nullif("doc", F.lit(_NO_ID)).alias(id_col), F.coalesce("removed", none).alias("removed"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), ids.alias("keep_ids"), F.nullif(F.array_min("keep_ids"), F.lit(_NO_ID)).alias("cluster_id"))
+    docs = _keyed(docs, id_col, text_col)
+    units = written(repeated_units(docs), "repeated")
+    found = _by_document(units.unionByName(grown(docs, units))).mapInArrow(_reported, "k long, removed array<struct<first:int,last:int>>, removed_words long, keep_ids array<long>, cluster_id long")
+    return found.select(F.nullif("k", F.lit(_NO_ID)).alias(id_col), "removed", "removed_words", "keep_ids", "cluster_id")

@@ -64,3 +64,102 @@ def contamination(docs, items):
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
+
+
+def passages(rows):
+    """Rows of repeated passages from all pairs of units, without bands; picks of blocks by their definition."""
+    import re
+
+    import numpy as np
+
+    from rankloom.llm import passage_dedup as p
+
+    low = -(1 << 63)
+    lower = lambda t: t.translate({c: c + 32 for c in range(65, 91)})
+    docs, units = {}, {}
+    for i, text in {(i, t or "") for i, t in rows}:
+        key = (low if i is None else i, text)
+        words = [w for w in re.split(r"[ \t-\r]+", lower(text)) if w]
+        docs[key] = words
+        at, run, found = 0, [], set()
+        for line in [*lower(text).split("\n"), ""]:
+            n = len(line.split())
+            if n:
+                found.add((at, n))
+            if 0 < n <= p.WRAPPED:
+                run.append((at, n))
+            else:
+                if len(run) > 1:
+                    found.add((run[0][0], sum(x[1] for x in run)))
+                run = []
+            at += n
+        hashes = p.Words([text]).shingles.tolist()
+        for s in range(len(words) - p.UNIT - p.LOOK + 2):
+            own = hashes[s : s + p.LOOK]
+            found.add((s + own.index(min(own)), p.UNIT, True))
+        for s, n, *block in found:
+            units.setdefault((tuple(words[s : s + n]), bool(block)), []).append((*key, s, n))
+    shingles = {c: {c[0][i : i + 5] for i in range(len(c[0]) - 4)} for c in units}
+    near = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    contents = list(units)
+    edges = []
+    for x, a in enumerate(contents):
+        for b in contents[x + 1 :]:
+            if a[0] == b[0] or a[1] == b[1] and min(len(a[0]), len(b[0])) >= 8 and (not a[1] or a[0][:5] == b[0][:5]) and near(a, b):
+                edges.append((x, contents.index(b)))
+    clusters = {}
+    for x, r in groups(edges, range(len(contents))).items():
+        clusters.setdefault(r, set()).update(units[contents[x]])
+    # documents with one id are in the order of the hash of their text
+    order = {k: (k[0], np.uint64(hash_(k[1])).astype(np.int64)) for k in docs}
+    by_doc = {}
+    for places in clusters.values():
+        keep = min(places, key=lambda u: (*order[u[0], u[1]], u[2], u[3]))
+        if len({u[:2] for u in places}) > 1:
+            for u in places:
+                by_doc.setdefault(u[:2], set()).add((u[2], u[3], keep))
+    out = []
+    for key, found in by_doc.items():
+        gone = sorted((s, s + n, keep) for s, n, keep in found if keep[:3] != (*key, s))
+        more = set()
+        for i, (s, e, keep) in enumerate(gone):
+            other, own = docs[keep[:2]], docs[key]
+            if keep[:2] == key:
+                continue
+            if not any(x[1] >= s for x in gone[:i]):
+                g = 0
+                while g < p.REACH and s - g > 0 and keep[2] - g > 0 and own[s - g - 1] == other[keep[2] - g - 1]:
+                    g += 1
+                more.add((s - g, g, keep))
+            if not any(x[1] > e for x in gone[:i]) and not any(x[0] <= e for x in gone[i + 1 :]):
+                g, end = 0, keep[2] + keep[3]
+                while g < p.REACH and e + g < len(own) and end + g < len(other) and own[e + g] == other[end + g]:
+                    g += 1
+                more.add((e, g, keep))
+        all_units = found | {x for x in more if x[1]}
+        covered = sorted({w for s, n, _ in all_units for w in range(s, s + n)})
+        # units that only touch make one passage as well, so runs of covered words are the passages
+        runs = _runs(covered)
+        inside = {(s, n, keep) for s, n, keep in all_units if any(a <= s <= b for a, b in runs if b - a + 1 >= p.MIN_PASSAGE)}
+        if inside:
+            removed = _runs(sorted({w for s, n, keep in inside if keep[:3] != (*key, s) for w in range(s, s + n)}))
+            ids = [None if x == low else x for x in sorted({keep[0] for _, _, keep in inside})]
+            out.append((None if key[0] == low else key[0], removed, sum(b - a + 1 for a, b in removed), ids, ids[0]))
+    return out
+
+
+def _runs(words):
+    out = []
+    for w in words:
+        if out and w == out[-1][1] + 1:
+            out[-1][1] = w
+        else:
+            out.append([w, w])
+    return [tuple(x) for x in out]
+
+
+def hash_(text):
+    """xxHash64 with Spark's seed, as an unsigned number."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode(), seed=42)

@@ -98,7 +98,7 @@ def test_blocks_of_hot_bands(frame, monkeypatch):
         rows.append((i, " ".join(t)))
     sizes = []
     for bucket in (4, 512):
-        monkeypatch.setattr(passage_dedup.similar_paragraphs, "__defaults__", (bucket,))
+        monkeypatch.setattr(passage_dedup.similar_contents, "__defaults__", (bucket,))
         sizes.append(sorted((r["doc_id"], r["cluster_id"]) for r in passage_dedup.repeated_passages(frame(rows)).collect()))
     assert sizes[0] == sizes[1] and {c for _, c in sizes[0]} == {0} and len(sizes[0]) == 50
 
@@ -132,17 +132,20 @@ def test_passages(frame):
     assert [tuple(s) for s in got[201]["removed"]][0] == (10, 69) and got[201]["cluster_id"] == 200
 
 
-def test_band_recall():
+def test_band_recall_and_candidates():
+    """Pairs at a similarity of about 0.8 and over meet; few of those at about 0.3 do."""
     rng = random.Random(3)
-    met = 0
-    for _ in range(200):
-        words = passage(rng, 100).split()
-        other = list(words)
-        for k in (20, 60):
-            other[k] = "zzz"
-        a, b = (passage_dedup.Words(" ".join(w)) for w in (words, other))
-        met += bool((a.bands([(0, 100)]) == b.bands([(0, 100)])).any())
-    assert met >= 196
+    met = {2: 0, 12: 0}
+    for edits in met:
+        for _ in range(300):
+            words = passage(rng, 100).split()
+            other = list(words)
+            for k in range(edits):
+                other[5 + 90 * k // edits] = "zzz"
+            w = passage_dedup.Words([" ".join(words), " ".join(other)])
+            a, b = w.bands(np.array([0, 100]), np.array([100, 100]))
+            met[edits] += bool((a == b).any())
+    assert met[2] >= 297 and met[12] <= 90
 
 
 def test_paragraph_clusters_equal_brute_force():
@@ -154,7 +157,7 @@ def test_paragraph_clusters_equal_brute_force():
         for _ in range(rng.randint(0, 3)):
             t[rng.randrange(60)] = "".join(rng.choices("xyz", k=5))
         texts.append(" ".join(t))
-    sets = [np.unique(passage_dedup.Words(t).shingles) for t in texts]
+    sets = [passage_dedup.Words([t]).shingle_set(0, 0, 60) for t in texts]
     close = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
     want = brute.groups([(i, j) for i in range(40) for j in range(i + 1, 40) if close(sets[i], sets[j])], range(40))
     assert brute.groups(passage_dedup.similar(list(range(40)), sets), range(40)) == want
@@ -178,5 +181,44 @@ def test_edited_copies_of_wrapped_text(frame):
     rows = [(0, wrap(words, 12)), (1, passage(rng, 5) + "\n\n" + wrap(edited, 11)), (2, wrap(passage(rng, 90).split(), 12))]
     got = {r["doc_id"]: r for r in passage_dedup.repeated_passages(frame(rows)).collect()}
     assert set(got) == {0, 1} and [tuple(s) for s in got[1]["removed"]] == [(5, 124)]
-    assert passage_dedup.Words(wrap(words, 12)).paragraphs() == [(0, 120)]
-    assert passage_dedup.Words(" ".join(words[:60]) + "\nshort line").paragraphs() == [(0, 60)]
+    starts, sizes = passage_dedup.Words([wrap(words, 12), " ".join(words[:60]) + "\nshort line"]).paragraphs()
+    assert {(120, 60), (180, 2), (0, 120)} <= set(zip(starts.tolist(), sizes.tolist(), strict=True)) and len(starts) == 13
+
+
+def test_passages_equal_brute_force(frame):
+    """The query's rows against all pairs of units, with null ids, repeated ids, short and very long texts."""
+    rng = random.Random(31)
+    parts = [passage(rng, n) for n in (6, 9, 14, 20, 30, 51, 60, 80, 120)]
+    rows = []
+    for i in range(90):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            t = rng.choice(parts).split() if rng.random() < 0.6 else passage(rng, rng.randint(1, 70)).split()
+            for _ in range(rng.choice((0, 0, 0, 1, 2))):
+                t[rng.randrange(len(t))] = rng.choice("xyz") * 3
+            lines.append(" ".join(t))
+        rows.append((i if i % 9 else None, rng.choice(("\n", "\n\n", " ")).join(lines)))
+    rows += [(5, parts[8] + " again"), (6, parts[7]), (6, parts[7]), (300, passage(rng, 30_000) + " " + parts[5] + " " + passage(rng, 100)), (301, None), (302, "")]
+    got = [(r["doc_id"], [tuple(x) for x in r["removed"]], r["removed_words"], r["keep_ids"], r["cluster_id"]) for r in passage_dedup.repeated_passages(frame(rows)).collect()]
+    want = brute.passages(rows)
+    assert len(want) > 40 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """A bucket split by rarest shingles gives the components of all pairs."""
+    rng = random.Random(5)
+    base = passage(rng, 60).split()
+    texts = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 4))):
+            t[rng.randrange(1, 60)] = f"w{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k long, h long, text string")
+    contents = spark.createDataFrame([(i, (i, i, 0, 60), [7]) for i in range(len(texts))], "cid long, place struct<k:long,h:long,start:int,n:int>, bands array<long>")
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    want = brute.groups([(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], range(len(texts)))
+    for bucket in (8, 50, 512):
+        edges = [tuple(r) for r in passage_dedup.similar_contents(docs, contents, bucket).collect()]
+        assert brute.groups(edges, range(len(texts))) == want
