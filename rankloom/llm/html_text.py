@@ -2,17 +2,19 @@
 
 Text nodes are grouped by their root-to-leaf tag path. For each path the mean text length and
 the mean number of punctuation marks of its nodes are multiplied to a ratio; a node's value is
-the ratio of its path, smoothed along the page and fused with its own length. Nodes above a
-threshold relative to the page's spread are content seeds. The element that holds most of the
-seeds' text, an article or main element before others, is the article's core. Up to the lowest
-element that holds all strong seeds, the parts beside the core that hold some belong to the article
-too: whole where seeds are most of their text, else the blocks on the seeds' paths or between seeds.
-So do the headline before it and headings between its parts. Beside an article or main only other
-articles count, or what is in the same main. The article's blocks are returned but for those inside elements that are menus,
-adverts, forms, comments and the like by tag, role or class. A class or id says so as a whole: by
-one of OUTSIDE_WORDS, or joined from them and COMPANIONS. No class, and no form, cuts an element
-that holds the longest main or article, or most of the seeds' text where no main or article with
-text stands beside it: an advert or a discussion may well be longer than the article.
+the ratio of its path, smoothed along the page and fused with its own length. A node that stands in
+a menu, advert, form, discussion and the like by tag, role or class, or beside the page's main or
+articles, has its value times DOUBT: that lowers a path's value and decides nothing by itself. A
+class or id says so as a whole: by one of OUTSIDE_WORDS, or joined from them and COMPANIONS. What
+holds the longest main or article isn't doubted, nor what holds BESIDE times the text of all nodes
+that nothing speaks against, where no main or article stands outside it.
+
+Nodes above a threshold relative to the page's spread are content. The element that holds most of
+their text, an article or main before others, is the article's core; content beside it, up to the
+lowest element that holds all of it, is taken with its region where content is most of that, else
+with the blocks on its paths or between. So are the headline before the core and headings between its
+parts. Nodes of the core and of these regions that are below the threshold, single words or list
+items, are taken if they aren't doubted.
 
 Defined results: a null page is empty and gives an empty text; a page without content gives an
 empty text. Broken pages are read as far as they go: unclosed elements end with their parent, a
@@ -32,15 +34,22 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import each_value
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<(?=[/!a-zA-Z])[^>]*\Z|[^<]+|<", re.S)
+#: Comments, declarations, tags (quotes count only as those of a value), a cut tag at the end, text.
+_TOKEN = re.compile(
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!(?!--)[^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|"
+    r"</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+>|<(?=[/a-zA-Z]).*\Z|[^<]+|<",
+    re.S,
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？、；：]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math object".split())
-#: Elements that are never part of the article, and words of class, id or role that say the same.
+#: Of these, the ones that a slash ends.
+FOREIGN = frozenset(("svg", "math"))
+#: Elements that speak against being part of the article, and words of class, id or role that say the same.
 OUTSIDE = RAW | frozenset("head nav footer aside form button select option input label menu dialog audio video canvas map figure".split()) - {"figure"}
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs footer header masthead sidebar rail aside widget "
@@ -59,7 +68,13 @@ _P_SCOPE = frozenset("article section main td th div body html button".split())
 #: Blocks of text themselves, never the element that holds an article.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption blockquote summary hgroup ul ol dl tr address".split())
 HEADINGS = tuple("h1 h2 h3 h4 h5 h6 hgroup".split())
-THRESHOLD, SPREAD, SHARE = 0.5, 1.0, 0.6
+THRESHOLD, SPREAD, SHARE, DOUBT, BESIDE = 0.5, 1.0, 0.6, 1e-4, 10
+
+
+def _raw_end(name: str, page: str, at: int) -> int:
+    """Where the end tag of an element that holds no markup begins; the page's end if there is none."""
+    found = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+    return found.start() if found else len(page)
 
 
 def _says_outside(tag: str, name: str, in_article: bool) -> set[str]:
@@ -104,12 +119,13 @@ def blocks(page: str) -> _Page:
     names: list[str] = []
     ids: list[int] = []
     outs: list[tuple] = []
-    raw, current, serial = "", None, 0
-    for m in _TOKEN.finditer(page):
-        token = m.group()
+    current, serial, at = None, 0, 0
+    while at < len(page):
+        token = _TOKEN.match(page, at).group()
+        at += len(token)
         if token[0] != "<" or token == "<":
             cuts = outs[-1] if outs else ()
-            if raw or cuts and not token.strip():
+            if cuts and not token.strip():
                 continue
             into = current
             if current is None or cuts != current.cuts:
@@ -126,10 +142,6 @@ def blocks(page: str) -> _Page:
         if not found:
             continue
         name = found[1].lower()
-        if raw:
-            if token[1] == "/" and name == raw:
-                raw = ""
-            continue
         if token[1] == "/":
             if name in names:
                 k = len(names) - 1 - names[::-1].index(name)
@@ -153,12 +165,12 @@ def blocks(page: str) -> _Page:
                     del names[k:], ids[k:], outs[k:]
                     break
         if name in RAW:
-            if not token.endswith("/>"):
-                raw = name
+            if not token.endswith("/>") or name not in FOREIGN:
+                at = _raw_end(name, page, at)
             continue
         if name == "br" and current is not None:
             current.parts.append("\n")
-        if name in VOID or token.endswith("/>"):
+        if name in VOID:
             continue
         serial += 1
         cuts, in_article = outs[-1] if outs else (), "article" in names or "main" in names
@@ -175,19 +187,19 @@ def blocks(page: str) -> _Page:
     return out
 
 
-def _seeds(found: list[tuple[_Block, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _seeds(found: list[tuple[_Block, str]], doubted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lengths and values of the blocks, and which of them are content seeds."""
     lengths = np.array([len(t) for _, t in found], float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for _, t in found], float)
     paths: dict[tuple, list[int]] = {}
     for i, (b, _) in enumerate(found):
-        paths.setdefault(b.path, []).append(i)
+        paths.setdefault((b.path, doubted[i]), []).append(i)
     ratio = np.empty(len(found))
     for own in paths.values():
         ratio[own] = lengths[own].mean() * (0.1 + marks[own].mean())
     padded = np.pad(ratio, 1, mode="edge")
     smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
-    fused = np.sqrt(np.maximum(smooth, 0)) * np.sqrt(lengths)
+    fused = np.sqrt(smooth * lengths) * np.where(doubted, DOUBT, 1.0)
     return lengths, fused, fused >= min(THRESHOLD * fused.mean() + 0.1 * SPREAD * fused.std(), fused.max())
 
 
@@ -205,32 +217,28 @@ def _kept(page: _Page, found: list[tuple[_Block, str]]) -> set[int]:
         longest = max(size, key=size.get, default=0)
         if longest and size[longest]:
             kept.update(page.marks[longest][1])
-    if any(not b.cuts and not page.marks.keys().isdisjoint(b.chain) for b, _ in shown):
+    if any(not cuts for _, cuts in page.marks.values()):
         return kept
-    lengths, _, seeds = _seeds(shown)
+    lengths, _, seeds = _seeds(shown, np.zeros(len(shown), bool))
     held: dict[int, float] = {}
     for i in np.nonzero(seeds)[0]:
         for e in shown[i][0].cuts:
             held[e] = held.get(e, 0.0) + lengths[i]
-    most = [e for e, n in held.items() if 2 * n > lengths[seeds].sum()]
-    kept.update(e for e in most if not any(e not in b.cuts and not page.marks.keys().isdisjoint(b.chain) for b, _ in shown))
+    for e in sorted(held):  # outer elements first
+        if held[e] > BESIDE * sum(len(t) for b, t in shown if e not in b.cuts and kept.issuperset(b.cuts)):
+            kept.add(e)
     return kept
 
 
-def _widened(found: list[_Block], names: dict[int, str], own: int, lengths: np.ndarray, fused: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+def _widened(found: list[_Block], names: dict[int, str], own: int, lengths: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Which blocks are the article: those of its core ``own``, and what belongs to it beside the core."""
     picked = np.array([own in b.chain for b in found])
     core = next(b.chain for b in found if own in b.chain)
     core = core[: core.index(own) + 1]
-    strong = seeds & ~picked & (fused >= THRESHOLD * fused[seeds & picked].mean())
-    semantic = any(names[e] in ("article", "main") for e in core)
-    main = next((e for e in core if names[e] == "main"), 0)
     regions: dict[int, list[int]] = {}
-    for i in np.nonzero(strong)[0]:
+    for i in np.nonzero(seeds & ~picked)[0]:
         chain = found[i].chain
         article = next((e for e in chain if names[e] == "article" and e not in core), 0)
-        if semantic and (main not in chain if main else not article):
-            continue
         split = next((k for k, e in enumerate(chain) if k >= len(core) or e != core[k]), len(chain))
         regions.setdefault(article or (chain[split] if split < len(chain) else 0), []).append(i)
     parts: dict[int, list[int]] = {e: [] for e in regions}
@@ -268,25 +276,30 @@ def main_text(page: str | None) -> str:
         if text:
             found.append((b, text))
     kept = _kept(parsed, found)
-    inside = [(b, t) for b, t in found if kept.issuperset(b.cuts)]
-    if not inside:
+    doubted = np.array([not kept.issuperset(b.cuts) for b, _ in found], bool)
+    if doubted.all():
         return ""
-    lengths, fused, seeds = _seeds(inside)
+    for kind in ("main", "article"):
+        marked = {e for e, (name, cuts) in parsed.marks.items() if name == kind and kept.issuperset(cuts)}
+        inside = np.array([not marked.isdisjoint(b.chain) for b, _ in found], bool)
+        if (inside & ~doubted).any():
+            doubted |= ~inside
+            break
+    lengths, _, seeds = _seeds(found, doubted)
     held: dict[int, float] = {}
     for i in np.nonzero(seeds)[0]:
-        for element in inside[i][0].chain:
+        for element in found[i][0].chain:
             held[element] = held.get(element, 0.0) + lengths[i]
     need = SHARE * lengths[seeds].sum()
-    names = {e: name for b, _ in inside for e, name in zip(b.chain, b.path, strict=True)}
+    names = {e: name for b, _ in found for e, name in zip(b.chain, b.path, strict=True)}
     whole = [e for e, n in held.items() if n >= need and names[e] not in LEAVES]
     own = max((e for e in whole if names[e] in ("article", "main")), default=0)
     if not own:
-        several = [e for e in whole if sum(e in b.chain for b, _ in inside) > 1]
+        several = [e for e in whole if sum(e in b.chain for b, _ in found) > 1]
         own = max(several, default=0)
-    if not own:
-        return "\n\n".join(t for _, t in inside)
-    picked = _widened([b for b, _ in inside], names, own, lengths, fused, seeds)
-    return "\n\n".join(t for (_, t), is_in in zip(inside, picked, strict=True) if is_in)
+    picked = _widened([b for b, _ in found], names, own, lengths, seeds) if own else np.ones(len(found), bool)
+    picked &= seeds | ~doubted
+    return "\n\n".join(t for (_, t), is_in in zip(found, picked, strict=True) if is_in)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
