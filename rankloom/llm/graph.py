@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import written
+from rankloom.llm.common import discard, written
 
 #: Edges that a map task folds to spanning stars at a time.
 FOLD_EDGES = 400_000
@@ -69,6 +69,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         smallest = written(large.groupBy("a").agg(F.min("b").alias("m")), "smallest")
+        discard(stars, least)
         moved = large.join(smallest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = written(moved.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        discard(large, smallest)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

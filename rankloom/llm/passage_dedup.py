@@ -8,7 +8,7 @@ Units of one pass over the texts, all banded, verified and clustered alike:
   similarity of 0.8 means equality, so shorter lines meet on their content alone.
 - Blocks: a sliding block of LOOK shingles goes over each text of LOOK + UNIT - 1 = 51 words or
   more, and the MinHash of one function picks its start of a unit of UNIT words; that value is its
-  band key. Any two copies of a passage of 51 words or more share a block, whatever stands around
+  band key, and half of its digest. Any two copies of a passage of 51 words or more share a block, whatever stands around
   them and wherever lines end.
 
 Equal units are one content, by 128 bits of digest. Distinct contents that share a band are
@@ -40,11 +40,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.llm.common import ASCII_LOWER, each_value, release_memory, written
+from rankloom.llm.common import ASCII_LOWER, discard, each_value, release_memory, written
 from rankloom.llm.graph import components
 
 SHINGLE, SIMILARITY, MIN_PASSAGE = 5, 0.8, 26
-BANDS, ROWS, UNIT, LOOK = 8, 3, 26, 26
+BANDS, ROWS, UNIT, LOOK = 8, 3, 16, 36
 WRAPPED, REACH = 40, LOOK - 1
 #: Lines of fewer words are equal if similar.
 BANDED_WORDS = 8
@@ -184,15 +184,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = w.blocks()
             banded = sizes >= BANDED_WORDS
             keys = w.bands(starts[banded], sizes[banded])
-            widths = np.concatenate((np.where(banded, BANDS, 0), np.ones(len(blocks), np.int64)))
-            values = np.concatenate((keys.ravel(), _mixed(w.shingles[blocks] + _RANDOM[2, 30])))
+            widths = np.concatenate((np.where(banded, BANDS, 0), np.zeros(len(blocks), np.int64)))
             starts, sizes = np.concatenate((starts, blocks)), np.concatenate((sizes, np.full(len(blocks), UNIT)))
             text = np.searchsorted(w.cuts, starts, "right") - 1
             digests = w.digests(starts, sizes)
-            digests[0, len(starts) - len(blocks) :] ^= _RANDOM[2, 13]  # a block is never one content with a paragraph, which has other bands
+            digests[0, len(starts) - len(blocks) :] = _mixed(w.shingles[blocks] + _RANDOM[2, 30])
+            is_block = np.arange(len(starts)) >= len(starts) - len(blocks)
             digests = digests.view(np.int64)
             own = pa.array(text + at)
-            bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(widths)), pa.int32()), pa.array(values.view(np.int64)))
+            bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(widths)), pa.int32()), pa.array(keys.ravel().view(np.int64)), mask=pa.array(is_block))
             columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(starts - w.cuts[text], pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests[0]), pa.array(digests[1]), bands]
             yield pa.RecordBatch.from_arrays(columns, ["k", "h", "start", "n", "d1", "d2", "bands"])
     del known
@@ -292,14 +292,17 @@ def _rarest(members: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def similar_contents(docs: DataFrame, contents: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct contents (cid, place, bands) that Jaccard verifies; docs: k, h, text."""
-    keyed = written(contents.select("cid", F.explode("bands").alias("key")), "bands")
+    """Edges (a, b) between distinct contents (cid, place, d1, bands) that Jaccard verifies; docs: k, h,
+    text. Contents without a list of bands are blocks, and d1 is their key."""
+    keyed = contents.select("cid", F.explode(F.coalesce("bands", F.array("d1"))).alias("key"))
     counts = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
     met = written(keyed.join(counts, "key"), "colliding")
+    discard(counts)
     wanted = contents.join(met.select("cid").distinct(), "cid").groupBy(F.col("place.k").alias("k"), F.col("place.h").alias("h"))
     wanted = written(wanted.agg(F.collect_list(F.struct(F.col("place.start").alias("start"), F.col("place.n").alias("n"), "cid")).alias("wanted")), "wanted")
     found = _texts_of(docs, wanted).select("text", "wanted").mapInArrow(_shingled, "cid long, shingles array<long>")
     shingles = written(found.dropDuplicates(["cid"]), "shingles")
+    discard(wanted)
     groups = met.where(F.col("n") <= bucket_rows).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "cid")
     large = met.where(F.col("n") > bucket_rows)
     if not large.isEmpty():
@@ -326,7 +329,9 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     own = contents.drop("bands").join(roots, "cid", "left").where(F.col("root").isNotNull() | several).withColumn("root", F.coalesce("root", "cid"))
     own = written(own, "rooted")
     clusters = own.groupBy("root").agg(F.min("place").alias("keep"), F.max("last").alias("last")).where(F.struct("keep.k", "keep.h") < F.col("last")).select("root", "keep")
-    kept = written(own.join(written(clusters, "clusters"), "root").select("d1", "d2", "keep"), "kept")
+    clusters = written(clusters, "clusters")
+    kept = written(own.join(clusters, "root").select("d1", "d2", "keep"), "kept")
+    discard(contents, roots, own, clusters)
     met = units.drop("bands").join(kept, ["d1", "d2"])
     return met.select("k", "h", "start", "n", *(F.col(f"keep.{x}").alias(f"keep_{x}") for x in ("k", "h", "start", "n")))
 
@@ -368,16 +373,17 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, h, at, right, keep_k, keep_h, keep_at, near, keep_near) give the words that both have there."""
+    """Rows (k, h, at, right, keep_k, keep_h, keep_at, near, keep_near) give the words that both have there, as units of either."""
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, REACH) for i in (7, 8))
         same = ((a == b) & (a != 0)).cumprod(axis=1).sum(axis=1)
         back = np.where(batch.column(3).to_numpy(zero_copy_only=False), 0, same)
-        n = pa.array(same, pa.int32())
-        columns = [batch.column(0), batch.column(1), pa.array(batch.column(2).to_numpy() - back, pa.int32()), n, batch.column(4), batch.column(5), pa.array(batch.column(6).to_numpy() - back, pa.int32()), n]
-        yield pa.RecordBatch.from_arrays(columns, ["k", "h", "start", "n", "keep_k", "keep_h", "keep_start", "keep_n"])
+        at, keep_at, n = (pa.array(x, pa.int32()) for x in (batch.column(2).to_numpy() - back, batch.column(6).to_numpy() - back, same))
+        kept = [batch.column(4), batch.column(5), keep_at, n]
+        for own in ([batch.column(0), batch.column(1), at, n], kept):
+            yield pa.RecordBatch.from_arrays([*own, *kept], ["k", "h", "start", "n", "keep_k", "keep_h", "keep_start", "keep_n"])
 
 
 def _by_document(units: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def passages(rows):
         if len({u[:2] for u in places}) > 1:
             for u in places:
                 by_doc.setdefault(u[:2], set()).add((u[2], u[3], keep))
-    out = []
+    grown = {}
     for key, found in by_doc.items():
         gone = sorted((s, s + n, keep) for s, n, keep in found if keep[:3] != (*key, s))
         more = set()
@@ -130,13 +130,19 @@ def passages(rows):
                 g = 0
                 while g < p.REACH and s - g > 0 and keep[2] - g > 0 and own[s - g - 1] == other[keep[2] - g - 1]:
                     g += 1
-                more.add((s - g, g, keep))
+                more.add((s - g, g, (*keep[:2], keep[2] - g, g)))
             if not any(x[1] > e for x in gone[:i]) and not any(x[0] <= e for x in gone[i + 1 :]):
                 g, end = 0, keep[2] + keep[3]
                 while g < p.REACH and e + g < len(own) and end + g < len(other) and own[e + g] == other[end + g]:
                     g += 1
-                more.add((e, g, keep))
-        all_units = found | {x for x in more if x[1]}
+                more.add((e, g, (*keep[:2], end, g)))
+        for x in more:
+            if x[1]:
+                grown.setdefault(key, set()).add(x)
+                grown.setdefault(x[2][:2], set()).add((*x[2][2:], x[2]))
+    out = []
+    for key, found in by_doc.items():
+        all_units = found | grown.get(key, set())
         covered = sorted({w for s, n, _ in all_units for w in range(s, s + n)})
         # units that only touch make one passage as well, so runs of covered words are the passages
         runs = _runs(covered)

@@ -216,7 +216,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         texts.append(" ".join(t))
     texts = sorted(set(texts))
     docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k long, h long, text string")
-    contents = spark.createDataFrame([(i, (i, i, 0, 60), [7]) for i in range(len(texts))], "cid long, place struct<k:long,h:long,start:int,n:int>, bands array<long>")
+    contents = spark.createDataFrame([(i, (i, i, 0, 60), 0, [7]) for i in range(len(texts))], "cid long, place struct<k:long,h:long,start:int,n:int>, d1 long, bands array<long>")
     sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
     want = brute.groups([(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], range(len(texts)))
     for bucket in (8, 50, 512):
