@@ -1,9 +1,10 @@
 """Exact deduplication by Grace hashing.
 
 Each map task first folds the copies it meets, so a text that a third of all rows share leaves
-a task once. The distinct texts are shuffled by hash. A task that gets more than its budget
-partitions its rows by further hash bits to spill files, and those again, until a bucket fits
-an open-addressing table, which compares complete content. Every document then joins its
+a task once for each table that it fills. The distinct texts are shuffled by hash and folded as they
+arrive in an open-addressing table, which compares complete content. Only if the distinct ones are
+beyond a task's budget it partitions them by further hash bits to spill files, and those again, until
+a bucket fits. Every document then joins its
 group's summary on the digest; the join's sides are both shuffled, so Spark can split a hot key.
 
 Defined results: texts are equal when identical after lower-casing A-Z; null counts as empty.
@@ -111,40 +112,40 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grace(batches: Iterator[pa.RecordBatch], level: int, budget: int, folder: list[str]) -> Iterator[ContentTable]:
-    """Tables that together hold each distinct text once."""
-    held, size = [], 0
-    batches = iter(batches)
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size > budget and level < _MAX_LEVEL:
-            break
-    else:
-        table = ContentTable()
-        while held:
-            batch = held.pop(0)
-            for row in zip(*map(each_value, batch.columns), strict=True):
-                table.add(_hash(row[0]), row[0], row[1], row[2], row[3])
-        yield table
-        return
-    if not folder:
-        folder.append(local_tmp())
-    top = os.path.join(folder[0], f"{level}-{os.urandom(6).hex()}")
-    os.makedirs(top)
-    files: dict[int, tuple] = {}
+    """Tables that together hold each distinct text once.
 
-    def spill(batch: pa.RecordBatch) -> None:
-        ways = np.array([(_hash(d) >> (4 * level)) % WAYS for d in batch.column(0).to_pylist()], np.int64)
-        for way in np.unique(ways):
-            if way not in files:
-                sink = pa.OSFile(os.path.join(top, str(way)), "wb")
-                files[way] = (sink, pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")))
-            files[way][1].write_batch(batch.filter(pa.array(ways == way)))
+    Rows are folded before anything is spilled, so copies of few texts make no spill whatever
+    their number. A table beyond the budget goes to the files of its rows' hash bits.
+    """
+    table = ContentTable()
+    files: dict[int, tuple] = {}
+    top = ""
+
+    def spill() -> None:
+        nonlocal table, top
+        if not top:
+            if not folder:
+                folder.append(local_tmp())
+            top = os.path.join(folder[0], f"{level}-{os.urandom(6).hex()}")
+            os.makedirs(top)
+        for batch in _rows_of(table):
+            ways = (np.array([_hash(d) for d in batch.column(0).to_pylist()], np.uint64) >> np.uint64(4 * level)) % np.uint64(WAYS)
+            for way in np.unique(ways).tolist():
+                if way not in files:
+                    sink = pa.OSFile(os.path.join(top, str(way)), "wb")
+                    files[way] = (sink, pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")))
+                files[way][1].write_batch(batch.filter(pa.array(ways == way)))
+        table = ContentTable()
 
-    while held:
-        spill(held.pop(0))
     for batch in batches:
-        spill(batch)
+        for digest, text, n, largest in zip(*map(each_value, batch.columns), strict=True):
+            table.add(_hash(digest), digest, text, n, largest)
+            if table.held > budget and len(table.texts) > 1 and level < _MAX_LEVEL:
+                spill()
+    if not files:
+        yield table
+        return
+    spill()
     for sink, writer in files.values():
         writer.close()
         sink.close()
