@@ -57,11 +57,13 @@ def vocabulary(terms: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, h, pos, tid), written as they are read; the end's posting has the word count as position.
 
-    Terms meet on their Unicode lower case, which is quick, and then must equal in A-Z only.
+    Terms meet on their Unicode lower case, which is quick, and then must equal in A-Z only: if both
+    are ASCII they do, while a Kelvin sign and a k have one lower case and are different words.
     """
     text = F.col(text_col)
     tokens = docs.select(*document_key(F.col(id_col), text), F.posexplode(F.concat(words(text), F.array(F.lit("")))).alias("pos", "word"))
-    same = F.when(F.char_length("word") == F.octet_length("word"), F.lit(True)).otherwise(ascii_lower(F.col("word")) == F.col("term"))
+    ascii_only = lambda c: F.char_length(c) == F.octet_length(c)
+    same = F.when(ascii_only("word") & ascii_only("term"), F.lit(True)).otherwise(ascii_lower(F.col("word")) == F.col("term"))
     met = tokens.withColumn("key", F.lower("word")).join(broadcast_if_small(vocab, BROADCAST_BYTES), "key")
     return written(met.where(same).select("k", "h", "pos", "tid"), "postings")
 
