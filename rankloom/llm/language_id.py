@@ -2,20 +2,25 @@
 
 For each language a bounded sample of labelled texts becomes a raw-content zstandard
 dictionary. A text gets the language whose dictionary makes it smallest. Where the two
-smallest sizes are too close the text is rejected.
-
-Defined results: a null text or one without letters gets ``und``, score 0 and is rejected.
-Sizes that tie go to the language with more training rows, then to the first by name. Texts
-under ``MIN_BYTES`` normalised bytes are too short for a margin to say anything; they get a
-language and a low score but aren't rejected. Without any labelled row every text is ``und``.
-Repeated rows are judged alike, each on its own.
+smallest sizes are too close the text is rejected: their difference, in units of the square root of
+the text's bytes, is at most a bound that fit() takes from further labelled texts, so that at most
+REJECT_SHARE of the rightly judged ones fall under it. Chance differences grow as that root and
+real ones as the length, so one bound serves every length.
+
+Defined results: a null text or one without letters gets ``und``, score 0 and is rejected. Letters
+are what Unicode calls letters; digits, marks and signs such as one half are none. Sizes that tie go
+to the language with more training rows, then to the first by name, and are rejected. Without any
+labelled row every text is ``und``. Repeated rows are judged alike, each on its own. More than
+MAX_LANGUAGES different labels are an error, as every text is coded once for each.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -24,18 +29,25 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import each_value, release_memory
 
-#: Bounds of the training sample: rows a language, bytes a sampled text, bytes a dictionary.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES, DICT_BYTES, MAX_LANGUAGES = 96, 8192, 65536, 200
+#: Bounds of the training sample: rows a language for its dictionary, characters of a sampled text
+#: (a span of a longer one), bytes a dictionary, rows for the bound on rejection over all languages.
+SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES, CALIBRATION_ROWS, MAX_LANGUAGES = 96, 4096, 65536, 2400, 200
 LEVEL, BLOCK = 6, 8192
-#: Relative distance of the two smallest sizes under which a text of MIN_BYTES or more is rejected.
-REJECT_MARGIN, MIN_BYTES = 0.004, 96
+#: Share of the rightly judged labelled texts that the fitted bound may reject.
+REJECT_SHARE = 0.001
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(1)
+def _not_letters() -> re.Pattern:
+    """Runs of what is no letter: beside what the pattern knows, signs with a numeric value."""
+    signs = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile("[\\W\\d_" + "".join(signs) + "]+")
 
 
 def normalised(text: str | None) -> bytes:
     """Lower-cased letters with single spaces between them; empty if the text has no letter."""
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    return _not_letters().sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
 
 
 @dataclass
@@ -43,8 +55,7 @@ class LanguageModel:
     """Dictionaries by language, in order of preference for ties."""
 
     dictionaries: dict[str, bytes]
-    reject_margin: float = REJECT_MARGIN
-    min_bytes: int = MIN_BYTES
+    reject_at: float = 0.0
     level: int = LEVEL
     _made: list = field(default_factory=list, repr=False)
 
@@ -59,18 +70,19 @@ class LanguageModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_made": []}
 
+    def sizes(self, data: bytes) -> tuple[int, int, int]:
+        """(smallest size, second smallest, number of the best dictionary). Long texts are coded in blocks, all of them."""
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        found = sorted((sum(len(c.compress(b)) for b in blocks), k) for k, (_, c) in enumerate(self.compressors()))
+        return found[0][0], found[1][0] if len(found) > 1 else 2 * found[0][0], found[0][1]
+
     def judge(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score from 0 to 1, rejected). Long texts are coded in blocks, all of them."""
+        """(language, score from 0 to 1, rejected)."""
         data = normalised(text)
         if not data or not self.dictionaries:
             return UNDETERMINED, 0.0, True
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = [(sum(len(c.compress(b)) for b in blocks), k) for k, (_, c) in enumerate(self.compressors())]
-        sizes.sort()
-        best, k = sizes[0]
-        second = sizes[1][0] if len(sizes) > 1 else 2 * best
-        margin = (second - best) / second
-        return self.compressors()[k][0], 1 - (1 - margin) ** 8, margin < self.reject_margin and len(data) >= self.min_bytes
+        best, second, k = self.sizes(data)
+        return self.compressors()[k][0], 1 - (best / second) ** 8, (second - best) / len(data) ** 0.5 <= self.reject_at
 
 
 def held_out(doc_id: Column) -> Column:
@@ -79,33 +91,45 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Dictionaries from the labelled rows that aren't held out.
+    """Dictionaries and the bound on rejection from the labelled rows that aren't held out.
 
-    The sample is bounded: for each language the ``sample_rows`` rows with the smallest hash
-    of the id, among whole texts of 64 to SAMPLE_TEXT_BYTES bytes. Only the ids of hashes under a
-    bound that follows from the language's count are ranked, so a frequent language does no harm.
+    The sample is bounded: for each language the rows with the smallest hash of the id, a text of
+    each id, and of long texts a span at a place that the hash gives. Only the ids of hashes under
+    a bound that follows from the language's count are ranked, so a frequent language does no harm.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    fits = F.octet_length("t").between(64, SAMPLE_TEXT_BYTES)
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.count_if(fits).alias("short")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()
+    counts = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return LanguageModel({})
-    short = rows.where(fits).withColumn("hash", F.xxhash64("i"))
-    # About eight times the sample, by a bound on the hash: no frequent language is ranked whole.
-    below = {r["l"]: int(2**63 * min(1.0, 8 * sample_rows / max(1, r["short"])) * 2 - 2**63) for r in counts}
+    wanted = sample_rows + CALIBRATION_ROWS // len(counts)
+    hashed = rows.withColumn("hash", F.xxhash64("i"))
+    # About twice the sample, by a bound on the hash: no frequent language is ranked whole.
+    below = {r["l"]: int(2**63 * min(1.0, (2 * wanted + 100) / r["n"]) * 2 - 2**63) for r in counts}
     drawn = F.coalesce(*(F.when(F.col("l") == lang, F.col("hash") <= min(bound, 2**63 - 1)) for lang, bound in below.items()))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("hash", "i"))
-    ids = short.where(drawn).select("l", "i", "hash").distinct().withColumn("rank", rank).where(F.col("rank") <= sample_rows).drop("hash")
-    found = short.join(F.broadcast(ids), ["l", "i"]).select("l", "rank", "t").orderBy("rank", "t").collect()
+    ids = hashed.where(drawn).select("l", "i", "hash").distinct().withColumn("rank", rank).where(F.col("rank") <= wanted).select("l", "i", "rank")
+    room = F.greatest(F.lit(1), F.char_length("t") - (SAMPLE_CHARS - 1))
+    span = F.substr("t", F.pmod("hash", room).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    found = hashed.where(drawn).join(F.broadcast(ids), ["l", "i"]).groupBy("l", "rank").agg(F.min(span).alias("t")).orderBy("rank").collect()
     out: dict[str, bytes] = {}
     for lang in [r["l"] for r in counts]:
-        whole = b" ".join(dict.fromkeys(normalised(r["t"]) for r in found if r["l"] == lang))
+        whole = b" ".join(dict.fromkeys(normalised(r["t"]) for r in found if r["l"] == lang and r["rank"] <= sample_rows))
         if whole:
             out[lang] = whole[:DICT_BYTES]
-    return LanguageModel(out)
+    model = LanguageModel(out)
+    right = []
+    for r in found if len(out) > 1 else []:
+        if r["rank"] > sample_rows and (data := normalised(r["t"])):
+            best, second, k = model.sizes(data)
+            if model.compressors()[k][0] == r["l"]:
+                right.append((second - best) / len(data) ** 0.5)
+    right.sort()
+    # The value below the share's first text, so that this one stays.
+    model.reject_at = max(0.0, math.nextafter(right[int(REJECT_SHARE * len(right))], -math.inf)) if right else 0.0
+    return model
 
 
 def _judged(model: LanguageModel, text_col: str):
