@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import os
 import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,11 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.sources.shared import discard, shared_folder, table_bytes, written
+
+__all__ = ["ascii_lower", "bounded_batches", "broadcast_if_small", "discard", "each_value", "local_tmp", "release_memory", "shared_folder", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ascii_lower(column: Column) -> Column:
@@ -26,66 +29,17 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset a local one is made in local mode;
-    on a cluster, whose executors share no local folder, it's an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query that ends in here are removed with it: its rows are in a table then."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back.
-
-    This cuts the lineage: a lost executor costs a reread of the files, not a rerun of the
-    steps before.
-    """
-    path = new_path(df.sparkSession, tag)
-    with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.__dict__["_path"] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables from ``written`` that nothing reads any more. What the rows that an operator
-    returns are read from stays, for whoever cleans spark.checkpoint.dir."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.__dict__["_path"])
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind a table from ``written``, by the scan's own statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast a written table whose files are at most ``limit`` bytes; else leave it to a shuffle join."""
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Have Spark cut the Arrow batches of this session's Python functions at ``limit`` bytes as well as by rows."""
+    if int(spark.conf.get(_BATCH_BYTES).removesuffix("b")) > limit:
+        spark.conf.set(_BATCH_BYTES, str(limit))
+
+
 def each_value(column: pa.Array, step: int = 512) -> Iterator[Any]:
     """A column's values one by one; only ``step`` of them are Python objects at a time."""
     for at in range(0, len(column), step):
@@ -100,5 +54,7 @@ def release_memory() -> None:
 
 
 def local_tmp() -> str:
-    """A folder for the spill files of the task that calls this; the caller removes it."""
-    return tempfile.mkdtemp(prefix="spill-", dir=os.environ.get("TMPDIR") or None)
+    """A folder for the spill files of the task that calls this, among Spark's own local folders where
+    the executor names them; the caller removes it."""
+    local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.mkdtemp(prefix="spill-", dir=local if local and os.access(local, os.W_OK) else None)

@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-A segmentation is scored by a max-plus sum over pieces and over neighbouring pairs. For a BPE
-model the pair score is 0 if the two pieces, encoded together, come out as these two, else minus
-infinity: the segmentation of which all neighbours agree is what the merges give, and it's the
-only one. For a unigram model pieces have their scores and pairs none.
+For BPE models: a segmentation is scored by a max-plus sum over neighbouring pairs. The pair score is
+0 if the two pieces, encoded together, come out as these two, else minus infinity: the segmentation
+of which all neighbours agree is what the merges give, and it's the only one. Pieces have no scores
+of their own, so a model of another type is refused.
 
 Giant documents are cut into chunks anywhere. A chunk's transfer matrix has the best score from
 each piece that may hold the character before its start to each that may hold the one before its
-end. The matrices of a document are combined by max-plus products, which gives every boundary its
-piece; then each chunk is traced back by itself. Where a safe boundary stands, with no piece that
-reaches across, the matrix has rank one, and what lies between safe boundaries is solved once.
+end. Matrices of neighbours are multiplied in the max-plus sense, pair by pair in rounds, as the
+product is associative: after log2(chunks) rounds of joins a document has one matrix. The rounds
+are then gone back, which gives every boundary its piece, and each chunk is traced back by itself.
+Where a safe boundary stands, with no piece that reaches across, the matrix has rank one, and what
+lies between safe boundaries is solved once.
 
 Defined results: a null text counts as empty and has no tokens. Special strings in a text are
 ordinary text; unknown characters become their bytes. A text that holds the space mark itself
@@ -23,15 +25,14 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import each_value, release_memory, written
+from rankloom.llm.common import bounded_batches, discard, each_value, release_memory, written
 from rankloom.llm.token_counts import META, by_bytes, word_parts
 
-CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS, CACHED_CHARS, BATCH_CHARS = 1 << 16, 350_000, 400_000, 40, 4 << 20
+CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS, CACHED_CHARS, BATCH_BYTES = 1 << 14, 350_000, 400_000, 40, 4 << 20
 NONE = float("-inf")
 #: First of 256 private characters that no piece of a vocabulary holds.
 _PRIVATE = 0x10FF00
@@ -54,6 +55,8 @@ class PieceModel:
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(n) if library.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = library.unk_id()
+        if any(x != int(x) for x in self.scores.values()):  # merges are numbered; other types have probabilities
+            raise ValueError(f"{path} isn't a BPE model")
         self.longest = max(map(len, self.ids))
         #: What a piece shows; a byte is a private character until its neighbours are known.
         self.shown = [chr(_PRIVATE + self.byte_of[i]) if i in self.byte_of else name.replace(META, " ") for i, name in enumerate(self.names)]
@@ -263,7 +266,7 @@ def _small(path: str):
         try:
             for batch in batches:
                 at = 0
-                for texts in by_bytes(each_value(batch.column(1)), BATCH_CHARS):
+                for texts in by_bytes(each_value(batch.column(1)), limit=BATCH_BYTES):
                     found = m.whole(texts)
                     exact = [m.decode(f) == t for f, t in zip(found, texts, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary()), pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
@@ -287,25 +290,51 @@ def _matrices(path: str):
     return run
 
 
-def _combined(rows: pd.DataFrame) -> pd.DataFrame:
-    """The state at each boundary of a document: max-plus products in order, traced back."""
-    best: dict[State, float] = {(0, 0): 0.0}
-    steps: list[tuple[int, dict[State, State]]] = []
-    for k, own in rows.sort_values("k").groupby("k", sort=True):
-        reached: dict[State, float] = {}
-        came: dict[State, State] = {}
-        for s0, s1, e0, e1, score in zip(own["s0"], own["s1"], own["e0"], own["e1"], own["score"], strict=True):
-            total = best.get((s0, s1), NONE) + score
-            if total > reached.get((e0, e1), NONE):
-                reached[e0, e1], came[e0, e1] = total, (s0, s1)
-        best = reached
-        steps.append((int(k), came))
-    state = max(best, key=lambda s: best[s])
-    out = []
-    for k, came in reversed(steps):
-        out.append((rows["uid"].iloc[0], k, *came[state], *state))
-        state = came[state]
-    return pd.DataFrame(out, columns=["uid", "k", "s0", "s1", "e0", "e1"])
+_ENTRY, _EXIT, _LINK = ["s0", "s1"], ["e0", "e1"], ["m0", "m1"]
+
+
+def _halves(matrices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The left and right of each two neighbouring matrices, by their parent's number."""
+    parent = F.shiftright("k", 1).alias("parent")
+    left = matrices.where("k % 2 = 0").select("uid", parent, *_ENTRY, F.col("e0").alias("m0"), F.col("e1").alias("m1"), F.col("score").alias("before"))
+    right = matrices.where("k % 2 = 1").select("uid", parent, F.col("s0").alias("m0"), F.col("s1").alias("m1"), *_EXIT, F.col("score").alias("after"))
+    return left, right
+
+
+def multiplied(matrices: DataFrame) -> DataFrame:
+    """Max-plus products (uid, k, s0, s1, e0, e1, score) of matrices 2k and 2k + 1; the last one may have no partner."""
+    left, right = _halves(matrices)
+    products = left.join(right, ["uid", "parent", *_LINK]).groupBy("uid", "parent", *_ENTRY, *_EXIT).agg(F.max(F.col("before") + F.col("after")).alias("score"))
+    alone = left.join(right.select("uid", "parent").distinct(), ["uid", "parent"], "left_anti")
+    alone = alone.select("uid", "parent", *_ENTRY, F.col("m0").alias("e0"), F.col("m1").alias("e1"), F.col("before").alias("score"))
+    return products.unionByName(alone).withColumnRenamed("parent", "k")
+
+
+def _opened(chosen: DataFrame, matrices: DataFrame) -> DataFrame:
+    """The chosen entry and exit of each matrix of a round, from those of the round after it."""
+    left, right = _halves(matrices)
+    own = chosen.withColumnRenamed("k", "parent")
+    pairs = own.join(left, ["uid", "parent", *_ENTRY]).join(right, ["uid", "parent", *_LINK, *_EXIT])
+    link = F.max_by(F.struct(*_LINK), F.struct(F.col("before") + F.col("after"), *_LINK)).alias("m")
+    pairs = pairs.groupBy("uid", "parent", *_ENTRY, *_EXIT).agg(link)
+    k = F.shiftleft("parent", 1)
+    both = F.array(F.struct(k.alias("k"), *_ENTRY, F.col("m.m0").alias("e0"), F.col("m.m1").alias("e1")), F.struct((k + 1).alias("k"), F.col("m.m0").alias("s0"), F.col("m.m1").alias("s1"), *_EXIT))
+    alone = own.join(right.select("uid", "parent").distinct(), ["uid", "parent"], "left_anti")
+    return pairs.select("uid", F.inline(both)).unionByName(alone.select("uid", k.alias("k"), *_ENTRY, *_EXIT))
+
+
+def boundary_pieces(matrices: DataFrame) -> DataFrame:
+    """(uid, k, s0, s1, e0, e1): the pieces at both ends of each chunk on the best path of its document."""
+    rounds = [written(matrices, "matrices")]
+    last = rounds[0].agg(F.max("k")).first()[0] or 0
+    for _ in range(last.bit_length()):
+        rounds.append(written(multiplied(rounds[-1]), "matrices"))
+    best = F.max_by(F.struct(*_ENTRY, *_EXIT), F.struct("score", *_ENTRY, *_EXIT)).alias("m")
+    chosen = written(rounds.pop().groupBy("uid", "k").agg(best).select("uid", "k", "m.*"), "boundary-pieces")
+    while rounds:
+        before, chosen = chosen, written(_opened(chosen, rounds.pop()), "boundary-pieces")
+        discard(before)
+    return chosen
 
 
 def _traced(path: str):
@@ -325,33 +354,54 @@ def _traced(path: str):
     return run
 
 
+def _chunks(m_longest: int, chunk: int):
+    """Rows (uid, id, text) give the text's chunks with what surrounds them, each text cut once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around = 2 * m_longest
+        for batch in batches:
+            for i, text in enumerate(each_value(batch.column(2), 1)):
+                shown = META + text.replace(" ", META)
+                n = len(shown)
+                for first in range(0, n, 64 * chunk):
+                    starts = range(first, min(n, first + 64 * chunk), chunk)
+                    lows, highs = [max(0, s - around) for s in starts], [min(n, s + chunk) for s in starts]
+                    columns = [
+                        pa.array([s // chunk for s in starts], pa.int64()), pa.array([shown[a : min(n, b + around)] for a, b in zip(lows, highs, strict=True)]), pa.array([s - a for s, a in zip(starts, lows, strict=True)], pa.int64()),
+                        pa.array([b - a for a, b in zip(lows, highs, strict=True)], pa.int64()), pa.array([s == 0 for s in starts]), pa.array([b == n for b in highs]), pa.array([META in text] * len(starts)),
+                    ]
+                    own = pa.array([i] * len(starts), pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *columns], ["uid", "id", "k", "text", "start", "end", "first", "last", "lossy"])
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (uid, parts, exact), parts being (k, ids) in order, give each document's ids."""
+    for batch in batches:
+        whole = [b"".join(x["ids"] for x in parts) for parts in each_value(batch.column(1), 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in whole], pa.int64()), pa.array(whole, pa.binary()), batch.column(2)], ["uid", "n_tokens", "ids", "exact"])
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
     """One row per document: id, n_tokens, ids (little-endian 32-bit integers), exact (whether
     decoding gives the text back). Texts of up to ``chunk`` characters stay in their partition;
     chunks of longer ones are dealt out anew."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     small = rows.where(F.char_length("text") <= chunk).mapInArrow(_small(path), f"id {kind}, n_tokens long, ids binary, exact boolean")
-    giant = rows.where(F.char_length("text") > chunk).select(F.monotonically_increasing_id().alias("uid"), "id", F.contains("text", F.lit(META)).alias("lossy"), F.concat(F.lit(META), F.translate("text", " ", META)).alias("text"))
-    around = 2 * model(path).longest
-    size = F.char_length("text")
-    giant = giant.select("uid", "id", "lossy", "text", size.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("k"))
-    low = F.greatest(F.lit(0), F.col("k") * chunk - around)
-    high = F.least("n", (F.col("k") + 1) * chunk)
-    cut = giant.select(
-        "uid", "id", "lossy", F.col("k").cast("long").alias("k"), F.substr("text", low + 1, F.least("n", high + around) - low).alias("text"), (F.col("k") * chunk - low).cast("long").alias("start"),
-        (high - low).cast("long").alias("end"), (F.col("k") == 0).alias("first"), (high == F.col("n")).alias("last"),
-    )
+    giant = rows.where(F.char_length("text") > chunk).select(F.monotonically_increasing_id().alias("uid"), "id", "text")
+    cut = giant.mapInArrow(_chunks(model(path).longest, chunk), f"uid long, id {kind}, k long, text string, start long, end long, first boolean, last boolean, lossy boolean")
     chunks = written(cut.repartition("uid", "k"), "chunks")
+    if chunks.isEmpty():
+        return small.withColumnRenamed("id", id_col)
     own = chunks.select("uid", "k", "text", "start", "end", "first", "last")
     matrices = own.mapInArrow(_matrices(path), "uid long, k long, s0 long, s1 long, e0 long, e1 long, score double")
-    states = matrices.groupBy("uid").applyInPandas(_combined, "uid long, k long, s0 long, s1 long, e0 long, e1 long")
-    traced = own.join(written(states, "boundary-states"), ["uid", "k"]).mapInArrow(_traced(path), "uid long, k long, ids binary, exact boolean")
-    whole = traced.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("v"), F.min("exact").alias("exact"))
-    ids = F.array_join(F.transform("v", lambda x: x["ids"].cast("string")), "").cast("binary")
-    whole = whole.join(chunks.where("first").select("uid", "id", "lossy"), "uid").select("id", ids.alias("ids"), (F.col("exact") & ~F.col("lossy")).alias("exact"))
-    whole = whole.select("id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "exact")
-    return small.unionByName(whole).withColumnRenamed("id", id_col)
+    traced = own.join(boundary_pieces(matrices), ["uid", "k"]).mapInArrow(_traced(path), "uid long, k long, ids binary, exact boolean")
+    whole = traced.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.min("exact").alias("exact"))
+    whole = whole.mapInArrow(_joined, "uid long, n_tokens long, ids binary, exact boolean").join(chunks.where("first").select("uid", "id", "lossy"), "uid")
+    return small.unionByName(whole.select("id", "n_tokens", "ids", (F.col("exact") & ~F.col("lossy")).alias("exact"))).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

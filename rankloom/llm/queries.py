@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import chat, decontamination, exact_dedup, html_text, language_id, passage_dedup, piece_codec, simhash, token_counts, warc
-from rankloom.llm.common import new_path
+from rankloom.llm.common import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "archives")
+    path = shared_folder(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.page_records(spark, path)
 
