@@ -25,8 +25,8 @@ Neighbouring units make a passage, which is reported from MIN_PASSAGE words on:
 or a boilerplate line.
 
 Defined results: null and empty texts have no units. Repeats within one document alone are left.
-A document is an id with a text: rows that repeat both are one document, and rows with a null id
-are told apart by their text. Documents without a repeated passage get no row.
+A document is an id with a text (32 bits of its hash): rows that repeat both are one document, and
+rows with a null id are told apart by their text. Documents without a repeated passage get no row.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,7 +48,7 @@ BANDS, ROWS, UNIT, LOOK = 8, 3, 16, 36
 WRAPPED, REACH = 40, LOOK - 1
 #: Lines of fewer words are equal if similar.
 BANDED_WORDS = 8
-BUCKET, FILTER_BUCKETS, _NO_ID = 512, 1 << 18, -(1 << 63)
+BUCKET, FILTER_BUCKETS, _NO_ID = 8192, 1 << 18, -(1 << 63)
 #: Characters of text that are cut at a time; words whose hashes a task remembers.
 BATCH_CHARS, KNOWN_WORDS = 1 << 20, 200_000
 _LAST = np.uint64(2**64 - 1)
@@ -79,13 +79,14 @@ class _Known(dict):
 class Words:
     """The words of some texts side by side, A-Z lower-cased, as hashes."""
 
-    def __init__(self, texts: Iterable[str | None], known: _Known | None = None) -> None:
+    def __init__(self, texts: Iterable[str | None], known: _Known | None = None, lines_too: bool = True) -> None:
         known = _Known() if known is None else known
         words: list[bytes] = []
         lines: list[int] = []
         cuts, line_cuts = [0], [0]
         for text in texts:
-            for line in (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split(b"\n"):
+            data = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
+            for line in data.split(b"\n") if lines_too else (data,):
                 own = line.split()
                 words += own
                 lines.append(len(own))
@@ -172,7 +173,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield at, run
 
 
-_UNITS = "k long, h long, start int, n int, d1 long, d2 long, bands array<long>"
+_UNITS = "k long, h int, start int, n int, d1 long, d2 long, bands array<long>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +205,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Known()
     for batch in batches:
         for at, texts in _texts(batch.column(0)):
-            w = Words(texts, known)
+            w = Words(texts, known, lines_too=False)
             cids, out = [], []
             for i, wanted in enumerate(each_value(batch.column(1).slice(at, len(texts)))):
                 for x in wanted:
@@ -221,7 +222,7 @@ def similar(cids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Spanning edges between the members of a bucket whose shingle sets have SIMILARITY or more."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
-        common = len(np.intersect1d(*sets, assume_unique=True)) if sizes.min() >= SIMILARITY * sizes.max() - 1e-9 else 0
+        common = len(set(sets[0].tolist()).intersection(sets[1].tolist())) if sizes.min() >= SIMILARITY * sizes.max() - 1e-9 else 0
         return [(cids[0], cids[1])] if common >= SIMILARITY * (sizes.sum() - common) - 1e-9 else []
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -315,20 +316,22 @@ def similar_contents(docs: DataFrame, contents: DataFrame, bucket_rows: int = BU
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32).cast("int").alias("h"), text.alias("text"))
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """Units of documents (k, h, text) in clusters over more than one document: k, h, start, n and their kept copy."""
     units = written(docs.mapInArrow(_cut, _UNITS), "units")
     folded = units.groupBy("d1", "d2").agg(F.min(F.struct("k", "h", "start", "n")).alias("place"), F.max(F.struct("k", "h")).alias("last"), F.any_value("bands").alias("bands"))
-    contents = written(folded.withColumn("cid", F.monotonically_increasing_id()), "contents")
+    several = F.struct("place.k", "place.h") < F.col("last")
+    contents = written(folded.select("d1", "d2", "place", several.alias("several"), "bands", F.monotonically_increasing_id().alias("cid")), "contents")
     roots = components(similar_contents(docs, contents))
     roots = written(roots.select(F.col("node").alias("cid"), "root").unionByName(roots.select(F.col("root").alias("cid"), "root").distinct()), "roots")
-    several: Column = F.struct("place.k", "place.h") < F.col("last")
-    own = contents.drop("bands").join(roots, "cid", "left").where(F.col("root").isNotNull() | several).withColumn("root", F.coalesce("root", "cid"))
+    own = contents.drop("bands").join(roots, "cid", "left").where(F.col("root").isNotNull() | F.col("several")).withColumn("root", F.coalesce("root", "cid"))
     own = written(own, "rooted")
-    clusters = own.groupBy("root").agg(F.min("place").alias("keep"), F.max("last").alias("last")).where(F.struct("keep.k", "keep.h") < F.col("last")).select("root", "keep")
+    doc = F.struct("place.k", "place.h")
+    clusters = own.groupBy("root").agg(F.min("place").alias("keep"), F.max("several").alias("several"), F.max(doc).alias("last"))
+    clusters = clusters.where(F.col("several") | (F.struct("keep.k", "keep.h") < F.col("last"))).select("root", "keep")
     clusters = written(clusters, "clusters")
     kept = written(own.join(clusters, "root").select("d1", "d2", "keep"), "kept")
     discard(contents, roots, own, clusters)
@@ -355,7 +358,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((k, h, start, False, u["keep_k"], u["keep_h"], u["keep_start"]))
                 if end == reached and (i + 1 == len(gone) or gone[i + 1][0] > reached):
                     out.append((k, h, end, True, u["keep_k"], u["keep_h"], u["keep_start"] + u["keep_n"]))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["k", "h", "at", "right", "keep_k", "keep_h", "keep_at"])
 
 
@@ -364,7 +367,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Known()
     for batch in batches:
         for at, texts in _texts(batch.column(2)):
-            w = Words(texts, known)
+            w = Words(texts, known, lines_too=False)
             rows = [(i + at, x["at"], x["right"], w.near(i, x["at"], x["right"])) for i, wanted in enumerate(each_value(batch.column(3).slice(at, len(texts)))) for x in wanted]
             own = pa.array([x[0] for x in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array([x[i] for x in rows], t) for i, t in ((1, pa.int32()), (2, pa.bool_()), (3, pa.binary())))], ["k", "h", "at", "right", "near"])
@@ -392,15 +395,15 @@ def _by_document(units: DataFrame) -> DataFrame:
 
 def grown(docs: DataFrame, units: DataFrame) -> DataFrame:
     """What the ends of the runs of ``units`` share further with their kept copies, as rows like units."""
-    ends = written(_by_document(units).mapInArrow(_ends, "k long, h long, at int, right boolean, keep_k long, keep_h long, keep_at int"), "ends")
+    ends = written(_by_document(units).mapInArrow(_ends, "k long, h int, at int, right boolean, keep_k long, keep_h int, keep_at int"), "ends")
     kept = ends.select(F.col("keep_k").alias("k"), F.col("keep_h").alias("h"), F.col("keep_at").alias("at"), "right")
     wanted = ends.select("k", "h", "at", "right").unionByName(kept).groupBy(*_KEY).agg(F.collect_set(F.struct("at", "right")).alias("wanted"))
-    near = _texts_of(docs, written(wanted, "wanted-ends")).select("k", "h", "text", "wanted").mapInArrow(_near, "k long, h long, at int, right boolean, near binary")
+    near = _texts_of(docs, written(wanted, "wanted-ends")).select("k", "h", "text", "wanted").mapInArrow(_near, "k long, h int, at int, right boolean, near binary")
     near = written(near.dropDuplicates(["k", "h", "at", "right"]), "near")
     other = near.select(F.col("k").alias("keep_k"), F.col("h").alias("keep_h"), F.col("at").alias("keep_at"), "right", F.col("near").alias("keep_near"))
     rows = ends.join(near, [*_KEY, "at", "right"]).join(other, ["keep_k", "keep_h", "keep_at", "right"])
     rows = rows.select("k", "h", "at", "right", "keep_k", "keep_h", "keep_at", "near", "keep_near")
-    return rows.mapInArrow(_grow, "k long, h long, start int, n int, keep_k long, keep_h long, keep_start int, keep_n int").where("n > 0")
+    return rows.mapInArrow(_grow, "k long, h int, start int, n int, keep_k long, keep_h int, keep_start int, keep_n int").where("n > 0")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:

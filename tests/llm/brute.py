@@ -111,7 +111,7 @@ def passages(rows):
     for x, r in groups(edges, range(len(contents))).items():
         clusters.setdefault(r, set()).update(units[contents[x]])
     # documents with one id are in the order of the hash of their text
-    order = {k: (k[0], np.uint64(hash_(k[1])).astype(np.int64)) for k in docs}
+    order = {k: (k[0], np.uint64(hash_(k[1])).astype(np.int64) >> 32) for k in docs}
     by_doc = {}
     for places in clusters.values():
         keep = min(places, key=lambda u: (*order[u[0], u[1]], u[2], u[3]))
@@ -169,3 +169,28 @@ def hash_(text):
     import xxhash
 
     return xxhash.xxh64_intdigest(text.encode(), seed=42)
+
+
+def proximity(docs, items, slop):
+    """(doc_id, item_id, start) of windows all of whose terms stand within ``slop`` words of their places."""
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    texts = sorted({(i, t or "") for i, t in docs}, key=str)
+    count = {}
+    for _, t in texts:
+        for w in words(t):
+            count[w] = count.get(w, 0) + 1
+    out = set()
+    for i, t in texts:
+        own = words(t)
+        for item, text in items:
+            terms = words(text)
+            for start in range(max(1, len(terms) - 12) if terms else 0):
+                places = range(start, min(len(terms), start + 13))
+                rare = {min(range(s, min(len(terms), s + 13)), key=lambda p: (count.get(terms[p], 0), p)) for s in range(max(1, len(terms) - 12))}
+                for anchor in rare:
+                    for shift in [p - anchor for p, w in enumerate(own) if w == terms[anchor]]:
+                        if all(any(0 <= p < len(own) and own[p] == terms[q] for p in range(shift + q - slop, shift + q + slop + 1)) for q in places):
+                            out.add((i, item, start))
+    return sorted(out, key=str)

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tempfile
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankloom.llm import exact_dedup, graph, passage_dedup, simhash
@@ -33,6 +35,24 @@ def test_exact_groups(frame, budget):
     assert sorted(((r["doc_id"], hashlib.sha256(brute.lower(r["text"]).encode()).hexdigest()) for r in kept.collect()), key=str) == sorted([x for x in stay for _ in range(2 if x[0] == 7 and (7, brute.lower("A b")) in want else 1)], key=str)
 
 
+def rows_of(texts):
+    digests = [hashlib.sha256(t).digest() for t in texts]
+    return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary()), pa.array([1] * len(texts), pa.int64()), pa.array(range(len(texts)), pa.int64())], schema=exact_dedup._ROWS)
+
+
+def test_copies_make_no_spill(monkeypatch):
+    """40 MB of one text fit a budget of 1 MB; distinct ones are spilled, and each stays once."""
+    spilled = []
+    monkeypatch.setattr(exact_dedup, "local_tmp", lambda: spilled.append(1) or tempfile.mkdtemp())
+    text = b"x" * 100_000
+    tables = list(exact_dedup._grace((rows_of([text] * 10) for _ in range(40)), 0, 1 << 20, []))
+    assert not spilled and len(tables) == 1 and tables[0].counts == [400]
+    texts = [b"%d" % (i % 700) * 3000 for i in range(1400)]
+    tables = list(exact_dedup._grace((rows_of(texts[i : i + 100]) for i in range(0, 1400, 100)), 0, 1 << 20, []))
+    assert spilled == [1] and sorted(t for x in tables for t in x.texts) == sorted(set(texts)) and {c for x in tables for c in x.counts} == {2}
+    assert max(x.held for x in tables) <= (1 << 20) + 20_000
+
+
 def test_hash_collisions_compare_content():
     table = exact_dedup.ContentTable()
     for k in range(3000):
@@ -215,8 +235,8 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
             t[rng.randrange(1, 60)] = f"w{rng.randrange(40)}"
         texts.append(" ".join(t))
     texts = sorted(set(texts))
-    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k long, h long, text string")
-    contents = spark.createDataFrame([(i, (i, i, 0, 60), 0, [7]) for i in range(len(texts))], "cid long, place struct<k:long,h:long,start:int,n:int>, d1 long, bands array<long>")
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k long, h int, text string")
+    contents = spark.createDataFrame([(i, (i, i, 0, 60), 0, [7]) for i in range(len(texts))], "cid long, place struct<k:long,h:int,start:int,n:int>, d1 long, bands array<long>")
     sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
     want = brute.groups([(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], range(len(texts)))
     for bucket in (8, 50, 512):
