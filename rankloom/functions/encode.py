@@ -106,8 +106,12 @@ def value_map(value: Column, mapping: dict) -> Column:
     return F.when(value.isNotNull(), out)
 
 
-def coarse_scene(scene: Column, allowed: list[int]) -> Column:
-    """struct(index, prior): (0, 1) for listed scenes, else (1, 2); negative is an error."""
+def coarse_scene(scene: Column, allowed: list[int], unlisted: str = "recommend") -> Column:
+    """struct(index, prior): (0, 1) for listed scenes; others give (1, 2), or are an error with
+    ``unlisted="error"``. A negative or not whole scene is an error, null stays null."""
     pair = lambda i, p: F.struct(F.lit(i).cast("long").alias("index"), F.lit(p).cast("long").alias("prior"))
-    sound = F.when(scene < 0, F.raise_error(F.lit("negative scene")).cast("boolean")).otherwise(scene.isin(allowed))
-    return F.when(sound, pair(0, 1)).otherwise(pair(1, 2))
+    fault = lambda text: F.raise_error(F.concat(F.lit(text), scene.cast("string"))).cast("struct<index:bigint,prior:bigint>")
+    number = scene.cast("double")
+    other = pair(1, 2) if unlisted == "recommend" else fault("unlisted scene ")
+    out = F.when(number.isNull() & scene.isNotNull() | (number != F.floor(number)), fault("scene is not an integer: "))
+    return F.when(scene.isNotNull(), out.when(number < 0, fault("negative scene ")).when(number.isin([float(x) for x in allowed]), pair(0, 1)).otherwise(other))

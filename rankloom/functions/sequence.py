@@ -72,14 +72,22 @@ def flatten_bag(values: Column) -> Column:
     return F.when(F.size(values) > 1, F.raise_error(F.lit("a request bag is nested in several lists"))).otherwise(F.flatten(values))
 
 
-def merged_by_time(streams: dict[str, Column], time: str = "time") -> Column:
+def merged_by_time(streams: dict[str, Column], time: str = "time", clocks: dict[str, str] | None = None) -> Column:
     """All events of several streams, oldest first, as struct(time, stream, place, event).
 
-    Ties: the earlier stream first, then the later place last, so the merge is stable.
+    Ties: the earlier stream first, then the later place last, so the merge is stable. ``clocks``
+    says for each stream whether its times are of day (``timestamp``) or ages (``age``), which count
+    backwards; streams of both kinds can't be merged.
     """
+    kinds = {(clocks or {}).get(name, "timestamp") for name in streams}
+    if len(kinds) > 1:
+        raise ValueError(f"streams of different clocks can't be merged: {clocks}")
+    if kinds - {"timestamp", "age"}:
+        raise ValueError(f"unknown clock: {clocks}")
+    sign = -1 if kinds == {"age"} else 1
 
     def tagged(events: Column, k: int) -> Column:
-        return F.transform(events, lambda e, i: F.struct(e[time].alias("time"), F.lit(k).alias("stream"), i.alias("place"), e.alias("event")))
+        return F.transform(events, lambda e, i: F.struct((e[time] * sign if sign < 0 else e[time]).alias("time"), F.lit(k).alias("stream"), i.alias("place"), e.alias("event")))
 
     parts = [tagged(events, k) for k, events in enumerate(streams.values())]
     return F.array_sort(F.concat(*parts))
@@ -126,7 +134,3 @@ def sequence_work(lengths: list[Column], limits: list[int], mode: str = "sum") -
         out = out + c
     return out
 
-
-def compared_in_order(times: Column) -> Column:
-    """Whether a list of times is newest first."""
-    return ~F.exists(F.transform(times, lambda t, i: F.coalesce(F.get(times, i + 1) > t, F.lit(False))), lambda x: x)

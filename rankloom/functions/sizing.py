@@ -53,6 +53,15 @@ def sequence_cap(quantile: Column, *caps: Column) -> Column:
     return F.least(quantile, *caps)
 
 
+def joined_profiles(small: DataFrame, large: DataFrame, value: str = "distinct") -> DataFrame:
+    """(field, small, large): a small and a large profile by field. Both must have the same fields;
+    one that either lacks is an error when the rows are read."""
+    both = small.select("field", F.col(value).alias("small")).join(large.select("field", F.col(value).alias("large")), "field", "full_outer")
+    fault = F.concat(F.lit("field in one profile only: "), F.coalesce(F.col("field").cast("string"), F.lit("null")))
+    checked = F.when(F.col("small").isNotNull() & F.col("large").isNotNull(), F.col("field")).otherwise(F.raise_error(fault))
+    return both.select(checked.alias("field"), "small", "large")
+
+
 def growth(profiles: DataFrame, small: str, large: str, small_files: int, large_files: int, target_files: int, stress_files: int, top_share: str | None = None) -> DataFrame:
     """Adds raw_alpha, alpha, tier, projected and stress: distinct values expected at more files."""
     a, b = F.col(small).cast("double"), F.col(large).cast("double")
@@ -121,11 +130,11 @@ def largest_tables(fields: DataFrame, n: int = 20) -> DataFrame:
 
 
 def encoding_strategy(profile: DataFrame) -> DataFrame:
-    """Adds strategy, confidence and suggested_width to field profiles with columns leaf_count,
+    """Adds strategy, confidence, reason and suggested_width to field profiles with columns leaf_count,
     distinct, minimum, maximum, span (share of the unsigned range), high16 (distinct prefixes),
     buckets (current, may be null), remix_gain and inputs."""
-    d, width = F.col("distinct"), F.col("maximum") - F.col("minimum") + 1
-    code = (F.col("minimum") >= 0) & (width <= IDENTITY_MAX) & (d <= width) & (d >= F.greatest(F.lit(2), F.floor(width * 0.25)))
+    d, width = F.col("distinct"), F.col("maximum").cast("decimal(38,0)") - F.col("minimum").cast("decimal(38,0)") + 1
+    code = (F.col("minimum") >= 0) & (width <= IDENTITY_MAX) & (d <= width) & (d >= F.greatest(F.lit(2), F.floor(width / 4)))
     tight = F.coalesce(code & (F.col("maximum") < IDENTITY_MAX) & (F.col("high16") <= 2) & (F.coalesce("span", F.lit(0.0)) < 1e-12), F.lit(False))
     over = F.coalesce(d > F.col("buckets"), F.lit(False))
     narrow = (d <= VOCABULARY_MAX) & (F.col("high16") <= 8) & (F.coalesce("span", F.lit(0.0)) < 0.01) & ~F.coalesce(code, F.lit(False))
@@ -135,8 +144,15 @@ def encoding_strategy(profile: DataFrame) -> DataFrame:
     strategy = F.lit("keep_pre_hashed")
     for rule, name in reversed(rules):
         strategy = F.when(rule, name).otherwise(strategy)
+    reasons = {
+        "insufficient_data": F.lit("no values"), "identity": F.concat(F.lit("a code of width "), width.cast("string")), "enlarge_pre_hashed": F.concat(d.cast("string"), F.lit(" values in "), F.col("buckets").cast("string"), F.lit(" buckets")),
+        "vocab_candidate": F.concat(d.cast("string"), F.lit(" values in a narrow range")), "head_tail": F.concat(d.cast("string"), F.lit(" values or a very large table")), "remixed_pre_hashed": F.concat(F.lit("remixing gains "), F.round("remix_gain", 4).cast("string")),
+    }
+    reason = F.lit("already hashed well")
+    for name, text in reasons.items():
+        reason = F.when(F.col("strategy") == name, text).otherwise(reason)
     many = F.col("inputs")
     sure = (
         F.when(F.col("strategy") == "enlarge_pre_hashed", "high").when((F.col("strategy") == "remixed_pre_hashed") | (F.col("strategy") == "identity") & (many >= 2) | (F.col("strategy") == "head_tail") & (many >= 3), "medium").otherwise("low")
     )
-    return profile.withColumn("strategy", strategy).withColumn("confidence", sure).withColumn("suggested_width", table_width(d))
+    return profile.withColumn("strategy", strategy).withColumn("confidence", sure).withColumn("reason", reason).withColumn("suggested_width", table_width(d))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.encode import mix64, unsigned_order
 from rankloom.functions.sequence import length_bucket, padded
+from rankloom.sources.shared import written
+
+#: Ranges of an order that are packed or numbered side by side, and the largest batch.
+PARTS, LONGEST_BATCH = 64, 8192
 
 
 def first_per_request(df: DataFrame, request: list[str], order: list[str]) -> DataFrame:
@@ -24,49 +34,151 @@ def representative(df: DataFrame, request: list[str], position: str) -> DataFram
     return df.withColumn("representative", F.min(position).over(Window.partitionBy(*request)))
 
 
-def shuffled(df: DataFrame, request: list[str], position: str, seed: int) -> DataFrame:
-    """Deterministic order by a hash of seed and request; rows of a request stay together."""
-    return df.withColumn("shuffle_key", F.xxhash64(F.lit(seed), *request)).orderBy("shuffle_key", *request, position)
-
-
-def shards(df: DataFrame, request: list[str], n: int, seed: int = 0) -> DataFrame:
-    """Adds the shard of the request."""
-    return df.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), *request), F.lit(n)).cast("int"))
+def shuffled(df: DataFrame, request: list[str], position: str, seed: int, buffer: int | None = None) -> DataFrame:
+    """Deterministic order by a mix of seed and request; rows of a request stay together. ``buffer``
+    requests at a time are shuffled, in the order in which they first appear; 0 keeps that order, and
+    without it the whole is shuffled. Adds shuffle_block and shuffle_key, which give the order."""
+    key = F.xxhash64(F.lit(seed), *request)
+    if buffer is None:
+        return df.withColumn("shuffle_block", F.lit(0).cast("long")).withColumn("shuffle_key", key).orderBy("shuffle_key", *request, position)
+    first = df.groupBy(*request).agg(F.min(position).alias("__first"))
+    blocks = slices(first, [], ["__first", *request], max(1, buffer)).select(*request, F.col("slice").alias("shuffle_block"))
+    same = F.lit(True)
+    for c in request:
+        same = same & df[c].eqNullSafe(blocks[c])
+    rows = df.join(blocks, same).select(df["*"], "shuffle_block")
+    return rows.withColumn("shuffle_key", key if buffer else F.lit(0).cast("long")).orderBy("shuffle_block", "shuffle_key", *request, position)
+
+
+def shuffled_rows(df: DataFrame, row: str, seed: int) -> DataFrame:
+    """Adds the place from 0 of each row in an order by the unsigned mix of its number and a seed, as
+    ranges are numbered; rows that repeat a number follow each other."""
+    keyed = df.withColumn("__h", unsigned_order(mix64(F.col(row).bitwiseXOR(F.lit(seed).cast("long")))))
+    return slices(keyed, [], ["__h", row], 1).withColumnRenamed("slice", "place").drop("__h")
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
+    """The rows in ``parts`` ranges of keys and order, each with its number, as a table: what follows
+    reads the same ranges however often it reads them."""
+    return written(df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def slices(df: DataFrame, keys: list[str], order: list[str], n: int, parts: int = PARTS) -> DataFrame:
+    """Adds the number of the row's slice of n rows within its shard or bucket. Rows are numbered in
+    ranges, from the counts of the ranges before, so no task has all rows of a bucket."""
+    ranged = _ranged(df, keys, order, parts)
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
+    numbered = ranged.withColumn("__row", own).join(before, [*keys, "__part"])
+    return numbered.withColumn("slice", F.floor((F.col("__before") + F.col("__row") - 1) / n).cast("long")).drop("__part", "__row", "__before")
+
+
+class NextFit:
+    """Next-fit from several fills at once: batches closed so far and rows in the open one."""
+
+    def __init__(self, used: np.ndarray) -> None:
+        self.used, self.closed = used.astype(np.int64), np.zeros(len(used), np.int64)
+
+    def put(self, n: int, limit: int) -> np.ndarray:
+        """The batch in which a group of n rows starts; what is left of an oversize one stays open."""
+        self.closed += (self.used > 0) & (self.used + n > limit)
+        self.used = np.where((self.used > 0) & (self.used + n > limit), 0, self.used)
+        at = self.closed.copy()
+        whole, rest = divmod(self.used + n, limit)
+        self.closed, self.used = self.closed + whole, rest
+        return at
+
+
+def _transfer(keys: int, longest: int):
+    """Rows (part, *keys, n, limit) sorted by range give for each key in a range, and each fill on entry,
+    the fill on exit and the batches closed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fit, first = None, None, None
+
+        def row() -> pa.RecordBatch:
+            own = first.columns[: keys + 1]
+            return pa.RecordBatch.from_arrays([*own, pa.array([fit.used], pa.list_(pa.int64())), pa.array([fit.closed], pa.list_(pa.int64()))], [*first.schema.names[: keys + 1], "__used", "__closed"])
+
+        for batch in batches:
+            for i, (*own, n, limit) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if own != key:
+                    if key is not None:
+                        yield row()
+                    key, fit, first = own, NextFit(np.arange(min(limit, longest))), batch.slice(i, 1)
+                fit.put(n, limit)
+        if key is not None:
+            yield row()
+
+    return run
+
+
+def _starts(keys: list[str]):
+    """A key's transfers in the order of the ranges give the fill and the batch with which each begins."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__part")
+        used, batch, out = 0, 0, []
+        for after, closed in zip(rows["__used"], rows["__closed"], strict=True):
+            out.append((used, batch))
+            used, batch = int(after[used]), batch + int(closed[used])
+        return rows[[*keys, "__part"]].assign(__fill=[x[0] for x in out], __first=[x[1] for x in out])
+
+    return run
+
+
+def _placed(columns: int, keys: int):
+    """Rows (*columns, part, *keys, n, limit, fill, first) sorted by range give the parts: batch, offset, rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fit = None, None
+        for batch in batches:
+            index, at, offset, rows = [], [], [], []
+            for i, (*own, n, limit, fill, first) in enumerate(zip(*(c.to_pylist() for c in batch.columns[columns:]), strict=True)):
+                if own != key:
+                    key, fit = own, NextFit(np.array([fill]))
+                    fit.closed += first
+                begin = int(fit.put(n, limit)[0])
+                for k in range(-(-n // limit) if n > limit else int(n > 0)):
+                    index.append(i)
+                    at.append(begin + k)
+                    offset.append(k * limit)
+                    rows.append(min(n - k * limit, limit))
+            own = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(own) for c in batch.columns[:columns]), *(pa.array(x, pa.int64()) for x in (at, offset, rows))], [*batch.schema.names[:columns], "batch", "offset", "rows"])
 
+    return run
 
-def slices(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """Adds the number of the row's slice of n rows within its shard or bucket."""
-    return df.withColumn("slice", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / n).cast("long"))
-
-
-def packed(groups: DataFrame, keys: list[str], order: list[str], size: str, batch: int | Column) -> DataFrame:
+
+def packed(groups: DataFrame, keys: list[str], order: list[str], size: str, batch: int | Column, longest: int = LONGEST_BATCH, parts: int = PARTS) -> DataFrame:
     """Next-fit packing of ordered request groups, within each of ``keys`` (shard, bucket).
 
     A group that doesn't fit closes the batch; an oversize one is split in full batches and a rest
     that starts the next; a full batch closes. One row per part: batch, offset (in its group), rows.
-    The fold is sequential in a shard, so the number of shards is part of the result's meaning."""
-    names = [c for c in groups.columns if c not in keys]
-    limit = F.lit(batch) if isinstance(batch, int) else batch
-    ordered = groups.withColumn("__batch", limit.cast("long")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c) for c in order), F.struct(*names).alias("g"), F.col(size).cast("long").alias("n"), F.col("__batch").alias("b")))).alias("gs"))
-    part = "struct<i:int,batch:bigint,offset:bigint,rows:bigint>"
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{part}>").alias("parts"), F.lit(0).alias("i"))
-
-    def step(acc: Column, g: Column) -> Column:
-        n, b = g["n"], g["b"]
-        opened = F.when((acc["used"] > 0) & (acc["used"] + n > b), acc["batch"] + 1).otherwise(acc["batch"])
-        used = F.when(opened > acc["batch"], F.lit(0).cast("long")).otherwise(acc["used"])
-        whole, rest = F.floor(n / b), n % b
-        pieces = F.when(n > b, whole + F.when(rest > 0, 1).otherwise(0)).otherwise(F.when(n > 0, 1).otherwise(0)).cast("int")
-        index = F.when(pieces > 0, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array().cast("array<int>"))
-        made = F.transform(index, lambda k: F.struct(acc["i"].alias("i"), (opened + k).alias("batch"), (k * b).cast("long").alias("offset"), F.least(n - k * b, b).cast("long").alias("rows")))
-        last = F.when(n > b, F.when(rest > 0, rest).otherwise(b)).otherwise(used + n)
-        at = F.when(n > b, opened + pieces - 1).otherwise(opened)
-        full = last >= b
-        return F.struct(F.when(full, at + 1).otherwise(at).cast("long").alias("batch"), F.when(full, F.lit(0).cast("long")).otherwise(last).cast("long").alias("used"), F.concat(acc["parts"], made).alias("parts"), (acc["i"] + 1).alias("i"))
-
-    folded = ordered.select(*keys, "gs", F.aggregate("gs", start, step)["parts"].alias("parts"))
-    flat = folded.select(*keys, F.transform("parts", lambda p: F.struct(F.get("gs", p["i"])["g"].alias("g"), p["batch"].alias("batch"), p["offset"].alias("offset"), p["rows"].alias("rows"))).alias("parts"))
-    return flat.select(*keys, F.inline("parts")).select(*keys, "g.*", "batch", "offset", "rows")
+
+    A range of the order is a map from its fill on entry to its fill on exit and the batches that it
+    closes. The maps of a key, of at most ``longest`` entries each, are composed, which gives the
+    fill with which each range begins; then each is packed as a stream. So a shard's packing is
+    spread over tasks, and none holds its groups. ``batch`` is one number for each key and at most ``longest``; null sizes count
+    as 0, and a null or not positive batch is an error."""
+    limit = (F.lit(batch) if isinstance(batch, int) else batch).cast("long")
+    sound = (limit > 0) & (limit <= longest)
+    checked = F.when(F.coalesce(sound, F.lit(False)), limit).otherwise(F.raise_error(F.lit(f"a batch has 1 to {longest} rows")).cast("long"))
+    rows = groups.withColumn("__n", F.coalesce(F.col(size).cast("long"), F.lit(0)).cast("long")).withColumn("__limit", checked)
+    ranged = _ranged(rows, keys, order, parts)
+    kinds = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
+    own = ["__part", *keys]
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in own)
+    stream = lambda df: df.repartition("__part").sortWithinPartitions(*own, *order)
+    maps = stream(ranged.select(*own, *(c for c in order if c not in own), "__n", "__limit")).select(*own, "__n", "__limit").mapInArrow(_transfer(len(keys), longest), f"{head}, __used array<bigint>, __closed array<bigint>")
+    tail = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "__part"))
+    starts = written(maps.groupBy(*keys).applyInPandas(_starts(keys), f"{tail}, __fill bigint, __first bigint"), "starts")
+    names = groups.columns
+    placed = stream(ranged.join(starts, own)).select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(names)), *own, "__n", "__limit", "__fill", "__first")
+    kept = ", ".join(f"`__c{i}` {kinds[c]}" for i, c in enumerate(names))
+    found = placed.mapInArrow(_placed(len(names), len(keys)), f"{kept}, batch bigint, offset bigint, rows bigint")
+    return found.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(names)), "batch", "offset", "rows")
 
 
 def bucketed(groups: DataFrame, work: str, bounds: list[int]) -> DataFrame:

@@ -89,10 +89,25 @@ def scene_counts(df: DataFrame, layout: Layout, scene: str, keys: tuple[str, ...
     return by_request.join(by_candidate, "scene", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
 
 
-def missing_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Wanted columns that the input lacks, as rows."""
-    lacking = sorted(set(wanted) - set(df.columns))
-    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, lacking)).cast("array<string>")).alias("column"))
+def _inputs(inputs: dict[str, DataFrame], columns: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """(input, rows, column, type) for the given columns of each input; its rows are counted."""
+    out = None
+    for name, df in inputs.items():
+        listed = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(t).alias("type")) for c, t in columns[name])).cast("array<struct<column:string,type:string>>")
+        own = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("input"), "rows", F.inline(listed))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def missing_columns(inputs: dict[str, DataFrame], wanted: list[str]) -> DataFrame:
+    """(input, column, rows): wanted columns that an input lacks, with how many of its rows do without."""
+    lacking = {name: [(c, "") for c in wanted if c not in df.columns] for name, df in inputs.items()}
+    return _inputs(inputs, lacking).select("input", "column", "rows")
+
+
+def observed_schema(inputs: dict[str, DataFrame]) -> DataFrame:
+    """(input, column, type, rows) of all columns that the inputs have."""
+    return _inputs(inputs, {name: [(f.name, f.dataType.simpleString()) for f in df.schema.fields] for name, df in inputs.items()}).select("input", "column", "type", "rows")
 
 
 def duplicates_across_sources(sources: dict[str, DataFrame], key: str) -> DataFrame:
@@ -104,10 +119,40 @@ def duplicates_across_sources(sources: dict[str, DataFrame], key: str) -> DataFr
     return union.groupBy(key).agg(F.countDistinct("source").alias("sources")).where("sources > 1")
 
 
-def gate(profile: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Violations of named rules (a column that is true where the rule is broken) with their counts."""
-    parts = [F.struct(F.lit(name).alias("rule"), F.coalesce(rule, F.lit(False)).alias("broken")) for name, rule in rules.items()]
-    return profile.select(F.inline(F.array(*parts))).where("broken").groupBy("rule").agg(F.count("*").alias("rows"))
+#: Rules for profiled fields: what must not be, and the number that says how much of it there is.
+FIELD_RULES: dict[str, tuple[str, str]] = {
+    "no values": ("leaf_count = 0", "cells"),
+    "zero is reserved for padding": ("zero_count > 0", "zero_count"),
+    "no bucket count fits": ("leaf_count > 0 AND buckets IS NULL", "distinct"),
+}
+#: Rules for a contract's label distribution.
+LABEL_RULES: dict[str, tuple[str, str]] = {
+    "no labels": ("total = 0", "total"),
+    "null labels": ("nulls > 0", "nulls"),
+    "missing labels": ("minus_one > 0", "minus_one"),
+    "labels that aren't 0 or 1": ("other > 0", "other"),
+}
+#: Rules for a field's profile by depth: outer lists may not be empty, and histories hold no inner nulls.
+DEPTH_RULES: dict[str, tuple[str, str]] = {"empty outer lists": ("depth = 0 AND empties > 0", "empties"), "nulls inside a history": ("depth > 0 AND nulls > 0", "nulls")}
+
+
+def gate(profile: DataFrame, rules: dict[str, tuple[str, str]], key: str = "field") -> DataFrame:
+    """(key, rule, found) for each row of a profile and rule that it breaks; no row if all is well."""
+    parts = [F.struct(F.lit(name).alias("rule"), F.expr(broken).alias("broken"), F.expr(found).cast("long").alias("found")) for name, (broken, found) in rules.items()]
+    return profile.select(key, F.inline(F.array(*parts))).where("broken").drop("broken")
+
+
+def nonzero(counters: DataFrame, name: str) -> DataFrame:
+    """(field, rule, found) for each counter of a contract that isn't zero."""
+    parts = F.array(*(F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("found")) for c in counters.columns))
+    return counters.select(F.lit(name).alias("field"), F.inline(parts)).where("found <> 0")
+
+
+def require(violations: DataFrame, most: int = 20) -> None:
+    """Raise if a gate found something, with the first of it."""
+    found = violations.limit(most).collect()
+    if found:
+        raise ValueError("the profile isn't fit for use:\n" + "\n".join(f"- {r['field']}: {r['rule']} ({r['found']})" for r in found))
 
 
 def shared_group_faults(tables: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,39 +75,34 @@ def expand_agg(df: DataFrame, layout: Layout, keys: tuple[str, ...] = (), valida
     """One row per candidate of agg rows: keys, request_id, candidate_position (from 0 within its
     request, in physical order), request and candidate columns, visible events of each history.
 
-    ``validate="strict"`` fails on the first faulty row, ``"off"`` checks none. Labels that the
-    input lacks are left out.
+    ``validate="strict"`` fails on the first faulty row, ``"off"`` checks none: a candidate of an
+    unknown request then has nulls for its columns. Labels that the input lacks are left out.
     """
     requests = F.col(layout.request_index)
     labels = [c for c in layout.labels if c in df.columns]
     if validate == "strict":
         fault = violations(df, layout)
         df = df.where(F.when(fault.isNotNull(), F.raise_error(F.coalesce(fault, F.lit(""))).cast("boolean")).otherwise(F.lit(True)))
-    targets = F.col(layout.candidate_index)
-    before = F.transform(targets, lambda t, i: F.size(F.filter(F.slice(targets, F.lit(1), i), lambda x: x == t)))
-    fields = {c: F.col(c) for c in (*layout.candidate_scalars, *layout.candidate_bags, *layout.candidate_meta, *labels)}
-    zipped = F.arrays_zip(targets.alias("request_id"), before.alias("candidate_position"), *(v.alias(c) for c, v in fields.items()))
+    fields = (*layout.candidate_scalars, *layout.candidate_bags, *layout.candidate_meta, *labels)
     wide = df.withColumns({f"__{s.name}": history(df, s, (anchors or {}).get(s.name), limit) for s in layout.sequences})
-    kept = [*keys, layout.request_index, *layout.request_scalars, *layout.request_bags, *layout.request_meta, *(f"__{s.name}" for s in layout.sequences)]
-    flat = wide.select(*dict.fromkeys(kept), F.inline(zipped))
-    place = F.array_position(requests, F.col("request_id")).cast("int") - 1
-
-    def at_request(c: str) -> Column:
-        values = F.col(c)
-        return F.get(values, place)
-
-    out = [*keys, "request_id", "candidate_position"]
-    out += [(singleton(at_request(c)) if _is_nested(df, c) else at_request(c)).alias(c) for c in layout.request_scalars]
-    out += [F.coalesce(at_request(c), F.array().cast(df.schema[c].dataType.elementType)).alias(c) for c in layout.request_bags]
-    out += [at_request(c).alias(c) for c in layout.request_meta]
-    out += [(singleton(F.col(c)) if _is_nested(df, c) else F.col(c)).alias(c) for c in layout.candidate_scalars]
-    out += [F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType.elementType)).alias(c) for c in layout.candidate_bags]
-    out += list(layout.candidate_meta)
-    out += [_label(singleton(F.col(c)) if _is_nested(df, c) else F.col(c), layout).alias(c) for c in labels]
-    for s in layout.sequences:
-        seen = F.filter(F.col(f"__{s.name}"), lambda e: F.array_contains(e["members"], F.col("request_id")))
-        out.append(_fields(seen, s).alias(s.name))
-    return flat.select(*out)
+    # Requests first: what a request sees, and which candidates are its own, is found once for each.
+    of_request = lambda c: F.get(F.col(c), F.col("__r"))
+    own = F.filter(F.sequence(F.lit(0), F.size(layout.candidate_index) - 1), lambda i: F.get(F.col(layout.candidate_index), i).eqNullSafe(F.col("request_id")))
+    every = requests if validate == "strict" else F.array_union(requests, F.col(layout.candidate_index))
+    rows = wide.select("*", F.explode(every).alias("request_id")).withColumn("__r", (F.array_position(requests, F.col("request_id")) - 1).cast("int"))
+    request = {c: (singleton(of_request(c)) if _is_nested(df, c) else of_request(c)) for c in layout.request_scalars}
+    request |= {c: F.coalesce(of_request(c), F.array().cast(df.schema[c].dataType.elementType)) for c in layout.request_bags}
+    request |= {c: of_request(c) for c in layout.request_meta}
+    seen = {s.name: _fields(F.filter(F.col(f"__{s.name}"), lambda e: F.array_contains(e["members"], F.col("request_id"))), s) for s in layout.sequences}
+    rows = rows.where(F.size(layout.candidate_index) > 0).select(*keys, "request_id", *(F.col(c).alias(f"__c_{c}") for c in fields), *(v.alias(f"__q_{c}") for c, v in (request | seen).items()), F.posexplode(own).alias("candidate_position", "__i"))
+    cell = lambda c: F.get(F.col(f"__c_{c}"), F.col("__i"))
+    out = [*keys, "request_id", "candidate_position", *(F.col(f"__q_{c}").alias(c) for c in request)]
+    out += [(singleton(cell(c)) if _is_nested(df, c) else cell(c)).alias(c) for c in layout.candidate_scalars]
+    out += [F.coalesce(cell(c), F.array().cast(df.schema[c].dataType.elementType)).alias(c) for c in layout.candidate_bags]
+    out += [cell(c).alias(c) for c in layout.candidate_meta]
+    out += [_label(singleton(cell(c)) if _is_nested(df, c) else cell(c), layout).alias(c) for c in labels]
+    out += [F.col(f"__q_{s.name}").alias(s.name) for s in layout.sequences]
+    return rows.select(*out)
 
 
 def expand_req(df: DataFrame, layout: Layout, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -151,15 +148,41 @@ def sequence_lengths(df: DataFrame, sequence: Sequence, layout: Layout, keys: tu
     return every.join(counts, [*keys, "request_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def adapted(df: DataFrame, adapt: Callable[[DataFrame, dict], DataFrame | dict[str, DataFrame]], context: dict | None = None) -> dict[str, DataFrame]:
+    """A user's own function from a table and a context to one or several flat tables, by name."""
+    found = adapt(df, context or {})
+    return {"flat": found} if isinstance(found, DataFrame) else found
+
+
 def scenario_index(df: DataFrame, column: str, scenarios: DataFrame) -> DataFrame:
     """Rows with the index of their scenario; ``scenarios`` has scenario and index. Lists give a row
     for each member; an unknown scenario is an error."""
     if df.schema[column].dataType.simpleString().startswith("array"):
         df = df.withColumn(column, F.explode(column))
-    joined = df.join(F.broadcast(scenarios.limit(257)).withColumnRenamed("scenario", "__s"), F.col(column) == F.col("__s"), "left").drop("__s")
+    known = scenarios.select(F.col("scenario").alias("__s"), "index")
+    joined = df.join(known, F.col(column) == F.col("__s"), "left").drop("__s")
     return joined.withColumn("index", F.coalesce("index", F.raise_error(F.concat(F.lit("unknown scenario "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("long")))
 
 
+def scenario_values(df: DataFrame, column: str, names: list[str], mode: str = "auto") -> DataFrame:
+    """(scenario, index, name) for named scenarios. ``raw``: names are the values, in sorted order, and
+    must be those of the data; ``index``: values are 0 to len(names) - 1 already; ``auto``: raw if the
+    data's values are the names, else index. ``global`` is a reserved name."""
+    if "global" in names or len(set(names)) < len(names):
+        raise ValueError("scenario names must differ, and global is reserved")
+    found = [str(r[0]) for r in df.select(F.explode(column) if df.schema[column].dataType.simpleString().startswith("array") else column).distinct().orderBy(1).limit(len(names) + 1).collect()]
+    raw = set(found) == set(names)
+    if mode == "raw" and not raw:
+        raise ValueError(f"scenario values {found} aren't the names")
+    if mode == "raw" or mode == "auto" and raw:
+        pairs = [(x, i, x) for i, x in enumerate(found)]
+    elif set(found) <= {str(i) for i in range(len(names))}:
+        pairs = [(str(i), i, x) for i, x in enumerate(names)]
+    else:
+        raise ValueError(f"scenario values {found} aren't indices of the names")
+    return df.sparkSession.createDataFrame(pairs, "scenario string, index long, name string")
+
+
 def binary_mask_members(df: DataFrame, column: str, width: int) -> DataFrame:
     """Rows by the scenarios whose place in a binary membership mask is 1; a faulty mask is an error."""
     mask = F.col(column)
@@ -168,7 +191,8 @@ def binary_mask_members(df: DataFrame, column: str, width: int) -> DataFrame:
     return df.select("*", F.posexplode(checked).alias("scenario", "__m")).where("__m = 1").drop("__m")
 
 
-def drop_columns(df: DataFrame, names: list[str], constants: DataFrame | None = None) -> DataFrame:
-    """Without the named columns and those that a profile (field, distinct) says are constant."""
+def drop_columns(df: DataFrame, names: list[str], constants: DataFrame | None = None, crosses: dict[str, list[str]] | None = None) -> DataFrame:
+    """Without the named columns and those that a profile (field, distinct) says are constant. A cross
+    (name, and the columns that it's made of) stays even if one of these goes."""
     more = [r["field"] for r in constants.where("distinct <= 1").select("field").collect()] if constants is not None else []
-    return df.drop(*names, *more)
+    return df.drop(*(c for c in (*names, *more) if c not in (crosses or {})))

@@ -111,34 +111,71 @@ def grid_drift(probability: DataFrame, log_odds: DataFrame, keys: list[str]) ->
     return joined.withColumn("drift", drift).withColumn("warn", F.col("drift") > DRIFT_WARN)
 
 
-def reduced_loss(df: DataFrame, reduction: str, weights: dict[str, float] | None = None, task: str = "task", request: str = "group_id", score: str = "logit", label: str = "label") -> DataFrame:
-    """Weighted loss by task: ``sum``, ``mean`` over rows, or ``request_mean``, the mean over
-    requests of the mean over their rows."""
-    loss = bce(F.col(score).cast("double"), F.col(label))
-    if reduction == "request_mean":
-        out = df.groupBy(task, request).agg(F.avg(loss).alias("loss")).groupBy(task).agg(F.avg("loss").alias("loss"))
-    else:
-        out = df.groupBy(task).agg((F.sum if reduction == "sum" else F.avg)(loss).alias("loss"))
+def _weighted(value: Column, task: str, weights: dict[str, float] | None) -> Column:
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col(task) == name, w).otherwise(weight)
-    return out.withColumn("loss", F.round(F.col("loss") * weight, 5))
+    return F.round(value * weight, 5)
+
+
+def reduced_losses(df: DataFrame, weights: dict[str, float] | None = None, task: str = "task", request: str = "group_id", score: str = "logit", label: str = "label") -> DataFrame:
+    """Weighted loss by task in one pass: sum_loss, mean_loss over rows, and request_loss, the mean
+    over requests of the mean over their rows."""
+    loss = bce(F.col(score).cast("double"), F.col(label))
+    by_request = df.groupBy(task, request).agg(F.sum(loss).alias("s"), F.count(loss).alias("n"))
+    out = by_request.groupBy(task).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.avg(F.col("s") / F.col("n")).alias("r"))
+    return out.select(task, *(_weighted(v, task, weights).alias(name) for name, v in (("sum_loss", F.col("s")), ("mean_loss", F.col("s") / F.col("n")), ("request_loss", F.col("r")))))
+
+
+def reduced_loss(df: DataFrame, reduction: str, weights: dict[str, float] | None = None, task: str = "task", request: str = "group_id", score: str = "logit", label: str = "label") -> DataFrame:
+    """Weighted loss by task: ``sum``, ``mean`` over rows, or ``request_mean``."""
+    name = {"sum": "sum_loss", "mean": "mean_loss", "request_mean": "request_loss"}[reduction]
+    return reduced_losses(df, weights, task, request, score, label).select(task, F.col(name).alias("loss"))
 
 
 def evaluation(df: DataFrame, keys: list[str], group: str) -> DataFrame:
-    """All metrics of a scored set in one table."""
-    grid = histogram_auc(histogram(df, keys, probability_bin(F.col("logit"))), keys).select(*keys, "auc", "bins", "positives", "negatives")
-    odds = histogram_auc(histogram(df, keys, log_odds_bin(F.col("logit"))), keys).select(*keys, F.col("auc").alias("auc_log_odds"))
-    groups = group_auc(df, keys, group, probability_bin(F.col("logit")))
-    return grid.join(odds, keys).join(groups, keys, "left").join(monitor(df, keys), keys)
+    """All metrics of a scored set in one table, from one pass over its rows.
+
+    Each row counts in three histograms: on the probability grid, on the log-odds grid, and on the
+    probability grid of its group. The sums for the monitor go with the first. A window is over the
+    bins of one histogram."""
+    x, y = F.col("logit").cast("double"), F.col("label")
+    kind = lambda k, g, b: F.struct(F.lit(k).alias("__kind"), g.alias("__group"), b.alias("bin"))
+    none = F.lit(None).cast(df.schema[group].dataType)
+    grids = F.array(kind("p", none, probability_bin(F.col("logit"))), kind("o", none, log_odds_bin(F.col("logit"))), kind("g", F.col(group), probability_bin(F.col("logit"))))
+    rows = df.select(*keys, x.alias("x"), y.cast("long").alias("y"), bce(x, y).alias("l"), sigmoid(x).alias("q"), F.inline(grids))
+    hist = rows.groupBy(*keys, "__kind", "__group", "bin").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), *(F.sum(v).alias(f"__{n}") for n, v in (("x", F.col("x")), ("xx", F.col("x") * F.col("x")), ("l", F.col("l")), ("q", F.col("q")))))
+    whole = [*keys, "__kind", "__group"]
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*whole).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = {c: F.sum(c).alias(c) for c in ("pos", "neg", "__x", "__xx", "__l", "__q")}
+    by_grid = hist.withColumn("below", below).groupBy(*whole).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("area"), F.count("*").alias("bins"), *sums.values())
+    auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("area") / (F.col("pos") * F.col("neg")))
+    by_grid = by_grid.withColumn("auc", F.round(auc, 9))
+    of = lambda k, c: F.max(F.when(F.col("__kind") == k, F.col(c)))
+    grouped = F.when(F.col("__kind") == "g", F.col("auc"))
+    out = by_grid.groupBy(*keys).agg(
+        of("p", "auc").alias("auc"), of("p", "bins").alias("bins"), of("p", "pos").alias("positives"), of("p", "neg").alias("negatives"), of("o", "auc").alias("auc_log_odds"),
+        F.round(F.avg(grouped), 6).alias("group_auc"), F.nullif(F.count(grouped), F.lit(0)).alias("groups"), *(of("p", c).alias(c) for c in ("__x", "__xx", "__l", "__q")),
+    )
+    n = F.col("positives") + F.col("negatives")
+    mean = F.col("__x") / n
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("__xx") / n - mean * mean))
+    return out.select(*keys, "auc", "bins", "positives", "negatives", "auc_log_odds", "group_auc", "groups", n.alias("examples"), F.round(F.col("__l") / n, 6).alias("loss"), F.round(F.col("__q") / n, 6).alias("prob_mean"), F.round(mean, 6).alias("logit_mean"), F.round(spread, 6).alias("logit_std"))
 
 
 def scored_output(df: DataFrame, group: str, keys: list[str], scores: dict[str, Column], suffix: str = "_score") -> DataFrame:
-    """Group, identity keys and a score for each task; output names must differ, keys be unique."""
+    """Group, identity keys and a score for each task. Output names must differ, and the identity of
+    a candidate (group and keys) be unique: a repeated or null one is an error when the rows are read."""
     names = [group, *keys, *(f"{t}{suffix}" for t in scores)]
     if len(set(names)) < len(names):
         raise ValueError("output names repeat")
-    return df.select(group, *keys, *(c.alias(f"{t}{suffix}") for t, c in scores.items()))
+    rows = df.select(group, *keys, *(c.alias(f"{t}{suffix}") for t, c in scores.items()))
+    one = rows.groupBy(group, *keys).agg(*(F.first(c).alias(c) for c in names[1 + len(keys) :]), F.count("*").alias("__n"))
+    sound = F.col("__n") == 1
+    for c in (group, *keys):
+        sound &= F.col(c).isNotNull()
+    checked = F.when(sound, F.lit(True)).otherwise(F.raise_error(F.lit("a candidate's identity is null or not unique")).cast("boolean"))
+    return one.where(checked).select(*names)
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,13 +184,14 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pooled(bags: DataFrame, table: DataFrame, key: str, ids: str, width: int, count_padding: bool = False) -> DataFrame:
-    """Mean of the embeddings of each bag: key, pooled. ``table`` has id and vector. Id 0 isn't
-    counted, or counts as a zero vector; an empty bag gives zeros."""
-    members = bags.select(key, F.explode(ids).alias("id"))
-    found = members.where("id <> 0").join(table, "id").select(key, F.posexplode("vector").alias("d", "v"))
-    sums = found.groupBy(key, "d").agg(F.sum("v").alias("s"))
-    counts = members.where("true" if count_padding else "id <> 0").groupBy(key).agg(F.count("*").alias("n"))
-    vectors = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("v"))
-    joined = bags.select(key).join(counts, key, "left").join(vectors, key, "left")
-    mean = F.transform("v", lambda x: x["s"] / F.col("n"))
-    return joined.select(key, F.coalesce(mean, F.array_repeat(F.lit(0.0).cast("double"), width)).alias("pooled"))
+    """Mean of the embeddings of each bag: key, pooled. ``table`` has id and vector, of ``width``
+    values. Id 0 isn't counted, or counts as a zero vector; an id that the table lacks counts as a
+    zero vector too; an empty bag gives zeros.
+
+    Sums are one column for each value, so members are added up before they are shuffled."""
+    members = bags.select(key, F.explode_outer(F.transform(ids, lambda x: F.coalesce(x, F.lit(0)))).alias("id"))
+    found = members.join(table.where("id <> 0"), "id", "left")
+    counted = F.col("id").isNotNull() if count_padding else F.col("id") != 0
+    sums = found.groupBy(key).agg(F.count_if(counted).alias("n"), *(F.sum(F.col("vector")[d]).alias(f"s{d}") for d in range(width)))
+    mean = F.array(*(F.coalesce(F.col(f"s{d}") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)) for d in range(width)))
+    return sums.select(key, mean.alias("pooled"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.encode import low_bits, mix64, unsigned_order
+from rankloom.functions.encode import encode, low_bits, mix64, unsigned_order
+from rankloom.sources.shared import written
 
 
 def depth_of(df: DataFrame, column: str) -> int:
@@ -27,17 +28,18 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, column: str, min_count: int = 1, max_size: int | None = None, parts: int = 64) -> DataFrame:
     """(value, id, count): ids from 1 by count, then value. With ``max_size`` a top-k; without, ids
-    come from range partitions and their offsets, so no task ranks all values."""
+    come from range partitions and their offsets, so no task ranks all values. The ranges are written
+    once, as they are read twice and must be the same."""
     counts = value_counts(df, column).where(F.col("count") >= min_count)
     if max_size is not None:
         top = counts.orderBy(F.desc("count"), "value").limit(max_size)
         return top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("count"), "value")).cast("long")).select("value", "id", "count")
-    ranged = counts.repartitionByRange(parts, F.desc("count"), F.col("value")).withColumn("part", F.spark_partition_id())
+    ranged = written(counts.repartitionByRange(parts, F.desc("count"), F.col("value")).withColumn("part", F.spark_partition_id()), "vocabulary")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("part", before.alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("count"), "value"))
-    return ranged.withColumn("own", own).join(F.broadcast(offsets), "part").select("value", (F.col("before") + F.col("own")).alias("id"), "count")
+    return ranged.withColumn("own", own).join(offsets, "part").select("value", (F.col("before") + F.col("own")).alias("id"), "count")
 
 
 def vocabulary_ids(df: DataFrame, column: str, vocab: DataFrame, unknown: str = "padding") -> DataFrame:
@@ -56,6 +58,14 @@ def vocabulary_list_ids(df: DataFrame, key: str, column: str, vocab: DataFrame)
     return df.select(key).join(own, key, "left").select(key, F.coalesce(F.col("x.v_id"), F.array().cast("array<bigint>")).alias("ids"))
 
 
+def encoded(df: DataFrame, column: str, strategy: str, size: int = 0, depth: int = 0, vocab: DataFrame | None = None, **options) -> DataFrame:
+    """Adds ``<column>_id`` by the configured strategy: ``vocabulary`` looks scalars up in ``vocab``, the
+    others (prehashed, sha, identity) are expressions and take lists of any depth."""
+    if strategy == "vocabulary":
+        return vocabulary_ids(df, column, vocab, **options)
+    return df.withColumn(f"{column}_id", encode(F.col(column), strategy, size, depth, **options))
+
+
 def resolve_shared(names: dict[str, str]) -> dict[str, str]:
     """Root of each name through its alias; a cycle is an error."""
     out = {}
@@ -91,23 +101,37 @@ def _at_depth(column: Column, depth: int) -> list[Column]:
 
 
 def field_profile(df: DataFrame, column: str) -> DataFrame:
-    """Long table (depth, cells, nulls, empties): values at each depth, how many are null or empty."""
+    """Long table (depth, cells, nulls, empties, null_rows, empty_rows): values at each depth, how many
+    are null or empty, and how many rows have some."""
     depth = depth_of(df, column)
     cells, stats = _at_depth(F.col(column), depth), []
     for k, values in enumerate(cells):
         empty = F.size(F.filter(values, lambda x: F.size(x) == 0)) if k < depth else F.lit(0)
         stats.append(F.struct(F.lit(k).alias("depth"), F.size(values).alias("cells"), F.size(F.filter(values, lambda x: x.isNull())).alias("nulls"), empty.alias("empties")))
-    return df.select(F.inline(F.array(*stats))).groupBy("depth").agg(*(F.sum(c).cast("long").alias(c) for c in ("cells", "nulls", "empties")))
+    sums = [F.sum(c).cast("long").alias(c) for c in ("cells", "nulls", "empties")]
+    return df.select(F.inline(F.array(*stats))).groupBy("depth").agg(*sums, F.count_if(F.col("nulls") > 0).alias("null_rows"), F.count_if(F.col("empties") > 0).alias("empty_rows"))
 
 
 def leaf_statistics(df: DataFrame, column: str) -> DataFrame:
-    """One row: count, negative, positive, zero, minimum, maximum, and the unsigned ends as text."""
+    """One row: count, negative, positive, zero, minimum, maximum, their span, and the unsigned ends as text."""
     v = leaves(df, column).where("leaf IS NOT NULL").select(F.col("leaf").cast("long").alias("v"))
     text = lambda x: F.conv(F.hex(unsigned_order(x)), 16, 10)
     u = unsigned_order(F.col("v"))
     return v.agg(
         F.count("*").alias("count"), F.count_if(F.col("v") < 0).alias("negative"), F.count_if(F.col("v") > 0).alias("positive"), F.count_if(F.col("v") == 0).alias("zero"),
-        F.min("v").alias("minimum"), F.max("v").alias("maximum"), text(F.min(u)).alias("unsigned_min"), text(F.max(u)).alias("unsigned_max"),
+        F.min("v").alias("minimum"), F.max("v").alias("maximum"), (F.max("v").cast("decimal(38,0)") - F.min("v").cast("decimal(38,0)")).cast("string").alias("span"), text(F.min(u)).alias("unsigned_min"), text(F.max(u)).alias("unsigned_max"),
+    )
+
+
+def strategy_profile(df: DataFrame, key: str, column: str) -> DataFrame:
+    """What the choice of an encoding asks for, by key: leaf_count, zero_count, cells, distinct, minimum,
+    maximum, span (share of the unsigned 64-bit range), high16 (distinct upper 16 bits), inputs."""
+    v = F.col(column).cast("long")
+    number = lambda x: (F.shiftrightunsigned(x, 1).cast("double") * 2 + x.bitwiseAND(F.lit(1).cast("long")))
+    u = number(v)
+    return df.groupBy(key).agg(
+        F.count("*").alias("cells"), F.count(v).alias("leaf_count"), F.count_if(v == 0).alias("zero_count"), F.countDistinct(v).alias("distinct"), F.min(v).alias("minimum"), F.max(v).alias("maximum"),
+        ((F.max(u) - F.min(u)) / F.lit(2.0**64)).alias("span"), F.countDistinct(F.shiftrightunsigned(v, 48)).alias("high16"), F.lit(1).alias("inputs"),
     )
 
 
@@ -160,18 +184,23 @@ def distinct_estimate(found: DataFrame, precision: int = 12, keys: tuple[str, ..
     return sums.select(*keys, F.round(estimate, 4).alias("estimate"))
 
 
-def bottom_sample(df: DataFrame, column: str, n: int = 4096) -> DataFrame:
-    """The n distinct leaves with the smallest unsigned mixed hash: (leaf, priority)."""
-    found = leaves(df, column).where("leaf IS NOT NULL").distinct().withColumn("priority", unsigned_order(mix64(F.col("leaf").cast("long"))))
-    return found.orderBy("priority").limit(n)
+def bottom_sample(df: DataFrame, column: str, n: int = 4096, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The n distinct leaves with the smallest unsigned mixed hash, of each key if there are any:
+    (keys, leaf, priority)."""
+    found = leaves(df, column, keys).where("leaf IS NOT NULL").distinct().withColumn("priority", unsigned_order(mix64(F.col("leaf").cast("long"))))
+    if not keys:
+        return found.orderBy("priority").limit(n)
+    return found.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("priority"))).where(F.col("__r") <= n).drop("__r")
 
 
 def sample_overlap(samples: DataFrame) -> DataFrame:
-    """Shared values and Jaccard of each two fields' samples (field, leaf); samples are bounded."""
+    """Shared values and Jaccard of each two fields' samples (field, leaf), 0 where they share none.
+    Samples are bounded, and a pair of fields is a row, as a report asks for it."""
     sizes = samples.groupBy("field").agg(F.count("*").alias("n"))
     a, b = samples.alias("a"), samples.alias("b")
     both = a.join(b, (F.col("a.leaf") == F.col("b.leaf")) & (F.col("a.field") < F.col("b.field"))).groupBy(F.col("a.field").alias("left"), F.col("b.field").alias("right")).agg(F.count("*").alias("shared"))
-    joined = both.join(sizes.toDF("left", "n_left"), "left").join(sizes.toDF("right", "n_right"), "right")
+    pairs = sizes.toDF("left", "n_left").join(sizes.toDF("right", "n_right"), F.col("left") < F.col("right"))
+    joined = pairs.join(both, ["left", "right"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     return joined.select("left", "right", "shared", F.round(F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared")), 9).alias("jaccard"))
 
 
@@ -185,12 +214,12 @@ def cardinality_audit(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*parts))).groupBy("field").agg(*(F.sum(c).cast("long").alias(c) for c in ("empty", "single", "several")))
 
 
-def collision_rates(sample: DataFrame, buckets: list[int], seed: int = 0) -> DataFrame:
-    """Sample collision rate by bucket count, raw and remixed, for a bounded sample (leaf)."""
+def collision_rates(sample: DataFrame, buckets: list[int], seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sample collision rate by bucket count, raw and remixed, for a bounded sample (keys, leaf)."""
     parts = [F.struct(F.lit(n).cast("long").alias("buckets"), low_bits(F.col("leaf"), n).alias("raw"), low_bits(F.col("leaf"), n, True, seed).alias("mixed")) for n in buckets]
-    flat = sample.select(F.inline(F.array(*parts)))
+    flat = sample.select(*keys, F.inline(F.array(*parts)))
     rate = lambda c: F.round((F.count("*") - F.countDistinct(c)) / F.count("*"), 9)
-    return flat.groupBy("buckets").agg(F.count("*").alias("n"), rate("raw").alias("raw_rate"), rate("mixed").alias("mixed_rate"))
+    return flat.groupBy(*keys, "buckets").agg(F.count("*").alias("n"), rate("raw").alias("raw_rate"), rate("mixed").alias("mixed_rate"))
 
 
 def collision_exposure(top: DataFrame, buckets: int, remix: bool = False, seed: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from rankloom.functions import sequence
 from rankloom.operators import batching, expand
 from rankloom.plans import fixtures
 from rankloom.plans.fixtures import KEYS, LAYOUT
-from rankloom.plans.registry import FLAT, REQ, SEEN, joined, query
+from rankloom.plans.registry import FLAT, REQ, SEEN, joined, mixed, query
 
 REQUEST = ["user_id", "request_id"]
 _GROUPS = f"{FLAT}, {SEEN}, w AS (SELECT user_id, request_id, count(*) AS work FROM seen GROUP BY ALL), g AS (SELECT user_id, request_id, user_id % 4 AS shard, count(*) AS n, coalesce(any_value(work), 0) AS work FROM flat LEFT JOIN w USING (user_id, request_id) GROUP BY ALL)"
@@ -125,15 +125,33 @@ def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.exceptAll(orders.distinct()).distinct()
 
 
-@query("SELECT l_orderkey, sum(l_partkey)::BIGINT AS total, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS values, count(*) AS length FROM lineitem GROUP BY 1")
 def flattened_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bags as values and lengths, without padding."""
-    rows = fixtures.orders(spark, sf_dir).select("item_id", F.posexplode("parts").alias("place", "value"))
-    return rows.groupBy(F.col("item_id").alias("l_orderkey")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    rows = fixtures.orders(spark, sf_dir).where(F.size("parts") > 0)
+    return rows.select(F.col("item_id").alias("l_orderkey"), joined("parts").alias("values"), F.size("parts").cast("long").alias("length"))
 
 
-@query(f"WITH {FLAT} SELECT count(*) AS candidates, CAST(sum(label) AS BIGINT) AS positives FROM flat")
+@query(f"SELECT event_id, CAST(row_number() OVER (ORDER BY h) - 1 AS BIGINT) AS place FROM {mixed('y', '(SELECT event_id, xor(event_id, 12345) AS y FROM events)', 'event_id')}")
+def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the order of a mix of their number and a seed."""
+    return batching.shuffled_rows(fixtures.table(spark, sf_dir, "events").select("event_id"), "event_id", 12345).select("event_id", "place")
+
+
+@query("WITH g AS (SELECT user_id, min(event_id) AS f FROM events GROUP BY 1), b AS (SELECT user_id, (row_number() OVER (ORDER BY f, user_id) - 1) // 16 AS block FROM g) SELECT event_id, CAST(block AS BIGINT) AS block FROM events JOIN b USING (user_id)")
+def shuffle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded form of the shuffle: which 16 users, in the order in which they first appear, a row is dealt among."""
+    rows = batching.shuffled(fixtures.events(spark, sf_dir).select("event_id", "user_id"), ["user_id"], "event_id", 7, 16)
+    return rows.select("event_id", F.col("shuffle_block").alias("block"))
+
+
+@query(f"WITH {FLAT} SELECT 'flat' AS input, count(*) AS rows, CAST(sum(label) AS BIGINT) AS total FROM flat UNION ALL SELECT 'requests', count(*), CAST(sum(scene_id) AS BIGINT) FROM req WHERE user_id IN (SELECT o_custkey FROM orders)")
 def user_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's own function from nested to flat rows, applied by transform."""
-    flat = fixtures.nested(spark, sf_dir).transform(expand.expand_agg, LAYOUT, KEYS)
-    return flat.agg(F.count("*").alias("candidates"), F.sum("label").alias("positives"))
+    """A user's own function from a nested table and a context to several flat ones."""
+
+    def adapt(table: DataFrame, context: dict) -> dict[str, DataFrame]:
+        return {"flat": expand.expand_agg(table, context["layout"], context["keys"]), "requests": expand.requests(table, context["layout"], context["keys"])}
+
+    found = expand.adapted(fixtures.nested(spark, sf_dir), adapt, {"layout": LAYOUT, "keys": KEYS})
+    total = lambda name, c: found[name].agg(F.count("*").alias("rows"), F.sum(c).cast("long").alias("total")).select(F.lit(name).alias("input"), "rows", "total")
+    return total("flat", "label").unionByName(total("requests", "scene_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import encode, sequence
@@ -14,6 +14,7 @@ from rankloom.plans import fixtures
 from rankloom.plans.fixtures import HISTORIES, KEYS, LAYOUT
 from rankloom.plans.registry import FLAT, ITEM, REQ, SEEN, joined, mixed, query, signed
 from rankloom.sources import readers
+from rankloom.sources.shared import shared_folder
 
 ID = ("user_id", "request_id")
 
@@ -61,10 +62,16 @@ def expand_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select(*ID, F.col("candidate_position").cast("long"), "item_id")
 
 
-@query(f"WITH {FLAT} SELECT 'label' AS task, scene_id, count(*) AS total, 0 AS nulls, 0 AS minus_one, count(*) FILTER (label = 0) AS zeros, count(*) FILTER (label = 1) AS ones, 0 AS other FROM flat GROUP BY scene_id")
+@query(
+    f"""WITH {FLAT}, y AS (SELECT scene_id, CASE item_id % 7 WHEN 0 THEN NULL WHEN 1 THEN -1 WHEN 2 THEN 5 ELSE label END AS y FROM flat)
+    SELECT 'label' AS task, scene_id, count(*) AS total, count(*) FILTER (y IS NULL) AS nulls, count(*) FILTER (y = -1) AS minus_one, count(*) FILTER (y = 0) AS zeros, count(*) FILTER (y = 1) AS ones, count(*) FILTER (y = 5) AS other FROM y GROUP BY scene_id"""
+)
 def label_distribution_by_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = expand.candidates_with_requests(fixtures.nested(spark, sf_dir), LAYOUT, KEYS).withColumn("label", F.col("label")[0])
-    return contract.label_distribution(rows, ["label"], ("scene_id",))
+    """With nulls, -1 and other labels planted by item."""
+    rows = expand.candidates_with_requests(fixtures.nested(spark, sf_dir), LAYOUT, KEYS)
+    place = F.col("item_id")[0] % 7
+    planted = F.when(place == 1, -1).when(place == 2, 5).when(place > 2, F.col("label")[0])
+    return contract.label_distribution(rows.withColumn("label", planted), ["label"], ("scene_id",))
 
 
 @query(f"WITH {FLAT} SELECT scene_id AS scene, count(DISTINCT search_id) AS requests, count(*) AS candidates FROM flat GROUP BY 1")
@@ -136,10 +143,10 @@ def dense_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, sf_dir, "part").select("p_partkey", value.alias("value"), presence.alias("presence"))
 
 
-@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(CAST(embedding[64] AS DOUBLE), 5) AS last FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 5) + 0.0) AS vector FROM embeddings")
 def fixed_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.table(spark, sf_dir, "embeddings").withColumn("v", encode.fixed_vector(F.col("embedding"), 64))
-    return rows.select("vec_id", F.round(F.col("v")[0].cast("double"), 5).alias("first"), F.round(F.col("v")[63].cast("double"), 5).alias("last"))
+    whole = encode.fixed_vector(F.col("embedding"), 64)
+    return fixtures.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(whole, lambda x: F.round(x.cast("double"), 5) + 0.0).alias("vector"))
 
 
 _HEAD_TAIL = f"WITH {REQ}, {SEEN}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, request_id ORDER BY t DESC, id) AS a, row_number() OVER (PARTITION BY user_id, request_id ORDER BY t, id DESC) AS b FROM seen WHERE stream = 'click')"
@@ -219,42 +226,96 @@ def sequence_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("work > 0").select(*ID, "work", sequence.length_bucket(F.col("work"), [8, 16, 32]).alias("bucket"))
 
 
-@query(f"WITH {REQ}, {ITEM} SELECT count(DISTINCT user_id) AS agg, 0 AS req, 0 AS partial FROM req WHERE user_id IN (SELECT user_id FROM item)")
+_USERS = f"{REQ}, {ITEM}, u AS (SELECT DISTINCT user_id FROM req WHERE user_id IN (SELECT user_id FROM item))"
+
+
+@query(f"WITH {_USERS} SELECT count(*) FILTER (user_id % 5 NOT IN (1, 2)) AS agg, count(*) FILTER (user_id % 5 = 1) AS req, count(*) FILTER (user_id % 5 = 2) AS partial FROM u")
 def contract_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.layout_counts(fixtures.nested(spark, sf_dir), LAYOUT)
+    """Rows that lack both index columns, or one, planted by user."""
+    user = F.col("user_id") % 5
+    rows = fixtures.nested(spark, sf_dir)
+    rows = rows.withColumn("context_indices", F.when(user != 1, F.col("context_indices"))).withColumn("target_indices", F.when(~user.isin(1, 2), F.col("target_indices")))
+    return contract.layout_counts(rows, LAYOUT)
 
 
-def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested rows with faults in users divisible by 3: a wrong request id for item ids divisible by 5."""
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows with faults by user and item: negative and unknown request ids, repeated requests,
+    requests before what they see, histories with the oldest first."""
     nested = fixtures.nested(spark, sf_dir)
-    other = F.zip_with("target_indices", "item_id", lambda t, i: F.when((F.col("user_id") % 3 == 0) & (i[0] % 5 == 0), t + 1000).otherwise(t))
-    late = F.transform("impr_time", lambda t: F.when(F.col("user_id") % 4 == 0, t - 86_400_000 * 3).otherwise(t))
-    return nested.withColumn("target_indices", other).withColumn("impr_time", late)
+    user = F.col("user_id")
+    other = F.zip_with("target_indices", "item_id", lambda t, i: F.when(i[0] % 11 == 0, -1).when((user % 3 == 0) & (i[0] % 5 == 0), t + 1000).otherwise(t))
+    late = F.transform("impr_time", lambda t: F.when(user % 4 == 0, t - 86_400_000 * 3).otherwise(t))
+    again = F.when(user % 7 == 0, F.concat("context_indices", F.slice("context_indices", 1, 1))).otherwise(F.col("context_indices"))
+    turned = {c: F.when(user % 6 == 1, F.reverse(c)).otherwise(F.col(c)) for c in ("click_id", "click_time", "click_members")}
+    return nested.withColumns({"target_indices": other, "impr_time": late, "context_indices": again, **turned})
 
 
-@query(f"WITH {FLAT} SELECT 0 AS invalid, 0 AS duplicate_rows, count(*) FILTER (user_id % 3 = 0 AND item_id % 5 = 0) AS dangling FROM flat")
+@query(
+    f"""WITH {FLAT}, u AS (SELECT DISTINCT user_id FROM flat)
+    SELECT count(*) FILTER (item_id % 11 = 0) AS invalid, (SELECT count(*) FROM u WHERE user_id % 7 = 0) AS duplicate_rows, count(*) FILTER (item_id % 11 = 0 OR user_id % 3 = 0 AND item_id % 5 = 0) AS dangling FROM flat"""
+)
 def contract_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.index_faults(_faulty(spark, sf_dir), LAYOUT)
+    return contract.index_faults(faulty(spark, sf_dir), LAYOUT)
 
 
-@query(f"WITH {REQ}, {SEEN} SELECT CAST(0 AS BIGINT) AS unordered_rows, count(*) FILTER (user_id % 4 = 0 AND t > impr_time - 259200000) AS future_events FROM seen WHERE stream = 'click'")
+@query(
+    f"""WITH {REQ}, {SEEN}, v AS (SELECT user_id, request_id, count(DISTINCT t) AS times FROM seen WHERE stream = 'click' GROUP BY ALL)
+    SELECT (SELECT count(DISTINCT user_id) FROM v WHERE user_id % 6 = 1 AND times > 1) AS unordered_rows,
+        count(*) FILTER (user_id % 4 = 0 AND t > impr_time - 259200000) AS future_events FROM seen WHERE stream = 'click'"""
+)
 def contract_event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.order_faults(_faulty(spark, sf_dir), LAYOUT, LAYOUT.sequences[0])
+    return contract.order_faults(faulty(spark, sf_dir), LAYOUT, LAYOUT.sequences[0])
+
+
+def _shortened(column: str, condition: Column) -> Column:
+    """The list without its last value where ``condition`` holds."""
+    return F.when(condition & (F.size(column) > 0), F.slice(column, 1, F.size(column) - 1)).otherwise(F.col(column))
 
 
-@query("SELECT unnest(['impr_time', 'search_id', 'scene_id', 'item_id', 'item_parts', 'label']) AS \"column\", 0 AS rows")
+@query(
+    f"""WITH {_USERS} SELECT 'impr_time' AS "column", count(*) FILTER (user_id % 3 = 0) AS rows FROM u UNION ALL SELECT 'search_id', count(*) FILTER (user_id % 3 = 1) FROM u UNION ALL SELECT 'scene_id', count(*) FILTER (user_id % 9 = 4) FROM u
+    UNION ALL SELECT 'item_id', count(*) FILTER (user_id % 4 = 0) FROM u UNION ALL SELECT 'item_parts', count(*) FILTER (user_id % 4 = 1) FROM u UNION ALL SELECT 'label', count(*) FILTER (user_id % 5 = 0) FROM u"""
+)
 def contract_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.length_mismatches(fixtures.nested(spark, sf_dir), LAYOUT)
+    """Lists that are too short, too long or null, planted by user."""
+    user = F.col("user_id")
+    rows = fixtures.nested(spark, sf_dir).withColumns(
+        {
+            "impr_time": _shortened("impr_time", user % 3 == 0), "search_id": _shortened("search_id", user % 3 == 1), "scene_id": F.when(user % 9 == 4, F.concat("scene_id", F.array(F.lit(0).cast("long")))).otherwise(F.col("scene_id")),
+            "item_id": _shortened("item_id", user % 4 == 0), "item_parts": F.when(user % 4 == 1, F.concat("item_parts", F.array(F.array(F.lit(1).cast("long"))))).otherwise(F.col("item_parts")), "label": F.when(user % 5 != 0, F.col("label")),
+        }
+    )
+    return contract.length_mismatches(rows, LAYOUT)
 
 
-@query("SELECT 0 AS misaligned, 0 AS missing, 0 AS orphans, 0 AS invalid")
+@query(
+    f"""WITH {REQ}, {SEEN}, p AS (SELECT user_id, count(DISTINCT id) AS n FROM seen WHERE stream = 'purchase' GROUP BY 1)
+    SELECT CAST(2 * count(*) FILTER (user_id % 3 = 0) + 2 * count(*) FILTER (user_id % 3 = 1) AS BIGINT) AS misaligned, count(*) FILTER (user_id % 3 = 1) AS missing, count(*) FILTER (user_id % 3 = 2 AND user_id % 2 = 0) AS orphans,
+        count(*) FILTER (user_id % 3 = 2 AND user_id % 2 = 1) * 2 AS invalid FROM p"""
+)
 def contract_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.sequence_faults(fixtures.nested(spark, sf_dir), LAYOUT.sequences[2])
+    """Histories with a field too short, without membership, with events seen by none, and with null
+    and negative members, planted by user."""
+    user, members = F.col("user_id"), F.col("purchase_members")
+    nested = fixtures.nested(spark, sf_dir)
+    some = F.size(members) > 0
+    rest = F.slice(members, 2, F.greatest(F.size(members), F.lit(1)))
+    none, faulty = F.array(F.array().cast("array<bigint>")), F.array(F.array(F.lit(None).cast("long"), F.lit(-3).cast("long")))
+    planted = F.when(user % 3 == 1, F.lit(None)).when(some & (user % 3 == 2) & (user % 2 == 0), F.concat(none, rest)).when(some & (user % 3 == 2), F.concat(faulty, rest)).otherwise(members)
+    rows = nested.withColumns({"purchase_time": _shortened("purchase_time", user % 3 == 0), "purchase_members": planted})
+    return contract.sequence_faults(rows, LAYOUT.sequences[2])
 
 
-@query("SELECT 0 AS layout, 0 AS invalid")
+@query(
+    f"""WITH {_USERS}, r AS (SELECT user_id, count(*) AS n FROM req WHERE user_id IN (SELECT user_id FROM u) GROUP BY 1)
+    SELECT count(*) FILTER (user_id % 3 = 0) AS layout, CAST(count(*) FILTER (user_id % 3 = 1) + coalesce(sum(n) FILTER (user_id % 3 = 2 AND user_id % 2 = 0), 0) AS BIGINT) AS invalid FROM r"""
+)
 def contract_request_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.time_faults(fixtures.nested(spark, sf_dir), LAYOUT)
+    """Times that are too few, null or negative, planted by user."""
+    user, t = F.col("user_id"), F.col("impr_time")
+    first = F.concat(F.array(F.lit(None).cast("long")), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))))
+    planted = F.when(user % 3 == 0, _shortened("impr_time", user % 3 == 0)).when(user % 3 == 1, first).when(user % 2 == 0, F.transform(t, lambda x: -x)).otherwise(t)
+    return contract.time_faults(fixtures.nested(spark, sf_dir).withColumn("impr_time", planted), LAYOUT)
 
 
 @query(f"WITH {FLAT}, p AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT 'items' AS \"group\", count(DISTINCT user_id) AS rows, count(*) AS positions FROM flat LEFT JOIN p ON l_orderkey = item_id WHERE coalesce(n, 0) <> 1")
@@ -262,9 +323,22 @@ def contract_bag_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.bag_group_mismatches(fixtures.nested(spark, sf_dir), {"items": ["item_id", "item_parts"]})
 
 
-@query("SELECT unnest(['absent_a', 'absent_b']) AS \"column\"")
+_WANTED = ("o_orderkey", "l_orderkey", "event_id", "user_id", "doc_id", "absent")
+_INPUTS = ("orders", "lineitem", "events", "documents")
+
+
+@query(
+    "WITH wanted AS (SELECT unnest(" + str(list(_WANTED)) + ') AS "column"), inputs AS ('
+    + " UNION ALL ".join(f"SELECT '{t}' AS input, count(*) AS rows, (SELECT list(column_name) FROM (DESCRIBE {t})) AS own FROM {t}" for t in _INPUTS)
+    + ') SELECT input, "column", rows FROM inputs, wanted WHERE NOT list_contains(own, "column")'
+)
 def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.missing_columns(fixtures.nested(spark, sf_dir), ["absent_b", "user_id", "absent_a"])
+    return contract.missing_columns({t: fixtures.table(spark, sf_dir, t) for t in _INPUTS}, list(_WANTED))
+
+
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{t}' AS input, column_name AS \"column\" FROM (DESCRIBE {t})" for t in _INPUTS) + '), n AS (' + " UNION ALL ".join(f"SELECT '{t}' AS input, count(*) AS rows FROM {t}" for t in _INPUTS) + ') SELECT input, "column", rows FROM s JOIN n USING (input)')
+def observed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.observed_schema({t: fixtures.table(spark, sf_dir, t) for t in _INPUTS}).drop("type")
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS sources FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
@@ -288,16 +362,22 @@ def membership_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.binary_mask_members(rows, "mask", 2).groupBy("scenario").agg(F.count("*").alias("requests"))
 
 
+def _by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in folders by day and hour, as inputs come."""
+    path = shared_folder(spark, "hours")
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("pt"), F.date_format("ts", "HH").alias("hr"))
+    rows.repartition("pt", "hr").write.partitionBy("pt", "hr").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-06 02:00:00'")
 def hour_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = fixtures.table(spark, sf_dir, "events").withColumn("pt", F.date_format("ts", "yyyy-MM-dd")).withColumn("hr", F.date_format("ts", "HH"))
-    return readers.hour_window(events, datetime(2024, 1, 3, 5), datetime(2024, 1, 6, 2)).select("event_id")
+    return readers.hour_window(_by_hour(spark, sf_dir), datetime(2024, 1, 3, 5), datetime(2024, 1, 6, 2)).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-04'")
 def default_test_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = fixtures.table(spark, sf_dir, "events").withColumn("pt", F.date_format("ts", "yyyy-MM-dd")).withColumn("hr", F.date_format("ts", "HH"))
-    return readers.hour_window(events, *readers.default_test_window(datetime(2024, 1, 4))).select("event_id")
+    return readers.hour_window(_by_hour(spark, sf_dir), *readers.default_test_window(datetime(2024, 1, 4))).select("event_id")
 
 
 @query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
@@ -313,10 +393,19 @@ def evenly_spaced_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.held_out(orders, "day", chosen).groupBy("day").agg(F.count("*").alias("orders"))
 
 
-@query(f"WITH {FLAT} SELECT 1 AS files, count(DISTINCT user_id) AS rows, count(*) AS flat_rows FROM flat")
+@query(f"WITH {FLAT} SELECT count(DISTINCT user_id % 3) AS files, count(DISTINCT user_id) AS rows, count(*) AS flat_rows FROM flat")
 def split_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.nested(spark, sf_dir).withColumn("input_file", F.lit("nested"))
-    return readers.split_statistics(rows, "target_indices")
+    """Of nested rows in one file for each remainder of the user."""
+    nested = fixtures.nested(spark, sf_dir).withColumn("part", F.col("user_id") % 3)
+    path = shared_folder(spark, "split")
+    nested.repartition("part").write.partitionBy("part").parquet(path)
+    return readers.split_statistics(readers.with_file(spark.read.parquet(path)), "target_indices")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 500")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return readers.first_rows(rows, 500, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query("SELECT o_orderkey AS order_id, o_custkey AS user_id, o_totalprice FROM orders")

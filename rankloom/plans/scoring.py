@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions import sizing
+from rankloom.functions import encode, sizing
 from rankloom.sources.shared import shared_folder
 from rankloom.operators import contract, expand, metrics, profile
 from rankloom.plans import fixtures
@@ -107,9 +107,7 @@ _TASKS = f"{SCORED}, tasks AS (SELECT group_id, 'a' AS task, logit, label FROM s
 
 @query(f"WITH {_TASKS} SELECT task, round(CASE task WHEN 'b' THEN 0.5 ELSE 1.0 END * sum({_BCE}), 5) AS sum_loss, round(CASE task WHEN 'b' THEN 0.5 ELSE 1.0 END * avg({_BCE}), 5) AS mean_loss, round(CASE task WHEN 'b' THEN 0.5 ELSE 1.0 END * (SELECT avg(l) FROM (SELECT task AS t, avg({_BCE}) AS l FROM tasks GROUP BY task, group_id) WHERE t = tasks.task), 5) AS request_loss FROM tasks GROUP BY task")
 def log_loss_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, weights = _tasks(spark, sf_dir), {"b": 0.5}
-    a, b, c = (metrics.reduced_loss(rows, how, weights).withColumnRenamed("loss", name) for how, name in (("sum", "sum_loss"), ("mean", "mean_loss"), ("request_mean", "request_loss")))
-    return a.join(b, "task").join(c, "task")
+    return metrics.reduced_losses(_tasks(spark, sf_dir), {"b": 0.5})
 
 
 @query(f"WITH {_TASKS} SELECT task, p.auc, p.bins, p.positives, p.negatives, l.auc AS auc_log_odds, g.group_auc, g.groups, m.examples, m.loss, m.prob_mean, m.logit_mean, m.logit_std FROM {_hist_auc('tasks', 'task', _PBIN)} p JOIN {_hist_auc('tasks', 'task', _LBIN)} l USING (task) JOIN (SELECT task, round(avg(auc), 6) AS group_auc, count(*) AS groups FROM {_hist_auc('tasks', 'task, group_id', _PBIN)} WHERE auc IS NOT NULL GROUP BY task) g USING (task) JOIN (SELECT task, {_MONITOR} FROM tasks GROUP BY task) m USING (task)")
@@ -117,9 +115,11 @@ def held_out_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evaluation(_tasks(spark, sf_dir), ["task"], "group_id")
 
 
-@query(f"WITH {SCORED} SELECT group_id, line, round({_SIG}, 9) AS main_score FROM scored")
+@query(f"WITH {FLAT}, s AS (SELECT search_id, item_id, (item_id % 41 - 20) / 10.0 AS logit FROM flat) SELECT search_id, item_id, round({_SIG}, 9) AS main_score FROM s")
 def scored_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.scored_output(fixtures.scored(spark, sf_dir), "group_id", ["line"], {"main": F.round(metrics.sigmoid(F.col("logit")), 9)})
+    """A score for each candidate of each request; what identifies a candidate must be unique."""
+    flat = expand.expand_agg(fixtures.nested(spark, sf_dir), fixtures.LAYOUT, fixtures.KEYS)
+    return metrics.scored_output(flat, "search_id", ["item_id"], {"main": F.round(metrics.sigmoid((F.col("item_id") % 41 - 20) / 10), 9)})
 
 
 @query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -127,46 +127,54 @@ def repeated_score_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.repeated_keys(fixtures.table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-_BAGS = "bags AS (SELECT l_orderkey AS k, (l_partkey % 200) AS id FROM lineitem WHERE l_linenumber <= 4 AND l_orderkey % 3 = 0)"
-_WHOLE_BAGS = "bags AS (SELECT l_orderkey AS k, (l_partkey % 200) AS id FROM lineitem)"
+_BAGS = "bags AS (SELECT l_orderkey AS k, (l_partkey % 200) AS id FROM lineitem)"
 
 
-def _pool_sql(counted: str, bags: str = _BAGS) -> str:
-    return f"""WITH {bags}, n AS (SELECT k, count(*) AS n FROM bags WHERE {counted} GROUP BY k), v AS (SELECT vec_id, d, embedding[d] AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS d FROM embeddings)),
-        s AS (SELECT k, d, round(sum(CAST(x AS DOUBLE)) / max(n), 3) AS m FROM bags JOIN n USING (k) JOIN v ON vec_id = id WHERE id <> 0 GROUP BY k, d)
-        SELECT o.k, coalesce(max(m) FILTER (d = 1), 0.0) + 0.0 AS first, coalesce(max(m) FILTER (d = 64), 0.0) + 0.0 AS last FROM (SELECT DISTINCT k FROM bags) o LEFT JOIN s USING (k) GROUP BY o.k"""
+def _pool_sql(counted: str, shown: str) -> str:
+    """Means of each order's bag, ``shown`` being made from d, the dimension, and m, its mean."""
+    return f"""WITH {_BAGS}, n AS (SELECT k, count(*) AS n FROM bags WHERE {counted} GROUP BY k), v AS (SELECT vec_id, d, embedding[d] AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS d FROM embeddings)),
+        s AS (SELECT k, d, sum(CAST(x AS DOUBLE)) / max(n) AS m FROM bags JOIN n USING (k) JOIN v ON vec_id = id WHERE id <> 0 GROUP BY k, d),
+        w AS (SELECT o.k, r.d, coalesce(m, 0.0) AS m FROM (SELECT DISTINCT k FROM bags) o CROSS JOIN (SELECT unnest(range(1, 65)) AS d) r LEFT JOIN s ON s.k = o.k AND s.d = r.d)
+        SELECT k, {shown} FROM w GROUP BY k"""
 
 
-def _pool(spark: SparkSession, sf_dir: str, count_padding: bool, some: str = "true") -> DataFrame:
-    lines = fixtures.table(spark, sf_dir, "lineitem").where(some)
-    bags = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.col("l_partkey") % 200).alias("ids"))
+_ENDS = "round(max(m) FILTER (d = 1), 3) + 0.0 AS first, round(max(m) FILTER (d = 64), 3) + 0.0 AS last"
+_ALL = "string_agg(CAST(CAST(round(m * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY d) AS thousandths"
+
+
+def _pool(spark: SparkSession, sf_dir: str, count_padding: bool) -> DataFrame:
+    """Mean vectors of every order's lines."""
+    bags = fixtures.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.col("l_partkey") % 200).alias("ids"))
     table = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    found = metrics.pooled(bags, table, "k", "ids", 64, count_padding)
-    return found.select("k", (F.round(F.col("pooled")[0], 3) + 0.0).alias("first"), (F.round(F.col("pooled")[63], 3) + 0.0).alias("last"))
+    return metrics.pooled(bags, table, "k", "ids", 64, count_padding)
 
 
-#: The filter in the SQL of the two queries that follow; the two after them pool every line of every order.
-_SOME_BAGS = "l_linenumber <= 4 AND l_orderkey % 3 = 0"
+def _thousandths(vector: str) -> Column:
+    return joined(F.transform(vector, lambda x: F.round(x * 1000).cast("long")))
+
+
+def _ends(found: DataFrame) -> DataFrame:
+    return found.select("k", (F.round(F.col("pooled")[0], 3) + 0.0).alias("first"), (F.round(F.col("pooled")[63], 3) + 0.0).alias("last"))
 
 
-@query(_pool_sql("id <> 0"))
+@query(_pool_sql("id <> 0", _ALL))
 def bag_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir, False, _SOME_BAGS)
+    return _pool(spark, sf_dir, False).select("k", _thousandths("pooled").alias("thousandths"))
 
 
-@query(_pool_sql("true"))
+@query(_pool_sql("true", _ALL))
 def bag_mean_pool_with_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir, True, _SOME_BAGS)
+    return _pool(spark, sf_dir, True).select("k", _thousandths("pooled").alias("thousandths"))
 
 
-@query(_pool_sql("id <> 0", _WHOLE_BAGS))
+@query(_pool_sql("id <> 0", _ENDS))
 def bag_mean_pool_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir, False)
+    return _ends(_pool(spark, sf_dir, False))
 
 
-@query(_pool_sql("true", _WHOLE_BAGS))
+@query(_pool_sql("true", _ENDS))
 def bag_mean_pool_whole_with_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir, True)
+    return _ends(_pool(spark, sf_dir, True))
 
 
 @query(f"WITH {SCORED} SELECT scenario, auc, examples FROM {_hist_auc('scored', 'scenario', _PBIN)}")
@@ -180,7 +188,7 @@ def running_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.running_auc(spark, ["scenario"], f"{top}/state").select("scenario", "auc", "examples")
 
 
-@query(f"WITH {FLAT}, p AS (SELECT count(DISTINCT user_id) AS rows, count(*) AS items FROM flat), q AS (SELECT count(*) AS parts FROM flat JOIN lineitem ON l_orderkey = item_id), e AS (SELECT count(*) AS empties FROM flat WHERE item_id NOT IN (SELECT l_orderkey FROM lineitem)) SELECT 0 AS depth, rows AS cells, 0 AS nulls, 0 AS empties FROM p UNION ALL SELECT 1, items, 0, empties FROM p, e UNION ALL SELECT 2, parts, 0, 0 FROM q")
+@query(f"WITH {FLAT}, p AS (SELECT count(DISTINCT user_id) AS rows, count(*) AS items FROM flat), q AS (SELECT count(*) AS parts FROM flat JOIN lineitem ON l_orderkey = item_id), e AS (SELECT count(*) AS empties, count(DISTINCT user_id) AS users FROM flat WHERE item_id NOT IN (SELECT l_orderkey FROM lineitem)) SELECT 0 AS depth, rows AS cells, 0 AS nulls, 0 AS empties, 0 AS null_rows, 0 AS empty_rows FROM p UNION ALL SELECT 1, items, 0, empties, 0, users FROM p, e UNION ALL SELECT 2, parts, 0, 0, 0, 0 FROM q")
 def field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.field_profile(fixtures.nested(spark, sf_dir), "item_parts")
 
@@ -192,7 +200,7 @@ def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * -4294967311 + 12345678901).alias("v"))
 
 
-@query(f"WITH {_LEAF} SELECT count(*) AS count, count(*) FILTER (v < 0) AS negative, count(*) FILTER (v > 0) AS positive, count(*) FILTER (v = 0) AS zero, min(v) AS minimum, max(v) AS maximum, CAST(min({unsigned('v')}) AS VARCHAR) AS unsigned_min, CAST(max({unsigned('v')}) AS VARCHAR) AS unsigned_max FROM leaf")
+@query(f"WITH {_LEAF} SELECT count(*) AS count, count(*) FILTER (v < 0) AS negative, count(*) FILTER (v > 0) AS positive, count(*) FILTER (v = 0) AS zero, min(v) AS minimum, max(v) AS maximum, CAST(CAST(max(v) AS HUGEINT) - min(v) AS VARCHAR) AS span, CAST(min({unsigned('v')}) AS VARCHAR) AS unsigned_min, CAST(max({unsigned('v')}) AS VARCHAR) AS unsigned_max FROM leaf")
 def leaf_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.leaf_statistics(_leaves(spark, sf_dir), "v")
 
@@ -244,7 +252,7 @@ def bottom_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS (SELECT x FROM {mixed('x', '(SELECT DISTINCT l_partkey AS x FROM lineitem)', 'x')} ORDER BY h LIMIT 256), b AS (SELECT x FROM {mixed('x', '(SELECT DISTINCT l_suppkey AS x FROM lineitem)', 'x')} ORDER BY h LIMIT 256), s AS (SELECT count(*) AS n FROM a JOIN b USING (x))
-    SELECT 'part' AS "left", 'supplier' AS "right", n AS shared, round(n / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - n), 9) AS jaccard FROM s WHERE n > 0""")
+    SELECT 'part' AS "left", 'supplier' AS "right", n AS shared, round(n / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - n), 9) AS jaccard FROM s""")
 def sample_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "lineitem")
     a, b = (profile.bottom_sample(rows.select(F.col(c).alias("x")), "x", 256).select(F.lit(n).alias("field"), "leaf") for c, n in (("l_partkey", "part"), ("l_suppkey", "supplier")))
@@ -301,9 +309,13 @@ _COLLIDE = "CASE WHEN d <= 1 THEN 0.0 ELSE greatest(0.0, 1 - b * -(exp(d * ln(1
 _BRANDS = "f AS (SELECT p_brand AS field, count(DISTINCT l_orderkey) AS d FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)"
 
 
-def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _brand_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "lineitem").join(fixtures.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.col("p_brand").alias("field")).agg(F.countDistinct("l_orderkey").alias("distinct"))
+    return rows.withColumn("field", F.col("p_brand"))
+
+
+def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brand_rows(spark, sf_dir).groupBy("field").agg(F.countDistinct("l_orderkey").alias("distinct"))
 
 
 @query(f"WITH {_BRANDS}, c AS (SELECT field, d, unnest([1024.0, 65536.0]) AS b FROM f) SELECT field, CAST(b AS BIGINT) AS buckets, round({_COLLIDE}, 6) AS rate FROM c")
@@ -315,12 +327,33 @@ def expected_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIZES = "unnest([" + ", ".join(str(1 << k) for k in range(8, 27)) + "])"
 
 
-@query(f"WITH {_BRANDS}, c AS (SELECT field, d, CAST({_SIZES} AS DOUBLE) AS b FROM f), r AS (SELECT field, CAST(b AS BIGINT) AS b, d, {_COLLIDE} AS rate FROM c) SELECT field, min(b) FILTER (b >= d AND rate <= 0.01) AS recommended FROM r GROUP BY field")
+_BRAND_VALUES = "(SELECT DISTINCT p_brand AS field, l_orderkey * 64 AS x FROM lineitem JOIN part ON p_partkey = l_partkey)"
+
+
+@query(
+    f"""WITH s AS (SELECT field, x FROM {mixed("x", _BRAND_VALUES, "field, x")} QUALIFY row_number() OVER (PARTITION BY field ORDER BY h) <= 300),
+    {_BRANDS}, c AS (SELECT field, d, CAST({_SIZES} AS DOUBLE) AS b FROM f), r AS (SELECT field, CAST(b AS BIGINT) AS b, d, {_COLLIDE} AS rate FROM c),
+    k AS (SELECT field, b, round((count(*) - count(DISTINCT x & (b - 1))) / count(*), 9) AS sampled FROM s JOIN (SELECT DISTINCT b FROM r) ON true GROUP BY ALL)
+    SELECT field, min(b) FILTER (b >= d AND rate <= 0.05 AND sampled <= 0.05) AS recommended FROM r JOIN k USING (field, b) GROUP BY field"""
+)
 def bucket_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = _brands(spark, sf_dir)
-    sizes = F.explode(F.array(*(F.lit(1 << k) for k in range(8, 27))).cast("array<long>"))
-    rates = fields.select("field", sizes.alias("buckets"), F.lit(0.0).alias("sample_rate"))
-    return sizing.bucket_recommendation(fields, rates, 0.01).select("field", "recommended")
+    """Values whose low bits are all 0, so the sampled rate asks for more than the expected one."""
+    sizes = [1 << k for k in range(8, 27)]
+    sample = profile.bottom_sample(_brand_rows(spark, sf_dir).select("field", (F.col("l_orderkey") * 64).alias("x")), "x", 300, ("field",))
+    rates = profile.collision_rates(sample, sizes, keys=("field",)).select("field", "buckets", F.col("raw_rate").alias("sample_rate"))
+    return sizing.bucket_recommendation(_brands(spark, sf_dir), rates, 0.05).select("field", "recommended")
+
+
+@query(
+    f"""WITH {_BRANDS}, t AS (SELECT field, CASE WHEN d <= 16 THEN 8 WHEN d <= 256 THEN 16 WHEN d <= 4096 THEN 24 WHEN d <= 65536 THEN 32 WHEN d <= 1000000 THEN 48 WHEN d <= 10000000 THEN 64 WHEN d <= 100000000 THEN 96 ELSE 128 END AS width, CAST(greatest(256, pow(2, ceil(log2(d)))) AS BIGINT) AS buckets FROM f),
+    w AS (SELECT field, CAST((buckets + 1) * width * 4 + (buckets + 1) * 4 AS BIGINT) AS weight_bytes FROM t) SELECT field, weight_bytes, CAST((SELECT sum(weight_bytes) FROM w) AS BIGINT) AS total_bytes FROM w ORDER BY weight_bytes DESC, field LIMIT 20"""
+)
+def largest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 tables with most weight bytes, a state value a row included, and the total of all."""
+    d = F.col("distinct")
+    tables = _brands(spark, sf_dir).withColumn("weight_bytes", sizing.weight_bytes(sizing.power_of_two(d), sizing.profile_width(d), 4, True))
+    total = tables.agg(F.sum("weight_bytes").alias("total_bytes"))
+    return sizing.largest_tables(tables).join(F.broadcast(total)).select("field", "weight_bytes", "total_bytes")
 
 
 @query(f"WITH {_BRANDS} SELECT field, CASE WHEN d <= 16 THEN 8 WHEN d <= 256 THEN 16 WHEN d <= 4096 THEN 24 WHEN d <= 65536 THEN 32 WHEN d <= 1000000 THEN 48 ELSE 64 END AS width, CAST(greatest(256, pow(2, ceil(log2(d)))) AS BIGINT) AS buckets, CASE WHEN d <= 128 THEN d WHEN d <= 512 THEN 128 WHEN d <= 2048 THEN 256 ELSE 512 END AS cap, least(d, 100) AS sequence_cap FROM f")
@@ -329,13 +362,16 @@ def widths_and_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brands(spark, sf_dir).select("field", sizing.table_width(d).alias("width"), sizing.power_of_two(d).alias("buckets"), sizing.bag_cap(d).cast("long").alias("cap"), sizing.sequence_cap(d, F.lit(100).cast("long"), F.lit(1 << 40).cast("long")).alias("sequence_cap"))
 
 
-_GROWN = f"g AS (SELECT p_brand AS field, count(DISTINCT l_partkey) FILTER (l_orderkey % 10 = 0) AS a, count(DISTINCT l_partkey) AS b FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1), h AS (SELECT *, CASE WHEN a <= 0 OR b <= a THEN 0.0 ELSE ln(b / a) / ln(10.0) END AS raw FROM g), k AS (SELECT *, least(0.95, greatest(0.0, raw)) AS alpha FROM h), t AS (SELECT *, CASE WHEN b <= 1 THEN 'dead' WHEN b <= 512 AND alpha < 0.35 THEN 'saturated' WHEN alpha < 0.15 THEN 'slow' WHEN alpha < 0.35 THEN 'mild' WHEN alpha < 0.7 THEN 'sublinear' ELSE 'climbing' END AS tier FROM k), u AS (SELECT *, CASE WHEN tier = 'dead' THEN b ELSE greatest(ceil(b * pow(5.0, alpha)), CASE tier WHEN 'saturated' THEN ceil(b * 1.25) WHEN 'slow' THEN ceil(b * 1.5) ELSE 0 END) END AS p FROM t)"
+_GROWN = f"g AS (SELECT p_brand AS field, count(DISTINCT l_partkey) FILTER (l_orderkey % 10 = 0) AS a, count(DISTINCT l_partkey) AS b FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1), h AS (SELECT *, CASE WHEN a <= 0 OR b <= a THEN 0.0 ELSE ln(b / a) / ln(10.0) END AS raw FROM g), k AS (SELECT *, least(0.95, greatest(0.0, raw)) AS alpha FROM h), t AS (SELECT *, CASE WHEN b <= 1 THEN 'dead' WHEN b <= 512 AND alpha < 0.35 THEN 'saturated' WHEN alpha < 0.15 THEN 'slow' WHEN alpha < 0.35 THEN 'mild' WHEN alpha < 0.7 THEN 'sublinear' ELSE 'climbing' END AS tier FROM k), u AS (SELECT *, CASE WHEN tier = 'dead' THEN b ELSE greatest(ceil(b * pow(5.0, alpha)), CASE tier WHEN 'saturated' THEN ceil(b * 1.25) WHEN 'slow' THEN ceil(b * 1.5) ELSE 0 END) END AS p, CASE WHEN tier = 'dead' THEN b ELSE greatest(ceil(b * pow(10.0, alpha)), CASE tier WHEN 'saturated' THEN ceil(b * 1.25) WHEN 'slow' THEN ceil(b * 1.5) ELSE 0 END) END AS r FROM t)"
 
 
 def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.table(spark, sf_dir, "lineitem").join(fixtures.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.groupBy(F.col("p_brand").alias("field")).agg(F.countDistinct(F.when(F.col("l_orderkey") % 10 == 0, F.col("l_partkey"))).alias("a"), F.countDistinct("l_partkey").alias("b"))
-    return sizing.growth(rows, "a", "b", 10, 100, 500, 1000)
+    """The profile of a tenth of the orders and that of all, joined by field."""
+    rows = _brand_rows(spark, sf_dir)
+    small, large = (x.groupBy("field").agg(F.countDistinct("l_partkey").alias("distinct")) for x in (rows.where("l_orderkey % 10 = 0"), rows))
+    fields = rows.select("field").distinct()
+    small = fields.join(small, "field", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    return sizing.growth(sizing.joined_profiles(small, large), "small", "large", 10, 100, 500, 1000)
 
 
 @query(f"WITH {_GROWN} SELECT field, round(alpha, 6) AS alpha, tier, CAST(p AS BIGINT) AS projected FROM u")
@@ -347,23 +383,66 @@ _POW = lambda x: f"greatest(256, CAST(pow(2, ceil(log2({x}))) AS BIGINT))"  # no
 _SMALL = "(SELECT min(n) FROM (SELECT unnest([" + ", ".join(str(1 << k) for k in range(8, 31)) + "]) AS n) WHERE greatest(0.0, 1 - n * -(exp(p * ln(1 - 1.0 / n)) - 1) / p) <= 0.02)"
 
 
-@query(f"WITH {_GROWN}, s AS (SELECT field, p, CASE WHEN p <= 1000 THEN {_SMALL} ELSE 256 END AS small FROM u WHERE tier <> 'dead'), q AS (SELECT field, greatest({_POW('ceil(p / 0.5)')}, small) AS ideal_buckets, greatest({_POW('ceil(p / 0.5)')}, {_POW('ceil(p / 1.75)')}, small) AS buckets, CASE WHEN p <= 16 THEN 8 WHEN p <= 256 THEN 16 WHEN p <= 4096 THEN 24 ELSE 32 END AS width FROM s) SELECT field, ideal_buckets, buckets, width, CAST((buckets + 1) * width * 2 AS BIGINT) AS weight_bytes, CASE WHEN buckets < ideal_buckets THEN 'use_budgeted' ELSE 'use' END AS action FROM q")
+@query(f"WITH {_GROWN}, s AS (SELECT field, p, r, CASE WHEN p <= 1000 THEN {_SMALL} ELSE 256 END AS small FROM u WHERE tier <> 'dead'), q AS (SELECT field, greatest({_POW('ceil(p / 0.5)')}, small) AS ideal_buckets, greatest({_POW('ceil(r / 0.5)')}, {_POW('ceil(p / 1.75)')}, small) AS buckets, CASE WHEN p <= 16 THEN 8 WHEN p <= 256 THEN 16 WHEN p <= 4096 THEN 24 ELSE 32 END AS width FROM s) SELECT field, ideal_buckets, buckets, width, CAST((buckets + 1) * width * 2 AS BIGINT) AS weight_bytes, CASE WHEN buckets < ideal_buckets THEN 'use_budgeted' ELSE 'use' END AS action FROM q")
 def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sizing.table_shapes(_grown(spark, sf_dir).withColumn("retained", F.col("projected")))
+    rows = sizing.table_shapes(_grown(spark, sf_dir), retained="stress")
     return rows.select("field", "ideal_buckets", "buckets", "width", "weight_bytes", "action")
 
 
-@query("WITH f AS (SELECT p_brand AS field, min(p_size) AS lo, max(p_size) AS hi, count(DISTINCT p_size) AS d FROM part GROUP BY 1) SELECT field, CASE WHEN lo >= 0 AND hi - lo + 1 <= 8192 AND d <= hi - lo + 1 AND d >= greatest(2, floor((hi - lo + 1) * 0.25)) AND hi < 8192 THEN 'identity' WHEN d > 16 THEN 'enlarge_pre_hashed' ELSE 'vocab_candidate' END AS strategy FROM f")
-def encoding_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("field")).agg(
-        F.count("*").alias("leaf_count"), F.countDistinct("p_size").alias("distinct"), F.min("p_size").alias("minimum"), F.max("p_size").alias("maximum"))
-    rows = rows.withColumns({"span": F.lit(0.0), "high16": F.lit(1), "buckets": F.lit(16), "remix_gain": F.lit(0.0), "inputs": F.lit(3)})
-    return sizing.encoding_strategy(rows).select("field", "strategy")
+_STRATEGY_VALUES = """(SELECT 'size' AS field, CAST(p_size AS BIGINT) AS v FROM part UNION ALL SELECT 'part', l_partkey * 7919 FROM lineitem UNION ALL SELECT 'supplier', l_suppkey * 64 FROM lineitem UNION ALL SELECT 'order', h FROM spread UNION ALL SELECT 'nothing', NULL FROM region UNION ALL SELECT 'nation', n_nationkey - 12 FROM nation)"""
+_SPREAD = "spread AS (SELECT {h} AS h FROM {m})".format(h=signed("h"), m=mixed("o_orderkey", "orders", "o_orderkey"))
+
 
+def _strategy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, v): small codes, plain numbers, numbers with equal low bits, spread hashes, nothing, signed codes."""
+    of = lambda t, name, v: fixtures.table(spark, sf_dir, t).select(F.lit(name).alias("field"), v.cast("long").alias("v"))
+    parts = [of("part", "size", F.col("p_size")), of("lineitem", "part", F.col("l_partkey") * 7919), of("lineitem", "supplier", F.col("l_suppkey") * 64)]
+    parts += [of("orders", "order", encode.mix64(F.col("o_orderkey"))), of("region", "nothing", F.lit(None)), of("nation", "nation", F.col("n_nationkey") - 12)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
-@query(f"WITH {_BRANDS} SELECT 'many' AS rule, count(*) AS rows FROM f WHERE d > 100 HAVING count(*) > 0 UNION ALL SELECT 'few', count(*) FROM f WHERE d < 5 HAVING count(*) > 0")
+
+@query(
+    f"""WITH {_SPREAD}, w AS {_STRATEGY_VALUES}, m AS (SELECT field, v, h FROM {mixed("v", "(SELECT DISTINCT field, v FROM w WHERE v IS NOT NULL)", "field, v")}),
+    p AS (SELECT field, count(v) AS n, count(DISTINCT v) AS d, min(v) AS lo, max(v) AS hi, (max(CAST({unsigned('v')} AS DOUBLE)) - min(CAST({unsigned('v')} AS DOUBLE))) / 18446744073709551616.0 AS span, count(DISTINCT {unsigned('v')} >> 48) AS high16 FROM w GROUP BY field),
+    g AS (SELECT field, round((count(*) - count(DISTINCT v & 4095)) / count(*), 9) - round((count(*) - count(DISTINCT h & 4095)) / count(*), 9) AS gain FROM m GROUP BY field),
+    j AS (SELECT p.*, coalesce(gain, 0.0) AS gain, lo >= 0 AND w <= 8192 AND d <= w AND d >= greatest(2, floor(w / 4)) AS code FROM (SELECT *, CAST(hi AS HUGEINT) - lo + 1 AS w FROM p) p LEFT JOIN g USING (field))
+    SELECT field, CASE WHEN n = 0 THEN 'insufficient_data' WHEN code AND hi < 8192 AND high16 <= 2 AND span < 1e-12 THEN 'identity' WHEN d > 4096 THEN 'enlarge_pre_hashed' WHEN d <= 50000 AND high16 <= 8 AND span < 0.01 AND NOT coalesce(code, false) THEN 'vocab_candidate'
+        WHEN d >= 1000000 THEN 'head_tail' WHEN gain >= 0.02 OR span > 0.1 AND high16 >= 16 THEN 'remixed_pre_hashed' ELSE 'keep_pre_hashed' END AS strategy, CAST(high16 AS BIGINT) AS high16, round(gain, 6) AS remix_gain FROM j"""
+)
+def encoding_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strategies from measured profiles: span, high prefixes and what remixing gains over the current 4,096 buckets."""
+    values = _strategy_values(spark, sf_dir)
+    found = values.select("field").distinct()
+    rates = profile.collision_rates(values.where("v IS NOT NULL").distinct().withColumnRenamed("v", "leaf"), [4096], keys=("field",))
+    wide = profile.strategy_profile(values, "field", "v").join(found, "field", "right").join(rates.select("field", (F.col("raw_rate") - F.col("mixed_rate")).alias("remix_gain")), "field", "left")
+    wide = wide.withColumns({"buckets": F.lit(4096), "remix_gain": F.coalesce("remix_gain", F.lit(0.0))})
+    return sizing.encoding_strategy(wide).select("field", "strategy", "high16", F.round("remix_gain", 6).alias("remix_gain"))
+
+
+@query(
+    f"""WITH {_SPREAD}, w AS {_STRATEGY_VALUES}, p AS (SELECT field, count(*) AS cells, count(v) AS n, count(*) FILTER (v = 0) AS zeros, count(DISTINCT v) AS d FROM w GROUP BY field),
+    v AS (SELECT field, 'no values' AS rule, CAST(cells AS BIGINT) AS found FROM p WHERE n = 0 UNION ALL SELECT field, 'zero is reserved for padding', zeros FROM p WHERE zeros > 0 UNION ALL SELECT field, 'no bucket count fits', d FROM p WHERE n > 0 AND d > 1024)
+    SELECT * FROM v"""
+)
 def profile_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.gate(_brands(spark, sf_dir), {"many": F.col("distinct") > 100, "few": F.col("distinct") < 5})
+    """What speaks against using the fields of a profile."""
+    wide = profile.strategy_profile(_strategy_values(spark, sf_dir), "field", "v")
+    fields = wide.withColumn("buckets", F.when(F.col("distinct") <= 1024, sizing.power_of_two(F.col("distinct"))))
+    return contract.gate(fields, contract.FIELD_RULES).select("field", "rule", "found")
+
+
+@query(
+    f"""WITH {FLAT}, u AS (SELECT DISTINCT user_id FROM flat), v AS (SELECT 'dangling' AS rule, count(*) AS found FROM flat WHERE item_id % 11 = 0 OR user_id % 3 = 0 AND item_id % 5 = 0 UNION ALL SELECT 'duplicate_rows', count(*) FROM u WHERE user_id % 7 = 0 UNION ALL SELECT 'invalid', count(*) FROM flat WHERE item_id % 11 = 0)
+    SELECT 'indices' AS field, rule, found FROM v WHERE found > 0"""
+)
+def contract_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a contract that must be zero, as violations."""
+    from rankloom.plans.ranking import faulty
+
+    return contract.nonzero(contract.index_faults(faulty(spark, sf_dir), fixtures.LAYOUT), "indices")
 
 
 @query("WITH t AS (SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) END AS root, n_nationkey % 2 AS buckets, 8 AS width FROM nation) SELECT a.name, CASE WHEN b.root <> a.root THEN 'alias chain' ELSE 'buckets' END AS reason FROM t a JOIN t b ON b.name = a.root WHERE b.root <> a.root OR b.buckets <> a.buckets")
@@ -383,8 +462,9 @@ def overfull_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {REQ}, {SEEN}, m AS (SELECT user_id, request_id, id % 97 + 1 AS id FROM seen WHERE stream = 'purchase'),
-    p AS (SELECT user_id, request_id, round(avg(CAST(embedding[1] AS DOUBLE)), 3) + 0.0 AS first FROM m JOIN embeddings ON vec_id = id GROUP BY ALL)
-    SELECT r.user_id, r.request_id, coalesce(p.first, 0.0) AS first FROM req r LEFT JOIN p USING (user_id, request_id) WHERE r.user_id IN (SELECT o_custkey FROM orders)""")
+    p AS (SELECT user_id, request_id, d, avg(CAST(embedding[d] AS DOUBLE)) AS m FROM m JOIN embeddings ON vec_id = id CROSS JOIN (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL)
+    SELECT r.user_id, r.request_id, string_agg(CAST(CAST(round(coalesce(p.m, 0.0) * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY x.d) AS thousandths FROM req r CROSS JOIN (SELECT unnest(range(1, 65)) AS d) x LEFT JOIN p ON p.user_id = r.user_id AND p.request_id = r.request_id AND p.d = x.d
+    WHERE r.user_id IN (SELECT o_custkey FROM orders) GROUP BY ALL""")
 def sequence_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the embeddings of each request's visible purchases; zeros where it sees none."""
     nested = fixtures.nested(spark, sf_dir)
@@ -393,7 +473,7 @@ def sequence_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = expand.events(nested, own, fixtures.KEYS).groupBy("user_id", "request_id").agg(F.collect_list(F.col("id") % 97 + 1).alias("ids"))
     bags = every.join(ids, ["user_id", "request_id"], "left").select(F.struct("user_id", "request_id").alias("k"), F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
     table = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return metrics.pooled(bags, table, "k", "ids", 64).select("k.user_id", "k.request_id", (F.round(F.col("pooled")[0], 3) + 0.0).alias("first"))
+    return metrics.pooled(bags, table, "k", "ids", 64).select("k.user_id", "k.request_id", _thousandths("pooled").alias("thousandths"))
 
 
 @query("SELECT p_partkey, p_size FROM part")

@@ -39,7 +39,23 @@ def agg_rows(spark: SparkSession, rows: int, requests: int, candidates: int, eve
     )
 
 
-def multiplied(df: DataFrame, n: int, index: str, times: list[str], step_ms: int = 1000) -> DataFrame:
-    """Each row n times with a copy number and its times moved by it; indices stay row-local."""
-    copies = df.crossJoin(F.broadcast(df.sparkSession.range(n).withColumnRenamed("id", index)))
-    return copies.withColumns({c: F.transform(F.col(c), lambda t: t + F.col(index) * step_ms) for c in times})
+def multiplied(df: DataFrame, n: int, index: str, times: list[str], step_ms: int = 1000, ids: tuple[str, ...] = (), values: tuple[str, ...] = (), labels: tuple[str, ...] = (), members: tuple[str, ...] = (), requests: str = "context_indices") -> DataFrame:
+    """Each row n times with a copy number. Copy 0 is the row itself; in others times are moved by the
+    copy, ids get it as a suffix, hashed values are mixed with it, labels turn over in odd copies, and
+    memberships turn round the row's requests. Columns are scalars or lists of any depth; the index
+    columns stay, as they are local to a row."""
+    copies = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(index))
+    copy = F.col(index)
+    count = F.greatest(F.size(requests), F.lit(1)) if members else None
+
+    def deep(column: Column, kind: str, change, name: str) -> Column:
+        if kind.startswith("array<"):
+            return F.transform(column, lambda x: deep(x, kind[len("array<") : -1], change, name))
+        return F.when(copy == 0, column.cast("string") if name in ids else column).otherwise(change(column))
+
+    changes = {c: lambda t: t + copy * step_ms for c in times}
+    changes |= {c: lambda v: F.concat(v.cast("string"), F.lit("-"), copy.cast("string")) for c in ids}
+    changes |= {c: lambda v: F.when(v.isNotNull(), hashed(v, copy)) for c in values}
+    changes |= {c: lambda y: F.when(y.isin(0, 1) & (copy % 2 == 1), 1 - y).otherwise(y) for c in labels}
+    changes |= {c: lambda r: F.get(F.col(requests), ((F.array_position(F.col(requests), r) - 1 + copy) % count).cast("int")) for c in members}
+    return copies.withColumns({c: deep(F.col(c), df.schema[c].dataType.simpleString(), change, c) for c, change in changes.items()})

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.operators.batching import slices
+from rankloom.sources.shared import written
+
 
 def read_split(spark: SparkSession, inputs: list[str], columns: list[str], optional: list[str] | None = None) -> DataFrame:
     """Parquet files, folders, globs or addresses; optional columns only where they are there."""
@@ -53,14 +56,18 @@ def check_disjoint(train: DataFrame, test: DataFrame, keys: list[str]) -> None:
 
 def evenly_spaced(df: DataFrame, key: str, limit: int) -> DataFrame:
     """``limit`` distinct keys at even distances in sorted order, both ends included; the middle one
-    for limit 1. Keys are files or partitions, so the ranked table is small."""
-    keys = df.select(key).distinct()
-    ranked = keys.withColumn("at", F.row_number().over(Window.orderBy(key)) - 1).withColumn("last", F.count("*").over(Window.partitionBy()) - 1)
+    for limit 1. Keys are numbered in ranges, from the counts of the ranges before, and the wanted
+    places are found by equality."""
+    keys = slices(df.select(key).distinct(), [], [key], 1).withColumnRenamed("slice", "at")
+    keys = written(keys.select(key, "at"), "numbered")
+    last = keys.agg((F.count("*") - 1).alias("last"))
     if limit == 1:
-        return ranked.where("at = floor(last / 2)").select(key)
-    wanted = df.sparkSession.range(limit).select(F.col("id").alias("i"))
-    place = F.floor(F.col("i") * F.col("last") / (limit - 1))
-    return ranked.join(F.broadcast(wanted), (F.col("last") >= limit) & (F.col("at") == place) | (F.col("last") < limit) & (F.col("at") == F.col("i"))).select(key).distinct()
+        wanted = last.select(F.floor(F.col("last") / 2).alias("at"))
+    else:
+        i = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("last"), F.lit(limit - 1).cast("long")))).alias("i")
+        place = F.when(F.col("last") >= limit, F.floor(F.col("i") * F.col("last") / (limit - 1))).otherwise(F.col("i"))
+        wanted = last.where("last >= 0").select("last", i).select(place.alias("at")).distinct()
+    return keys.join(wanted, "at").select(key)
 
 
 def freeze_manifest(df: DataFrame, key: str, limit: int, path: str) -> None:
@@ -72,8 +79,8 @@ def freeze_manifest(df: DataFrame, key: str, limit: int, path: str) -> None:
 
 
 def held_out(df: DataFrame, key: str, manifest: DataFrame) -> DataFrame:
-    """Rows of the frozen keys."""
-    return df.join(F.broadcast(manifest), key, "left_semi")
+    """Rows of the frozen keys. Spark broadcasts the manifest if its size allows."""
+    return df.join(manifest, key, "left_semi")
 
 
 def with_file(df: DataFrame) -> DataFrame:
@@ -83,7 +90,12 @@ def with_file(df: DataFrame) -> DataFrame:
 def first_files(df: DataFrame, n: int, key: str = "input_file") -> DataFrame:
     """Rows of the first n files in path order."""
     files = df.select(key).distinct().orderBy(key).limit(n)
-    return df.join(F.broadcast(files), key, "left_semi")
+    return df.join(files, key, "left_semi")
+
+
+def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in an order; a top-k in each task, so the whole isn't sorted."""
+    return df.orderBy(*order).limit(n)
 
 
 def split_statistics(df: DataFrame, candidates: str, file: str = "input_file") -> DataFrame:
@@ -104,12 +116,22 @@ def renamed(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 
 
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Footers of the files with these addresses, read where they lie: of each its last bytes only."""
     import pyarrow.parquet as pq
+    from pyarrow import fs
 
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.int64(), pa.string())
+    names = ["file", "rows", "group_rows", "column", "type", "bytes", "error"]
     for batch in batches:
-        rows = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            meta = pq.ParquetFile(pa.BufferReader(content)).metadata
+        rows: list[tuple] = []
+        for address in batch.column(0).to_pylist():
+            try:
+                store, path = fs.FileSystem.from_uri(address.replace("file:/", "file:///", 1) if address.startswith("file:/") and not address.startswith("file://") else address)
+                with store.open_input_file(path) as source:
+                    meta = pq.read_metadata(source)
+            except (OSError, pa.ArrowException) as e:
+                rows.append((address, None, None, None, None, None, type(e).__name__))
+                continue
             schema = meta.schema.to_arrow_schema()
             sizes: dict[str, int] = {}
             for g in range(meta.num_row_groups):
@@ -117,22 +139,25 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     column = meta.row_group(g).column(c)
                     name = column.path_in_schema.split(".")[0]
                     sizes[name] = sizes.get(name, 0) + column.total_compressed_size
-            rows += [(path, meta.num_rows, meta.num_row_groups, f.name, str(f.type), sizes.get(f.name, 0)) for f in schema]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "rows", "row_groups", "column", "type", "bytes"])
+            groups = [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]
+            rows += [(address, meta.num_rows, groups, f.name, str(f.type), sizes.get(f.name, 0), None) for f in schema]
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def footers(spark: SparkSession, path: str, suffix: str = "*.parquet") -> DataFrame:
-    """One row per file and column: rows, row_groups, column, type, compressed bytes. Files come
-    through Spark's reader, so any store works."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(_footers, "file string, rows long, row_groups long, column string, type string, bytes long")
+def footers(spark: SparkSession, path: str, suffix: str = "*.parquet", sample: int | None = None) -> DataFrame:
+    """One row per file and column: rows, group_rows, column, type, compressed bytes; a file whose
+    footer can't be read has one row with the error. Spark lists the files; contents aren't loaded.
+    With ``sample`` only that many files, the ones with the smallest hash of their path, are looked at."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path).select("path")
+    if sample is not None:
+        files = files.orderBy(F.xxhash64("path"), "path").limit(sample).repartition(max(1, min(sample, 64)))
+    return files.mapInArrow(_footers, "file string, rows long, group_rows array<long>, column string, type string, bytes long, error string")
 
 
 def schema_report(found: DataFrame) -> DataFrame:
-    """(fingerprint, files) of the files' schemas; more than one row means they differ."""
-    by_file = found.groupBy("file").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("column", "type")))), 256).alias("fingerprint"))
+    """(fingerprint, files) of the schemas of readable files; more than one row means they differ."""
+    by_file = found.where("error IS NULL").groupBy("file").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("column", "type")))), 256).alias("fingerprint"))
     return by_file.groupBy("fingerprint").agg(F.count("*").alias("files"))
 
 
@@ -141,16 +166,31 @@ def projected_bytes(found: DataFrame, columns: list[str]) -> DataFrame:
     return found.where(F.col("column").isin(columns)).groupBy("file").agg(F.sum("bytes").alias("bytes"))
 
 
-def read_with_budget(spark: SparkSession, path: str, schema: str, most_skipped: int) -> DataFrame:
-    """Rows of readable files; more than ``most_skipped`` unreadable ones are an error. Files are
-    told apart by a read that keeps counts only."""
+def read_losses(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, rows, lost_rows, lost_groups, error) by file: what the footer promises, and how much of it
+    a lenient read, which stops at a file's first fault, doesn't give. A file without rows is sound;
+    one without a readable footer has its error and unknown losses."""
+    told = footers(spark, path).groupBy("file").agg(F.max("rows").alias("rows"), F.first("group_rows").alias("groups"), F.max("error").alias("error"))
     lenient = spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(path)
-    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("file"))
-    read = lenient.select(F.col("_metadata.file_path").alias("file")).distinct()
-    skipped = every.join(read, "file", "left_anti").count()
-    if skipped > most_skipped:
-        raise ValueError(f"{skipped} files can't be read; the budget is {most_skipped}")
-    return lenient
+    # The hash makes Spark read all columns: a count alone would come from the footers.
+    given = lenient.groupBy(F.col("_metadata.file_path").alias("given")).agg(F.count("*").alias("n"), F.max(F.xxhash64(*lenient.columns)).alias("read"))
+    given = given.select("given", F.when(F.col("read").isNotNull(), F.col("n")).alias("n"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    joined = told.join(given, plain(F.col("file")) == plain(F.col("given")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ends = F.transform("groups", lambda x, i: F.aggregate(F.slice("groups", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y))
+    lost = F.size(F.filter(ends, lambda e: e > F.col("n")))
+    return joined.select("file", "rows", F.greatest(F.lit(0).cast("long"), F.col("rows") - F.col("n")).alias("lost_rows"), F.when(F.col("groups").isNotNull(), lost).alias("lost_groups"), "error")
+
+
+def read_with_budget(spark: SparkSession, path: str, schema: str, most_files: int, most_rows: int | None = None, most_groups: int | None = None) -> DataFrame:
+    """Rows that can be read; more files with a fault than ``most_files``, or more lost rows or row
+    groups than their budgets, are an error."""
+    faulty = F.col("error").isNotNull() | (F.col("lost_rows") > 0)
+    found = read_losses(spark, path, schema).agg(F.count_if(faulty).alias("files"), F.sum("lost_rows").alias("rows"), F.sum("lost_groups").alias("groups")).first()
+    for name, most in (("files", most_files), ("rows", most_rows), ("groups", most_groups)):
+        if most is not None and (found[name] or 0) > most:
+            raise ValueError(f"{found[name]} {name} can't be read; the budget is {most}")
+    return spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(path)
 
 
 def json_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -161,3 +201,19 @@ def json_rows(spark: SparkSession, path: str) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """A report as JSON lines, one object per row."""
     report.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+
+
+def nested_report(tables: dict[str, DataFrame], by: str = "field") -> DataFrame:
+    """One row with a JSON object: of each named profile table the rows by field, or a list of its rows
+    where it has no such column. Profile tables have a few rows a field, so they fit a row."""
+    parts = None
+    for name, df in tables.items():
+        row = F.struct(*(c for c in df.columns if c != by))
+        if by in df.columns:
+            own = df.groupBy(F.col(by).cast("string").alias("k")).agg(F.collect_list(row).alias("v")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("v"))
+        else:
+            own = df.agg(F.collect_list(row).alias("v"))
+        one = own.select(F.to_json("v").alias("v"), F.lit(name).alias("name"))
+        parts = one if parts is None else parts.unionByName(one)
+    text = F.concat(F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(":"), F.col("v"))
+    return parts.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(text)), ","), F.lit("}")).alias("report"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators.metrics import histogram, histogram_auc, probability_bin
+from rankloom.operators.metrics import bce, histogram, histogram_auc, probability_bin, sigmoid
+from rankloom.sources.shared import written
 
 
 def stream_files(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -33,22 +34,57 @@ def file_times(df: DataFrame) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified")).distinct()
 
 
-def running_histogram(stream: DataFrame, keys: list[str], state: str, checkpoint: str) -> None:
-    """Each batch's counts by bin go to a folder of their own; the metric adds them up."""
+def rescanned(spark: SparkSession, path: str, schema, out: str, checkpoint: str, seen: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> bool:
+    """Ingest what is new below ``path``; if a file seen before was rewritten, start again with another
+    output and checkpoint, so no row of its former content stays. ``seen`` holds the files' times and
+    the number of the run; returns whether it was a rescan. The output is below ``out``/run=number."""
+    now = written(file_times(spark.read.schema(schema).parquet(path)), "file-times")
+    marks = spark._jvm.org.apache.hadoop.fs.Path(seen)
+    known = marks.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marks)
+    before = written(spark.read.parquet(seen), "file-times") if known else now.withColumn("run", F.lit(0))
+    again = known and not changed_files(now, before.drop("run")).isEmpty()
+    run = (before.agg(F.max("run")).first()[0] or 0) + int(again)
+    ingest(stream_files(spark, path, schema), f"{out}/run={run}", f"{checkpoint}/{run}", transform)
+    now.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(seen)
+    return again
+
+
+def running_monitor(stream: DataFrame, keys: list[str], state: str, checkpoint: str) -> None:
+    """Each batch's sums for the monitor go to a folder of their own."""
+    x, y = F.col("logit").cast("double"), F.col("label")
+    sums = [F.count("*").alias("n"), *(F.sum(v).alias(c) for c, v in (("l", bce(x, y)), ("q", sigmoid(x)), ("x", x), ("xx", x * x)))]
+    _by_batch(stream, lambda batch: batch.groupBy(*keys).agg(*sums), state, checkpoint)
+
+
+def monitored(spark: SparkSession, keys: list[str], state: str) -> DataFrame:
+    """The monitor over all batches: examples, loss, prob_mean, logit_mean, logit_std."""
+    sums = spark.read.parquet(state).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "l", "q", "x", "xx")))
+    mean = F.col("x") / F.col("n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("xx") / F.col("n") - mean * mean))
+    return sums.select(*keys, F.col("n").alias("examples"), F.round(F.col("l") / F.col("n"), 6).alias("loss"), F.round(F.col("q") / F.col("n"), 6).alias("prob_mean"), F.round(mean, 6).alias("logit_mean"), F.round(spread, 6).alias("logit_std"))
+
+
+def _by_batch(stream: DataFrame, counted: Callable[[DataFrame], DataFrame], state: str, checkpoint: str) -> None:
+    """What each batch counts to goes to a folder of its own, so a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        histogram(batch, keys, probability_bin(F.col("logit"))).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        counted(batch).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def running_histogram(stream: DataFrame, keys: list[str], state: str, checkpoint: str) -> None:
+    """Each batch's counts by bin; the metric adds them up."""
+    _by_batch(stream, lambda batch: histogram(batch, keys, probability_bin(F.col("logit"))), state, checkpoint)
+
+
 def running_auc(spark: SparkSession, keys: list[str], state: str) -> DataFrame:
     merged = spark.read.parquet(state).groupBy(*keys, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return histogram_auc(merged, keys)
 
 
-def running_counters(stream: DataFrame, keys: list[str], counters: dict, name: str, checkpoint: str) -> DataFrame:
-    """Streaming aggregates by key in a memory table: counters merge across batches."""
-    query = stream.groupBy(*keys).agg(*(c.alias(n) for n, c in counters.items())).writeStream.format("memory").queryName(name).outputMode("complete")
-    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def running_counters(stream: DataFrame, keys: list[str], counters: dict, state: str, checkpoint: str) -> DataFrame:
+    """Sums and counts by key, which merge by addition: each batch's are written, and added up by who
+    reads the result. No state is held by a stream or the driver."""
+    _by_batch(stream, lambda batch: batch.groupBy(*keys).agg(*(c.alias(n) for n, c in counters.items())), state, checkpoint)
+    return stream.sparkSession.read.parquet(state).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in counters))

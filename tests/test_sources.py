@@ -1,7 +1,13 @@
+import glob
+import json
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import contract, expand, profile
+from rankloom.operators import contract, expand, metrics, profile
 from rankloom.operators.spec import Layout, Sequence
 from rankloom.sources import generate, readers
 from rankloom.sources.shared import shared_folder
@@ -51,23 +57,96 @@ def test_manifest(spark, folder):
         readers.freeze_manifest(files.limit(0), "input_file", 2, shared_folder(spark, "none"))
 
 
-def test_budget(spark, folder):
-    import glob
+def local(path):
+    return path.removeprefix("file://").removeprefix("file:")
 
-    path = shared_folder(spark, "broken")
-    spark.read.parquet(folder).repartition(3).write.parquet(path)
-    victim = sorted(glob.glob(path.removeprefix("file:") + "/*.parquet"))[0]
-    with open(victim, "wb") as f:
-        f.write(b"not parquet at all")
-    import os
 
-    crc = os.path.join(os.path.dirname(victim), f".{os.path.basename(victim)}.crc")
+def damage(path, content):
+    """Another content for a file that Spark has written, without its checksum."""
+    with open(path, "wb") as f:
+        f.write(content)
+    crc = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc")
     if os.path.exists(crc):
         os.remove(crc)
+
+
+def test_budget(spark, folder):
+    path = shared_folder(spark, "broken")
     schema = spark.read.parquet(folder).schema
+    spark.read.parquet(folder).repartition(3).write.parquet(path)
+    spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(path)  # a sound file without rows
+    assert readers.read_with_budget(spark, path, schema, 0).count() == 20
+    victim = next(f for f in sorted(glob.glob(local(path) + "/*.parquet")) if pq.read_metadata(f).num_rows)
+    damage(victim, b"not parquet at all")
     assert 0 < readers.read_with_budget(spark, path, schema, 1).count() < 20
-    with pytest.raises(ValueError, match="budget"):
+    with pytest.raises(ValueError, match="1 files can't be read; the budget is 0"):
         readers.read_with_budget(spark, path, schema, 0)
+    found = readers.read_losses(spark, path, schema)
+    assert found.count() == 4 and found.where("error IS NOT NULL").count() == 1 and found.where("lost_rows > 0").count() == 0
+
+
+def test_budget_by_rows_and_row_groups(spark, tmp_path):
+    table = pa.table({"x": pa.array(range(3000), pa.int64())})
+    path = str(tmp_path / "a.parquet")
+    pq.write_table(table, path, row_group_size=1000, compression="none", use_dictionary=False)
+    start = pq.read_metadata(path).row_group(2).column(0).data_page_offset
+    content = bytearray(open(path, "rb").read())
+    content[start : start + 40] = b"\xff" * 40
+    open(path, "wb").write(bytes(content))
+    r = readers.read_losses(spark, str(tmp_path), "x long").first()
+    assert (r["rows"], r["error"]) == (3000, None) and r["lost_rows"] >= 1000 and r["lost_groups"] >= 1
+    with pytest.raises(ValueError, match="rows can't be read"):
+        readers.read_with_budget(spark, str(tmp_path), "x long", 1, most_rows=10)
+    with pytest.raises(ValueError, match="groups can't be read"):
+        readers.read_with_budget(spark, str(tmp_path), "x long", 1, most_groups=0)
+
+
+def test_nested_report(spark):
+    a = spark.createDataFrame([("f", 1), ("g", 2), ("f", 3)], "field string, n long")
+    b = spark.createDataFrame([(7,)], "total long")
+    assert json.loads(readers.nested_report({"fields": a, "sums": b}).first()[0]) == {"fields": {"f": [{"n": 1}, {"n": 3}], "g": [{"n": 2}]}, "sums": [{"total": 7}]}
+
+
+def test_multiplied_rows_differ(spark, folder):
+    df = spark.read.parquet(folder)
+    out = generate.multiplied(df, 3, "copy", ["impr_time"], values=("item_id",), labels=("label",), members=("click_members",), ids=("row",))
+    assert out.count() == 60 and out.select("row").distinct().count() == 60
+    r = {x["copy"]: x for x in out.where("row = '0' OR row LIKE '0-%'").collect()}
+    assert r[0]["item_id"] != r[1]["item_id"] != r[2]["item_id"] and len(r[1]["item_id"]) == 12
+    assert [[1 - y for y in x] for x in r[0]["label"]] == r[1]["label"] and r[0]["label"] == r[2]["label"]
+    assert all(set(m) == set(n) or [(x + 1) % 3 for x in m] == n for m, n in zip(r[0]["click_members"], r[1]["click_members"], strict=True))
+    assert contract.index_faults(out, LAYOUT).first().asDict() == {"invalid": 0, "duplicate_rows": 0, "dangling": 0}
+
+
+def test_rewritten_inputs_are_rescanned(spark):
+    top = shared_folder(spark, "rescan")
+    one = spark.range(5).coalesce(1)
+    one.write.parquet(f"{top}/in")
+    run = lambda: incremental.rescanned(spark, f"{top}/in", "id long", f"{top}/out", f"{top}/c", f"{top}/seen")
+    assert not run() and not run()
+    spark.range(5, 7).coalesce(1).write.mode("append").parquet(f"{top}/in")
+    assert not run() and spark.read.parquet(f"{top}/out/run=0").count() == 7
+    victim = sorted(glob.glob(local(f"{top}/in") + "/*.parquet"))[0]
+    other = pa.BufferOutputStream()
+    pq.write_table(pa.table({"id": pa.array([100], pa.int64())}), other)
+    n = pq.read_metadata(victim).num_rows
+    damage(victim, other.getvalue().to_pybytes())
+    os.utime(victim, (2_000_000_000, 2_000_000_000))
+    assert run() and spark.read.parquet(f"{top}/out/run=1").count() == 7 - n + 1
+
+
+def test_running_monitor_equals_the_whole(spark):
+    top = shared_folder(spark, "monitor")
+    rows = spark.range(200).select((F.col("id") % 3).alias("task"), (F.col("id") / 40 - 2).alias("logit"), (F.col("id") % 2).cast("int").alias("label"))
+    rows.repartition(5).write.parquet(f"{top}/in")
+    for _ in range(2):
+        incremental.running_monitor(incremental.stream_files(spark, f"{top}/in", rows.schema, 1), ["task"], f"{top}/state", f"{top}/c")
+    assert sorted(map(tuple, incremental.monitored(spark, ["task"], f"{top}/state").collect())) == sorted(map(tuple, metrics.monitor(rows, ["task"]).collect()))
+
+
+def test_sampled_schema_check(spark, folder):
+    found = readers.footers(spark, folder, sample=2)
+    assert found.select("file").distinct().count() == 2 and readers.schema_report(found).count() == 1
 
 
 def test_aliases(spark):
@@ -104,7 +183,7 @@ def test_streams(spark, folder):
         incremental.ingest(read(), f"{top}/out", f"{top}/c1", flat)
     got = spark.read.parquet(f"{top}/out").drop("batch")
     assert got.exceptAll(flat(spark.read.parquet(folder))).count() == 0 and got.count() == 240
-    counters = incremental.running_counters(read(), ["row"], {"n": F.sum(F.size("target_indices"))}, "counted", f"{top}/c2")
+    counters = incremental.running_counters(read(), ["row"], {"n": F.sum(F.size("target_indices"))}, f"{top}/s2", f"{top}/c2")
     assert counters.agg(F.sum("n")).first()[0] == 240
     times = incremental.file_times(spark.read.parquet(folder))
     assert incremental.changed_files(times, times).count() == 0
