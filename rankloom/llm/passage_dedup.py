@@ -48,9 +48,9 @@ BANDS, ROWS, UNIT, LOOK = 8, 3, 16, 36
 WRAPPED, REACH = 40, LOOK - 1
 #: Lines of fewer words are equal if similar.
 BANDED_WORDS = 8
-BUCKET, FILTER_BUCKETS, _NO_ID = 8192, 1 << 18, -(1 << 63)
+BUCKET, FILTER_BUCKETS, _NO_ID = 512, 1 << 18, -(1 << 63)
 #: Characters of text that are cut at a time; words whose hashes a task remembers.
-BATCH_CHARS, KNOWN_WORDS = 1 << 20, 200_000
+BATCH_CHARS, KNOWN_WORDS = 1 << 20, 400_000
 _LAST = np.uint64(2**64 - 1)
 _RANDOM = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, (3, 80), dtype=np.uint64) | np.uint64(1)
 _KEY = ["k", "h"]
@@ -75,32 +75,43 @@ class _Known(dict):
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
+
+
+def _shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles that begin at each word; LAST at the end, where none does."""
+    whole = np.zeros(max(0, len(hashes) - SHINGLE + 1), np.uint64)
+    for j in range(SHINGLE):
+        whole += hashes[j : j + len(whole)] * _RANDOM[2, j]
+    return np.append(_mixed(whole), np.full(SHINGLE, _LAST))
+
 
 class Words:
     """The words of some texts side by side, A-Z lower-cased, as hashes."""
 
-    def __init__(self, texts: Iterable[str | None], known: _Known | None = None, lines_too: bool = True) -> None:
+    def __init__(self, texts: Iterable[str | None], known: _Known | None = None) -> None:
         known = _Known() if known is None else known
         words: list[bytes] = []
         lines: list[int] = []
         cuts, line_cuts = [0], [0]
         for text in texts:
-            data = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
-            for line in data.split(b"\n") if lines_too else (data,):
+            for line in _lowered(text).split(b"\n"):
                 own = line.split()
                 words += own
                 lines.append(len(own))
             cuts.append(len(words))
             line_cuts.append(len(lines))
-        if len(known) > KNOWN_WORDS:
-            known.clear()
         self.n = len(words)
-        self.hashes = np.fromiter(map(known.__getitem__, words), np.uint64, self.n)
+        self.hashes = known.hashes(words)
         self.cuts, self.lines, self.line_cuts = np.array(cuts), np.array(lines, np.int64), np.array(line_cuts)
-        whole = np.zeros(max(0, self.n - SHINGLE + 1), np.uint64)
-        for j in range(SHINGLE):
-            whole += self.hashes[j : j + len(whole)] * _RANDOM[2, j]
-        self.shingles = np.append(_mixed(whole), np.full(SHINGLE, _LAST))
+        self.shingles = _shingles(self.hashes)
 
     def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and word counts of lines and of runs of wrapped ones."""
@@ -147,18 +158,6 @@ class Words:
                 keys[b] = _mixed((keys[b] ^ least) + _RANDOM[2, 32 + k])
         return keys.T
 
-    def shingle_set(self, text: int, start: int, n: int) -> np.ndarray:
-        at = int(self.cuts[text]) + start
-        return np.unique(self.shingles[at : at + n - SHINGLE + 1]).view(np.int64)
-
-    def near(self, text: int, at: int, right: bool) -> bytes:
-        """Hashes of the REACH words after or before a place of a text, the nearest first; 0 past its end."""
-        low, high = int(self.cuts[text]), int(self.cuts[text + 1])
-        own = self.hashes[low + at : min(high, low + at + REACH)] if right else self.hashes[max(low, low + at - REACH) : low + at][::-1]
-        out = np.zeros(REACH, np.uint64)
-        out[: len(own)] = np.where(own == 0, np.uint64(1), own)
-        return out.tobytes()
-
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of a column's texts of about BATCH_CHARS together, with the row of the first."""
@@ -201,19 +200,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, shingles) of the wanted places (start, n, cid) of each text."""
+    """(cid, shingles) of the wanted places (start, n, cid) of each text; only their words are hashed."""
     known = _Known()
     for batch in batches:
         for at, texts in _texts(batch.column(0)):
-            w = Words(texts, known, lines_too=False)
-            cids, out = [], []
-            for i, wanted in enumerate(each_value(batch.column(1).slice(at, len(texts)))):
+            words: list[bytes] = []
+            cids, cuts = [], [0]
+            for text, wanted in zip(texts, each_value(batch.column(1).slice(at, len(texts))), strict=True):
+                own = _lowered(text).split()
                 for x in wanted:
                     cids.append(x["cid"])
-                    out.append(w.shingle_set(i, x["start"], x["n"]))
-            cuts = np.cumsum([0, *map(len, out)])
-            values = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))], ["cid", "shingles"])
+                    words += own[x["start"] : x["start"] + x["n"]]
+                    cuts.append(len(words))
+            found = _shingles(known.hashes(words))
+            sets = [np.unique(found[s : e - SHINGLE + 1]).view(np.int64) for s, e in zip(cuts, cuts[1:])]  # noqa: B905
+            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(values))], ["cid", "shingles"])
     del known
     release_memory()
 
@@ -284,12 +286,16 @@ def _blocks(members: DataFrame, counts: DataFrame, bucket_rows: int) -> DataFram
 
 
 def _rarest(members: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(key, cid): members of large buckets by the shingles of which two similar ones must share one."""
-    tokens = written(members.select("key", "cid").join(shingles, "cid").select("key", "cid", F.size("shingles").alias("size"), F.explode("shingles").alias("s")), "tokens")
-    counts = written(tokens.groupBy("key", "s").agg(F.count("*").alias("f")), "token-counts")
-    rank = F.row_number().over(Window.partitionBy("key", "cid").orderBy("f", "s"))
-    first = tokens.join(counts, ["key", "s"]).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1)
-    return written(first.where("f > 1").select(F.xxhash64("key", "s").alias("key"), "cid"), "rarest")
+    """(key, cid): contents of large buckets by the shingles of which two similar ones must share one.
+    Shingles are ordered by how many of these contents have them, whatever their buckets, so each
+    content's are listed once."""
+    tokens = written(members.select("cid").distinct().join(shingles, "cid").select("cid", F.size("shingles").alias("size"), F.explode("shingles").alias("s")), "tokens")
+    counts = written(tokens.groupBy("s").agg(F.count("*").alias("f")), "token-counts")
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("f", "s"))
+    first = tokens.join(counts, "s").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1)
+    out = written(first.where("f > 1").select(F.col("s").alias("key"), "cid"), "rarest")
+    discard(tokens, counts)
+    return out
 
 
 def similar_contents(docs: DataFrame, contents: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
@@ -339,38 +345,64 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     return met.select("k", "h", "start", "n", *(F.col(f"keep.{x}").alias(f"keep_{x}") for x in ("k", "h", "start", "n")))
 
 
-def _stays(row: dict, k: int, h: int) -> bool:
-    return (row["keep_k"], row["keep_h"], row["keep_start"]) == (k, h, row["start"])
+class _Units:
+    """The units of a batch of documents (k, h, units), side by side."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        lists = batch.column(2)
+        self.doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        rows = lists.flatten()
+        self.start, self.n, self.keep_k, self.keep_h, self.keep_start, self.keep_n = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+        self.k, self.h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        self.end = self.start.astype(np.int64) + self.n
+        self.same = (self.keep_k == self.k[self.doc]) & (self.keep_h == self.h[self.doc])
+        self.stays = self.same & (self.keep_start == self.start)
+
+    def runs(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chosen units: their numbers by document and place, which of them open a run of units
+        that touch, and how far the run reaches by then."""
+        order = np.nonzero(some)[0]
+        order = order[np.lexsort((self.end[order], self.start[order], self.doc[order]))]
+        far = self.doc[order].astype(np.int64) << 40  # no unit reaches into the next document
+        reached = np.maximum.accumulate(far + self.end[order]) if len(order) else far
+        opens = np.append(True, far[1:] + self.start[order][1:] > reached[:-1])[: len(order)]
+        return order, opens, reached - far
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k, h, units): both ends of each run of units that don't stay, with the place in the kept copy."""
     for batch in batches:
-        out: list[tuple] = []
-        for k, h, units in zip(*map(each_value, batch.columns), strict=True):
-            gone = sorted((u["start"], u["start"] + u["n"], j) for j, u in enumerate(units) if not _stays(u, k, h))
-            for i, (start, end, j) in enumerate(gone):
-                u = units[j]
-                opens, reached = not i or start > reached, end if not i else max(reached, end)  # noqa: F821
-                if (u["keep_k"], u["keep_h"]) == (k, h):
-                    continue
-                if opens:
-                    out.append((k, h, start, False, u["keep_k"], u["keep_h"], u["keep_start"]))
-                if end == reached and (i + 1 == len(gone) or gone[i + 1][0] > reached):
-                    out.append((k, h, end, True, u["keep_k"], u["keep_h"], u["keep_start"] + u["keep_n"]))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["k", "h", "at", "right", "keep_k", "keep_h", "keep_at"])
+        u = _Units(batch)
+        order, opens, reached = u.runs(~u.stays)
+        closes = np.append(opens[1:], True)[: len(order)] & (u.end[order] == reached)
+        left, right = order[opens & ~u.same[order]], order[closes & ~u.same[order]]
+        both = np.concatenate((left, right))
+        is_right = np.arange(len(both)) >= len(left)
+        at, keep_at = np.where(is_right, u.end[both], u.start[both]), u.keep_start[both] + np.where(is_right, u.keep_n[both], 0)
+        columns = [(u.k[u.doc[both]], pa.int64()), (u.h[u.doc[both]], pa.int32()), (at, pa.int32()), (is_right, pa.bool_()), (u.keep_k[both], pa.int64()), (u.keep_h[both], pa.int32()), (keep_at, pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["k", "h", "at", "right", "keep_k", "keep_h", "keep_at"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, h, at, right, near) of the wanted places (at, right) of each text."""
+    """(k, h, at, right, near) of the wanted places (at, right) of each text: hashes of the REACH words
+    after or before a place, the nearest first; 0 past the text's end."""
     known = _Known()
     for batch in batches:
         for at, texts in _texts(batch.column(2)):
-            w = Words(texts, known, lines_too=False)
-            rows = [(i + at, x["at"], x["right"], w.near(i, x["at"], x["right"])) for i, wanted in enumerate(each_value(batch.column(3).slice(at, len(texts)))) for x in wanted]
+            words: list[bytes] = []
+            rows, sizes = [], []
+            for i, (text, wanted) in enumerate(zip(texts, each_value(batch.column(3).slice(at, len(texts))), strict=True)):
+                own = _lowered(text).split()
+                for x in wanted:
+                    near = own[x["at"] : x["at"] + REACH] if x["right"] else own[max(0, x["at"] - REACH) : x["at"]][::-1]
+                    words += near
+                    rows.append((i + at, x["at"], x["right"]))
+                    sizes.append(len(near))
+            found = np.zeros((len(rows), REACH), np.uint64)
+            found[np.arange(REACH) < np.array(sizes, np.int64)[:, None]] = np.maximum(known.hashes(words), np.uint64(1))
             own = pa.array([x[0] for x in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array([x[i] for x in rows], t) for i, t in ((1, pa.int32()), (2, pa.bool_()), (3, pa.binary())))], ["k", "h", "at", "right", "near"])
+            near = pa.array([x.tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.bool_()), near], ["k", "h", "at", "right", "near"])
     del known
     release_memory()
 
@@ -406,33 +438,31 @@ def grown(docs: DataFrame, units: DataFrame) -> DataFrame:
     return rows.mapInArrow(_grow, "k long, h int, start int, n int, keep_k long, keep_h int, keep_start int, keep_n int").where("n > 0")
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Spans (start, end) joined where they touch."""
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return out
+def _spans(u: _Units, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the chosen units: document, start, end; and the chosen units' numbers with their run."""
+    order, opens, reached = u.runs(some)
+    first = np.nonzero(opens)[0]
+    last = np.append(first[1:], len(order))[: len(first)] - 1
+    run = np.full(len(some), -1)
+    run[order] = np.cumsum(opens) - 1
+    return u.doc[order[first]], u.start[order[first]].astype(np.int64), reached[last], run
 
 
 def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for i, (k, h, units) in enumerate(zip(*map(each_value, batch.columns), strict=True)):
-            passages = [p for p in _merged([(u["start"], u["start"] + u["n"]) for u in units]) if p[1] - p[0] >= MIN_PASSAGE]
-            if not passages:
-                continue
-            starts, ends = (np.array([p[x] for p in passages]) for x in (0, 1))
-            at = np.searchsorted(starts, [u["start"] for u in units], "right") - 1
-            inside = [u for u, p in zip(units, at, strict=True) if p >= 0 and u["start"] < ends[p]]
-            removed = _merged([(u["start"], u["start"] + u["n"]) for u in inside if not _stays(u, k, h)])
-            keep = sorted({u["keep_k"] for u in inside})
-            rows.append((i, [{"first": s, "last": e - 1} for s, e in removed], sum(e - s for s, e in removed), [None if x == _NO_ID else x for x in keep]))
-        span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        own = batch.column(0).take(pa.array([x[0] for x in rows], pa.int64()))
-        yield pa.RecordBatch.from_arrays([own, pa.array([x[1] for x in rows], span), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.list_(pa.int64())), pa.array([x[3][0] for x in rows], pa.int64())], ["k", "removed", "removed_words", "keep_ids", "cluster_id"])
+        u = _Units(batch)
+        _, start, end, run = _spans(u, np.ones(len(u.doc), bool))
+        inside = (end - start >= MIN_PASSAGE)[run] if len(run) else np.zeros(0, bool)
+        doc, first, last, _ = _spans(u, inside & ~u.stays)
+        docs = np.unique(u.doc[inside])
+        cuts = np.searchsorted(doc, np.append(docs, len(batch)))
+        spans = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last - 1, pa.int32())], ["first", "last"])
+        sums = np.append(0, np.cumsum(last - first))
+        pairs = np.unique(np.stack((u.doc[inside], u.keep_k[inside]), axis=1), axis=0)
+        at = np.searchsorted(pairs[:, 0], np.append(docs, len(batch)))
+        keep = pa.array(pairs[:, 1], pa.int64(), mask=pairs[:, 1] == _NO_ID)
+        columns = [pa.array(u.k[docs], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans), pa.array(sums[cuts[1:]] - sums[cuts[:-1]], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), keep), keep.take(pa.array(at[:-1]))]
+        yield pa.RecordBatch.from_arrays(columns, ["k", "removed", "removed_words", "keep_ids", "cluster_id"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
