@@ -48,7 +48,7 @@ BANDS, ROWS, UNIT, LOOK = 7, 3, 13, 39
 WRAPPED, REACH = 40, LOOK - 1
 #: Lines of fewer words are equal if similar.
 BANDED_WORDS = 8
-BUCKET, FILTER_BUCKETS, _NO_ID = 512, 1 << 18, -(1 << 63)
+BUCKET, SHINGLES_AT_ONCE, FILTER_BUCKETS, _NO_ID = 4096, 1 << 20, 1 << 18, -(1 << 63)
 #: Characters of text that are cut at a time; words whose hashes a task remembers.
 BATCH_CHARS, KNOWN_WORDS = 1 << 20, 400_000
 _LAST = np.uint64(2**64 - 1)
@@ -220,12 +220,18 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def similar(cids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Spanning edges between the members of a bucket whose shingle sets have SIMILARITY or more."""
+def similar(cids: list[int], sets: list[np.ndarray], most: int = SHINGLES_AT_ONCE) -> list[tuple[int, int]]:
+    """Spanning edges between the members of a bucket whose shingle sets have SIMILARITY or more. If
+    they have more than ``most`` shingles together, each two parts of half of that are compared in turn."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
         common = len(set(sets[0].tolist()).intersection(sets[1].tolist())) if sizes.min() >= SIMILARITY * sizes.max() - 1e-9 else 0
         return [(cids[0], cids[1])] if common >= SIMILARITY * (sizes.sum() - common) - 1e-9 else []
+    part = np.cumsum(sizes) // (most // 2 + 1)
+    if len(numbers := np.unique(part)) > 2:
+        parts = [np.nonzero(part == p)[0] for p in numbers]
+        pairs = [np.concatenate((x, y)) for i, x in enumerate(parts) for y in parts[i + 1 :]]
+        return [e for own in pairs for e in similar([cids[i] for i in own], [sets[i] for i in own], int(sizes[own].sum()) * 2)]
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(ids, kind="stable")

@@ -180,7 +180,8 @@ def test_paragraph_clusters_equal_brute_force():
     sets = [np.unique(passage_dedup.Words([t]).shingles[:56]) for t in texts]
     close = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
     want = brute.groups([(i, j) for i in range(40) for j in range(i + 1, 40) if close(sets[i], sets[j])], range(40))
-    assert brute.groups(passage_dedup.similar(list(range(40)), sets), range(40)) == want
+    for most in (120, 500, 1 << 20):
+        assert brute.groups(passage_dedup.similar(list(range(40)), sets, most), range(40)) == want
 
 
 def test_repeated_passages_are_reported_to_their_ends(frame):
