@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.encode import mix64, unsigned_order
 from rankloom.functions.sequence import length_bucket, padded
-from rankloom.sources.shared import written
+from rankloom.sources.shared import range_count, written
 
-#: Ranges of an order that are packed or numbered side by side, and the largest batch.
-PARTS, LONGEST_BATCH = 64, 8192
+#: The largest batch.
+LONGEST_BATCH = 8192
 
 
 def first_per_request(df: DataFrame, request: list[str], order: list[str]) -> DataFrame:
@@ -57,13 +57,14 @@ def shuffled_rows(df: DataFrame, row: str, seed: int) -> DataFrame:
     return slices(keyed, [], ["__h", row], 1).withColumnRenamed("slice", "place").drop("__h")
 
 
-def _ranged(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
-    """The rows in ``parts`` ranges of keys and order, each with its number, as a table: what follows
-    reads the same ranges however often it reads them."""
-    return written(df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+def _ranged(df: DataFrame, keys: list[str], order: list[str], parts: int | None) -> DataFrame:
+    """The rows in ``parts`` ranges of keys and order, as many as the session has shuffle partitions by
+    default, each with its number, as a table: what follows reads the same ranges however often it
+    reads them."""
+    return written(df.repartitionByRange(range_count(df, parts), *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
 
-def slices(df: DataFrame, keys: list[str], order: list[str], n: int, parts: int = PARTS) -> DataFrame:
+def slices(df: DataFrame, keys: list[str], order: list[str], n: int, parts: int | None = None) -> DataFrame:
     """Adds the number of the row's slice of n rows within its shard or bucket. Rows are numbered in
     ranges, from the counts of the ranges before, so no task has all rows of a bucket."""
     ranged = _ranged(df, keys, order, parts)
@@ -151,7 +152,7 @@ def _placed(columns: int, keys: int):
     return run
 
 
-def packed(groups: DataFrame, keys: list[str], order: list[str], size: str, batch: int | Column, longest: int = LONGEST_BATCH, parts: int = PARTS) -> DataFrame:
+def packed(groups: DataFrame, keys: list[str], order: list[str], size: str, batch: int | Column, longest: int = LONGEST_BATCH, parts: int | None = None) -> DataFrame:
     """Next-fit packing of ordered request groups, within each of ``keys`` (shard, bucket).
 
     A group that doesn't fit closes the batch; an oversize one is split in full batches and a rest

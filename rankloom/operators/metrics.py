@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.sources.shared import range_count
+
 #: Bins of both grids, the log-odds limit, and the warning thresholds.
 BINS, LOGIT_LIMIT, DRIFT_WARN, PROB_WARN, AUC_WARN = 4096, 20.0, 0.005, 0.9, 0.55
 
@@ -55,14 +57,14 @@ def histogram_auc(hist: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.round(auc, 9).alias("auc"), "bins", (F.col("positives") + F.col("negatives")).alias("examples"), "positives", "negatives")
 
 
-def exact_auc(df: DataFrame, score: str = "logit", label: str = "label", parts: int = 64) -> DataFrame:
+def exact_auc(df: DataFrame, score: str = "logit", label: str = "label", parts: int | None = None) -> DataFrame:
     """One row: exact AUC with average ranks on ties; scores are compared as 32-bit floats.
 
     Counts by score are dealt to ranges; each range's prefix starts from the totals of the ranges
     before it, so no window holds all scores."""
     s = F.col(score).cast("float")
     counts = df.groupBy(s.alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    ranged = counts.repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id())
+    ranged = counts.repartitionByRange(range_count(df, parts), "s").withColumn("part", F.spark_partition_id())
     own = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("below", F.coalesce(F.sum("neg").over(own), F.lit(0)))
     areas = inside.groupBy("part").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min("s").alias("first"))

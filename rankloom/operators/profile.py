@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.encode import encode, low_bits, mix64, unsigned_order
-from rankloom.sources.shared import written
+from rankloom.sources.shared import range_count, written
 
 
 def depth_of(df: DataFrame, column: str) -> int:
@@ -26,7 +26,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return leaves(df, column).where("leaf IS NOT NULL").groupBy(F.col("leaf").cast("string").alias("value")).agg(F.count("*").alias("count"))
 
 
-def vocabulary(df: DataFrame, column: str, min_count: int = 1, max_size: int | None = None, parts: int = 64) -> DataFrame:
+def vocabulary(df: DataFrame, column: str, min_count: int = 1, max_size: int | None = None, parts: int | None = None) -> DataFrame:
     """(value, id, count): ids from 1 by count, then value. With ``max_size`` a top-k; without, ids
     come from range partitions and their offsets, so no task ranks all values. The ranges are written
     once, as they are read twice and must be the same."""
@@ -34,7 +34,7 @@ def vocabulary(df: DataFrame, column: str, min_count: int = 1, max_size: int | N
     if max_size is not None:
         top = counts.orderBy(F.desc("count"), "value").limit(max_size)
         return top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("count"), "value")).cast("long")).select("value", "id", "count")
-    ranged = written(counts.repartitionByRange(parts, F.desc("count"), F.col("value")).withColumn("part", F.spark_partition_id()), "vocabulary")
+    ranged = written(counts.repartitionByRange(range_count(df, parts), F.desc("count"), F.col("value")).withColumn("part", F.spark_partition_id()), "vocabulary")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("part", before.alias("before"))

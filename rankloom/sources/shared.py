@@ -62,6 +62,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def range_count(df: DataFrame, parts: int | None) -> int:
+    """``parts``, or as many ranges as the session has shuffle partitions, which grow with the cluster."""
+    return parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def table_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a table from ``written``, by the scan's own statistics."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
