@@ -38,16 +38,21 @@ REJECT_SHARE = 0.001
 UNDETERMINED = "und"
 
 
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(1)
-def _not_letters() -> re.Pattern:
-    """Runs of what is no letter: beside what the pattern knows, signs with a numeric value."""
-    signs = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return re.compile("[\\W\\d_" + "".join(signs) + "]+")
+def _signs() -> frozenset[str]:
+    """Signs with a numeric value, which the pattern above takes for letters."""
+    return frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def normalised(text: str | None) -> bytes:
     """Lower-cased letters with single spaces between them; empty if the text has no letter."""
-    return _not_letters().sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    found = _NOT_LETTERS.sub(" ", (text or "").lower())
+    if not found.isascii() and not _signs().isdisjoint(found):
+        found = " ".join("".join(" " if c in _signs() else c for c in found).split())
+    return found.strip().encode("utf-8", "replace")
 
 
 @dataclass
