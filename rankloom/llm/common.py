@@ -35,8 +35,9 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
-    """Have Spark cut the Arrow batches of this session's Python functions at ``limit`` bytes as well as by rows."""
-    if int(spark.conf.get(_BATCH_BYTES).removesuffix("b")) > limit:
+    """Have Spark cut the Arrow batches of this session's Python functions at ``limit`` bytes as well as by rows.
+    A smaller setting of the session's own stays."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES)) > limit:
         spark.conf.set(_BATCH_BYTES, str(limit))
 
 

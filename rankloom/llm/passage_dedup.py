@@ -21,17 +21,18 @@ their own, so no task holds more than two.
 Of each cluster the copy in the document with the smallest id, then the first place, stays. The
 ends of a document's run of units that go are grown word by word as far as they equal the kept
 copy; as LOOK - 1 words at most lie between a passage's end and its outermost unit, REACH suffice.
-Neighbouring units make a passage, which is reported from MIN_PASSAGE words on: less is a phrase
-or a boilerplate line.
+Neighbouring units make a passage, which is reported from ``min_words`` words on, by default
+MIN_PASSAGE: less is a phrase or a boilerplate line. With 1 every repeated run is reported.
 
 Defined results: null and empty texts have no units. Repeats within one document alone are left.
-A document is an id with a text (32 bits of its hash): rows that repeat both are one document, and
+A document is an id with a text (64 bits of its hash): rows that repeat both are one document, and
 rows with a null id are told apart by their text. Documents without a repeated passage get no row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -172,7 +173,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield at, run
 
 
-_UNITS = "k long, h int, start int, n int, d1 long, d2 long, bands array<long>"
+_UNITS = "k long, h long, start int, n int, d1 long, d2 long, bands array<long>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +329,7 @@ def similar_contents(docs: DataFrame, contents: DataFrame, bucket_rows: int = BU
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32).cast("int").alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
@@ -385,7 +386,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.concatenate((left, right))
         is_right = np.arange(len(both)) >= len(left)
         at, keep_at = np.where(is_right, u.end[both], u.start[both]), u.keep_start[both] + np.where(is_right, u.keep_n[both], 0)
-        columns = [(u.k[u.doc[both]], pa.int64()), (u.h[u.doc[both]], pa.int32()), (at, pa.int32()), (is_right, pa.bool_()), (u.keep_k[both], pa.int64()), (u.keep_h[both], pa.int32()), (keep_at, pa.int32())]
+        columns = [(u.k[u.doc[both]], pa.int64()), (u.h[u.doc[both]], pa.int64()), (at, pa.int32()), (is_right, pa.bool_()), (u.keep_k[both], pa.int64()), (u.keep_h[both], pa.int64()), (keep_at, pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["k", "h", "at", "right", "keep_k", "keep_h", "keep_at"])
 
 
@@ -433,15 +434,15 @@ def _by_document(units: DataFrame) -> DataFrame:
 
 def grown(docs: DataFrame, units: DataFrame) -> DataFrame:
     """What the ends of the runs of ``units`` share further with their kept copies, as rows like units."""
-    ends = written(_by_document(units).mapInArrow(_ends, "k long, h int, at int, right boolean, keep_k long, keep_h int, keep_at int"), "ends")
+    ends = written(_by_document(units).mapInArrow(_ends, "k long, h long, at int, right boolean, keep_k long, keep_h long, keep_at int"), "ends")
     kept = ends.select(F.col("keep_k").alias("k"), F.col("keep_h").alias("h"), F.col("keep_at").alias("at"), "right")
     wanted = ends.select("k", "h", "at", "right").unionByName(kept).groupBy(*_KEY).agg(F.collect_set(F.struct("at", "right")).alias("wanted"))
-    near = _texts_of(docs, written(wanted, "wanted-ends")).select("k", "h", "text", "wanted").mapInArrow(_near, "k long, h int, at int, right boolean, near binary")
+    near = _texts_of(docs, written(wanted, "wanted-ends")).select("k", "h", "text", "wanted").mapInArrow(_near, "k long, h long, at int, right boolean, near binary")
     near = written(near.dropDuplicates(["k", "h", "at", "right"]), "near")
     other = near.select(F.col("k").alias("keep_k"), F.col("h").alias("keep_h"), F.col("at").alias("keep_at"), "right", F.col("near").alias("keep_near"))
     rows = ends.join(near, [*_KEY, "at", "right"]).join(other, ["keep_k", "keep_h", "keep_at", "right"])
     rows = rows.select("k", "h", "at", "right", "keep_k", "keep_h", "keep_at", "near", "keep_near")
-    return rows.mapInArrow(_grow, "k long, h int, start int, n int, keep_k long, keep_h int, keep_start int, keep_n int").where("n > 0")
+    return rows.mapInArrow(_grow, "k long, h long, start int, n int, keep_k long, keep_h long, keep_start int, keep_n int").where("n > 0")
 
 
 def _spans(u: _Units, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -454,11 +455,11 @@ def _spans(u: _Units, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return u.doc[order[first]], u.start[order[first]].astype(np.int64), reached[last], run
 
 
-def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reported(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         u = _Units(batch)
         _, start, end, run = _spans(u, np.ones(len(u.doc), bool))
-        inside = (end - start >= MIN_PASSAGE)[run] if len(run) else np.zeros(0, bool)
+        inside = (end - start >= min_words)[run] if len(run) else np.zeros(0, bool)
         doc, first, last, _ = _spans(u, inside & ~u.stays)
         docs = np.unique(u.doc[inside])
         cuts = np.searchsorted(doc, np.append(docs, len(batch)))
@@ -471,11 +472,11 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["k", "removed", "removed_words", "keep_ids", "cluster_id"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with a repeated passage: id, removed (word ranges first to last whose
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE) -> DataFrame:
+    """One row per document with a repeated passage of ``min_words`` words or more: id, removed (word ranges first to last whose
     kept copy is elsewhere), removed_words, keep_ids (documents that hold the kept copies, itself
     included where its own stay), cluster_id (the smallest of keep_ids)."""
     docs = _keyed(docs, id_col, text_col)
     units = written(repeated_units(docs), "repeated")
-    found = _by_document(units.unionByName(grown(docs, units))).mapInArrow(_reported, "k long, removed array<struct<first:int,last:int>>, removed_words long, keep_ids array<long>, cluster_id long")
+    found = _by_document(units.unionByName(grown(docs, units))).mapInArrow(partial(_reported, min_words=min_words), "k long, removed array<struct<first:int,last:int>>, removed_words long, keep_ids array<long>, cluster_id long")
     return found.select(F.nullif("k", F.lit(_NO_ID)).alias(id_col), "removed", "removed_words", "keep_ids", "cluster_id")

@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from rankloom.llm import exact_dedup, graph, passage_dedup, simhash
 
@@ -243,3 +244,25 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     for bucket in (8, 50, 512):
         edges = [tuple(r) for r in passage_dedup.similar_contents(docs, contents, bucket).collect()]
         assert brute.groups(edges, range(len(texts))) == want
+
+
+def test_documents_without_id_whose_hashes_agree_in_half(frame):
+    shared = passage(random.Random(21), 60)
+    halves, pair = {}, None
+    for i in range(1_000_000):
+        half = xxhash.xxh64_intdigest(text := f"{shared} {i}", seed=42) >> 32
+        if half in halves:
+            pair = halves[half], text
+            break
+        halves[half] = text
+    got = passage_dedup.repeated_passages(frame([(None, pair[0]), (None, pair[1])])).collect()
+    assert [r["doc_id"] for r in got] == [None, None] and sorted(r["removed_words"] for r in got) == [0, 61]  # the line is one paragraph
+
+
+def test_shorter_passages_by_parameter(frame):
+    rng = random.Random(22)
+    line = passage(rng, 10)
+    docs = frame([(i, f"{passage(rng, 60)}\n{line}\n{passage(rng, 60)}") for i in range(3)])
+    assert passage_dedup.repeated_passages(docs).count() == 0
+    got = passage_dedup.repeated_passages(docs, min_words=1).collect()
+    assert sorted((r["doc_id"], r["removed_words"]) for r in got) == [(0, 0), (1, 10), (2, 10)]

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontamination, html_text, language_id, piece_codec, token_counts
+from rankloom.llm import common, decontamination, html_text, language_id, piece_codec, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "a ", "  a", " a  b ", "▁a ▁ b", "a\nb \n c", "x" * 900, "\u0000 a", "日本語 テスト 😀😀", "a▁", "<s> [INST] </s>", "\n\n a\n", "naïve—“quote”…", "     " * 7, "<|endoftext|> a", "word " * 30_000]
@@ -300,3 +300,13 @@ def test_html_frame(spark):
     got = html_text.extract(pages).collect()
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("own,then", [("64m", str(16 << 20)), ("256MB", str(16 << 20)), ("64kb", "64kb")])
+def test_batch_limit_reads_any_size(spark, own, then):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, own)
+    common.bounded_batches(spark)
+    assert spark.conf.get(key) == then
+    spark.conf.set(key, before)
