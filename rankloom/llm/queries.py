@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, decontamination, exact_dedup, html_text, language_id, passage_dedup, piece_codec, simhash, token_counts, warc
+from rankloom.llm import chat, collocations, decontamination, exact_dedup, html_text, language_id, passage_dedup, piece_codec, simhash, token_counts, warc
 from rankloom.llm.common import shared_folder
 
 
@@ -63,6 +63,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted_conversations(rows))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_piece_codec,
         op10_chat,
+        op11_collocations,
     )
 }
 
@@ -113,6 +118,21 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(length(shown) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 11 ELSE 14 + 2 * octet_length(encode(role)) END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_collocations": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+             s AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+             g AS (SELECT lang, w[p : p + k - 1] AS w FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM s, range(1, 5) AS q(k) WHERE len(w) >= k)),
+             f AS (SELECT lang, w, count(*) AS a FROM g GROUP BY lang, w HAVING count(*) >= 30),
+             n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM s GROUP BY lang),
+             c AS (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1),
+             x AS (SELECT c.lang, c.w, c.a, k, l.a AS l, r.a AS r, 2000000::HUGEINT * c.a // (l.a::HUGEINT + r.a) AS score
+                   FROM c JOIN f l ON l.lang = c.lang AND l.w = c.w[1 : k] JOIN f r ON r.lang = c.lang AND r.w = c.w[k + 1 : len(c.w)]),
+             b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+             i AS (SELECT lang, w[p : p + m - 1] AS w, max(a) AS outer_a FROM (SELECT lang, w, a, m, unnest(range(1, len(w) - m + 2)) AS p FROM f, range(2, 4) AS q(m) WHERE len(w) > m) GROUP BY ALL),
+             o AS (SELECT b.*, array_to_string(b.w, ' ') AS phrase FROM b LEFT JOIN i ON i.lang = b.lang AND i.w = b.w WHERE outer_a IS NULL OR 100::HUGEINT * outer_a < 80::HUGEINT * a),
+             z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+        SELECT z.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
              q AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS s FROM p),
