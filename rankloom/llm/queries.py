@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, collocations, decontamination, exact_dedup, html_text, language_id, passage_dedup, piece_codec, quality, simhash, token_counts, warc
+from rankloom.llm import alignment, chat, collocations, decontamination, exact_dedup, html_text, language_id, passage_dedup, piece_codec, quality, simhash, token_counts, warc
 from rankloom.llm.common import shared_folder
 
 
@@ -67,6 +67,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_piece_codec,
         op10_chat,
         op11_collocations,
+        op12_alignment,
         op13_quality,
     )
 }
