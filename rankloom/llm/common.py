@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rankloom.sources.shared import discard, shared_folder, table_bytes, written
 
-__all__ = ["ascii_lower", "bounded_batches", "broadcast_if_small", "discard", "each_value", "local_tmp", "release_memory", "shared_folder", "written"]
+__all__ = ["ascii_lower", "bounded_batches", "broadcast_if_small", "discard", "each_value", "local_tmp", "release_memory", "rows_kept", "shared_folder", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z and nothing else.
@@ -34,6 +34,19 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+def rows_kept(docs: DataFrame, kept: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each (id, mark) of ``kept``; ``mark`` is that of a row.
+
+    Ids may be null or repeat. Rows that agree in both are folded in the map task before whole rows
+    are shuffled, once for the fold and the join.
+    """
+    keys = ["__id", "__null", "__mark"]
+    place = lambda i: (F.coalesce(i.cast("long"), F.lit(0).cast("long")), i.isNull())
+    keyed = docs.withColumns(dict(zip(keys, (*place(F.col(id_col)), mark), strict=True))).dropDuplicates(keys)
+    wanted = kept.select(*(c.alias(k) for c, k in zip((*place(F.col("id")), F.col("mark")), keys, strict=True)))
+    return keyed.join(wanted, keys, "left_semi").select(docs.columns)
+
+
 def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
     """Have Spark cut the Arrow batches of this session's Python functions at ``limit`` bytes as well as by rows.
     A smaller setting of the session's own stays."""

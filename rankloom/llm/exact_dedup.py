@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import ASCII_LOWER, each_value, local_tmp, release_memory
+from rankloom.llm.common import ASCII_LOWER, ascii_lower, each_value, local_tmp, release_memory, rows_kept
 
 #: Bytes of text that a table or an unpartitioned run of rows holds; ways each spill level splits.
 BUDGET_BYTES, WAYS = 16 << 20, 16
@@ -191,10 +191,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay: for each text the one with the largest id.
+    """One row of ``docs``, with all its columns, for each text: that with the largest id.
 
-    The ids that stay are a skinny semi-join side; whole rows are shuffled by id, which is even.
-    Rows that repeat an id are one document here and stay or go together.
+    Null ids come last; of rows that repeat the id and the text one stays, whichever it is. The kept
+    ids and digests are a skinny semi-join side.
     """
-    kept = text_groups(docs, id_col, text_col, budget).select(F.col("keep_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    kept = text_groups(docs, id_col, text_col, budget).select(F.col("keep_id").alias("id"), F.col("sha").alias("mark"))
+    return rows_kept(docs, kept, id_col, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))

@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import ASCII_LOWER, broadcast_if_small, each_value, written
+from rankloom.llm.common import ASCII_LOWER, broadcast_if_small, each_value, rows_kept, written
 from rankloom.llm.graph import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -57,15 +57,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every document; fp is the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """(id, fp) of every document, and ``mark`` of its row if given; fp is the fingerprint's bits as a long."""
+    more = [] if mark is None else [mark.cast("string").alias("mark")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in each_value(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInArrow(run, "id long, fp long" + ", mark string" * len(more))
 
 
 @lru_cache(1)
@@ -199,12 +201,17 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_bucket_edges, "a long, b long")
 
 
+def _linked_fps(fps: DataFrame) -> DataFrame:
+    """A written table (fp, root, least) of the fingerprints (fp, least) that any other links to."""
+    roots = components(links(fps))
+    return written(roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(fps, "fp"), "linked")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     own = written(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = written(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fp")
-    roots = components(links(fps))
-    linked_fps = written(roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(fps, "fp"), "linked")
+    linked_fps = _linked_fps(fps)
     smallest = written(linked_fps.groupBy("root").agg(F.min("least").alias("component")), "smallest-id")
     groups = fps.join(linked_fps.join(smallest, "root").select("fp", "component"), "fp", "left")
     groups = written(groups.select("fp", F.coalesce("component", "least").alias("component_id")), "groups")
@@ -213,8 +220,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of their group.
-
-    Rows that repeat an id are one document here and stay or go together."""
-    kept = near_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of ``docs``, with all its columns, for each group: that with the smallest id.
+
+    Null ids come last; of rows that share the id the one with the first digest of its text stays, and
+    of rows that repeat both one, whichever it is.
+    """
+    mark = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark"))
+    fps = written(fingerprints(docs, id_col, text_col, mark).groupBy("fp").agg(first.alias("least")), "distinct-fp")
+    linked_fps = _linked_fps(fps)
+    alone = fps.join(linked_fps.select("fp"), "fp", "left_anti").select("least.id", "least.mark")
+    kept = linked_fps.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.mark").unionByName(alone)
+    return rows_kept(docs, written(kept, "kept"), id_col, mark)

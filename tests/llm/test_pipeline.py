@@ -42,3 +42,31 @@ def test_queries(spark, name):
     assert found[1]
     if name in queries.ORACLE_SQL:
         assert found == rows_of_sql(connection(SF), queries.ORACLE_SQL[name])
+
+
+ROWS = [(None, "one two three four"), (None, "one two three four"), (7, "One two three four"), (5, "some text of its own"), (9, "some text of its own"), (5, "another text that stands by itself"), (5, "another text that stands by itself"), (None, None), (3, ""), (None, "alone without an id"), (None, "ALONE without an id")]
+
+
+def test_no_exact_copy_stays(spark, frame):
+    kept = corpus_pipeline.drop_exact_copies(spark, frame(ROWS), SF)
+    assert sorted((r["doc_id"] is not None, r["doc_id"], r["text"].lower() if r["text"] else r["text"]) if r["doc_id"] else (False, 0, r["text"].lower()) for r in kept.collect()) == [
+        (False, 0, "alone without an id"), (True, 3, ""), (True, 5, "another text that stands by itself"), (True, 7, "one two three four"), (True, 9, "some text of its own"),
+    ]
+    assert kept.columns == frame(ROWS).columns
+
+
+def test_one_of_each_near_group_stays(spark, frame):
+    rows = [*ROWS, (20, "alone without  an id"), (21, "Some text of its own")]
+    kept = [(r["doc_id"], brute.fingerprint(r["text"])) for r in corpus_pipeline.drop_near_copies(spark, frame(rows), SF).collect()]
+    every = [brute.fingerprint(t) for _, t in rows]
+    root = brute.groups([(a, b) for a in every for b in every if (a ^ b).bit_count() <= 3], every)
+    assert len(kept) == len(set(root.values())) == len({root[f] for _, f in kept})
+    for i, f in kept:
+        ids = [j for (j, _), g in zip(rows, every, strict=True) if root[g] == root[f] and j is not None]
+        assert i == min(ids, default=None)
+
+
+def test_stages_keep_null_texts_defined(spark, frame):
+    docs = frame([(1, None), (2, None), (None, None), (3, "a plain text of several words here")])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_exact_copies(spark, docs, SF).collect()) == [2, 3]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [1, 3]
