@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import bounded_batches, discard, each_value, release_memory, written
 from rankloom.llm.token_counts import META, by_bytes, word_parts
 
-CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS, CACHED_CHARS, BATCH_BYTES = 1 << 14, 350_000, 400_000, 40, 4 << 20
+CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS, CACHED_CHARS, BATCH_BYTES = 1 << 14, 450_000, 400_000, 40, 4 << 20
+#: By so many last signs of a text's beginning its last piece's length is bounded.
+ENDING = 4
 NONE = float("-inf")
 #: First of 256 private characters that no piece of a vocabulary holds.
 _PRIVATE = 0x10FF00
@@ -60,15 +62,21 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         #: What a piece shows; a byte is a private character until its neighbours are known.
         self.shown = [chr(_PRIVATE + self.byte_of[i]) if i in self.byte_of else name.replace(META, " ") for i, name in enumerate(self.names)]
-        #: Whether a line break, or a space mark after another character, is always a safe boundary.
-        self.safe_line = not any("\n" in p for p in self.ids if len(p) > 1)
+        #: Signs that any piece has side by side: between two others no merge is possible, which is a safe
+        #: boundary. Whether a space mark after another sign always has one before it.
+        self.neighbours = frozenset(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
         self.safe_space = not any(META in p.lstrip(META) for p in self.ids)
         self._pairs: dict[str, dict[str, bool]] = {}
         self._known = 0
         self._words: dict[str, bytes] = {}
+        self._units: dict[str, bytes] = {}
         self._bytes: dict[str, bytes] = {}
-        #: Pieces that come out whole when encoded by themselves.
+        #: Pieces that come out whole when encoded by themselves, and by their last ENDING signs the longest's length.
         self.whole_pieces = frozenset(p for p in self.ids if self.merged(p) == [p])
+        self.reach: dict[str, int] = {}
+        for p in self.whole_pieces:
+            if len(p) > ENDING and len(p) > self.reach.get(p[-ENDING:], 0):
+                self.reach[p[-ENDING:]] = len(p)
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves on a short text: best score first, leftmost on ties."""
@@ -113,7 +121,7 @@ class PieceModel:
         the last piece before it. In sorted order a text reuses what it shares with the one before."""
         if self._known > CACHED_PAIRS:
             self._pairs, self._known = {}, 0
-        whole, pairs, longest, agree = self.whole_pieces, self._pairs, self.longest, self.agree
+        whole, pairs, reach, agree = self.whole_pieces, self._pairs, self.reach, self.agree
         last, after, before, out = [""], [{}], "", {}
         for text in sorted(units):
             same = 0
@@ -123,7 +131,8 @@ class PieceModel:
                 same += 1
             del last[same + 1 :], after[same + 1 :]
             for end in range(same + 1, len(text) + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                far = reach.get(text[end - ENDING : end], ENDING) if end > ENDING else end
+                for start in range(end - far if end > far else 0, end):
                     piece = text[start:end]
                     if piece in whole or start + 1 == end:
                         if start:
@@ -144,20 +153,34 @@ class PieceModel:
             before = text
         return out
 
+    def units(self, text: str) -> list[str]:
+        """The text cut at safe boundaries. Words of letters alone are left whole."""
+        if text[1:].isalpha():
+            return [text]
+        out, at, neighbours = [], 0, self.neighbours
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in neighbours:
+                out.append(text[at:i])
+                at = i
+        out.append(text[at:])
+        return out
+
     def words(self, runs: list[list[str]]) -> list[bytes]:
         """Ids of runs of parts that each stand for a space mark and what follows."""
-        known = self._words
-        if len(known) > CACHED_WORDS:
+        known, solved = self._words, self._units
+        if len(known) + len(solved) > CACHED_WORDS:
             known.clear()
+            solved.clear()
         new = set().union(*runs).difference(known)
-        split = {p: (META + p.replace(" ", META)).split("\n") if self.safe_line else [META + p.replace(" ", META)] for p in new}
-        solved = self.solve({u for units in split.values() for u in units}) if new else {}
-        line = self.token_ids(["\n"])
-        known.update((p, line.join([solved[u] for u in units])) for p, units in split.items())
+        split = {p: self.units(META + p.replace(" ", META)) for p in new}
+        wanted = {u for units in split.values() for u in units}.difference(solved)
+        solved.update(self.solve(wanted))
+        known.update((p, solved[units[0]] if len(units) == 1 else b"".join([solved[u] for u in units])) for p, units in split.items())
         out = [b"".join(map(known.__getitem__, run)) for run in runs]
-        for p in new:
-            if len(p) > CACHED_CHARS:
-                del known[p]
+        for cache, used in ((known, new), (solved, wanted)):
+            for p in used:
+                if len(p) > CACHED_CHARS:
+                    del cache[p]
         return out
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -169,7 +192,7 @@ class PieceModel:
 
     def forget(self) -> None:
         """Drop the solved words: a Python worker lives on after its task and serves other stages."""
-        self._words = {}
+        self._words, self._units = {}, {}
         release_memory()
 
     def decode(self, data: bytes, start: bool = True) -> str:
