@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,19 +33,38 @@ def representative(df: DataFrame, request: list[str], position: str) -> DataFram
     return df.withColumn("representative", F.min(position).over(Window.partitionBy(*request)))
 
 
+def _request_mix(df: DataFrame, request: list[str], seed: int) -> Column:
+    """A mix of the seed and the request's columns; whole numbers go in as they are, other types by their hash."""
+    out = F.lit(seed).cast("long")
+    for c in request:
+        whole = df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
+        out = mix64(out.bitwiseXOR(F.coalesce(F.col(c).cast("long") if whole else F.xxhash64(c), F.lit(-1).cast("long"))))
+    return out
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equality of the keys of two inputs, null being equal to null; an equi-join for Spark."""
+    same = F.lit(True)
+    for c in keys:
+        same = same & left[c].eqNullSafe(right[c])
+    return same
+
+
 def shuffled(df: DataFrame, request: list[str], position: str, seed: int, buffer: int | None = None) -> DataFrame:
-    """Deterministic order by a mix of seed and request; rows of a request stay together. ``buffer``
-    requests at a time are shuffled, in the order in which they first appear; 0 keeps that order, and
-    without it the whole is shuffled. Adds shuffle_block and shuffle_key, which give the order."""
-    key = F.xxhash64(F.lit(seed), *request)
+    """Deterministic order by a mix of seed and request; rows of a request stay together. A buffer of
+    at most ``buffer`` rows is shuffled at a time, filled by whole requests in the order in which they
+    first appear: one that doesn't fit opens the next, and one of more rows is a buffer of its own.
+    0 keeps the order, and without it the whole is shuffled. Adds shuffle_block and shuffle_key,
+    which give the order."""
+    key = _request_mix(df, request, seed)
     if buffer is None:
         return df.withColumn("shuffle_block", F.lit(0).cast("long")).withColumn("shuffle_key", key).orderBy("shuffle_key", *request, position)
-    first = df.groupBy(*request).agg(F.min(position).alias("__first"))
-    blocks = slices(first, [], ["__first", *request], max(1, buffer)).select(*request, F.col("slice").alias("shuffle_block"))
-    same = F.lit(True)
-    for c in request:
-        same = same & df[c].eqNullSafe(blocks[c])
-    rows = df.join(blocks, same).select(df["*"], "shuffle_block")
+    groups = df.groupBy(*request).agg(F.min(position).alias("__first"), F.count("*").alias("__rows"), F.lit(0).alias("__all"))
+    if buffer:
+        blocks = packed(groups, ["__all"], ["__first", *request], "__rows", buffer, max(buffer, LONGEST_BATCH), whole=True).select(*request, F.col("batch").alias("shuffle_block"))
+    else:
+        blocks = slices(groups, [], ["__first", *request], 1).select(*request, F.col("slice").alias("shuffle_block"))
+    rows = df.join(blocks, null_safe(df, blocks, request)).select(df["*"], "shuffle_block")
     return rows.withColumn("shuffle_key", key if buffer else F.lit(0).cast("long")).orderBy("shuffle_block", "shuffle_key", *request, position)
 
 
@@ -78,91 +96,126 @@ def slices(df: DataFrame, keys: list[str], order: list[str], n: int, parts: int
 class NextFit:
     """Next-fit from several fills at once: batches closed so far and rows in the open one."""
 
-    def __init__(self, used: np.ndarray) -> None:
-        self.used, self.closed = used.astype(np.int64), np.zeros(len(used), np.int64)
+    def __init__(self, used: np.ndarray, whole: bool = False) -> None:
+        self.used, self.closed, self.whole = used.astype(np.int64), np.zeros(len(used), np.int64), whole
 
     def put(self, n: int, limit: int) -> np.ndarray:
-        """The batch in which a group of n rows starts; what is left of an oversize one stays open."""
-        self.closed += (self.used > 0) & (self.used + n > limit)
-        self.used = np.where((self.used > 0) & (self.used + n > limit), 0, self.used)
+        """The batch in which a group of n rows starts; what is left of an oversize one stays open, or
+        is a batch of its own with the whole group."""
+        full = (self.used > 0) & (self.used + n > limit)
+        self.closed += full
+        self.used = np.where(full, 0, self.used)
         at = self.closed.copy()
-        whole, rest = divmod(self.used + n, limit)
-        self.closed, self.used = self.closed + whole, rest
+        if self.whole and n > limit:
+            self.closed = self.closed + 1
+            return at
+        more, rest = divmod(self.used + n, limit)
+        self.closed, self.used = self.closed + more, rest
         return at
 
 
-def _transfer(keys: int, longest: int):
-    """Rows (part, *keys, n, limit) sorted by range give for each key in a range, and each fill on entry,
-    the fill on exit and the batches closed."""
+class FillMap:
+    """What a range of groups makes of each fill on entry. Fills that have come to the same state go on
+    as one, so a range soon costs a few numbers for each group."""
+
+    def __init__(self, limit: int, whole: bool) -> None:
+        self.fit, self.own, self.steps = NextFit(np.arange(limit), whole), np.arange(limit), 0
+
+    def put(self, n: int, limit: int) -> None:
+        self.fit.put(n, limit)
+        self.steps += 1
+        if self.steps % 16 == 0 and len(self.fit.used) > 1:
+            _, first, own = np.unique(self.fit.closed * limit + self.fit.used, return_index=True, return_inverse=True)
+            self.fit.used, self.fit.closed, self.own = self.fit.used[first], self.fit.closed[first], own[self.own]
+
+    def steps_of(self) -> list[np.ndarray]:
+        """(first fill, fill on exit, batches closed) of each run of fills that end alike."""
+        used, closed = self.fit.used[self.own], self.fit.closed[self.own]
+        starts = np.append(0, np.nonzero((used[1:] != used[:-1]) | (closed[1:] != closed[:-1]))[0] + 1)
+        return [starts, used[starts], closed[starts]]
+
+
+_MAP = ["__from", "__used", "__closed"]
+
+
+def _transfer(keys: int, longest: int, whole: bool):
+    """Rows (part, *keys, n, limit) sorted by range give the range's map for each key in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fit, first = None, None, None
+        key, fills, first = None, None, None
 
         def row() -> pa.RecordBatch:
-            own = first.columns[: keys + 1]
-            return pa.RecordBatch.from_arrays([*own, pa.array([fit.used], pa.list_(pa.int64())), pa.array([fit.closed], pa.list_(pa.int64()))], [*first.schema.names[: keys + 1], "__used", "__closed"])
+            found = [pa.array([x], pa.list_(pa.int64())) for x in fills.steps_of()]
+            return pa.RecordBatch.from_arrays([*first.columns[: keys + 1], *found], [*first.schema.names[: keys + 1], *_MAP])
 
         for batch in batches:
             for i, (*own, n, limit) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 if own != key:
                     if key is not None:
                         yield row()
-                    key, fit, first = own, NextFit(np.arange(min(limit, longest))), batch.slice(i, 1)
-                fit.put(n, limit)
+                    key, fills, first = own, FillMap(min(limit, longest), whole), batch.slice(i, 1)
+                fills.put(n, limit)
         if key is not None:
             yield row()
 
     return run
 
 
-def _starts(keys: list[str]):
-    """A key's transfers in the order of the ranges give the fill and the batch with which each begins."""
+def _starts(keys: int):
+    """Maps (*keys, part, from, used, closed) sorted by key and range give the fill and the batch with
+    which each range begins: a stream that holds one map at a time."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__part")
-        used, batch, out = 0, 0, []
-        for after, closed in zip(rows["__used"], rows["__closed"], strict=True):
-            out.append((used, batch))
-            used, batch = int(after[used]), batch + int(closed[used])
-        return rows[[*keys, "__part"]].assign(__fill=[x[0] for x in out], __first=[x[1] for x in out])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used, first = None, 0, 0
+        for batch in batches:
+            fills, firsts = [], []
+            for *own, _, begins, after, closed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    key, used, first = own, 0, 0
+                fills.append(used)
+                firsts.append(first)
+                k = int(np.searchsorted(begins, used, "right")) - 1
+                used, first = after[k], first + closed[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: keys + 1], pa.array(fills, pa.int64()), pa.array(firsts, pa.int64())], [*batch.schema.names[: keys + 1], "__fill", "__opened"])
 
     return run
 
 
-def _placed(columns: int, keys: int):
-    """Rows (*columns, part, *keys, n, limit, fill, first) sorted by range give the parts: batch, offset, rows."""
+def _placed(columns: int, whole: bool):
+    """Rows (*columns, part, *keys, n, limit, fill, first) sorted by range give the parts: batch, offset, rows, slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fit = None, None
         for batch in batches:
-            index, at, offset, rows = [], [], [], []
+            index, parts = [], []
             for i, (*own, n, limit, fill, first) in enumerate(zip(*(c.to_pylist() for c in batch.columns[columns:]), strict=True)):
                 if own != key:
-                    key, fit = own, NextFit(np.array([fill]))
+                    key, fit = own, NextFit(np.array([fill]), whole)
                     fit.closed += first
+                before = int(fit.used[0])
                 begin = int(fit.put(n, limit)[0])
-                for k in range(-(-n // limit) if n > limit else int(n > 0)):
+                slot = before if before + n <= limit else 0
+                for k in range(-(-n // limit) if n > limit and not whole else int(n > 0)):
                     index.append(i)
-                    at.append(begin + k)
-                    offset.append(k * limit)
-                    rows.append(min(n - k * limit, limit))
+                    parts.append((begin + k, k * limit, n if whole else min(n - k * limit, limit), 0 if k else slot))
             own = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(own) for c in batch.columns[:columns]), *(pa.array(x, pa.int64()) for x in (at, offset, rows))], [*batch.schema.names[:columns], "batch", "offset", "rows"])
+            yield pa.RecordBatch.from_arrays([*(c.take(own) for c in batch.columns[:columns]), *(pa.array([x[j] for x in parts], pa.int64()) for j in range(4))], [*batch.schema.names[:columns], "batch", "offset", "rows", "slot"])
 
     return run
 
 
-def packed(groups: DataFrame, keys: list[str], order: list[str], size: str, batch: int | Column, longest: int = LONGEST_BATCH, parts: int | None = None) -> DataFrame:
+def packed(groups: DataFrame, keys: list[str], order: list[str], size: str, batch: int | Column, longest: int = LONGEST_BATCH, parts: int | None = None, whole: bool = False) -> DataFrame:
     """Next-fit packing of ordered request groups, within each of ``keys`` (shard, bucket).
 
     A group that doesn't fit closes the batch; an oversize one is split in full batches and a rest
-    that starts the next; a full batch closes. One row per part: batch, offset (in its group), rows.
+    that starts the next, or with ``whole`` is a batch by itself; a full batch closes. One row per part:
+    batch, offset (in its group), rows, slot (its first row's place in the batch).
 
     A range of the order is a map from its fill on entry to its fill on exit and the batches that it
-    closes. The maps of a key, of at most ``longest`` entries each, are composed, which gives the
-    fill with which each range begins; then each is packed as a stream. So a shard's packing is
-    spread over tasks, and none holds its groups. ``batch`` is one number for each key and at most ``longest``; null sizes count
-    as 0, and a null or not positive batch is an error."""
+    closes. A key's maps are read in order as a stream, which gives the fill with which each range
+    begins; then each is packed as a stream. So a shard's packing is spread over tasks, and none
+    holds its groups or its maps. ``batch`` is one number for each key and at most ``longest``; null sizes
+    count as 0, and a null or not positive batch is an error."""
     limit = (F.lit(batch) if isinstance(batch, int) else batch).cast("long")
     sound = (limit > 0) & (limit <= longest)
     checked = F.when(F.coalesce(sound, F.lit(False)), limit).otherwise(F.raise_error(F.lit(f"a batch has 1 to {longest} rows")).cast("long"))
@@ -172,14 +225,36 @@ def packed(groups: DataFrame, keys: list[str], order: list[str], size: str, batc
     own = ["__part", *keys]
     head = ", ".join(f"`{c}` {kinds[c]}" for c in own)
     stream = lambda df: df.repartition("__part").sortWithinPartitions(*own, *order)
-    maps = stream(ranged.select(*own, *(c for c in order if c not in own), "__n", "__limit")).select(*own, "__n", "__limit").mapInArrow(_transfer(len(keys), longest), f"{head}, __used array<bigint>, __closed array<bigint>")
+    maps = stream(ranged.select(*own, *(c for c in order if c not in own), "__n", "__limit")).select(*own, "__n", "__limit").mapInArrow(_transfer(len(keys), longest, whole), f"{head}, {', '.join(f'{c} array<bigint>' for c in _MAP)}")
     tail = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "__part"))
-    starts = written(maps.groupBy(*keys).applyInPandas(_starts(keys), f"{tail}, __fill bigint, __first bigint"), "starts")
+    in_order = maps.select(*keys, "__part", *_MAP).repartition(*keys).sortWithinPartitions(*keys, "__part")
+    starts = written(in_order.mapInArrow(_starts(len(keys)), f"{tail}, __fill bigint, __opened bigint"), "starts")
     names = groups.columns
-    placed = stream(ranged.join(starts, own)).select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(names)), *own, "__n", "__limit", "__fill", "__first")
+    met = ranged.join(starts, null_safe(ranged, starts, own)).select(ranged["*"], "__fill", "__opened")
+    placed = stream(met).select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(names)), *own, "__n", "__limit", "__fill", "__opened")
     kept = ", ".join(f"`__c{i}` {kinds[c]}" for i, c in enumerate(names))
-    found = placed.mapInArrow(_placed(len(names), len(keys)), f"{kept}, batch bigint, offset bigint, rows bigint")
-    return found.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(names)), "batch", "offset", "rows")
+    found = placed.mapInArrow(_placed(len(names), whole), f"{kept}, batch bigint, offset bigint, rows bigint, slot bigint")
+    return found.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(names)), "batch", "offset", "rows", "slot")
+
+
+def batch_rows(parts: DataFrame, rows: DataFrame, request: list[str], position: str) -> DataFrame:
+    """The candidates of packed request groups with the columns of their batch (all of ``parts`` that
+    rows lack) and their slot in it, each in exactly one batch.
+
+    A part lists the positions that it has, so rows meet it by an equality of request and position:
+    no part is compared with rows of others, and a request of very many rows is spread over tasks."""
+    more = [c for c in parts.columns if c not in (*request, "offset", "rows", "slot") and c not in rows.columns]
+    places = F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)
+    spread = parts.where("rows > 0").select(*request, *more, "offset", "slot", F.explode(places).alias("__i"))
+    spread = spread.select(*request, *more, (F.col("slot") + F.col("__i")).alias("slot"), (F.col("offset") + F.col("__i")).alias(position))
+    return rows.join(spread, null_safe(rows, spread, [*request, position])).select(rows["*"], *(spread[c] for c in (*more, "slot")))
+
+
+def write_batches(rows: DataFrame, path: str, keys: list[str], slot: str = "slot") -> None:
+    """Writes batches as Parquet so that each lies in one file, whole and in order of its slots; ``keys``
+    name a batch (shard, bucket, batch), and all but the last are folders."""
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, slot)
+    ordered.write.partitionBy(*keys[:-1]).parquet(path)
 
 
 def bucketed(groups: DataFrame, work: str, bounds: list[int]) -> DataFrame:

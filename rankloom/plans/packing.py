@@ -50,6 +50,36 @@ def pack_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("shard", "bucket", *REQUEST, "batch", "offset", "rows")
 
 
+def _batches(parts: DataFrame, nested: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates in their batches with the padded width of their clicks."""
+    rows = expand.expand_agg(nested, LAYOUT, KEYS).select(*REQUEST, F.col("candidate_position").cast("long").alias("candidate_position"), "item_id", F.col("click.id").alias("ids"))
+    found = batching.batch_rows(parts.select(*REQUEST, *keys, "batch", "offset", "rows", "slot"), rows, REQUEST, "candidate_position")
+    padded = batching.padded_batches(found, [*keys, "batch"], "ids")
+    return padded.select(*keys, "batch", "slot", *REQUEST, "candidate_position", "item_id", F.col("length").cast("long").alias("length"), F.size("ids").cast("long").alias("width"))
+
+
+def _batches_sql(groups: str, keys: str, size: str) -> str:
+    """Each candidate's batch from the parts; slots are numbered in order."""
+    return f"""parts AS (WITH RECURSIVE {_packed_sql(groups, keys, size)}),
+        clicks AS (SELECT user_id, request_id, count(*) AS k FROM seen WHERE stream = 'click' GROUP BY ALL),
+        o2 AS (SELECT p.*, f.candidate_position, f.item_id, coalesce(c.k, 0) AS length FROM flat f JOIN parts p ON p.user_id = f.user_id AND p.request_id = f.request_id AND f.candidate_position >= p."offset" AND f.candidate_position < p."offset" + p.rows LEFT JOIN clicks c ON c.user_id = f.user_id AND c.request_id = f.request_id)
+        SELECT {keys}, batch, row_number() OVER (PARTITION BY {keys}, batch ORDER BY user_id, request_id, candidate_position) - 1 AS slot, user_id, request_id, candidate_position, item_id, length, max(length) OVER (PARTITION BY {keys}, batch) AS width FROM o2"""
+
+
+@query(f"WITH RECURSIVE {_GROUPS}, {_batches_sql('g', 'shard', '100')}")
+def batches_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in its batch, with its slot and the width that its clicks are padded to."""
+    parts = batching.packed(_groups(spark, sf_dir), ["shard"], REQUEST, "n", 100)
+    return _batches(parts, fixtures.nested(spark, sf_dir), ["shard"])
+
+
+@query(f"WITH RECURSIVE {_GROUPS}, gb AS (SELECT *, CAST(work > 8 AS INT) + CAST(work > 16 AS INT) AS bucket FROM g), {_batches_sql('gb', 'shard, bucket', 'CASE bucket WHEN 0 THEN 200 WHEN 1 THEN 100 ELSE 40 END')}")
+def batches_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by buckets of length, each with its own batch size."""
+    parts = batching.packed_by_length(_groups(spark, sf_dir), ["shard"], REQUEST, "n", "work", [8, 16], [200, 100, 40])
+    return _batches(parts, fixtures.nested(spark, sf_dir), ["shard", "bucket"])
+
+
 @query(f"WITH {_GROUPS}, b AS (SELECT *, CAST(work > 8 AS INT) + CAST(work > 16 AS INT) AS bucket FROM g), r AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY user_id, request_id) - 1) // 32 AS slice FROM b) SELECT bucket, slice, count(*) AS requests, CAST(sum(n) AS BIGINT) AS candidates FROM r GROUP BY ALL")
 def bucket_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = batching.slices(batching.bucketed(_groups(spark, sf_dir), "work", [8, 16]), ["bucket"], REQUEST, 32)
@@ -74,12 +104,13 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.representative(fixtures.events(spark, sf_dir), ["user_id", "event_type"], "event_id").select("event_id", "representative")
 
 
+@query(f"WITH o AS (SELECT user_id, CAST(h % 1000003 AS BIGINT) AS h FROM {mixed('y', '(SELECT DISTINCT user_id, xor(user_id, 7) AS y FROM events)', 'user_id')}) SELECT event_id, e.user_id, h AS key_mod, CAST(0 AS BIGINT) AS block FROM events e JOIN o ON o.user_id = e.user_id")
 def shuffled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with their request's shuffle key; the tests check that groups stay whole and in order."""
-    return batching.shuffled(fixtures.events(spark, sf_dir).select("event_id", "user_id"), ["user_id"], "event_id", 7)
-
+    """Rows with their request's shuffle key, modulo a prime; the tests check that groups stay whole and in order."""
+    rows = batching.shuffled(fixtures.events(spark, sf_dir).select("event_id", "user_id"), ["user_id"], "event_id", 7)
+    unsigned = F.col("shuffle_key").cast("decimal(20,0)") + F.when(F.col("shuffle_key") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    return rows.select("event_id", "user_id", (unsigned % 1000003).cast("long").alias("key_mod"), F.col("shuffle_block").alias("block"))
 
-query()(shuffled_requests)
 
 _PADDED = f"{REQ}, {SEEN}, c AS (SELECT user_id, request_id, count(*) FILTER (stream = 'click') AS n, count(*) FILTER (stream = 'click' AND id = 0) AS z FROM seen GROUP BY ALL), r AS (SELECT r.user_id, r.request_id, coalesce(n, 0) AS n, z FROM req r LEFT JOIN c USING (user_id, request_id) WHERE r.user_id IN (SELECT o_custkey FROM orders))"
 
@@ -138,10 +169,15 @@ def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.shuffled_rows(fixtures.table(spark, sf_dir, "events").select("event_id"), "event_id", 12345).select("event_id", "place")
 
 
-@query("WITH g AS (SELECT user_id, min(event_id) AS f FROM events GROUP BY 1), b AS (SELECT user_id, (row_number() OVER (ORDER BY f, user_id) - 1) // 16 AS block FROM g) SELECT event_id, CAST(block AS BIGINT) AS block FROM events JOIN b USING (user_id)")
+@query("""WITH RECURSIVE g AS (SELECT user_id, min(event_id) AS f, count(*) AS n FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY f, user_id) AS i FROM g),
+    b AS (SELECT i, user_id, CAST(0 AS BIGINT) AS block, CASE WHEN n >= 150 THEN 1 ELSE 0 END AS next_block, CASE WHEN n >= 150 THEN 0 ELSE n END AS used FROM o WHERE i = 1
+        UNION ALL SELECT o.i, o.user_id, s.at, s.at + CASE WHEN s.now >= 150 THEN 1 ELSE 0 END, CASE WHEN s.now >= 150 THEN 0 ELSE s.now END
+        FROM b JOIN o ON o.i = b.i + 1, LATERAL (SELECT b.next_block + CASE WHEN b.used > 0 AND b.used + o.n > 150 THEN 1 ELSE 0 END AS at, CASE WHEN b.used > 0 AND b.used + o.n <= 150 THEN b.used + o.n ELSE o.n END AS now) s)
+    SELECT event_id, block FROM events e JOIN b ON b.user_id = e.user_id""")
 def shuffle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bounded form of the shuffle: which 16 users, in the order in which they first appear, a row is dealt among."""
-    rows = batching.shuffled(fixtures.events(spark, sf_dir).select("event_id", "user_id"), ["user_id"], "event_id", 7, 16)
+    """The bounded form of the shuffle: which buffer of 150 rows, filled by whole users in the order in
+    which they first appear, a row is dealt among. A user of more rows has one alone."""
+    rows = batching.shuffled(fixtures.events(spark, sf_dir).select("event_id", "user_id"), ["user_id"], "event_id", 7, 150)
     return rows.select("event_id", F.col("shuffle_block").alias("block"))
 
 

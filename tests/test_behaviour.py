@@ -47,6 +47,71 @@ def test_packing_literal_and_empty(spark):
         batching.packed(df, ["shard"], ["g"], "n", 0).collect()
 
 
+def plain_buffers(groups, limit):
+    """Buffers of whole groups in order: one that doesn't fit opens the next, an oversize one has its own."""
+    out, at, used = [], 0, 0
+    for g, n in groups:
+        if used and used + n > limit:
+            at, used = at + 1, 0
+        out.append((g, at))
+        used += n
+        if used >= limit:
+            at, used = at + 1, 0
+    return out
+
+
+@pytest.mark.parametrize("buffer,parts", [(1, 4), (6, 3), (40, 9)])
+def test_buffers_equal_a_plain_fold(spark, buffer, parts):
+    rng = random.Random(buffer)
+    groups = [(g, rng.choice([1, 1, 2, 3, 5, 8, 50])) for g in range(70)]
+    rows = [(g, 1000 * g + i) for g, n in groups for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, position long").repartition(parts)
+    got = {(r["g"], r["shuffle_block"]) for r in batching.shuffled(df, ["g"], "position", 5, buffer).collect()}
+    assert got == set(plain_buffers(groups, buffer))
+
+
+def test_fill_maps_equal_each_fill_by_itself():
+    rng = random.Random(8)
+    for whole in (False, True):
+        sizes = [rng.choice([0, 1, 2, 3, 7, 30]) for _ in range(rng.randint(1, 90))]
+        fills = batching.FillMap(20, whole)
+        for n in sizes:
+            fills.put(n, 20)
+        begins, used, closed = fills.steps_of()
+        for fill in range(20):
+            one = batching.NextFit(batching.np.array([fill]), whole)
+            for n in sizes:
+                one.put(n, 20)
+            k = int(batching.np.searchsorted(begins, fill, "right")) - 1
+            assert (used[k], closed[k]) == (one.used[0], one.closed[0])
+        assert len(begins) <= 20
+
+
+@pytest.mark.parametrize("batch", [1, 4, 9])
+def test_every_candidate_in_one_batch(spark, batch, tmp_path):
+    rng = random.Random(batch)
+    groups = [(g % 2 if g else None, g if g != 5 else None, rng.choice([0, 1, 3, 5, 60])) for g in range(40)]
+    rows = [(g, i, f"{g}-{i}", 7) for _, g, n in groups for i in range(n)]
+    sizes = spark.createDataFrame(groups, "shard int, g long, n long").repartition(3)
+    parts = batching.packed(sizes, ["shard"], ["g"], "n", batch, parts=5)
+    found = batching.batch_rows(parts, spark.createDataFrame(rows, "g long, i long, item string, n int").repartition(4), ["g"], "i")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found.columns == ["g", "i", "item", "n", "shard", "batch", "slot"]
+    got = [tuple(r) for r in found.collect()]
+    assert sorted((r[0], r[1], r[2]) for r in got if r[0] is not None) == sorted(r[:3] for r in rows if r[0] is not None)
+    assert sorted(r[2] for r in got) == sorted(r[2] for r in rows)
+    by_batch = {}
+    for r in got:
+        by_batch.setdefault((r[4], r[5]), []).append((r[6], -1 if r[0] is None else r[0], r[1]))
+    for own in by_batch.values():
+        assert sorted(x[0] for x in own) == list(range(len(own))) and len(own) <= batch
+        assert [x[1:] for x in sorted(own)] == sorted(x[1:] for x in own)
+    batching.write_batches(found, f"file://{tmp_path}/batches", ["shard", "batch"])
+    files = spark.read.parquet(f"file://{tmp_path}/batches").withColumn("file", F.input_file_name())
+    assert files.count() == len(rows) and files.groupBy("shard", "batch").agg(F.countDistinct("file").alias("n")).where("n > 1").isEmpty()
+
+
 def test_slices_equal_row_numbers(spark):
     rng = random.Random(4)
     rows = [(rng.randint(0, 2), i) for i in range(300)]
@@ -60,7 +125,7 @@ def test_shuffle_buffer(spark):
     df = spark.createDataFrame([(i % 10, i) for i in range(60)], "user long, position long").repartition(3)
     order = lambda b: [r["user"] for r in batching.shuffled(df, ["user"], "position", 3, b).collect()]
     assert order(0) == [u for u in range(10) for _ in range(6)]
-    whole, some = order(None), order(4)
+    whole, some = order(None), order(27)  # rows: four users
     assert whole != order(0) and {*some[:24]} == {0, 1, 2, 3} and {*some[24:48]} == {4, 5, 6, 7} and some[:24] != order(0)[:24]
 
 
