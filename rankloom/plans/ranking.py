@@ -412,3 +412,9 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_with_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readers.read_split(spark, [f"{sf_dir}/orders.parquet"], ["o_orderkey", "o_custkey"], ["o_totalprice", "o_absent"])
     return readers.renamed(rows, {"order_id": ["o_orderkey", "orderkey"], "user_id": ["o_custkey"]})
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def read_by_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table read by (file, row group), without faults."""
+    return readers.read_groups(spark, f"{sf_dir}/events.parquet", "event_id long, user_id long, event_type string", most_files=0)[0]

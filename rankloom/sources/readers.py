@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PythonException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from rankloom.operators.batching import slices
-from rankloom.sources.shared import written
+from rankloom.sources.shared import range_count, written
 
 
 def read_split(spark: SparkSession, inputs: list[str], columns: list[str], optional: list[str] | None = None) -> DataFrame:
@@ -115,10 +119,16 @@ def renamed(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return df.withColumnsRenamed(found)
 
 
+def _store(address: str):
+    """The file system and path of an address as Spark writes it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(address.replace("file:/", "file:///", 1) if address.startswith("file:/") and not address.startswith("file://") else address)
+
+
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Footers of the files with these addresses, read where they lie: of each its last bytes only."""
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
     kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.int64(), pa.string())
     names = ["file", "rows", "group_rows", "column", "type", "bytes", "error"]
@@ -126,7 +136,7 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for address in batch.column(0).to_pylist():
             try:
-                store, path = fs.FileSystem.from_uri(address.replace("file:/", "file:///", 1) if address.startswith("file:/") and not address.startswith("file://") else address)
+                store, path = _store(address)
                 with store.open_input_file(path) as source:
                     meta = pq.read_metadata(source)
             except (OSError, pa.ArrowException) as e:
@@ -166,31 +176,128 @@ def projected_bytes(found: DataFrame, columns: list[str]) -> DataFrame:
     return found.where(F.col("column").isin(columns)).groupBy("file").agg(F.sum("bytes").alias("bytes"))
 
 
-def read_losses(spark: SparkSession, path: str, schema: str) -> DataFrame:
+BEYOND = "can't be read; the budget is"
+_FAULT = "struct<file:string,group:int,rows:bigint,error:string>"
+
+
+def _read_groups(schema: pa.Schema, on_failure: str, most_groups: int | None, most_rows: int | None, retries: int, pause: float):
+    """Rows (file, group, rows, error) give the group's rows with a null fault, or one row with its fault."""
+    import pyarrow.parquet as pq
+
+    data, fault = list(schema)[:-1], schema.field(len(schema) - 1)
+
+    def opened(address: str, group: int) -> Iterator[pa.RecordBatch]:
+        for tried in range(retries + 1):
+            try:
+                store, path = _store(address)
+                source = store.open_input_file(path)
+                break
+            except OSError:
+                if tried == retries:
+                    raise
+                time.sleep(pause * 2**tried)
+        with source:
+            file = pq.ParquetFile(source, page_checksum_verification=True)
+            have = set(file.schema_arrow.names)
+            for batch in file.iter_batches(8192, row_groups=[group], columns=[f.name for f in data if f.name in have]):
+                columns = [batch.column(f.name).cast(f.type) if f.name in have else pa.nulls(batch.num_rows, f.type) for f in data]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, fault.type)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lost_groups = lost_rows = 0
+        for batch in batches:
+            for address, group, rows, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                given = 0
+                if error is None:
+                    try:
+                        for found in opened(address, group):
+                            yield found
+                            given += found.num_rows
+                        continue
+                    except (OSError, pa.ArrowException) as e:
+                        error = type(e).__name__
+                if on_failure == "fail":
+                    raise OSError(f"row group {group} of {address} can't be read: {error}")
+                lost_groups, lost_rows = lost_groups + 1, lost_rows + (rows or 0) - given
+                if most_groups is not None and lost_groups > most_groups or most_rows is not None and lost_rows > most_rows:
+                    raise ValueError(f"{lost_rows} rows {BEYOND} {most_rows}" if most_rows is not None and lost_rows > most_rows else f"{lost_groups} groups {BEYOND} {most_groups}")
+                one = {"file": address, "group": group, "rows": None if rows is None else rows - given, "error": error}
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in data), pa.array([one], fault.type)], schema=schema)
+
+    return run
+
+
+class Losses:
+    """What a read by row groups has lost, known once an action has read all of its rows."""
+
+    def __init__(self, most_files: int | None, most_rows: int | None, most_groups: int | None) -> None:
+        self.budgets = {"files": most_files, "rows": most_rows, "groups": most_groups}
+        self.seen = Observation()
+
+    def found(self) -> dict[str, int]:
+        """Lost files (those with a fault), rows and groups."""
+        got = self.seen.get
+        return {"files": len(got["files"] or []), "rows": got["rows"] or 0, "groups": got["groups"] or 0}
+
+    def check(self) -> None:
+        """An error if more is lost than a budget allows."""
+        for name, lost in self.found().items():
+            if self.budgets[name] is not None and lost > self.budgets[name]:
+                raise ValueError(f"{lost} {name} {BEYOND} {self.budgets[name]}")
+
+
+def _struct(schema: str | StructType) -> StructType:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _groups_of(spark: SparkSession, path: str, schema: StructType, on_failure: str, most_rows: int | None, most_groups: int | None, retries: int, pause: float) -> DataFrame:
+    """The rows of all row groups, and a row for each fault, by a column ``__fault``."""
+    told = footers(spark, path).groupBy("file").agg(F.first("group_rows").alias("groups"), F.max("error").alias("error"))
+    known = told.select("file", F.posexplode_outer("groups").alias("group", "rows"), "error").where(F.col("group").isNotNull() | F.col("error").isNotNull())
+    whole = StructType([*schema.fields, StructField("__fault", StructType.fromDDL(f"f {_FAULT}")[0].dataType)])
+    dealt = known.repartition(range_count(known, None), "file", "group")
+    return dealt.mapInArrow(_read_groups(to_arrow_schema(whole), on_failure, most_groups, most_rows, retries, pause), whole)
+
+
+def read_groups(spark: SparkSession, path: str, schema: str | StructType, on_failure: str = "skip", most_files: int | None = None, most_rows: int | None = None, most_groups: int | None = None, retries: int = 2, pause: float = 0.5) -> tuple[DataFrame, Losses]:
+    """The rows of Parquet files read a row group at a time, and what is lost of them.
+
+    Footers are read by tasks, and (file, row group) is what is dealt out to tasks, so a large file is
+    spread and the driver plans no groups. Only the schema's columns are read; one that a file lacks is
+    null. A group that can't be read loses what it hasn't given, no other group and no other file,
+    and is reported by the same pass: ``Losses.found`` and ``check`` tell once an action has read all.
+    ``on_failure="fail"`` stops at the first fault; a task stops once it alone exceeds a budget. Opening
+    is tried again ``retries`` times, with pauses that double."""
+    losses = Losses(most_files, most_rows, most_groups)
+    rows = _groups_of(spark, path, _struct(schema), on_failure, most_rows, most_groups, retries, pause)
+    fault = F.col("__fault")
+    seen = rows.observe(losses.seen, F.count(fault).alias("groups"), F.sum(fault["rows"]).alias("rows"), F.collect_set(fault["file"]).alias("files"))
+    return seen.where(fault.isNull()).drop("__fault"), losses
+
+
+def read_losses(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """(file, rows, lost_rows, lost_groups, error) by file: what the footer promises, and how much of it
-    a lenient read, which stops at a file's first fault, doesn't give. A file without rows is sound;
-    one without a readable footer has its error and unknown losses."""
-    told = footers(spark, path).groupBy("file").agg(F.max("rows").alias("rows"), F.first("group_rows").alias("groups"), F.max("error").alias("error"))
-    lenient = spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(path)
-    # The hash makes Spark read all columns: a count alone would come from the footers.
-    given = lenient.groupBy(F.col("_metadata.file_path").alias("given")).agg(F.count("*").alias("n"), F.max(F.xxhash64(*lenient.columns)).alias("read"))
-    given = given.select("given", F.when(F.col("read").isNotNull(), F.col("n")).alias("n"))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    joined = told.join(given, plain(F.col("file")) == plain(F.col("given")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ends = F.transform("groups", lambda x, i: F.aggregate(F.slice("groups", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y))
-    lost = F.size(F.filter(ends, lambda e: e > F.col("n")))
-    return joined.select("file", "rows", F.greatest(F.lit(0).cast("long"), F.col("rows") - F.col("n")).alias("lost_rows"), F.when(F.col("groups").isNotNull(), lost).alias("lost_groups"), "error")
-
-
-def read_with_budget(spark: SparkSession, path: str, schema: str, most_files: int, most_rows: int | None = None, most_groups: int | None = None) -> DataFrame:
-    """Rows that can be read; more files with a fault than ``most_files``, or more lost rows or row
-    groups than their budgets, are an error."""
-    faulty = F.col("error").isNotNull() | (F.col("lost_rows") > 0)
-    found = read_losses(spark, path, schema).agg(F.count_if(faulty).alias("files"), F.sum("lost_rows").alias("rows"), F.sum("lost_groups").alias("groups")).first()
-    for name, most in (("files", most_files), ("rows", most_rows), ("groups", most_groups)):
-        if most is not None and (found[name] or 0) > most:
-            raise ValueError(f"{found[name]} {name} can't be read; the budget is {most}")
-    return spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(path)
+    can't be read. A file without a readable footer has its error and unknown losses."""
+    told = footers(spark, path).groupBy("file").agg(F.max("rows").alias("rows"), F.max("error").alias("error"))
+    faults = _groups_of(spark, path, _struct(schema), "skip", None, None, 0, 0.0).where("__fault IS NOT NULL")
+    lost = faults.groupBy(F.col("__fault.file").alias("file")).agg(F.sum("__fault.rows").alias("lost"), F.count("__fault.group").alias("groups"), F.max("__fault.error").alias("first"))
+    joined = told.join(lost, "file", "left")
+    known = F.col("rows").isNotNull()
+    return joined.select("file", "rows", F.when(known, F.coalesce("lost", F.lit(0))).alias("lost_rows"), F.when(known, F.coalesce("groups", F.lit(0))).cast("int").alias("lost_groups"), F.coalesce("error", "first").alias("error"))
+
+
+def read_with_budget(spark: SparkSession, path: str, schema: str | StructType, most_files: int, most_rows: int | None = None, most_groups: int | None = None) -> DataFrame:
+    """Rows that can be read, as a table that they are written to as they are read, once; more files
+    with a fault than ``most_files``, or more lost rows or row groups than their budgets, are an error."""
+    rows, losses = read_groups(spark, path, schema, most_files=most_files, most_rows=most_rows, most_groups=most_groups)
+    try:
+        found = written(rows, "read")
+    except PythonException as e:
+        if BEYOND in str(e):  # a task alone was beyond a budget
+            raise ValueError(next(x for x in str(e).splitlines() if BEYOND in x).strip()) from e
+        raise
+    losses.check()
+    return found
 
 
 def json_rows(spark: SparkSession, path: str) -> DataFrame:

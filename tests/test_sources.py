@@ -82,23 +82,72 @@ def test_budget(spark, folder):
     with pytest.raises(ValueError, match="1 files can't be read; the budget is 0"):
         readers.read_with_budget(spark, path, schema, 0)
     found = readers.read_losses(spark, path, schema)
-    assert found.count() == 4 and found.where("error IS NOT NULL").count() == 1 and found.where("lost_rows > 0").count() == 0
+    assert found.count() == 4 and found.where("error IS NOT NULL").count() == 1 and found.where("lost_rows > 0").count() == 0 and found.where("rows IS NULL AND lost_rows IS NULL").count() == 1
 
 
-def test_budget_by_rows_and_row_groups(spark, tmp_path):
-    table = pa.table({"x": pa.array(range(3000), pa.int64())})
-    path = str(tmp_path / "a.parquet")
-    pq.write_table(table, path, row_group_size=1000, compression="none", use_dictionary=False)
-    start = pq.read_metadata(path).row_group(2).column(0).data_page_offset
+def broken_middle(folder, name="a.parquet", groups=3):
+    """A file of 1,000 rows a group whose second group's data is damaged."""
+    path = str(folder / name)
+    pq.write_table(pa.table({"x": pa.array(range(1000 * groups), pa.int64()), "y": pa.array([[i, i] for i in range(1000 * groups)])}), path, row_group_size=1000, compression="none", use_dictionary=False)
+    start = pq.read_metadata(path).row_group(1).column(0).data_page_offset
     content = bytearray(open(path, "rb").read())
     content[start : start + 40] = b"\xff" * 40
     open(path, "wb").write(bytes(content))
+
+
+def test_a_broken_group_loses_no_other(spark, tmp_path):
+    broken_middle(tmp_path)
+    pq.write_table(pa.table({"x": pa.array([9000], pa.int32()), "z": ["more"]}), str(tmp_path / "b.parquet"))
+    (tmp_path / "c.parquet").write_bytes(b"not parquet at all")
+    rows, losses = readers.read_groups(spark, str(tmp_path), "x long, y array<long>", most_files=2, most_rows=1000, most_groups=2)
+    got = rows.collect()
+    assert sorted(r["x"] for r in got) == [*range(1000), *range(2000, 3000), 9000]
+    assert all(r["y"] == ([r["x"]] * 2 if r["x"] < 9000 else None) for r in got)
+    assert losses.found() == {"files": 2, "rows": 1000, "groups": 2}
+    losses.check()
+    for budget in ({"most_files": 1}, {"most_rows": 999}, {"most_groups": 1}):
+        name = next(iter(budget)).removeprefix("most_")
+        with pytest.raises(ValueError, match=f"{name} can't be read; the budget is"):
+            readers.read_with_budget(spark, str(tmp_path), "x long", **({"most_files": 5} | budget))
+    assert readers.read_with_budget(spark, str(tmp_path), "x long", 2).count() == 2001
+    assert readers.read_groups(spark, str(tmp_path), "y array<long>, z string")[0].count() == 3001  # the broken column isn't read
+    with pytest.raises(Exception, match="can't be read"):
+        readers.read_groups(spark, str(tmp_path), "x long", on_failure="fail")[0].collect()
+
+
+def test_each_group_is_read_once(spark, tmp_path):
+    """One job over (file, group), and no other scan of the contents."""
+    broken_middle(tmp_path, groups=9)
+    rows, _ = readers.read_groups(spark, str(tmp_path), "x long")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Format: Parquet" not in plan and "FileScan parquet" not in plan
+    assert rows.count() == 8000 and rows.select("x").distinct().count() == 8000
+
+
+def test_losses_by_file(spark, tmp_path):
+    broken_middle(tmp_path)
     r = readers.read_losses(spark, str(tmp_path), "x long").first()
-    assert (r["rows"], r["error"]) == (3000, None) and r["lost_rows"] >= 1000 and r["lost_groups"] >= 1
-    with pytest.raises(ValueError, match="rows can't be read"):
-        readers.read_with_budget(spark, str(tmp_path), "x long", 1, most_rows=10)
-    with pytest.raises(ValueError, match="groups can't be read"):
-        readers.read_with_budget(spark, str(tmp_path), "x long", 1, most_groups=0)
+    assert (r["rows"], r["lost_rows"], r["lost_groups"]) == (3000, 1000, 1) and r["error"] is not None
+
+
+def test_opening_is_tried_again(tmp_path, monkeypatch):
+    pq.write_table(pa.table({"x": pa.array([1, 2], pa.int64())}), str(tmp_path / "a.parquet"))
+    store, tries = readers._store, []
+
+    def failing(address):
+        tries.append(address)
+        if len(tries) < 3:
+            raise OSError("not yet")
+        return store(address)
+
+    monkeypatch.setattr(readers, "_store", failing)
+    schema = pa.schema([("x", pa.int64()), ("__fault", pa.struct([("file", pa.string()), ("group", pa.int32()), ("rows", pa.int64()), ("error", pa.string())]))])
+    told = pa.RecordBatch.from_pylist([{"file": f"file://{tmp_path}/a.parquet", "group": 0, "rows": 2, "error": None}])
+    found = list(readers._read_groups(schema, "skip", None, None, 2, 0.0)(iter([told])))
+    assert [r["x"] for b in found for r in b.to_pylist()] == [1, 2] and len(tries) == 3
+    tries.clear()
+    found = list(readers._read_groups(schema, "skip", None, None, 1, 0.0)(iter([told])))
+    assert [r["__fault"]["error"] for b in found for r in b.to_pylist()] == ["OSError"]
 
 
 def test_nested_report(spark):
