@@ -6,9 +6,10 @@ dictionaries from end to index; the sorted common ends slice both id lists into
 links of a group are all its pairs.
 
 Texts are split where both tokenizers must end a token (before a space behind a sign that isn't
-white space), so a part is aligned by itself; a task remembers parts. Documents are worked on in
+white space), so a part is aligned by itself, and equal parts once. Documents are worked on in
 chunks of about CHUNK_BYTES: a chunk is one row with its distinct pairs, its distinct parts as
-lists of pairs, and its documents as lists of parts. How many documents hold a pair is summed over
+lists of pairs, and its documents as lists of parts. A chunk's distinct parts are encoded in runs,
+joined by spaces, whose ends all parts must share. How many documents hold a pair is summed over
 chunks; each chunk asks for its own pairs once and gets their counts back, so neither texts nor
 links are shuffled, a pair that all documents hold is one row for each chunk, and nothing is broadcast.
 
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import bounded_batches, each_value, release_memory, written
 
 META = "▁"
-#: UTF-8 bytes of text in a chunk, and rows; parts that a task remembers, and their longest text.
-CHUNK_BYTES, CHUNK_ROWS, KNOWN_PARTS, KNOWN_CHARS = 1 << 21, 1 << 15, 400_000, 64
+#: UTF-8 bytes of text in a chunk, and rows; parts that are encoded as one text.
+CHUNK_BYTES, CHUNK_ROWS, RUN = 4 << 20, 1 << 15, 1024
 _CUT = re.compile(rf"(?<=[^\s{META}]) (?=.)", re.S)
+#: A space at which a text isn't cut.
+_UNEVEN = re.compile(rf"[\s{META}] |^ | $")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -48,34 +50,21 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """Slices (a from, a to, b from, b to) between ends that both have."""
-    a_at, b_at = {e: i + 1 for i, e in enumerate(a_ends)}, {e: i + 1 for i, e in enumerate(b_ends)}
-    out, a, b = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        out.append((a, a_at[end], b, b_at[end]))
-        a, b = a_at[end], b_at[end]
-    return out
+def common_cuts(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The ends that both have, in order, and how many tokens of A and of B end up to each."""
+    a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True)), dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
+    ends = sorted(a_at.keys() & b_at.keys())
+    return ends, [a_at[e] for e in ends], [b_at[e] for e in ends]
 
 
-class Part:
-    """A part's alignment: numbers of tokens, groups and links, its groups as text, its distinct
-    pairs (a << 32 | b) and how often it has each. Without alignment ``shown`` is None."""
+class Aligned:
+    """Parts side by side: ``sound`` if their tokens' bytes are theirs, ``counts`` (parts, 4) of tokens,
+    groups and links, ``shown`` groups as text, and all links as ``pair`` (a << 32 | b) with the
+    part of each, in order."""
 
-    __slots__ = ("counts", "pairs", "shown", "times")
-
-    def __init__(self, a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int], agrees: bool) -> None:
-        self.counts, self.pairs, self.times, self.shown = (0, 0, 0, 0), (), (), None
-        if not agrees:
-            return
-        cuts = groups(np.cumsum(a_sizes).tolist(), np.cumsum(b_sizes).tolist())
-        links: Counter = Counter()
-        shown = []
-        for a0, a1, b0, b1 in cuts:
-            shown.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
-            links.update(x << 32 | y for x in a[a0:a1] for y in b[b0:b1])
-        self.shown, self.pairs, self.times = ";".join(shown), tuple(links), tuple(links.values())
-        self.counts = len(a), len(b), len(cuts), links.total()
+    def __init__(self, parts: int) -> None:
+        self.sound, self.counts, self.shown = np.zeros(parts, bool), np.zeros((parts, 4), np.int64), [""] * parts
+        self.pair, self.part = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 class Aligner:
@@ -90,35 +79,72 @@ class Aligner:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         signs = byte_of_sign()
-        self.a_bytes = {i: bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        tokens = {i: bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(META, " ").encode() for p in pieces]
+        self.a_sizes, self.b_sizes = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
         # Parts stand for themselves if A cuts before such a space and no piece of B has a space behind a letter.
         tried = all(not any(s < 3 < e for _, (s, e) in self.a.pre_tokenizer.pre_tokenize_str(x)) for x in ("abc def", "ab. (de", "it' s a", "12, 34")) if self.a.pre_tokenizer else False
         self.splits = tried and self.a.normalizer is None and not any(META in p.lstrip(META) for p in pieces)
-        self.known: dict[str, Part] = {}
 
     def parts(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.splits else [text]
-
-    def new(self, parts: list[str]) -> list[Part]:
-        out = []
-        for text, a, b in zip(parts, self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False), self.b.encode(parts, num_threads=1), strict=True):
-            a_tokens, b_tokens, want = [self.a_bytes[i] for i in a.ids], [self.b_bytes[i] for i in b], (" " + text).encode("utf-8", "replace")
-            out.append(Part(a.ids, [*map(len, a_tokens)], b, [*map(len, b_tokens)], b"".join(a_tokens) == want == b"".join(b_tokens)))
-        return out
-
-    def __call__(self, parts: set[str]) -> dict[str, Part]:
-        """The parts' alignments. Long parts aren't remembered."""
-        if len(self.known) > KNOWN_PARTS:
-            self.known.clear()
-        out = {p: self.known[p] for p in parts if p in self.known}
-        rest = [p for p in parts if p not in out]
-        for p, part in zip(rest, self.new(rest), strict=True):
-            out[p] = part
-            if len(p) <= KNOWN_CHARS:
-                self.known[p] = part
+        if not self.splits:
+            return [text]
+        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+
+    def _run(self, parts: list[str], out: Aligned, at: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Aligns parts ``at`` and on by encoding them as one text, and returns their links; None if that
+        text's bytes or the parts' ends aren't met."""
+        text = " ".join(parts)
+        data, a, b = (" " + text).encode("utf-8", "replace"), self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        ends, a_cuts, b_cuts = common_cuts(np.cumsum(self.a_sizes[a_ids]).tolist(), np.cumsum(self.b_sizes[b_ids]).tolist())
+        closes = np.cumsum([1 + len(p.encode("utf-8", "replace")) for p in parts])
+        last = np.searchsorted(ends, closes)  # the group that ends each part
+        if last[-1] >= len(ends) or not (np.array(ends)[last] == closes).all():
+            return None
+        a_to, b_to = np.array(a_cuts), np.array(b_cuts)
+        a_from, b_from = np.append(0, a_to[:-1]), np.append(0, b_to[:-1])
+        wide, high = a_to - a_from, b_to - b_from
+        a_text, b_text = [*map(str, a)], [*map(str, b)]
+        shown = [f"{a_text[i]}|{b_text[k]}" if j - i == 1 == m - k else f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip(a_from.tolist(), a_cuts, b_from.tolist(), b_cuts, strict=True)]
+        first = np.append(0, last[:-1] + 1)
+        out.shown[at : at + len(parts)] = [shown[i] if i == j else ";".join(shown[i : j + 1]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+        links = np.append(0, np.cumsum(wide * high))
+        for c, (until, since) in enumerate(((a_to[last], a_from[first]), (b_to[last], b_from[first]), (last + 1, first), (links[last + 1], links[first]))):
+            out.counts[at : at + len(parts), c] = until - since
+        out.sound[at : at + len(parts)] = True
+        own = np.repeat(np.arange(len(ends)), wide * high)
+        place = np.arange(links[-1]) - links[own]
+        pair = a_ids[a_from[own] + place // high[own]] << 32 | b_ids[b_from[own] + place % high[own]]
+        return pair, at + np.searchsorted(last, own)
+
+    def __call__(self, parts: list[str]) -> Aligned:
+        """The parts' alignment, encoded in runs; those that no run meets are encoded by themselves."""
+        out, links = Aligned(len(parts)), []
+        # A space mark in a part is a space in B's bytes.
+        todo = [[i] for i, p in enumerate(parts) if not self.splits and META not in p]
+        plain = [i for i, p in enumerate(parts) if self.splits and META not in p]
+        todo += [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
+        for own in todo:
+            some = Aligned(len(own))
+            found = self._run([parts[i] for i in own], some, 0)
+            if found is None and len(own) > 1:
+                todo += [own[: len(own) // 2], own[len(own) // 2 :]]
+            elif found is not None:
+                where = np.array(own)
+                out.sound[where], out.counts[where] = some.sound, some.counts
+                for i, text in zip(own, some.shown, strict=True):
+                    out.shown[i] = text
+                links.append((found[0], where[found[1]]))
+        if links:
+            pair, part = (np.concatenate(x) for x in zip(*links, strict=True))
+            order = np.argsort(part, kind="stable")
+            out.pair, out.part = pair[order], part[order]
         return out
 
 
@@ -134,34 +160,50 @@ def _ints(values: list[int] | np.ndarray, kind: str) -> bytes:
 _CHUNK = "chunk long, pairs binary, holders binary, links binary, entries binary, docs array<struct<id:{id},n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,entries:int>>"
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
 def chunk_row(docs: list[tuple], align: Aligner) -> tuple[bytes, bytes, bytes, bytes, list[dict]]:
     """(pairs, holders, links, entries, docs) of documents (id, text).
 
-    pairs: distinct pairs in order; holders: the documents with each. links: (part, pair, times) and
-    entries: (part, times) by document, of which a document's own number stands in docs.
+    pairs: distinct pairs in order; holders: the documents with each. links: (part, pair), parts
+    in order, and entries: (part, times) by document, of which a document's own number stands in docs.
     """
-    split = [align.parts(t) if t else [] for _, t in docs]
-    known = align(set().union(*split))
     numbers: dict[str, int] = {}
-    out, entries, wide = [], [], []
-    for k, ((i, _), parts) in enumerate(zip(docs, split, strict=True)):
-        own = [known[p] for p in parts]
-        if not own or any(p.shown is None for p in own):
+    texts = []
+    for _, text in docs:
+        parts = align.parts(text) if text else []
+        for p in parts:
+            if p not in numbers:
+                numbers[p] = len(numbers)
+        texts.append(np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)))
+    found = align([*numbers])
+    pairs, pair = np.unique(found.pair, return_inverse=True)
+    first = np.searchsorted(found.part, np.arange(len(numbers) + 1))
+    out, entries, held = [], [], []
+    for k, ((i, _), own) in enumerate(zip(docs, texts, strict=True)):
+        if not len(own) or not found.sound[own].all():
             out.append({"id": i, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "entries": 0})
             continue
-        sums = np.array([p.counts for p in own]).sum(axis=0).tolist()
+        n_a, n_b, n_groups, n_links = found.counts[own].sum(axis=0).tolist()
         digest = hashlib.sha256()
-        for at in range(0, len(own), 4096):
-            digest.update((";" * bool(at) + ";".join([p.shown for p in own[at : at + 4096]])).encode())
-        times = Counter(parts)
-        entries += [x for p, n in times.items() for x in (numbers.setdefault(p, len(numbers)), n)]
-        wide.append(np.unique(np.array([x for p in times for x in known[p].pairs], np.int64)))
-        out.append({"id": i, "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "groups_sha256": digest.hexdigest(), "entries": len(times)})
-    pairs, holders = np.unique(np.concatenate(wide), return_counts=True) if wide else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    shown = [known[p] for p in numbers]
-    sizes = [len(p.pairs) for p in shown]
-    links = np.stack((np.repeat(np.arange(len(shown)), sizes), np.searchsorted(pairs, np.array([x for p in shown for x in p.pairs], np.int64)), np.array([n for p in shown for n in p.times], np.int64)))
-    return _ints(pairs, "<i8"), _ints(holders, "<i4"), _ints(links, "<i4"), _ints(entries, "<i4"), out
+        for at in range(0, len(own), 1 << 14):
+            digest.update((";" * bool(at) + ";".join(map(found.shown.__getitem__, own[at : at + (1 << 14)].tolist()))).encode())
+        distinct, times = np.unique(own, return_counts=True)
+        entries.append(np.stack((distinct, times), axis=1).ravel())
+        links = pair[_ranges(first[distinct], first[distinct + 1] - first[distinct])]
+        held.append(np.unique(links))
+        out.append({"id": i, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest.hexdigest(), "entries": len(distinct)})
+    holders = np.bincount(np.concatenate(held), minlength=len(pairs)) if held else np.zeros(len(pairs), np.int64)
+    kept = np.nonzero(holders)[0]  # without those of texts that aren't aligned alone
+    place = np.full(len(pairs), -1)
+    place[kept] = np.arange(len(kept))
+    known = place[pair] >= 0
+    links = np.stack((found.part[known], place[pair[known]]))
+    return _ints(pairs[kept], "<i8"), _ints(holders[kept], "<i4"), _ints(links, "<i4"), _ints(np.concatenate(entries) if entries else [], "<i4"), out
 
 
 def _chunks(a_path: str, b_path: str, schema: pa.Schema):
@@ -210,10 +252,10 @@ def _told(schema: pa.Schema):
                 if len(told):
                     order = np.searchsorted(pairs, told.field(0).to_numpy(zero_copy_only=False))
                     count[order], best[order] = told.field(1).to_numpy(zero_copy_only=False), told.field(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                part, pair, times = links.reshape(3, -1).astype(np.int64)
-                ends = np.searchsorted(part, np.arange(int(part[-1]) + 2 if len(part) else 1))
-                sums = [np.diff(np.append(0, np.cumsum(v[pair] * times))[ends]) for v in (best, count)]  # by part
+                part, pair = links.reshape(2, -1)
                 own = entries.reshape(-1, 2).astype(np.int64)
+                ends = np.searchsorted(part, np.arange(int(own[:, 0].max()) + 2 if len(own) else 1))
+                sums = [np.diff(np.append(0, np.cumsum(v[pair]))[ends]) for v in (best, count)]  # by part
                 cuts = np.append(0, np.cumsum(docs.field(6).to_numpy(zero_copy_only=False)))
                 found = []
                 for row in sums:

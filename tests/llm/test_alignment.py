@@ -92,16 +92,32 @@ def test_parts_equal_whole_texts(libraries):
     signs = ["a", "the", "É", "日", " ", "  ", "\n", "\t", "'s", "'", "...", "12", "▁", "😀", "　", "-", "word", "\x1f"]
     for _ in range(400):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 40)))
-        known = align(set(parts := align.parts(text)))
+        known = align(parts := align.parts(text))
+        assert _plain_split(text) == parts
         a = libraries[0].encode(" " + text, add_special_tokens=False).ids
-        if all(known[p].shown is not None for p in parts):
-            got = ";".join(known[p].shown for p in parts)
+        if known.sound.all():
+            got = ";".join(known.shown)
             assert [int(x) for g in got.split(";") for x in g.split("|")[0].split(",")] == a
             assert [int(x) for g in got.split(";") for x in g.split("|")[1].split(",")] == libraries[1].encode(text)
         else:
             assert "".join(libraries[1].id_to_piece(x) for x in libraries[1].encode(text)).replace("▁", " ") != " " + text
 
 
+def _plain_split(text):
+    return alignment._CUT.split(text)
+
+
+def test_runs_equal_parts_by_themselves(monkeypatch):
+    rng = random.Random(9)
+    align = alignment.Aligner(A, B)
+    parts = list({"".join(rng.choice("abé ▁.1'日") for _ in range(rng.randint(1, 8))) for _ in range(300)})
+    runs = align(parts)
+    monkeypatch.setattr(alignment, "RUN", 1)
+    single = align(parts)
+    assert runs.shown == single.shown and (runs.counts == single.counts).all() and (runs.sound == single.sound).all() and not runs.sound.all()
+    assert sorted(zip(runs.part, runs.pair, strict=True)) == sorted(zip(single.part, single.pair, strict=True))
+
+
 @pytest.mark.parametrize("size,rows", [(1, 1 << 15), (300, 1 << 15), (1 << 21, 3)])
 def test_any_chunks(monkeypatch, size, rows):
     """A task's chunks sum up to the same, however they are cut."""
