@@ -68,8 +68,10 @@ def flatten_singletons(values: Column) -> Column:
 
 
 def flatten_bag(values: Column) -> Column:
-    """A nested request bag as one list; an outer list of more than one is an error."""
-    return F.when(F.size(values) > 1, F.raise_error(F.lit("a request bag is nested in several lists"))).otherwise(F.flatten(values))
+    """A nested bag as one list: that of its only inner list, or of inner lists of one value each; several
+    inner lists of other lengths are an error."""
+    sound = (F.size(values) <= 1) | F.forall(values, lambda x: F.coalesce(F.size(x) == 1, F.lit(False)))
+    return F.when(F.coalesce(sound, F.lit(True)), F.flatten(values)).otherwise(F.raise_error(F.lit("a bag is nested in several lists")))
 
 
 def merged_by_time(streams: dict[str, Column], time: str = "time", clocks: dict[str, str] | None = None) -> Column:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from rankloom.functions.sequence import singleton
+from rankloom.functions.sequence import aligned, flatten_bag, flatten_singletons, singleton
 from rankloom.operators.spec import Layout, Sequence
 
 
@@ -19,10 +20,26 @@ def _is_nested(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.simpleString().startswith("array<array")
 
 
+def _depth(df: DataFrame, column: str) -> int:
+    """How many lists a column's values are nested in."""
+    kind, n = df.schema[column].dataType, 0
+    while isinstance(kind, ArrayType):
+        kind, n = kind.elementType, n + 1
+    return n
+
+
+def _tokens(column: str, df: DataFrame) -> Column:
+    """A history's field with one value for each event; nested ones must hold one value each."""
+    kind = df.schema[column].dataType
+    if isinstance(kind.elementType, ArrayType):
+        return F.coalesce(flatten_singletons(F.col(column)), F.array().cast(kind.elementType))
+    return _empty_as_missing(column, df)
+
+
 def history(df: DataFrame, sequence: Sequence, anchor: str | None = None, limit: int | None = None) -> Column:
     """A history as an array of structs with ``members``; truncated first, then events with a null
     anchor are dropped from all fields."""
-    events = F.arrays_zip(*(_empty_as_missing(c, df).alias(name) for name, c in sequence.fields.items()), _empty_as_missing(sequence.members, df).alias("members"))
+    events = F.arrays_zip(*(_tokens(c, df).alias(name) for name, c in sequence.fields.items()), _empty_as_missing(sequence.members, df).alias("members"))
     if limit is not None:
         events = F.slice(events, 1, limit)
     return F.filter(events, lambda e: e[anchor].isNotNull()) if anchor else events
@@ -37,9 +54,9 @@ def violations(df: DataFrame, layout: Layout) -> Column:
     """First structural fault of an agg row as text, null if there is none."""
     requests, targets = F.col(layout.request_index), F.col(layout.candidate_index)
     out = F.when(requests.isNull() | targets.isNull(), "missing index")
-    out = out.when(F.exists(requests, lambda x: x.isNull()) | F.exists(targets, lambda x: x.isNull()), "null index")
+    out = out.when((F.size(F.array_compact(requests)) < F.size(requests)) | (F.size(F.array_compact(targets)) < F.size(targets)), "null index")
     out = out.when(F.size(F.array_distinct(requests)) < F.size(requests), "duplicate request")
-    out = out.when(F.exists(targets, lambda t: ~F.array_contains(requests, t)), "dangling candidate")
+    out = out.when(F.size(F.array_except(targets, requests)) > 0, "dangling candidate")
     for c in (*layout.request_scalars, *layout.request_bags):
         out = out.when((F.size(F.col(c)) != F.size(requests)) & (F.size(F.col(c)) > 0), f"length of {c}")
     for c in layout.request_meta:
@@ -71,12 +88,13 @@ def label_masks(df: DataFrame, labels: list[str], missing: list[int]) -> DataFra
     return df
 
 
-def expand_agg(df: DataFrame, layout: Layout, keys: tuple[str, ...] = (), validate: str = "strict", limit: int | None = None, anchors: dict[str, str] | None = None) -> DataFrame:
+def expand_agg(df: DataFrame, layout: Layout, keys: tuple[str, ...] = (), validate: str = "strict", limit: int | None = None, anchors: dict[str, str] | None = None, complete: bool = False) -> DataFrame:
     """One row per candidate of agg rows: keys, request_id, candidate_position (from 0 within its
     request, in physical order), request and candidate columns, visible events of each history.
 
     ``validate="strict"`` fails on the first faulty row, ``"off"`` checks none: a candidate of an
-    unknown request then has nulls for its columns. Labels that the input lacks are left out.
+    unknown request then has nulls for its columns. Labels that the input lacks are left out; with
+    ``complete`` one that isn't 0 or 1 is an error. Nested event tokens and request bags are flattened.
     """
     requests = F.col(layout.request_index)
     labels = [c for c in layout.labels if c in df.columns]
@@ -84,37 +102,83 @@ def expand_agg(df: DataFrame, layout: Layout, keys: tuple[str, ...] = (), valida
         fault = violations(df, layout)
         df = df.where(F.when(fault.isNotNull(), F.raise_error(F.coalesce(fault, F.lit(""))).cast("boolean")).otherwise(F.lit(True)))
     fields = (*layout.candidate_scalars, *layout.candidate_bags, *layout.candidate_meta, *labels)
-    wide = df.withColumns({f"__{s.name}": history(df, s, (anchors or {}).get(s.name), limit) for s in layout.sequences})
-    # Requests first: what a request sees, and which candidates are its own, is found once for each.
+    targets = F.col(layout.candidate_index)
+    # Candidates in order of request and place fall into runs, one for each request that has any: each
+    # candidate is looked at once, and a run carries its own candidates and what its request sees.
+    pairs = F.sort_array(F.arrays_zip(targets.alias("r"), F.sequence(F.lit(0), F.size(targets) - 1).alias("i")))
     of_request = lambda c: F.get(F.col(c), F.col("__r"))
-    own = F.filter(F.sequence(F.lit(0), F.size(layout.candidate_index) - 1), lambda i: F.get(F.col(layout.candidate_index), i).eqNullSafe(F.col("request_id")))
-    every = requests if validate == "strict" else F.array_union(requests, F.col(layout.candidate_index))
-    rows = wide.select("*", F.explode(every).alias("request_id")).withColumn("__r", (F.array_position(requests, F.col("request_id")) - 1).cast("int"))
+    opens = F.filter(F.sequence(F.lit(0), F.size("__pairs") - 1), lambda k: (k == 0) | ~F.get("__pairs", k)["r"].eqNullSafe(F.get("__pairs", k - 1)["r"]))
+    cells = lambda e: F.struct(*(F.get(F.col(c), e["i"]).alias(c) for c in fields), e["i"].alias("__i"))
+    run = lambda start, k: F.struct(F.get("__pairs", start)["r"].alias("r"), F.transform(F.slice("__pairs", start + 1, F.coalesce(F.get("__opens", k + 1), F.size("__pairs")) - start), cells).alias("own"))
+    kept = dict.fromkeys([*keys, layout.request_index, *layout.request_scalars, *layout.request_bags, *layout.request_meta])
+    sights = {f"__{s.name}": history(df, s, (anchors or {}).get(s.name), limit) for s in layout.sequences}
+    rows = df.where(F.size(targets) > 0).withColumn("__pairs", pairs).withColumn("__opens", opens)
+    rows = rows.select(*kept, *(v.alias(k) for k, v in sights.items()), F.explode(F.transform("__opens", run)).alias("__run"))
+    rows = rows.withColumn("request_id", F.col("__run.r")).withColumn("__r", (F.array_position(requests, F.col("__run.r")) - 1).cast("int"))
     request = {c: (singleton(of_request(c)) if _is_nested(df, c) else of_request(c)) for c in layout.request_scalars}
-    request |= {c: F.coalesce(of_request(c), F.array().cast(df.schema[c].dataType.elementType)) for c in layout.request_bags}
+    bag = lambda c: flatten_bag(of_request(c)) if _depth(df, c) > 2 else of_request(c)
+    flat_kind = lambda c: df.schema[c].dataType.elementType.elementType if _depth(df, c) > 2 else df.schema[c].dataType.elementType
+    request |= {c: F.coalesce(bag(c), F.array().cast(flat_kind(c))) for c in layout.request_bags}
     request |= {c: of_request(c) for c in layout.request_meta}
+    label = (lambda c, v: complete_label(v)) if complete else (lambda c, v: v)
     seen = {s.name: _fields(F.filter(F.col(f"__{s.name}"), lambda e: F.array_contains(e["members"], F.col("request_id"))), s) for s in layout.sequences}
-    rows = rows.where(F.size(layout.candidate_index) > 0).select(*keys, "request_id", *(F.col(c).alias(f"__c_{c}") for c in fields), *(v.alias(f"__q_{c}") for c, v in (request | seen).items()), F.posexplode(own).alias("candidate_position", "__i"))
-    cell = lambda c: F.get(F.col(f"__c_{c}"), F.col("__i"))
+    rows = rows.select(*keys, "request_id", *(v.alias(f"__q_{c}") for c, v in (request | seen).items()), F.posexplode("__run.own").alias("candidate_position", "__c"))
+    cell = lambda c: F.col("__c")[c]
     out = [*keys, "request_id", "candidate_position", *(F.col(f"__q_{c}").alias(c) for c in request)]
     out += [(singleton(cell(c)) if _is_nested(df, c) else cell(c)).alias(c) for c in layout.candidate_scalars]
     out += [F.coalesce(cell(c), F.array().cast(df.schema[c].dataType.elementType)).alias(c) for c in layout.candidate_bags]
     out += [cell(c).alias(c) for c in layout.candidate_meta]
-    out += [_label(singleton(cell(c)) if _is_nested(df, c) else cell(c), layout).alias(c) for c in labels]
+    out += [label(c, _label(singleton(cell(c)) if _is_nested(df, c) else cell(c), layout)).alias(c) for c in labels]
     out += [F.col(f"__q_{s.name}").alias(s.name) for s in layout.sequences]
     return rows.select(*out)
 
 
-def expand_req(df: DataFrame, layout: Layout, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row per candidate of req rows, whose request columns are plain values or lists."""
+def req_violations(df: DataFrame, layout: Layout) -> Column:
+    """First structural fault of a req row as text, null if there is none: candidate fields of other
+    lengths than the first one, a null among them, histories whose fields differ in length."""
+    fields = [*layout.candidate_scalars, *layout.candidate_bags, *layout.candidate_meta, *(c for c in layout.labels if c in df.columns)]
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for c in fields:
+        out = out.when(F.col(c).isNull(), f"missing {c}")
+        out = out.when(F.size(fields[0]) != F.size(c), f"length of {c}")
+    for s in layout.sequences:
+        first, *others = (_empty_as_missing(c, df) for c in s.fields.values())
+        for name, other in zip([*s.fields.values()][1:], others, strict=True):
+            out = out.when(F.size(first) != F.size(other), f"length of {name}")
+    return out
+
+
+def expand_req(df: DataFrame, layout: Layout, keys: tuple[str, ...] = (), validate: str = "strict", complete: bool = False) -> DataFrame:
+    """One row per candidate of req rows, whose request columns are plain values or lists.
+
+    ``validate="strict"`` fails on the first row whose fields differ in length, ``"off"`` checks only the
+    histories. A request scalar may be wrapped in lists of one value, a bag in one list or be lists of
+    one value; with ``complete`` a label that isn't 0 or 1 is an error."""
     labels = [c for c in layout.labels if c in df.columns]
     fields = (*layout.candidate_scalars, *layout.candidate_bags, *layout.candidate_meta, *labels)
-    events = {s.name: _fields(F.arrays_zip(*(_empty_as_missing(c, df).alias(n) for n, c in s.fields.items())), s) for s in layout.sequences}
-    wide = df.withColumns({f"__{k}": v for k, v in events.items()})
-    kept = dict.fromkeys([*keys, *layout.request_scalars, *layout.request_bags, *layout.request_meta])
-    flat = wide.select(*kept, *(F.col(f"__{k}").alias(k) for k in events), F.posexplode(F.arrays_zip(*(F.col(c).alias(c) for c in fields))).alias("candidate_position", "__c"))
-    cells = [(singleton(F.col(f"__c.{c}")) if c in (*layout.candidate_scalars, *labels) and _is_nested(df, c) else F.col(f"__c.{c}")).alias(c) for c in fields]
-    return flat.select(*kept, *events, "candidate_position", *cells)
+    if validate == "strict":
+        fault = req_violations(df, layout)
+        df = df.where(F.when(fault.isNotNull(), F.raise_error(F.coalesce(fault, F.lit(""))).cast("boolean")).otherwise(F.lit(True)))
+    value = lambda c: df.schema[c].dataType.elementType.elementType if _depth(df, c) > 1 else df.schema[c].dataType.elementType
+    shape = lambda s: ArrayType(StructType([StructField(n, value(c)) for n, c in s.fields.items()]))
+    events = {s.name: aligned(*(_tokens(c, df) for c in s.fields.values())).cast(shape(s)) for s in layout.sequences}
+
+    def unwrapped(c: str) -> Column:
+        out = F.col(c)
+        for _ in range(_depth(df, c)):
+            out = singleton(out)
+        return out
+
+    scalars = {c: unwrapped(c) for c in layout.request_scalars}
+    bags = {c: flatten_bag(F.col(c)) if _depth(df, c) > 1 else F.col(c) for c in layout.request_bags}
+    plain = [c for c in dict.fromkeys([*keys, *layout.request_meta]) if c not in scalars and c not in bags]
+    wide = {f"__{k}": v for k, v in (events | scalars | bags).items()}
+    flat = df.select(*plain, *(v.alias(k) for k, v in wide.items()), F.posexplode(F.arrays_zip(*(F.col(c).alias(c) for c in fields))).alias("candidate_position", "__c"))
+    cell = lambda c: singleton(F.col(f"__c.{c}")) if c in (*layout.candidate_scalars, *labels) and _is_nested(df, c) else F.col(f"__c.{c}")
+    label = (lambda v: complete_label(_label(v, layout))) if complete else (lambda v: _label(v, layout))
+    order = [*dict.fromkeys([*keys, *layout.request_scalars, *layout.request_bags, *layout.request_meta]), *events]
+    cells = [(label(cell(c)) if c in labels else cell(c)).alias(c) for c in fields]
+    return flat.select(*((F.col(c) if c in plain else F.col(f"__{c}").alias(c)) for c in order), "candidate_position", *cells)
 
 
 def requests(df: DataFrame, layout: Layout, keys: tuple[str, ...]) -> DataFrame:

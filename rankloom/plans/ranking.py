@@ -418,3 +418,31 @@ def read_with_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_by_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table read by (file, row group), without faults."""
     return readers.read_groups(spark, f"{sf_dir}/events.parquet", "event_id long, user_id long, event_type string", most_files=0)[0]
+
+
+@query(f"""WITH {FLAT}, {SEEN} SELECT f.user_id, f.request_id, f.candidate_position, f.item_id, f.label, f.request_id || ',' || (f.request_id + 1) AS tags, coalesce(c.x, '') AS clicks, coalesce(c.t, '') AS times
+    FROM flat f LEFT JOIN (SELECT user_id, request_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY t DESC, id) AS x, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t DESC, id) AS t FROM seen WHERE stream = 'click' GROUP BY ALL) c USING (user_id, request_id)""")
+def expand_nested_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expansion of event tokens and request bags that are nested once more, with complete labels."""
+    one = lambda c: F.transform(c, lambda x: F.array(x))
+    nested = fixtures.nested(spark, sf_dir).withColumns({"click_id": one("click_id"), "click_time": one("click_time"), "tags": F.transform("context_indices", lambda r: F.array(F.array(r, r + 1)))})
+    layout = Layout(request_bags=("tags",), candidate_scalars=("item_id",), labels=("label",), sequences=LAYOUT.sequences[:1])
+    flat = expand.expand_agg(nested, layout, KEYS, complete=True)
+    return flat.select(*KEYS, "request_id", F.col("candidate_position").cast("long").alias("candidate_position"), "item_id", "label", joined("tags").alias("tags"), joined("click.id").alias("clicks"), joined("click.time").alias("times"))
+
+
+@query(f"""WITH {FLAT}, {SEEN} SELECT f.user_id, f.request_id, f.scene_id, f.candidate_position, f.item_id, f.label, f.request_id || ',7' AS tags, coalesce(v.x, '') AS views
+    FROM flat f LEFT JOIN {_lists("view")} v USING (user_id, request_id)""")
+def expand_req_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Req rows with wrapped scalars, bags of single values and nested event tokens."""
+    agg = fixtures.nested(spark, sf_dir)
+    requests = F.explode(F.transform("context_indices", lambda r, i: F.struct(r.alias("r"), F.get("scene_id", i).alias("scene_id"))))
+    rows = agg.select("*", requests.alias("q")).withColumn("c", F.filter(F.arrays_zip("target_indices", "item_id", "label"), lambda c: c["target_indices"] == F.col("q.r")))
+    seen = F.filter(F.arrays_zip("view_id", "view_time", "view_members"), lambda e: F.array_contains(e["view_members"], F.col("q.r")))
+    rows = rows.where(F.size("c") > 0).select(
+        "user_id", F.col("q.r").alias("request_id"), F.array(F.array("q.scene_id")).alias("scene_id"), F.array(F.array("q.r"), F.array(F.lit(7).cast("long"))).alias("tags"),
+        F.col("c.item_id").alias("item_id"), F.col("c.label").alias("label"), F.transform(seen, lambda e: F.array(e["view_id"])).alias("view_id"), F.transform(seen, lambda e: e["view_time"]).alias("view_time"),
+    )
+    layout = Layout(request_scalars=("scene_id",), request_bags=("tags",), candidate_scalars=("item_id",), labels=("label",), sequences=LAYOUT.sequences[1:2])
+    flat = expand.expand_req(rows, layout, ("user_id", "request_id"), complete=True)
+    return flat.select("user_id", "request_id", "scene_id", F.col("candidate_position").cast("long").alias("candidate_position"), "item_id", "label", joined("tags").alias("tags"), joined("view.id").alias("views"))

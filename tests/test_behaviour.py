@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import encode, sequence, sizing
 from rankloom.operators import batching, contract, expand, metrics, profile
-from rankloom.operators.spec import Layout
+from rankloom.operators.spec import Layout, Sequence
 from rankloom.plans import fixtures, registry, scoring
 from rankloom.sources import readers
 from rankloom.sources.shared import shared_folder
@@ -178,8 +178,10 @@ def test_merging_clocks(spark):
 def test_nested_tokens_and_bags(spark):
     df = spark.createDataFrame([([[1], [], None, [4]], [[1, 2]])], "tokens array<array<long>>, bag array<array<long>>")
     assert tuple(df.select(sequence.flatten_singletons(F.col("tokens")), sequence.flatten_bag(F.col("bag"))).first()) == ([1, None, None, 4], [1, 2])
+    several = spark.createDataFrame([([[1], [2]], [[1, 2], [3]])], "a array<array<long>>, b array<array<long>>")
+    assert several.select(sequence.flatten_bag(F.col("a"))).first()[0] == [1, 2]
     with pytest.raises(Exception, match="several lists"):
-        df.select(sequence.flatten_bag(F.col("tokens"))).collect()
+        several.select(sequence.flatten_bag(F.col("b"))).collect()
     with pytest.raises(Exception, match="differ in length"):
         df.select(sequence.aligned(F.col("tokens"), F.col("bag"))).collect()
 
@@ -266,3 +268,37 @@ def test_pooled_nulls_and_unknown_ids(spark):
 
 def test_scoring_has_no_filtered_bags():
     assert "% 3" not in registry.SQL["bag_mean_pool"] and scoring._BAGS in registry.SQL["bag_mean_pool"]
+
+
+def test_req_rows_are_checked(spark):
+    layout = Layout(request_scalars=("s",), request_bags=("b",), candidate_scalars=("c",), labels=("y",), sequences=(Sequence("h", {"id": "h_id", "time": "h_time"}, "time", "h_members"),))
+    shape = "s array<array<long>>, b array<array<long>>, c array<array<long>>, y array<long>, h_id array<array<long>>, h_time array<long>"
+    good = ([[101]], [[1], [2]], [[201], [202]], [0, 1], [[-1], [-2]], [5, 4])
+
+    def flat(**changes):
+        row = dict(zip(("s", "b", "c", "y", "h_id", "h_time"), good, strict=True)) | changes
+        return [tuple(r) for r in expand.expand_req(spark.createDataFrame([tuple(row.values())], shape), layout, complete=True).collect()]
+
+    events = [(-1, 5), (-2, 4)]
+    assert flat() == [(101, [1, 2], events, 0, 201, 0), (101, [1, 2], events, 1, 202, 1)]
+    assert flat(s=None, b=None, h_id=None, h_time=None)[0] == (None, None, [], 0, 201, 0)
+    for changes, match in (({"y": [0]}, "length of y"), ({"y": None}, "missing y"), ({"h_time": [5]}, "length of h_time"), ({"y": [0, 2]}, "label is not 0 or 1"), ({"y": [0, None]}, "label is not 0 or 1"), ({"b": [[1, 2], [3]]}, "several lists"), ({"s": [[1, 2]]}, "more than one value"), ({"h_id": [[1, 2], [3]]}, "more than one value")):
+        with pytest.raises(Exception, match=match):
+            flat(**changes)
+
+
+def test_expansion_of_hot_rows_is_linear(spark):
+    """Ten times the requests and candidates of one row cost far less than a hundred times the work."""
+    layout = Layout(request_meta=("m",), candidate_scalars=("c",))
+
+    def plan_of(requests):
+        n = 3 * requests
+        df = spark.range(1).select(F.sequence(F.lit(0), F.lit(requests - 1)).alias("context_indices"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * 7 % requests).alias("target_indices"), F.sequence(F.lit(0), F.lit(requests - 1)).alias("m"), F.sequence(F.lit(0), F.lit(n - 1)).alias("c"))
+        return expand.expand_agg(df, layout)
+
+    got = plan_of(500)
+    rows = got.collect()
+    want = {}
+    for i in range(1500):
+        want.setdefault(i * 7 % 500, []).append(i)
+    assert sorted(map(tuple, rows)) == sorted((r, k, r, c) for r, own in want.items() for k, c in enumerate(own))
