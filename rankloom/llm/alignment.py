@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,12 @@ from rankloom.llm.common import bounded_batches, each_value, release_memory, wri
 
 META = "▁"
 #: UTF-8 bytes of text in a chunk, and rows; parts that are encoded as one text.
-CHUNK_BYTES, CHUNK_ROWS, RUN = 4 << 20, 1 << 15, 1024
+CHUNK_BYTES, CHUNK_ROWS, RUN = 2 << 20, 1 << 15, 1024
+#: Parts that a task remembers.
+KNOWN_PARTS = 400_000
 _CUT = re.compile(rf"(?<=[^\s{META}]) (?=.)", re.S)
-#: A space at which a text isn't cut.
-_UNEVEN = re.compile(rf"[\s{META}] |^ | $")
+#: What stands before a space at which a text isn't cut.
+_UNEVEN = [c + " " for c in map(chr, range(0x3001)) if c.isspace() or c == META]
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -66,6 +69,12 @@ class Aligned:
         self.sound, self.counts, self.shown = np.zeros(parts, bool), np.zeros((parts, 4), np.int64), [""] * parts
         self.pair, self.part = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def extend(self, more: Aligned) -> None:
+        """Adds parts behind these."""
+        self.pair, self.part = np.append(self.pair, more.pair), np.append(self.part, more.part + len(self.shown))
+        self.sound, self.counts = np.append(self.sound, more.sound), np.concatenate((self.counts, more.counts))
+        self.shown += more.shown
+
 
 class Aligner:
     """Parts of texts by both tokenizers."""
@@ -87,12 +96,32 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
         # Parts stand for themselves if A cuts before such a space and no piece of B has a space behind a letter.
         tried = all(not any(s < 3 < e for _, (s, e) in self.a.pre_tokenizer.pre_tokenize_str(x)) for x in ("abc def", "ab. (de", "it' s a", "12, 34")) if self.a.pre_tokenizer else False
+        self.shown_ids = [*map(str, range(max(len(self.a_bytes), len(self.b_bytes))))]
+        self.numbers: dict[str, int] = {}
+        self.table = Aligned(0)
         self.splits = tried and self.a.normalizer is None and not any(META in p.lstrip(META) for p in pieces)
 
     def parts(self, text: str) -> list[str]:
         if not self.splits:
             return [text]
-        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+        uneven = text[:1] == " " or text[-1:] == " " or any(x in text for x in _UNEVEN)
+        return _CUT.split(text) if uneven else text.split(" ")
+
+    def numbered(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The parts of texts as numbers of those in ``table``, where new ones are aligned first."""
+        if len(self.numbers) > KNOWN_PARTS:
+            self.numbers, self.table = {}, Aligned(0)
+        numbers, known = self.numbers, len(self.numbers)
+        new = [*set().union(*texts).difference(numbers)]
+        numbers.update(zip(new, range(known, known + len(new)), strict=True))
+        if new:
+            self.table.extend(self(new))
+        return [np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)) for parts in texts]
+
+    def forget(self) -> None:
+        """Drop the parts: a Python worker lives on after its task and serves other stages."""
+        self.numbers, self.table = {}, Aligned(0)
+        release_memory()
 
     def _run(self, parts: list[str], out: Aligned, at: int) -> tuple[np.ndarray, np.ndarray] | None:
         """Aligns parts ``at`` and on by encoding them as one text, and returns their links; None if that
@@ -103,14 +132,14 @@ class Aligner:
             return None
         a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
         ends, a_cuts, b_cuts = common_cuts(np.cumsum(self.a_sizes[a_ids]).tolist(), np.cumsum(self.b_sizes[b_ids]).tolist())
-        closes = np.cumsum([1 + len(p.encode("utf-8", "replace")) for p in parts])
+        closes = np.cumsum(np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts)) + 1)
         last = np.searchsorted(ends, closes)  # the group that ends each part
         if last[-1] >= len(ends) or not (np.array(ends)[last] == closes).all():
             return None
         a_to, b_to = np.array(a_cuts), np.array(b_cuts)
         a_from, b_from = np.append(0, a_to[:-1]), np.append(0, b_to[:-1])
         wide, high = a_to - a_from, b_to - b_from
-        a_text, b_text = [*map(str, a)], [*map(str, b)]
+        a_text, b_text = [*map(self.shown_ids.__getitem__, a)], [*map(self.shown_ids.__getitem__, b)]
         shown = [f"{a_text[i]}|{b_text[k]}" if j - i == 1 == m - k else f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip(a_from.tolist(), a_cuts, b_from.tolist(), b_cuts, strict=True)]
         first = np.append(0, last[:-1] + 1)
         out.shown[at : at + len(parts)] = [shown[i] if i == j else ";".join(shown[i : j + 1]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
@@ -153,8 +182,25 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _ints(values: list[int] | np.ndarray, kind: str) -> bytes:
-    return np.asarray(values, kind).tobytes()
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers, each with its length."""
+    return zstandard.compress(b"".join(np.append(len(c), c).astype("<i4").tobytes() for c in columns), 1)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    whole, out, at = np.frombuffer(zstandard.decompress(data), "<i4").astype(np.int64), [], 0
+    while at < len(whole):
+        out.append(whole[at + 1 : at + 1 + whole[at]])
+        at += 1 + int(whole[at])
+    return out
+
+
+def _packed_pairs(pairs: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(pairs, prepend=0).astype("<i8").tobytes(), 1)
+
+
+def _unpacked_pairs(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<i8"))
 
 
 _CHUNK = "chunk long, pairs binary, holders binary, links binary, entries binary, docs array<struct<id:{id},n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,entries:int>>"
@@ -169,41 +215,36 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def chunk_row(docs: list[tuple], align: Aligner) -> tuple[bytes, bytes, bytes, bytes, list[dict]]:
     """(pairs, holders, links, entries, docs) of documents (id, text).
 
-    pairs: distinct pairs in order; holders: the documents with each. links: (part, pair), parts
-    in order, and entries: (part, times) by document, of which a document's own number stands in docs.
+    pairs: distinct pairs in order; holders: the documents with each. links: how many each part has, and
+    their pairs; entries: parts and times by document, of which a document's own number stands in docs.
     """
-    numbers: dict[str, int] = {}
-    texts = []
-    for _, text in docs:
-        parts = align.parts(text) if text else []
-        for p in parts:
-            if p not in numbers:
-                numbers[p] = len(numbers)
-        texts.append(np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)))
-    found = align([*numbers])
-    pairs, pair = np.unique(found.pair, return_inverse=True)
-    first = np.searchsorted(found.part, np.arange(len(numbers) + 1))
-    out, entries, held = [], [], []
-    for k, ((i, _), own) in enumerate(zip(docs, texts, strict=True)):
-        if not len(own) or not found.sound[own].all():
+    texts = align.numbered([align.parts(text) if text else [] for _, text in docs])
+    table = align.table
+    own = [x for x in texts if len(x) and table.sound[x].all()]
+    used = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+    first = np.searchsorted(table.part, np.arange(len(table.shown) + 1))
+    sizes = (first[1:] - first[:-1])[used]
+    pairs, pair = np.unique(table.pair[_ranges(first[:-1][used], sizes)], return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    out, parts_of, times_of, holders = [], [], [], np.zeros(len(pairs), np.int64)
+    for (i, _), x in zip(docs, texts, strict=True):
+        if not len(x) or not table.sound[x].all():
             out.append({"id": i, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "entries": 0})
             continue
-        n_a, n_b, n_groups, n_links = found.counts[own].sum(axis=0).tolist()
+        n_a, n_b, n_groups, n_links = table.counts[x].sum(axis=0).tolist()
         digest = hashlib.sha256()
-        for at in range(0, len(own), 1 << 14):
-            digest.update((";" * bool(at) + ";".join(map(found.shown.__getitem__, own[at : at + (1 << 14)].tolist()))).encode())
-        distinct, times = np.unique(own, return_counts=True)
-        entries.append(np.stack((distinct, times), axis=1).ravel())
-        links = pair[_ranges(first[distinct], first[distinct + 1] - first[distinct])]
-        held.append(np.unique(links))
+        for at in range(0, len(x), 1 << 14):
+            digest.update((";" * bool(at) + ";".join(map(table.shown.__getitem__, x[at : at + (1 << 14)].tolist()))).encode())
+        distinct, times = np.unique(x, return_counts=True)
+        place = np.searchsorted(used, distinct)
+        parts_of.append(place)
+        times_of.append(times)
+        held = np.zeros(len(pairs), bool)
+        held[pair[_ranges(starts[place], sizes[place])]] = True
+        holders += held
         out.append({"id": i, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest.hexdigest(), "entries": len(distinct)})
-    holders = np.bincount(np.concatenate(held), minlength=len(pairs)) if held else np.zeros(len(pairs), np.int64)
-    kept = np.nonzero(holders)[0]  # without those of texts that aren't aligned alone
-    place = np.full(len(pairs), -1)
-    place[kept] = np.arange(len(kept))
-    known = place[pair] >= 0
-    links = np.stack((found.part[known], place[pair[known]]))
-    return _ints(pairs[kept], "<i8"), _ints(holders[kept], "<i4"), _ints(links, "<i4"), _ints(np.concatenate(entries) if entries else [], "<i4"), out
+    none = [np.zeros(0, np.int64)]
+    return _packed_pairs(pairs), _packed(holders), _packed(sizes, pair), _packed(np.concatenate(parts_of or none), np.concatenate(times_of or none)), out
 
 
 def _chunks(a_path: str, b_path: str, schema: pa.Schema):
@@ -227,7 +268,7 @@ def _chunks(a_path: str, b_path: str, schema: pa.Schema):
                     held, size = [], 0
         if held:
             yield row()
-        release_memory()
+        align.forget()
 
     return run
 
@@ -236,8 +277,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, pairs, holders) give (chunk, pair, holders)."""
     for batch in batches:
         for chunk, pairs, holders in zip(*map(lambda c: each_value(c, 1), batch.columns), strict=True):
-            own = np.frombuffer(pairs, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own), pa.array(np.frombuffer(holders, "<i4").astype(np.int64))], ["chunk", "pair", "holders"])
+            own = _unpacked_pairs(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own), pa.array(_unpacked(holders)[0])], ["chunk", "pair", "holders"])
 
 
 def _told(schema: pa.Schema):
@@ -246,20 +287,18 @@ def _told(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                pairs, links, entries = (np.frombuffer(batch.column(i)[k].as_py(), t) for i, t in ((0, "<i8"), (1, "<i4"), (2, "<i4")))
+                pairs, (sizes, pair), (part, times) = _unpacked_pairs(batch.column(0)[k].as_py()), _unpacked(batch.column(1)[k].as_py()), _unpacked(batch.column(2)[k].as_py())
                 docs, told = batch.column(3).slice(k, 1).flatten(), batch.column(4).slice(k, 1).flatten()
                 count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
                 if len(told):
                     order = np.searchsorted(pairs, told.field(0).to_numpy(zero_copy_only=False))
                     count[order], best[order] = told.field(1).to_numpy(zero_copy_only=False), told.field(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                part, pair = links.reshape(2, -1)
-                own = entries.reshape(-1, 2).astype(np.int64)
-                ends = np.searchsorted(part, np.arange(int(own[:, 0].max()) + 2 if len(own) else 1))
+                ends = np.append(0, np.cumsum(sizes))
                 sums = [np.diff(np.append(0, np.cumsum(v[pair]))[ends]) for v in (best, count)]  # by part
                 cuts = np.append(0, np.cumsum(docs.field(6).to_numpy(zero_copy_only=False)))
                 found = []
                 for row in sums:
-                    run_sums = np.append(0, np.cumsum(row[own[:, 0]] * own[:, 1]))
+                    run_sums = np.append(0, np.cumsum(row[part] * times))
                     found.append(pa.array(run_sums[cuts[1:]] - run_sums[cuts[:-1]], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(docs.field(i) for i in range(5)), *found, docs.field(5)], schema=schema)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -118,13 +119,25 @@ def test_runs_equal_parts_by_themselves(monkeypatch):
     assert sorted(zip(runs.part, runs.pair, strict=True)) == sorted(zip(single.part, single.pair, strict=True))
 
 
+def test_forgotten_parts_come_again(monkeypatch):
+    """A task that remembers few parts gives the same rows."""
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice(["ab", "cd.", "▁", "é", "12"]) + rng.choice("xyz") for _ in range(30))) for i in range(40)]
+    align = alignment.Aligner(A, B)
+    want = alignment.chunk_row(docs, align)
+    for k in range(0, 40, 10):
+        assert alignment.chunk_row(docs[k : k + 10], align)[4] == want[4][k : k + 10]
+    monkeypatch.setattr(alignment, "KNOWN_PARTS", 2)
+    for k in range(0, 40, 10):
+        assert alignment.chunk_row(docs[k : k + 10], align)[4] == want[4][k : k + 10] and len(align.numbers) < 20
+
+
 @pytest.mark.parametrize("size,rows", [(1, 1 << 15), (300, 1 << 15), (1 << 21, 3)])
 def test_any_chunks(monkeypatch, size, rows):
     """A task's chunks sum up to the same, however they are cut."""
     texts = [(i, t) for i, t in enumerate(["a b c", "b c", None, "c d e " * 50, "a ▁", "the a b c"] * 5)]
     align = alignment.Aligner(A, B)
     whole = alignment.chunk_row(texts, align)
-    import numpy as np
     import pyarrow as pa
 
     monkeypatch.setattr(alignment, "CHUNK_BYTES", size)
@@ -138,6 +151,6 @@ def test_any_chunks(monkeypatch, size, rows):
     assert len({m["chunk"] for m in made}) == len(made) > (size < 1 << 21 or rows == 3)
     held = Counter()
     for m in made:
-        held.update(dict(zip(np.frombuffer(m["pairs"], "<i8").tolist(), np.frombuffer(m["holders"], "<i4").tolist(), strict=True)))
-    assert held == dict(zip(np.frombuffer(whole[0], "<i8").tolist(), np.frombuffer(whole[1], "<i4").tolist(), strict=True))
+        held.update(dict(zip(alignment._unpacked_pairs(m["pairs"]).tolist(), alignment._unpacked(m["holders"])[0].tolist(), strict=True)))
+    assert held == dict(zip(alignment._unpacked_pairs(whole[0]).tolist(), alignment._unpacked(whole[1])[0].tolist(), strict=True))
     assert [d for m in made for d in m["docs"]] == whole[4]
