@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from rankloom.functions.sequence import aligned, flatten_bag, flatten_singletons, singleton
 from rankloom.operators.spec import Layout, Sequence
+from rankloom.sources.shared import written
 
 
 def _empty_as_missing(column: str, df: DataFrame) -> Column:
@@ -218,6 +223,89 @@ def adapted(df: DataFrame, adapt: Callable[[DataFrame, dict], DataFrame | dict[s
     return {"flat": found} if isinstance(found, DataFrame) else found
 
 
+def adapted_arrow(df: DataFrame, adapt: Callable[..., pa.Table | dict[str, pa.Table]], context: dict | None = None) -> dict[str, DataFrame]:
+    """A user's own function ``adapt(table, *, context)`` from an Arrow table to one or several, by name.
+
+    It is called on batches of rows in tasks, so it must treat rows alike wherever they are cut; the
+    outputs' schemas come from a call on an empty table here. One pass over the input feeds all
+    outputs: with several of them its rows go to one table, each kind in a column of its own, and an
+    output reads its column."""
+    given = dict(context or {})
+    named = lambda found: found if isinstance(found, dict) else {"flat": found}
+    kinds = {name: t.schema for name, t in named(adapt(to_arrow_schema(df.schema).empty_table(), context=given)).items()}
+    shape = StructType([StructField("__output", StringType()), *(StructField(n, from_arrow_schema(k)) for n, k in kinds.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = to_arrow_schema(shape)
+        for batch in batches:
+            found = named(adapt(pa.Table.from_batches([batch]), context=given))
+            if found.keys() != kinds.keys():
+                raise ValueError(f"outputs {sorted(found)} aren't {sorted(kinds)}")
+            for name, table in found.items():
+                for part in table.select(kinds[name].names).cast(kinds[name]).combine_chunks().to_batches():
+                    n, field = part.num_rows, whole.field(name)
+                    own = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(part.columns, field.type, strict=True)], fields=[*field.type])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), *(own if f.name == name else pa.nulls(n, f.type) for f in list(whole)[1:])], schema=whole)
+
+    tagged = df.mapInArrow(run, shape)
+    if len(kinds) > 1:
+        tagged = written(tagged, "adapted")
+    return {name: tagged.where(F.col("__output") == name).select(F.col(name)["*"] if False else f"{name}.*") for name in kinds}
+
+
+class ExpandAgg:
+    """The table function of ``register_expand``: agg rows to candidates, its schema from its arguments.
+
+    ``shape`` is JSON: keys, request_meta, candidate_scalars, labels (lists of columns), sequences (name
+    to {fields, members}). A row whose indices or lengths don't fit is an error."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, shape: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or shape.value is None:
+            raise ValueError("expand_agg takes a table and its shape as JSON")
+        s, have = json.loads(shape.value), {f.name: f.dataType for f in rows.dataType.fields}
+        inner = lambda kind: kind.elementType if isinstance(kind, ArrayType) else kind
+        out = StructType([StructField(k, have[k]) for k in s.get("keys", [])]).add("request_id", LongType()).add("candidate_position", LongType())
+        for c in s.get("request_meta", []):
+            out = out.add(c, inner(have[c]))
+        for c in (*s.get("candidate_scalars", []), *s.get("labels", [])):
+            out = out.add(c, inner(inner(have[c])))
+        for name, q in s.get("sequences", {}).items():
+            out = out.add(name, ArrayType(StructType([StructField(n, inner(have[c])) for n, c in q["fields"].items()])))
+        return AnalyzeResult(out)
+
+    def eval(self, rows: Row, shape: str) -> Iterator[tuple]:
+        s, row = json.loads(shape), rows.asDict()
+        requests, targets = row["context_indices"], row["target_indices"]
+        for c in s.get("request_meta", []):
+            if len(row[c]) != len(requests):
+                raise ValueError(f"length of {c}")
+        for c in (*s.get("candidate_scalars", []), *s.get("labels", [])):
+            if len(row[c]) != len(targets):
+                raise ValueError(f"length of {c}")
+        one = lambda v: (v[0] if v else None) if isinstance(v, list) and len(v) < 2 else v
+        place = {r: i for i, r in enumerate(requests)}
+        seen: dict = {r: [[] for _ in s.get("sequences", {})] for r in requests}
+        for k, q in enumerate(s.get("sequences", {}).values()):
+            for *event, members in zip(*((row[c] or []) for c in q["fields"].values()), row[q["members"]] or [], strict=True):
+                for r in members:
+                    if r in seen:
+                        seen[r][k].append(tuple(event))
+        count = dict.fromkeys(requests, 0)
+        for i, r in enumerate(targets):
+            if r not in place:
+                raise ValueError("dangling candidate")
+            fields = [row[c][place[r]] for c in s.get("request_meta", [])] + [one(row[c][i]) for c in (*s.get("candidate_scalars", []), *s.get("labels", []))]
+            yield (*(row[k] for k in s.get("keys", [])), r, count[r], *fields, *seen[r])
+            count[r] += 1
+
+
+def register_expand(spark: SparkSession, name: str = "expand_agg") -> None:
+    """Lets SQL call ``SELECT * FROM expand_agg(TABLE(t), '<shape as JSON>')``. Rows go through Python; from
+    DataFrames ``expand_agg`` does the same in the JVM."""
+    spark.udtf.register(name, udtf(ExpandAgg))
+
+
 def scenario_index(df: DataFrame, column: str, scenarios: DataFrame) -> DataFrame:
     """Rows with the index of their scenario; ``scenarios`` has scenario and index. Lists give a row
     for each member; an unknown scenario is an error."""

@@ -73,10 +73,23 @@ def exact_auc(df: DataFrame, score: str = "logit", label: str = "label", parts:
     return total.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / (F.col("p") * F.col("n"))), 9).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
-def auc_by_group(df: DataFrame, keys: list[str], group: str, bin_of: Column | None = None, score: str = "logit", label: str = "label") -> DataFrame:
-    """AUC of each group with both classes, exact or on a grid: keys, group, auc."""
-    at = bin_of if bin_of is not None else F.col(score).cast("float")
-    return histogram_auc(histogram(df, [*keys, group], at, label), [*keys, group]).where("auc IS NOT NULL").select(*keys, group, "auc")
+def auc_by_group(df: DataFrame, keys: list[str], group: str, bin_of: Column | None = None, score: str = "logit", label: str = "label", parts: int | None = None) -> DataFrame:
+    """AUC of each group with both classes, exact or on a grid: keys, group, auc.
+
+    On a grid a group has as many counts as the grid has bins. The exact form deals counts by (group, score)
+    to ranges: each range adds up its part of a group, and the negatives of the ranges before are
+    carried in, so a group of most rows is spread over tasks."""
+    whole = [*keys, group]
+    if bin_of is not None:
+        return histogram_auc(histogram(df, whole, bin_of, label), whole).where("auc IS NOT NULL").select(*whole, "auc")
+    counts = histogram(df, whole, F.col(score).cast("float"), label)
+    ranged = counts.repartitionByRange(range_count(df, parts), *whole, "bin").withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy("__part", *whole).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    areas = local.groupBy(*whole, "__part").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy(*whole).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = areas.withColumn("before", before).groupBy(*whole).agg(F.sum(F.col("area") + F.col("pos") * F.col("before")).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return total.where("p > 0 AND n > 0").select(*whole, F.round(F.col("area") / (F.col("p") * F.col("n")), 9).alias("auc"))
 
 
 def group_auc(df: DataFrame, keys: list[str], group: str, bin_of: Column | None = None, score: str = "logit", label: str = "label") -> DataFrame:
@@ -135,34 +148,43 @@ def reduced_loss(df: DataFrame, reduction: str, weights: dict[str, float] | None
     return reduced_losses(df, weights, task, request, score, label).select(task, F.col(name).alias("loss"))
 
 
-def evaluation(df: DataFrame, keys: list[str], group: str) -> DataFrame:
-    """All metrics of a scored set in one table, from one pass over its rows.
+def evaluation(df: DataFrame, keys: list[str], group: str, file: str | None = None) -> DataFrame:
+    """All metrics of a scored set in one table: AUC on both grids, group AUC, loss, means and deviation,
+    and the number of files if ``file`` names a column that has them.
 
-    Each row counts in three histograms: on the probability grid, on the log-odds grid, and on the
-    probability grid of its group. The sums for the monitor go with the first. A window is over the
-    bins of one histogram."""
+    Two narrow aggregates read the rows: counts by (group, bin of the probability grid), which roll up
+    to the whole grid, and by bin of the log-odds grid counts and the moments that the monitor needs.
+    Deviations are merged from the bins' own, without a difference of large squares."""
     x, y = F.col("logit").cast("double"), F.col("label")
-    kind = lambda k, g, b: F.struct(F.lit(k).alias("__kind"), g.alias("__group"), b.alias("bin"))
-    none = F.lit(None).cast(df.schema[group].dataType)
-    grids = F.array(kind("p", none, probability_bin(F.col("logit"))), kind("o", none, log_odds_bin(F.col("logit"))), kind("g", F.col(group), probability_bin(F.col("logit"))))
-    rows = df.select(*keys, x.alias("x"), y.cast("long").alias("y"), bce(x, y).alias("l"), sigmoid(x).alias("q"), F.inline(grids))
-    hist = rows.groupBy(*keys, "__kind", "__group", "bin").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), *(F.sum(v).alias(f"__{n}") for n, v in (("x", F.col("x")), ("xx", F.col("x") * F.col("x")), ("l", F.col("l")), ("q", F.col("q")))))
-    whole = [*keys, "__kind", "__group"]
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*whole).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = {c: F.sum(c).alias(c) for c in ("pos", "neg", "__x", "__xx", "__l", "__q")}
-    by_grid = hist.withColumn("below", below).groupBy(*whole).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("area"), F.count("*").alias("bins"), *sums.values())
-    auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("area") / (F.col("pos") * F.col("neg")))
-    by_grid = by_grid.withColumn("auc", F.round(auc, 9))
-    of = lambda k, c: F.max(F.when(F.col("__kind") == k, F.col(c)))
-    grouped = F.when(F.col("__kind") == "g", F.col("auc"))
-    out = by_grid.groupBy(*keys).agg(
-        of("p", "auc").alias("auc"), of("p", "bins").alias("bins"), of("p", "pos").alias("positives"), of("p", "neg").alias("negatives"), of("o", "auc").alias("auc_log_odds"),
-        F.round(F.avg(grouped), 6).alias("group_auc"), F.nullif(F.count(grouped), F.lit(0)).alias("groups"), *(of("p", c).alias(c) for c in ("__x", "__xx", "__l", "__q")),
+    by_group = histogram(df, [*keys, group], probability_bin(F.col("logit")))
+    grouped = histogram_auc(by_group, [*keys, group]).where("auc IS NOT NULL").groupBy(*keys).agg(F.round(F.avg("auc"), 6).alias("group_auc"), F.count("*").alias("groups"))
+    grid = histogram_auc(by_group.groupBy(*keys, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), keys).select(*keys, "auc", "bins", "positives", "negatives")
+    sums = [F.sum(y.cast("long")).alias("pos"), F.sum(1 - y.cast("long")).alias("neg"), F.count("*").alias("n"), F.sum(bce(x, y)).alias("l"), F.sum(sigmoid(x)).alias("q"), F.avg(x).alias("m"), F.var_pop(x).alias("v")]
+    bins = df.groupBy(*keys, log_odds_bin(F.col("logit")).alias("bin")).agg(*sums)
+    every = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("neg").over(every.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    mean = F.sum(F.col("n") * F.col("m")).over(every) / F.sum("n").over(every)
+    n = F.sum("n")
+    auc = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
+    moments = bins.withColumn("below", below).withColumn("mean", mean).groupBy(*keys).agg(
+        F.round(auc, 9).alias("auc_log_odds"), n.alias("examples"), F.round(F.sum("l") / n, 6).alias("loss"), F.round(F.sum("q") / n, 6).alias("prob_mean"), F.round(F.any_value("mean"), 6).alias("logit_mean"),
+        F.round(F.sqrt(F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))) / n), 6).alias("logit_std"),
     )
-    n = F.col("positives") + F.col("negatives")
-    mean = F.col("__x") / n
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("__xx") / n - mean * mean))
-    return out.select(*keys, "auc", "bins", "positives", "negatives", "auc_log_odds", "group_auc", "groups", n.alias("examples"), F.round(F.col("__l") / n, 6).alias("loss"), F.round(F.col("__q") / n, 6).alias("prob_mean"), F.round(mean, 6).alias("logit_mean"), F.round(spread, 6).alias("logit_std"))
+    out = join_by(join_by(grid, moments, keys), grouped, keys, "left")
+    names = [*keys, "auc", "bins", "positives", "negatives", "auc_log_odds", "group_auc", "groups", "examples", "loss", "prob_mean", "logit_mean", "logit_std"]
+    if file is None:
+        return out.select(*names)
+    return join_by(out, df.groupBy(*keys, file).agg(F.lit(1).alias("f")).groupBy(*keys).agg(F.count("*").alias("files")), keys).select(*names, "files")
+
+
+def join_by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which null equals null; without keys both sides have one row."""
+    if not keys:
+        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    same = F.lit(True)
+    for c in keys:
+        same = same & left[c].eqNullSafe(right[c])
+    return left.join(right, same, how).select(left["*"], *(right[c] for c in right.columns if c not in keys))
 
 
 def scored_output(df: DataFrame, group: str, keys: list[str], scores: dict[str, Column], suffix: str = "_score") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -446,3 +449,29 @@ def expand_req_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = Layout(request_scalars=("scene_id",), request_bags=("tags",), candidate_scalars=("item_id",), labels=("label",), sequences=LAYOUT.sequences[1:2])
     flat = expand.expand_req(rows, layout, ("user_id", "request_id"), complete=True)
     return flat.select("user_id", "request_id", "scene_id", F.col("candidate_position").cast("long").alias("candidate_position"), "item_id", "label", joined("tags").alias("tags"), joined("view.id").alias("views"))
+
+
+@query(f"WITH {FLAT}, {SEEN} SELECT f.user_id, f.request_id, f.candidate_position, f.scene_id, f.item_id, f.label, coalesce(c.x, '') AS clicks FROM flat f LEFT JOIN {_lists('click')} c USING (user_id, request_id)")
+def expand_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expansion as a table function that SQL calls."""
+    expand.register_expand(spark)
+    fixtures.nested(spark, sf_dir).createOrReplaceTempView("nested_rows")
+    shape = json.dumps({"keys": ["user_id"], "request_meta": ["scene_id"], "candidate_scalars": ["item_id"], "labels": ["label"], "sequences": {"click": {"fields": {"id": "click_id"}, "members": "click_members"}}})
+    return spark.sql(f"SELECT user_id, request_id, candidate_position, scene_id, item_id, label, array_join(transform(click, e -> CAST(e.id AS STRING)), ',') AS clicks FROM expand_agg(TABLE(nested_rows), '{shape}')")
+
+
+@query(f"WITH {FLAT} SELECT 'candidates' AS output, user_id, count(*) AS rows, CAST(sum(item_id) AS BIGINT) AS total FROM flat GROUP BY user_id UNION ALL SELECT 'requests', user_id, count(*), CAST(sum(scene_id) AS BIGINT) FROM req WHERE user_id IN (SELECT o_custkey FROM orders) GROUP BY user_id")
+def arrow_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own Arrow function from nested rows to two flat outputs, in one pass."""
+
+    def adapt(table: pa.Table, *, context: dict) -> dict[str, pa.Table]:
+        def flat(column: str) -> pa.Table:
+            lists = table[column].combine_chunks()
+            values = lists.flatten() if not pa.types.is_list(lists.type.value_type) else lists.flatten().flatten()
+            return pa.table({"user_id": table["user_id"].combine_chunks().take(pc.list_parent_indices(lists)), context["value"]: values})
+
+        return {"candidates": flat("item_id"), "requests": flat("scene_id")}
+
+    found = expand.adapted_arrow(fixtures.nested(spark, sf_dir).select("user_id", "item_id", "scene_id"), adapt, {"value": "v"})
+    parts = [df.groupBy("user_id").agg(F.count("*").alias("rows"), F.sum("v").alias("total")).select(F.lit(n).alias("output"), "user_id", "rows", "total") for n, df in found.items()]
+    return parts[0].unionByName(parts[1])

@@ -179,13 +179,33 @@ def bag_mean_pool_whole_with_padding(spark: SparkSession, sf_dir: str) -> DataFr
 
 @query(f"WITH {SCORED} SELECT scenario, auc, examples FROM {_hist_auc('scored', 'scenario', _PBIN)}")
 def running_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows written as files, read as a stream a file at a time, and added up."""
+    """Scored rows written as files, read as a stream two files at a time; the counts are its state."""
     top = shared_folder(spark, "running-auc")
     rows = fixtures.scored(spark, sf_dir)
     rows.repartition(4).write.parquet(f"{top}/in")
     stream = incremental.stream_files(spark, f"{top}/in", rows.schema, 2)
-    incremental.running_histogram(stream, ["scenario"], f"{top}/state", f"{top}/checkpoint")
-    return incremental.running_auc(spark, ["scenario"], f"{top}/state").select("scenario", "auc", "examples")
+    incremental.running_histogram(stream, ["scenario"], f"{top}/checkpoint")
+    return incremental.running_auc(spark, ["scenario"], f"{top}/checkpoint").select("scenario", "auc", "examples")
+
+
+@query(f"WITH {SCORED} SELECT scenario, count(*) AS examples, round(avg({_BCE}), 6) AS loss, round(avg({_SIG}), 6) AS prob_mean, round(avg(logit), 6) AS logit_mean, round(stddev_pop(logit), 6) AS logit_std FROM scored GROUP BY scenario")
+def running_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monitor from a stream's state."""
+    top = shared_folder(spark, "running-monitor")
+    rows = fixtures.scored(spark, sf_dir)
+    rows.repartition(4).write.parquet(f"{top}/in")
+    incremental.running_monitor(incremental.stream_files(spark, f"{top}/in", rows.schema, 2), ["scenario"], f"{top}/checkpoint")
+    return incremental.monitored(spark, ["scenario"], f"{top}/checkpoint")
+
+
+@query(f"WITH {SCORED} SELECT scenario, count(*) AS rows, CAST(sum(label) AS BIGINT) AS ones FROM scored GROUP BY scenario")
+def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters by scenario from a stream's state."""
+    top = shared_folder(spark, "running-counters")
+    rows = fixtures.scored(spark, sf_dir)
+    rows.repartition(4).write.parquet(f"{top}/in")
+    stream = incremental.stream_files(spark, f"{top}/in", rows.schema, 2)
+    return incremental.running_counters(stream, ["scenario"], {"rows": F.lit(1), "ones": F.col("label")}, f"{top}/checkpoint")
 
 
 @query(f"WITH {FLAT}, p AS (SELECT count(DISTINCT user_id) AS rows, count(*) AS items FROM flat), q AS (SELECT count(*) AS parts FROM flat JOIN lineitem ON l_orderkey = item_id), e AS (SELECT count(*) AS empties, count(DISTINCT user_id) AS users FROM flat WHERE item_id NOT IN (SELECT l_orderkey FROM lineitem)) SELECT 0 AS depth, rows AS cells, 0 AS nulls, 0 AS empties, 0 AS null_rows, 0 AS empty_rows FROM p UNION ALL SELECT 1, items, 0, empties, 0, users FROM p, e UNION ALL SELECT 2, parts, 0, 0, 0, 0 FROM q")

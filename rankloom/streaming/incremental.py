@@ -1,13 +1,13 @@
-"""Incremental runs on Structured Streaming: new files are read once, state stays mergeable."""
+"""Incremental runs on Structured Streaming: new files are read once, and counts are kept in state stores."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators.metrics import bce, histogram, histogram_auc, probability_bin, sigmoid
+from rankloom.operators.metrics import bce, histogram_auc, probability_bin, sigmoid
 from rankloom.sources.shared import written
 
 
@@ -49,42 +49,52 @@ def rescanned(spark: SparkSession, path: str, schema, out: str, checkpoint: str,
     return again
 
 
-def running_monitor(stream: DataFrame, keys: list[str], state: str, checkpoint: str) -> None:
-    """Each batch's sums for the monitor go to a folder of their own."""
-    x, y = F.col("logit").cast("double"), F.col("label")
-    sums = [F.count("*").alias("n"), *(F.sum(v).alias(c) for c, v in (("l", bce(x, y)), ("q", sigmoid(x)), ("x", x), ("xx", x * x)))]
-    _by_batch(stream, lambda batch: batch.groupBy(*keys).agg(*sums), state, checkpoint)
+def kept_by_stream(aggregate: DataFrame, checkpoint: str) -> None:
+    """Runs a streaming aggregate over what is new. Its state store holds a row for each key, whatever the
+    number of batches, and a batch that failed is counted once when the stream runs again."""
+    aggregate.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def monitored(spark: SparkSession, keys: list[str], state: str) -> DataFrame:
-    """The monitor over all batches: examples, loss, prob_mean, logit_mean, logit_std."""
-    sums = spark.read.parquet(state).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "l", "q", "x", "xx")))
-    mean = F.col("x") / F.col("n")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("xx") / F.col("n") - mean * mean))
-    return sums.select(*keys, F.col("n").alias("examples"), F.round(F.col("l") / F.col("n"), 6).alias("loss"), F.round(F.col("q") / F.col("n"), 6).alias("prob_mean"), F.round(mean, 6).alias("logit_mean"), F.round(spread, 6).alias("logit_std"))
+def stream_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The keys and buffers that the stream of this checkpoint holds."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*", "value.*")
 
 
-def _by_batch(stream: DataFrame, counted: Callable[[DataFrame], DataFrame], state: str, checkpoint: str) -> None:
-    """What each batch counts to goes to a folder of its own, so a repeated batch replaces itself."""
+def _named_values(stream: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """A row for each named value, so that one aggregate has them all."""
+    return stream.select(*keys, F.inline(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in values.items()))))
 
-    def write(batch: DataFrame, number: int) -> None:
-        counted(batch).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def running_monitor(stream: DataFrame, keys: list[str], checkpoint: str) -> None:
+    """Keeps count, mean and squared deviations of loss, probability and logit by key in the stream's state."""
+    x, y = F.col("logit").cast("double"), F.col("label")
+    rows = _named_values(stream, keys, {"loss": bce(x, y), "prob": sigmoid(x), "logit": x})
+    kept_by_stream(rows.groupBy(*keys, "name").agg(F.stddev_pop("value").alias("spread")), checkpoint)
+
+
+def monitored(spark: SparkSession, keys: list[str], checkpoint: str) -> DataFrame:
+    """The monitor over all batches: examples, loss, prob_mean, logit_mean, logit_std."""
+    of = lambda name, c: F.max(F.when(F.col("name") == name, c))
+    n, mean, spread = F.col("n"), F.col("avg"), F.sqrt(F.col("m2") / F.col("n"))
+    out = [of("logit", n).cast("long").alias("examples"), F.round(of("loss", mean), 6).alias("loss"), F.round(of("prob", mean), 6).alias("prob_mean"), F.round(of("logit", mean), 6).alias("logit_mean"), F.round(of("logit", spread), 6).alias("logit_std")]
+    return stream_state(spark, checkpoint).groupBy(*keys).agg(*out)
 
 
-def running_histogram(stream: DataFrame, keys: list[str], state: str, checkpoint: str) -> None:
-    """Each batch's counts by bin; the metric adds them up."""
-    _by_batch(stream, lambda batch: histogram(batch, keys, probability_bin(F.col("logit"))), state, checkpoint)
+def running_histogram(stream: DataFrame, keys: list[str], checkpoint: str) -> None:
+    """Keeps counts by key, bin and label in the stream's state."""
+    rows = stream.select(*keys, probability_bin(F.col("logit")).alias("bin"), (F.col("label") == 1).alias("positive"))
+    kept_by_stream(rows.groupBy(*keys, "bin", "positive").count(), checkpoint)
 
 
-def running_auc(spark: SparkSession, keys: list[str], state: str) -> DataFrame:
-    merged = spark.read.parquet(state).groupBy(*keys, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return histogram_auc(merged, keys)
+def running_auc(spark: SparkSession, keys: list[str], checkpoint: str) -> DataFrame:
+    counts = stream_state(spark, checkpoint).groupBy(*keys, "bin")
+    of = lambda own: F.coalesce(F.sum(F.when(own, F.col("count"))), F.lit(0))
+    return histogram_auc(counts.agg(of(F.col("positive")).alias("pos"), of(~F.col("positive")).alias("neg")), keys)
 
 
-def running_counters(stream: DataFrame, keys: list[str], counters: dict, state: str, checkpoint: str) -> DataFrame:
-    """Sums and counts by key, which merge by addition: each batch's are written, and added up by who
-    reads the result. No state is held by a stream or the driver."""
-    _by_batch(stream, lambda batch: batch.groupBy(*keys).agg(*(c.alias(n) for n, c in counters.items())), state, checkpoint)
-    return stream.sparkSession.read.parquet(state).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in counters))
+def running_counters(stream: DataFrame, keys: list[str], counters: dict[str, Column], checkpoint: str) -> DataFrame:
+    """Sums of whole-number values by key, kept in the stream's state: keys and a column for each counter."""
+    rows = _named_values(stream, keys, {n: F.coalesce(c.cast("long"), F.lit(0).cast("long")) for n, c in counters.items()})
+    kept_by_stream(rows.groupBy(*keys, "name").agg(F.sum("value").alias("total")), checkpoint)
+    held = stream_state(stream.sparkSession, checkpoint)
+    return held.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("sum"))).alias(n) for n in counters))

@@ -139,9 +139,9 @@ def test_expansion_without_checks_keeps_candidates(spark):
     assert expand.expand_agg(df.select("context_indices", F.array().cast("array<long>").alias("target_indices"), "m", F.array().cast("array<long>").alias("c")), layout, validate="off").count() == 0
 
 
-def test_evaluation_reads_its_rows_once(spark, sf_dir):
+def test_evaluation_multiplies_no_rows(spark, sf_dir):
     plan = registry.QUERIES["held_out_evaluation"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan parquet") == 1 and "Join" not in plan
+    assert "Expand" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
     plan = registry.QUERIES["log_loss_reductions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1 and "Join" not in plan
 
@@ -302,3 +302,31 @@ def test_expansion_of_hot_rows_is_linear(spark):
     for i in range(1500):
         want.setdefault(i * 7 % 500, []).append(i)
     assert sorted(map(tuple, rows)) == sorted((r, k, r, c) for r, own in want.items() for k, c in enumerate(own))
+
+
+def test_a_hot_group_is_spread(spark):
+    """A group of nine tenths of the rows: the same value, and no task with most of its counts."""
+    rng = random.Random(31)
+    rows = [("hot" if rng.random() < 0.9 else f"g{rng.randint(0, 20)}", round(rng.uniform(-3, 3), 3), rng.randint(0, 1)) for _ in range(3000)] + [(None, 0.5, 1), (None, 0.1, 0)]
+    df = spark.createDataFrame(rows, "g string, logit double, label int").repartition(3)
+    got = {r["g"]: r["auc"] for r in metrics.auc_by_group(df, [], "g", parts=8).collect()}
+    for g in {r[0] for r in rows}:
+        pos, neg = ([batching.np.float32(s) for k, s, y in rows if k == g and y == v] for v in (1, 0))
+        if pos and neg:
+            assert abs(got[g] - sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)) < 1e-8
+    parts = metrics.histogram(df, ["g"], F.col("logit").cast("float")).repartitionByRange(8, "g", "bin").where("g = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 5
+
+
+def test_evaluation_equals_its_parts(spark):
+    """A large mean with a small spread keeps its deviation; nulls among keys and groups stay."""
+    rng = random.Random(32)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3, None]), 1e8 + rng.random() / 8 if rng.random() < 0.5 else 1e8, rng.randint(0, 1), f"f{rng.randint(0, 3)}") for _ in range(400)]
+    df = spark.createDataFrame(rows, "task string, g int, logit double, label int, file string")
+    for r in metrics.evaluation(df, ["task"], "g", "file").collect():
+        own = [x for x in rows if x[0] == r["task"]]
+        xs = batching.np.array([x[2] for x in own])
+        assert (r["examples"], r["files"], r["positives"]) == (len(own), len({x[4] for x in own}), sum(x[3] for x in own))
+        assert abs(r["logit_std"] - xs.std()) < 1e-6 and abs(r["logit_mean"] - xs.mean()) < 1e-5
+    assert {r["task"] for r in metrics.evaluation(df, ["task"], "g").collect()} == {"a", "b", None}
+    assert metrics.evaluation(df, [], "g").count() == 1

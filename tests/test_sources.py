@@ -189,8 +189,37 @@ def test_running_monitor_equals_the_whole(spark):
     rows = spark.range(200).select((F.col("id") % 3).alias("task"), (F.col("id") / 40 - 2).alias("logit"), (F.col("id") % 2).cast("int").alias("label"))
     rows.repartition(5).write.parquet(f"{top}/in")
     for _ in range(2):
-        incremental.running_monitor(incremental.stream_files(spark, f"{top}/in", rows.schema, 1), ["task"], f"{top}/state", f"{top}/c")
-    assert sorted(map(tuple, incremental.monitored(spark, ["task"], f"{top}/state").collect())) == sorted(map(tuple, metrics.monitor(rows, ["task"]).collect()))
+        incremental.running_monitor(incremental.stream_files(spark, f"{top}/in", rows.schema, 1), ["task"], f"{top}/c")
+    assert sorted(map(tuple, incremental.monitored(spark, ["task"], f"{top}/c").collect())) == sorted(map(tuple, metrics.monitor(rows, ["task"]).collect()))
+
+
+def test_a_failed_batch_is_counted_once(spark, tmp_path):
+    """A stream that fails in its third batch and runs again has the counts of the whole, and a row of state for each key."""
+    top = shared_folder(spark, "restart")
+    rows = spark.range(120).select((F.col("id") % 3).alias("task"), (F.col("id") / 40 - 1).alias("logit"), (F.col("id") % 2).cast("int").alias("label"), "id")
+    for k in range(6):
+        rows.where(f"id % 6 = {k}").coalesce(1).write.mode("append").parquet(f"{top}/in")
+    mark = str(tmp_path / "broken")
+    open(mark, "w").close()
+
+    @F.udf("int")
+    def fails(i):
+        if i == 62 and os.path.exists(mark):
+            raise RuntimeError("lost")
+        return 1
+
+    stream = lambda: incremental.stream_files(spark, f"{top}/in", rows.schema, 1)
+    for run in (lambda s: incremental.running_histogram(s, ["task"], f"{top}/c1"), lambda s: incremental.running_counters(s, ["task"], {"n": F.lit(1), "sum": F.col("id")}, f"{top}/c2")):
+        open(mark, "w").close()
+        with pytest.raises(Exception):  # noqa: B017
+            run(stream().where(fails("id") == 1))
+        os.remove(mark)
+        run(stream().where(fails("id") == 1))
+    want = metrics.histogram_auc(metrics.histogram(rows, ["task"], metrics.probability_bin(F.col("logit"))), ["task"])
+    assert sorted(map(tuple, incremental.running_auc(spark, ["task"], f"{top}/c1").collect())) == sorted(map(tuple, want.collect()))
+    counted = incremental.running_counters(stream().where(fails("id") == 1), ["task"], {"n": F.lit(1), "sum": F.col("id")}, f"{top}/c2")
+    assert sorted(map(tuple, counted.collect())) == [(k, 40, sum(range(k, 120, 3))) for k in range(3)]
+    assert incremental.stream_state(spark, f"{top}/c2").count() == 6
 
 
 def test_sampled_schema_check(spark, folder):
@@ -232,7 +261,7 @@ def test_streams(spark, folder):
         incremental.ingest(read(), f"{top}/out", f"{top}/c1", flat)
     got = spark.read.parquet(f"{top}/out").drop("batch")
     assert got.exceptAll(flat(spark.read.parquet(folder))).count() == 0 and got.count() == 240
-    counters = incremental.running_counters(read(), ["row"], {"n": F.sum(F.size("target_indices"))}, f"{top}/s2", f"{top}/c2")
+    counters = incremental.running_counters(read(), ["row"], {"n": F.size("target_indices")}, f"{top}/c2")
     assert counters.agg(F.sum("n")).first()[0] == 240
     times = incremental.file_times(spark.read.parquet(folder))
     assert incremental.changed_files(times, times).count() == 0
