@@ -37,14 +37,19 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
 def rows_kept(docs: DataFrame, kept: DataFrame, id_col: str, mark: Column) -> DataFrame:
     """One row of ``docs``, with all its columns, for each (id, mark) of ``kept``; ``mark`` is that of a row.
 
-    Ids may be null or repeat. Rows that agree in both are folded in the map task before whole rows
-    are shuffled, once for the fold and the join.
+    Ids may be null or repeat. Rows are met by a semi-join; only those that agree in both with another
+    row, which are counted on their keys alone, are folded, in the map task first.
     """
     keys = ["__id", "__null", "__mark"]
     place = lambda i: (F.coalesce(i.cast("long"), F.lit(0).cast("long")), i.isNull())
-    keyed = docs.withColumns(dict(zip(keys, (*place(F.col(id_col)), mark), strict=True))).dropDuplicates(keys)
+    keyed = docs.withColumns(dict(zip(keys, (*place(F.col(id_col)), mark), strict=True)))
     wanted = kept.select(*(c.alias(k) for c, k in zip((*place(F.col("id")), F.col("mark")), keys, strict=True)))
-    return keyed.join(wanted, keys, "left_semi").select(docs.columns)
+    met = keyed.join(wanted, keys, "left_semi")
+    repeated = written(keyed.select(*keys).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated-rows")
+    if not repeated.isEmpty():
+        folded = keyed.join(repeated, keys, "left_semi").dropDuplicates(keys).join(wanted, keys, "left_semi")
+        met = met.join(repeated, keys, "left_anti").unionByName(folded)
+    return met.select(docs.columns)
 
 
 def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import ASCII_LOWER, ascii_lower, each_value, local_tmp, release_memory, rows_kept
+from rankloom.llm.common import ASCII_LOWER, ascii_lower, bounded_batches, each_value, local_tmp, release_memory, rows_kept
 
 #: Bytes of text that a table or an unpartitioned run of rows holds; ways each spill level splits.
 BUDGET_BYTES, WAYS = 16 << 20, 16
@@ -172,6 +172,7 @@ def _grouped(budget: int):
 
 def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET_BYTES) -> DataFrame:
     """One row per distinct text: sha, n_bytes, group_size, keep_id. One shuffle of the distinct texts of each map task."""
+    bounded_batches(docs.sparkSession, 8 << 20)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     parts = rows.mapInArrow(_fold, "digest binary, text binary, n long, largest long")
     return parts.repartition("digest").mapInArrow(_grouped(budget), "sha string, n_bytes long, group_size long, keep_id long")

@@ -27,12 +27,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import each_value, release_memory
+from rankloom.llm.common import bounded_batches, each_value, release_memory
 
 #: Bounds of the training sample: rows a language for its dictionary, characters of a sampled text
 #: (a span of a longer one), bytes a dictionary, rows for the bound on rejection over all languages.
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES, CALIBRATION_ROWS, MAX_LANGUAGES = 96, 4096, 65536, 2400, 200
 LEVEL, BLOCK = 6, 8192
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: Share of the rightly judged labelled texts that the fitted bound may reject.
 REJECT_SHARE = 0.001
 UNDETERMINED = "und"
@@ -149,6 +151,7 @@ def _judged(model: LanguageModel, text_col: str):
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score, rejected. Narrow, no shuffle."""
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     judged = _judged(model, "text")
 
     def run(batches):
@@ -165,6 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language isn't rejected."""
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     judged = _judged(model, text_col)
 
     def run(batches):

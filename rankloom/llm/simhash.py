@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import ASCII_LOWER, broadcast_if_small, each_value, rows_kept, written
+from rankloom.llm.common import ASCII_LOWER, bounded_batches, broadcast_if_small, each_value, release_memory, rows_kept, written
 from rankloom.llm.graph import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -65,7 +65,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             found = np.array([fingerprint(t) for t in each_value(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
+        release_memory()
 
+    bounded_batches(docs.sparkSession, 8 << 20)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
     return rows.mapInArrow(run, "id long, fp long" + ", mark string" * len(more))
 
@@ -178,6 +180,8 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held.append((keys[last:], fps[last:], indexed[last:]))
     if held:
         yield edges_of(*joined())
+    del held
+    release_memory()
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
