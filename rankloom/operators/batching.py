@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from rankloom.functions.encode import mix64, unsigned_order
 from rankloom.functions.sequence import length_bucket, padded
@@ -282,14 +283,72 @@ def padding_ratio(df: DataFrame, batch: list[str], length: str) -> DataFrame:
     return out.withColumn("padding", F.round(F.when(F.col("cells") > 0, 1 - F.col("tokens") / F.col("cells")).otherwise(0.0), 9))
 
 
-def differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that two pipelines don't share, by key: only_left, only_right and the first column that differs."""
+def _apart(a: Column, b: Column, kind: DataType) -> Column:
+    """Where below them two values first differ, as a path; empty at the value itself, null if they are equal."""
+    out = F.when(a.eqNullSafe(b), F.lit(None).cast("string")).when(a.isNull() | b.isNull(), "")
+    if isinstance(kind, StructType):
+        inner = [F.concat(F.lit(f".{f.name}"), _apart(a[f.name], b[f.name], f.dataType)) for f in kind.fields]
+        return out.otherwise(F.coalesce(*inner, F.lit("")))
+    if isinstance(kind, ArrayType):
+        at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True).cast("int") - 1
+        inner = F.concat(F.lit("["), at.cast("string"), F.lit("]"), F.coalesce(_apart(F.get(a, at), F.get(b, at), kind.elementType), F.lit("")))
+        return out.when(F.size(a) != F.size(b), ".length").otherwise(inner)
+    return out.otherwise("")
+
+
+def _digests(df: DataFrame, keys: list[str], columns: list[str], parts: int) -> DataFrame:
+    """Rows, sum and parity of the rows' hashes for each part of the keys' hashes. Rows are hashed as text,
+    as a hash of nested values skips nulls and empty lists."""
+    whole = F.xxhash64(F.to_json(F.struct(*keys, *columns), {"ignoreNullFields": "false"}))
+    return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part")).agg(F.count("*").alias("n"), F.sum(whole.cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), whole)).alias("parity"))
+
+
+def differing_parts(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 4096) -> DataFrame:
+    """Parts of the keys in which two inputs differ, by digests alone: no row of theirs is shuffled."""
+    columns = sorted(c for c in left.columns if c not in keys)
+    a, b = (_digests(df, keys, columns, parts) for df in (left, right))
+    same = a["n"].eqNullSafe(b["n"]) & a["sum"].eqNullSafe(b["sum"]) & a["parity"].eqNullSafe(b["parity"])
+    return a.join(b, a["part"] == b["part"], "full_outer").where(~same).select(F.coalesce(a["part"], b["part"]).alias("part"))
+
+
+def differences(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 4096) -> DataFrame:
+    """Rows that two pipelines don't share, by key: only_left, only_right, or the path of the first value
+    that differs, such as ``click[3].id``.
+
+    Digests of parts of the keys are compared first, and only rows of parts that differ are joined, of
+    equal inputs none. Keys name a row; the inputs have the same columns."""
+    if sorted(left.columns) != sorted(right.columns):
+        raise ValueError("the inputs' columns differ")
     columns = [c for c in left.columns if c not in keys]
-    a = left.select(*keys, F.struct(*columns).alias("a"), F.lit(True).alias("in_a"))
-    b = right.select(*keys, F.struct(*columns).alias("b"), F.lit(True).alias("in_b"))
-    joined = a.join(b, keys, "full_outer")
-    first = F.lit(None).cast("string")
-    for c in reversed(columns):
-        first = F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c).otherwise(first)
-    first = F.when(F.col("in_a").isNull(), "only_right").when(F.col("in_b").isNull(), "only_left").otherwise(first)
-    return joined.select(*keys, first.alias("difference")).where("difference IS NOT NULL")
+    differ = written(differing_parts(left, right, keys, parts), "differing-parts")
+    own = lambda df: df.where(F.pmod(F.xxhash64(*keys), F.lit(parts)).isin(sorted(r["part"] for r in differ.collect())))
+    a = own(left).select(*keys, F.struct(*columns).alias("a"), F.lit(True).alias("in_a"))
+    b = own(right).select(*(F.col(c).alias(f"__{c}") for c in keys), F.struct(*columns).alias("b"), F.lit(True).alias("in_b"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & a[c].eqNullSafe(b[f"__{c}"])
+    joined = a.join(b, same, "full_outer")
+    path = F.substring(_apart(F.col("a"), F.col("b"), a.schema["a"].dataType), 2, 1 << 20)
+    first = F.when(F.col("in_a").isNull(), "only_right").when(F.col("in_b").isNull(), "only_left").otherwise(path)
+    either = [F.when(F.col("in_a").isNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in keys]
+    return joined.select(*either, first.alias("difference")).where("difference IS NOT NULL")
+
+
+def union_of(inputs: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several inputs, by column name; inputs whose columns or types differ are an error that
+    names the first of them."""
+    (first, out), *rest = inputs.items()
+    kinds = {f.name: f.dataType for f in out.schema.fields}
+    for name, df in rest:
+        other = {f.name: f.dataType for f in df.schema.fields}
+        apart = sorted(c for c in kinds.keys() | other.keys() if kinds.get(c) != other.get(c))
+        if apart:
+            raise ValueError(f"{name} and {first} differ in {', '.join(apart)}")
+        out = out.unionByName(df)
+    return out
+
+
+def keys_apart(left: DataFrame, right: DataFrame, keys: list[str], shared: bool = False) -> DataFrame:
+    """Distinct keys of ``left`` that ``right`` lacks, or with ``shared`` has too; null equals null."""
+    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
+    return a.join(b, null_safe(a, b, keys), "left_semi" if shared else "left_anti")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +69,28 @@ def encoded(df: DataFrame, column: str, strategy: str, size: int = 0, depth: int
     return df.withColumn(f"{column}_id", encode(F.col(column), strategy, size, depth, **options))
 
 
-def resolve_shared(names: dict[str, str]) -> dict[str, str]:
-    """Root of each name through its alias; a cycle is an error."""
-    out = {}
-    for name in names:
-        seen, at = {name}, names[name]
-        while at in names and names[at] != at:
-            if at in seen:
-                raise ValueError(f"alias cycle at {at}")
-            seen.add(at)
-            at = names[at]
-        out[name] = at
-    return out
+def resolved_aliases(aliases: DataFrame) -> DataFrame:
+    """(name, root, cyclic) of a table (name, alias): the name that a chain of aliases ends at, by pointer
+    jumping, so a chain takes as many rounds as its length has binary digits. A name that is its own
+    alias, has none or isn't a name is a root; one whose chain never ends is cyclic and has no root."""
+    links = aliases.groupBy("name").agg(F.min(F.coalesce("alias", "name")).alias("at"))
+    held = written(links, "aliases")
+    for _ in range(held.count().bit_length() + 1):
+        nexts = held.select(F.col("name").alias("at"), F.col("at").alias("next"))
+        before, held = held, written(held.join(nexts, "at", "left").select("name", F.coalesce("next", "at").alias("at")), "aliases")
+        if held.join(before, ["name", "at"], "left_anti").isEmpty():
+            break
+    ends = links.where("at = name").select(F.col("name").alias("at"), F.lit(False).alias("inside"))
+    found = held.join(ends, "at", "left").join(links.select(F.col("name").alias("at"), F.lit(True).alias("named")), "at", "left")
+    cyclic = F.col("named").isNotNull() & F.col("inside").isNull()
+    return found.select("name", F.when(~cyclic, F.col("at")).alias("root"), cyclic.alias("cyclic"))
+
+
+def union_registers(found: DataFrame, roots: DataFrame, field: str = "field", name: str = "name") -> DataFrame:
+    """Registers (root, index, rank) of the unions of fields that share a table: those of the members by
+    maximum. Their estimate takes the place of the root field's own."""
+    own = found.join(roots.select(F.col(name).alias(field), "root"), field)
+    return own.groupBy("root", "index").agg(F.max("rank").alias("rank"))
 
 
 def scenarios(df: DataFrame, column: str, most: int = 256) -> DataFrame:
@@ -150,9 +163,55 @@ def list_lengths(df: DataFrame, column: str) -> DataFrame:
     return flat.groupBy("depth").agg(F.count("*").alias("count"), F.min("n").alias("min"), *quantiles, F.max("n").alias("max"))
 
 
-def top_values(df: DataFrame, column: str, n: int = 16) -> DataFrame:
-    """Exact most frequent leaves, ties by value."""
-    return leaves(df, column).where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "leaf").limit(n)
+class HeavyHitters:
+    """Counts of at most ``room`` values, each too low by at most ``missed``; a value that isn't among
+    them occurs at most ``missed`` times."""
+
+    def __init__(self, room: int) -> None:
+        self.counts, self.room, self.missed = pd.Series(dtype="int64"), room, 0
+
+    def add(self, values: pd.Series) -> None:
+        self.counts = self.counts.add(values.value_counts(), fill_value=0).astype("int64")
+        if len(self.counts) > self.room:
+            low = int(self.counts.nlargest(self.room + 1).iloc[-1])
+            self.missed += low
+            self.counts = (self.counts - low)[self.counts > low]
+
+
+def _summaries(room: int):
+    """Leaves give a task's summary: (leaf, count) and a row without leaf that has what it missed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = HeavyHitters(room)
+        for batch in batches:
+            held.add(batch["leaf"].astype("int64"))
+        yield pd.DataFrame({"leaf": held.counts.index.astype("int64"), "count": held.counts.to_numpy()})
+        yield pd.DataFrame({"leaf": pd.array([None], dtype="Int64"), "count": [held.missed]})
+
+    return run
+
+
+def top_values(df: DataFrame, column: str, n: int = 16, room: int = 1 << 16) -> DataFrame:
+    """Exact most frequent leaves, ties by value.
+
+    Whole numbers are counted by task in summaries of at most ``room`` values, which is all that is
+    shuffled; the best candidates are then counted exactly. If no other value can have as many as the
+    last of them, which what the summaries missed says, they are the answer; else all are counted."""
+    found = leaves(df, column).where("leaf IS NOT NULL")
+    exact = lambda rows: rows.groupBy("leaf").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "leaf").limit(n)
+    if found.schema["leaf"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return exact(found)
+    long = found.select(F.col("leaf").cast("long").alias("leaf"))
+    summary = written(long.mapInPandas(_summaries(room), "leaf long, count long").groupBy("leaf").agg(F.sum("count").alias("count")), "heavy-hitters")
+    missed = summary.where("leaf IS NULL").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    best = summary.where("leaf IS NOT NULL").orderBy(F.desc("count"), "leaf").limit(4 * n + 1).collect()
+    candidates, beyond = [r["leaf"] for r in best[: 4 * n]], (best[4 * n]["count"] if len(best) > 4 * n else 0) + missed
+    counted = exact(long.where(F.col("leaf").isin(candidates))).collect()
+    sure = not missed and len(best) <= 4 * n or len(counted) == n and counted[-1]["count"] > beyond
+    kind = found.schema["leaf"].dataType
+    if not sure:
+        return exact(found)
+    return df.sparkSession.createDataFrame([tuple(r) for r in counted], "leaf long, count long").select(F.col("leaf").cast(kind).alias("leaf"), "count").orderBy(F.desc("count"), "leaf")
 
 
 def top_prefixes(df: DataFrame, column: str, n: int = 8, shift: int = 48) -> DataFrame:
@@ -184,10 +243,29 @@ def distinct_estimate(found: DataFrame, precision: int = 12, keys: tuple[str, ..
     return sums.select(*keys, F.round(estimate, 4).alias("estimate"))
 
 
+def _smallest(n: int, keys: tuple[str, ...]):
+    """Rows (keys, leaf, priority) give the n distinct ones of each key with the smallest priority in this task."""
+
+    def kept(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates([*keys, "priority"]).sort_values("priority", kind="stable")
+        return rows.groupby([*keys], dropna=False, sort=False).head(n) if keys else rows.head(n)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = kept(batch if held is None else pd.concat([held, batch]))
+        if held is not None:
+            yield held
+
+    return run
+
+
 def bottom_sample(df: DataFrame, column: str, n: int = 4096, keys: tuple[str, ...] = ()) -> DataFrame:
     """The n distinct leaves with the smallest unsigned mixed hash, of each key if there are any:
-    (keys, leaf, priority)."""
-    found = leaves(df, column, keys).where("leaf IS NOT NULL").distinct().withColumn("priority", unsigned_order(mix64(F.col("leaf").cast("long"))))
+    (keys, leaf, priority). A task keeps n of each key, so that is all that is shuffled; samples
+    merge, as the smallest of a union are among the smallest of its parts."""
+    rows = leaves(df, column, keys).where("leaf IS NOT NULL").withColumn("priority", unsigned_order(mix64(F.col("leaf").cast("long"))))
+    found = rows.mapInPandas(_smallest(n, keys), rows.schema).distinct()
     if not keys:
         return found.orderBy("priority").limit(n)
     return found.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("priority"))).where(F.col("__r") <= n).drop("__r")

@@ -146,14 +146,14 @@ def compare_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")
 def union_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "events").select("event_id", "event_type")
-    return rows.where("event_type = 'click'").unionByName(rows.where("event_type = 'view'"))
+    return batching.union_of({t: rows.where(F.col("event_type") == t) for t in ("click", "view")})
 
 
 @query("SELECT DISTINCT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     orders = fixtures.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
-    return customers.exceptAll(orders.distinct()).distinct()
+    return batching.keys_apart(customers, orders, ["id"])
 
 
 @query("SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS values, count(*) AS length FROM lineitem GROUP BY 1")
@@ -191,3 +191,11 @@ def user_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = expand.adapted(fixtures.nested(spark, sf_dir), adapt, {"layout": LAYOUT, "keys": KEYS})
     total = lambda name, c: found[name].agg(F.count("*").alias("rows"), F.sum(c).cast("long").alias("total")).select(F.lit(name).alias("input"), "rows", "total")
     return total("flat", "label").unionByName(total("requests", "scene_id"))
+
+
+@query(f"WITH {FLAT}, {SEEN}, v AS (SELECT user_id, request_id, id, row_number() OVER (PARTITION BY user_id, request_id ORDER BY t DESC, id) - 1 AS place FROM seen WHERE stream = 'view'), p AS (SELECT user_id, request_id, min(place) AS place FROM v WHERE id % 5 = 0 GROUP BY ALL) SELECT f.user_id, f.request_id, f.item_id, 'view[' || p.place || '].id' AS difference FROM flat f JOIN p USING (user_id, request_id)")
+def differences_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults planted deep in a history, named by their path."""
+    flat = expand.expand_agg(fixtures.nested(spark, sf_dir), LAYOUT, KEYS).select(*REQUEST, "item_id", "scene_id", "click", "view")
+    planted = F.transform("view", lambda e: F.struct(F.when(e["id"] % 5 == 0, -e["id"] - 1).otherwise(e["id"]).alias("id"), e["time"].alias("time")))
+    return batching.differences(flat, flat.withColumn("view", planted), [*REQUEST, "item_id"])

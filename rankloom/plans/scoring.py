@@ -503,3 +503,25 @@ def drop_constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = rows.agg(*(F.countDistinct(c).alias(c) for c in ("p_size", "always")))
     constants = counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("distinct")) for c in ("p_size", "always")))))
     return expand.drop_columns(rows, ["p_name"], constants)
+
+
+@query("""WITH RECURSIVE a AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 10 IN (7, 8) THEN 15 - n_nationkey % 10 + n_nationkey // 10 * 10 WHEN n_nationkey % 10 = 0 THEN n_nationkey ELSE n_nationkey - 1 END AS alias FROM nation),
+    c AS (SELECT k, alias AS goal, 1 AS n FROM a UNION ALL SELECT c.k, a.alias, n + 1 FROM c JOIN a ON a.k = c.goal WHERE a.alias <> c.goal AND n < 30),
+    e AS (SELECT k, arg_max(goal, n) AS goal, max(n) AS n FROM c GROUP BY k)
+    SELECT k AS name, CASE WHEN n < 30 THEN goal END AS root, n >= 30 AS cyclic FROM e""")
+def alias_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of aliases to their roots, with a cycle of two and what leads into it."""
+    k = F.col("n_nationkey")
+    within = k % 10
+    alias = F.when(within.isin(7, 8), F.lit(15) - within + F.floor(k / 10) * 10).when(within == 0, k).otherwise(k - 1)
+    return profile.resolved_aliases(fixtures.table(spark, sf_dir, "nation").select(k.cast("long").alias("name"), alias.cast("long").alias("alias")))
+
+
+@query(_hll_sql(mixed("x", "(SELECT DISTINCT x FROM (SELECT l_partkey * 7 AS x FROM lineitem UNION ALL SELECT l_suppkey * 11 FROM lineitem))")))
+def distinct_of_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct count of a shared table from its members' registers, by their aliases."""
+    rows = fixtures.table(spark, sf_dir, "lineitem")
+    flat = rows.select(F.inline(F.array(*(F.struct(F.lit(n).alias("field"), (F.col(c) * k).alias("x")) for n, c, k in (("part", "l_partkey", 7), ("supplier", "l_suppkey", 11))))))
+    roots = profile.resolved_aliases(spark.createDataFrame([("part", "part"), ("supplier", "part")], "name string, alias string"))
+    merged = profile.union_registers(profile.registers(flat, "x", 10, ("field",)), roots)
+    return profile.distinct_estimate(merged, 10, ("root",)).select("estimate")

@@ -330,3 +330,56 @@ def test_evaluation_equals_its_parts(spark):
         assert abs(r["logit_std"] - xs.std()) < 1e-6 and abs(r["logit_mean"] - xs.mean()) < 1e-5
     assert {r["task"] for r in metrics.evaluation(df, ["task"], "g").collect()} == {"a", "b", None}
     assert metrics.evaluation(df, [], "g").count() == 1
+
+
+def test_paths_of_differences(spark):
+    shape = "k long, a struct<x:int,b:array<struct<y:array<int>,z:string>>>, c string"
+    base = [(i, {"x": i, "b": [{"y": [1, 2, i], "z": "q"}, {"y": None, "z": None}]}, "c") for i in range(50)] + [(None, None, None)]
+    left = spark.createDataFrame(base, shape)
+    other = [[k, a and {"x": a["x"], "b": [dict(e) for e in a["b"]]}, c] for k, a, c in base]
+    other[3][1]["b"][0]["y"] = [1, 5, 3]
+    other[4][1]["b"][1]["z"] = "new"
+    other[5][1]["b"].pop()
+    other[6][1]["b"][1]["y"] = []
+    other[7][2] = None
+    other[8][1]["x"] = None
+    del other[9]
+    right = spark.createDataFrame([tuple(r) for r in other] + [(99, None, "d")], shape)
+    got = {r["k"]: r["difference"] for r in batching.differences(left, right.select("c", "k", "a"), ["k"]).collect()}
+    assert got == {3: "a.b[0].y[1]", 4: "a.b[1].z", 5: "a.b.length", 6: "a.b[1].y", 7: "c", 8: "a.x", 9: "only_left", 99: "only_right"}
+    assert batching.differing_parts(left, left.repartition(7), ["k"]).isEmpty() and batching.differences(left, left.repartition(7), ["k"]).count() == 0
+    assert 1 <= batching.differing_parts(left, right, ["k"]).count() <= 8
+
+
+def test_union_checks_schemas(spark):
+    a, b = spark.createDataFrame([(1, "x")], "i long, s string"), spark.createDataFrame([("y", 2)], "s string, i long")
+    assert sorted(map(tuple, batching.union_of({"a": a, "b": b}).collect())) == [(1, "x"), (2, "y")]
+    with pytest.raises(ValueError, match="c and a differ in i, t"):
+        batching.union_of({"a": a, "b": b, "c": a.select(F.col("i").cast("int"), "s", F.lit(1).alias("t"))})
+    keys = spark.createDataFrame([(1,), (None,), (3,), (3,)], "i long")
+    assert sorted(map(tuple, batching.keys_apart(keys, a, ["i"]).collect()), key=str) == [(3,), (None,)]
+    assert [tuple(r) for r in batching.keys_apart(keys, a, ["i"], shared=True).collect()] == [(1,)]
+
+
+@pytest.mark.parametrize("room", [1, 4, 1 << 16])
+def test_top_values_with_little_room(spark, room):
+    rng = random.Random(41)
+    values = [int(rng.paretovariate(0.6)) for _ in range(3000)] + list(range(-500, 0)) + [None] * 5
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(4)
+    want = sorted(((-sum(x == v for x in values), v) for v in {x for x in values if x is not None}))[:7]
+    assert [(r["leaf"], r["count"]) for r in profile.top_values(df, "v", 7, room).collect()] == [(v, -n) for n, v in want]
+    assert profile.top_values(df.limit(0), "v", 3).collect() == []
+    assert [(r["leaf"], r["count"]) for r in profile.top_values(df.selectExpr("cast(v % 3 AS string) AS v").where("v >= '0'"), "v", 1).collect()][0][1] > 500
+
+
+def test_bottom_samples_merge(spark):
+    rows = [(i % 3 if i % 7 else None, i % 400) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    key = lambda r: (str(r["k"]), r["leaf"])
+    got = sorted(map(key, profile.bottom_sample(df.repartition(6), "v", 9, ("k",)).collect()))
+    every = profile.bottom_sample(df, "v", 1000, ("k",)).collect()
+    want = sorted(key(r) for k in {r["k"] for r in every} for r in sorted((x for x in every if x["k"] == k), key=lambda r: r["priority"])[:9])
+    assert got == want and len(got) == 36
+    parts = [profile.bottom_sample(df.where(f"v % 2 = {b}"), "v", 20) for b in (0, 1)]
+    merged = parts[0].unionByName(parts[1]).orderBy("priority").limit(20)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, profile.bottom_sample(df, "v", 20).collect()))

@@ -184,7 +184,10 @@ def test_one_index_column(spark):
         LAYOUT.kind(spark.createDataFrame([ROW], SCHEMA).drop("target_indices").schema)
 
 
-def test_alias_cycle():
-    assert profile.resolve_shared({"a": "b", "b": "b"}) == {"a": "b", "b": "b"}
-    with pytest.raises(ValueError, match="cycle"):
-        profile.resolve_shared({"a": "b", "b": "a"})
+def test_alias_cycle(spark):
+    of = lambda rows: {r["name"]: (r["root"], r["cyclic"]) for r in profile.resolved_aliases(spark.createDataFrame(rows, "name string, alias string")).collect()}
+    assert of([("a", "b"), ("b", "b")]) == {"a": ("b", False), "b": ("b", False)}
+    assert of([("a", "b"), ("b", "a"), ("c", "a"), ("d", None), ("e", "x")]) == {"a": (None, True), "b": (None, True), "c": (None, True), "d": ("d", False), "e": ("x", False)}
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)] + [("n100", "n100")] + [(f"m{i}", f"m{(i + 1) % 7}") for i in range(7)]
+    assert of(chain) == {n: (None, True) if n[0] == "m" else ("n100", False) for n, _ in chain}
+    assert of([]) == {}
