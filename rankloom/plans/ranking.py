@@ -339,9 +339,9 @@ def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.missing_columns({t: fixtures.table(spark, sf_dir, t) for t in _INPUTS}, list(_WANTED))
 
 
-@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{t}' AS input, column_name AS \"column\" FROM (DESCRIBE {t})" for t in _INPUTS) + '), n AS (' + " UNION ALL ".join(f"SELECT '{t}' AS input, count(*) AS rows FROM {t}" for t in _INPUTS) + ') SELECT input, "column", rows FROM s JOIN n USING (input)')
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{t}' AS input, column_name AS \"column\", CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type FROM (DESCRIBE {t})" for t in _INPUTS) + '), n AS (' + " UNION ALL ".join(f"SELECT '{t}' AS input, count(*) AS rows FROM {t}" for t in _INPUTS) + ') SELECT input, "column", type, rows FROM s JOIN n USING (input)')
 def observed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.observed_schema({t: fixtures.table(spark, sf_dir, t) for t in _INPUTS}).drop("type")
+    return contract.observed_schema({t: fixtures.table(spark, sf_dir, t) for t in _INPUTS})
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS sources FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1 HAVING count(DISTINCT event_type) > 1")

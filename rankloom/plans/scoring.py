@@ -525,3 +525,21 @@ def distinct_of_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = profile.resolved_aliases(spark.createDataFrame([("part", "part"), ("supplier", "part")], "name string, alias string"))
     merged = profile.union_registers(profile.registers(flat, "x", 10, ("field",)), roots)
     return profile.distinct_estimate(merged, 10, ("root",)).select("estimate")
+
+
+_PLANTED = """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 11 = 0 AS gone, count(l_partkey) AS n, count(*) FILTER (l_partkey % 7 = 0) AS z FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+    p AS (SELECT c, gone, NOT gone AND (k % 11 = 1 OR n = 0) AS bare, CASE WHEN gone OR k % 11 = 1 THEN 0 ELSE n END AS n, CASE WHEN gone OR k % 11 = 1 THEN 0 ELSE z END AS z FROM o), u AS (SELECT DISTINCT c FROM p), q AS (SELECT * FROM p WHERE c % 13 > 1)"""
+
+
+@query(f"""{_PLANTED} SELECT 0 AS depth, count(*) AS cells, count(*) FILTER (c % 13 = 0) AS nulls, count(*) FILTER (c % 13 = 1) AS empties, count(*) FILTER (c % 13 = 0) AS null_rows, count(*) FILTER (c % 13 = 1) AS empty_rows FROM u
+    UNION ALL SELECT 1, count(*), count(*) FILTER (gone), count(*) FILTER (bare), count(DISTINCT c) FILTER (gone), count(DISTINCT c) FILTER (bare) FROM q UNION ALL SELECT 2, CAST(sum(n) AS BIGINT), CAST(sum(z) AS BIGINT), 0, count(DISTINCT c) FILTER (z > 0), 0 FROM q""")
+def field_profile_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with nulls and empty lists planted at each depth."""
+    parts = F.collect_list(F.struct(F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey")).alias("p")))
+    lists = fixtures.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(parts.alias("parts"))
+    none = F.array().cast("array<bigint>")
+    orders = fixtures.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k")).join(lists, "k", "left")
+    own = F.when(F.col("k") % 11 == 1, none).when(F.col("k") % 11 != 0, F.coalesce(F.col("parts.p"), none))
+    rows = orders.groupBy("c").agg(F.collect_list(F.struct(own.alias("v"))).alias("x")).select("c", F.col("x.v").alias("x"))
+    planted = F.when(F.col("c") % 13 == 1, F.array().cast("array<array<bigint>>")).when(F.col("c") % 13 != 0, F.col("x"))
+    return profile.field_profile(rows.select(planted.alias("x")), "x")
