@@ -148,6 +148,40 @@ def nonzero(counters: DataFrame, name: str) -> DataFrame:
     return counters.select(F.lit(name).alias("field"), F.inline(parts)).where("found <> 0")
 
 
+def production_gate(
+    rows: DataFrame | None = None, fields: DataFrame | None = None, depths: DataFrame | None = None, labels: DataFrame | None = None, counters: dict[str, DataFrame] | None = None, by_name: dict[str, tuple[DataFrame, str, str]] | None = None,
+    scenes: DataFrame | None = None, least_requests: int = 1, missing: DataFrame | None = None,
+) -> DataFrame:
+    """One table (field, rule, found) of all that speaks against using a profile; no row if all is well.
+
+    rows: one row with the number of rows scanned. fields, depths, labels: profiles that FIELD_RULES,
+    DEPTH_RULES (by field and depth) and LABEL_RULES (by task) hold for. counters: one-row tables of
+    counts that must be zero, by name. by_name: tables of counts by name that must be zero, as (table,
+    name column, count column). scenes: requests and candidates of each scene, which must have some, and at
+    least so many requests. missing: columns that an input lacks.
+    """
+    parts: list[DataFrame] = []
+    if rows is not None:
+        parts.append(rows.select(F.lit("rows").alias("field"), F.lit("nothing was scanned").alias("rule"), F.col(rows.columns[0]).cast("long").alias("found")).where("found = 0"))
+    for table, rules, key in ((fields, FIELD_RULES, "field"), (depths, DEPTH_RULES, "field"), (labels, LABEL_RULES, "task")):
+        if table is not None:
+            parts.append(gate(table, rules, key).withColumnRenamed(key, "field"))
+    parts += [nonzero(table, f"contract.{name}") for name, table in (counters or {}).items()]
+    for name, (table, of, count) in (by_name or {}).items():
+        parts.append(table.select(F.col(of).cast("string").alias("field"), F.lit(name).alias("rule"), F.col(count).cast("long").alias("found")).where("found > 0"))
+    if scenes is not None:
+        rules = {"a scene without candidates": ("requests > 0 AND candidates = 0", "requests"), "too few requests of a scene": (f"requests < {least_requests}", "requests")}
+        parts.append(gate(scenes.withColumn("field", F.concat(F.lit("scene "), F.col("scene").cast("string"))), rules))
+    if missing is not None:
+        parts.append(missing.select(F.concat_ws(".", "input", "column").alias("field"), F.lit("missing column").alias("rule"), F.col("rows").cast("long").alias("found")))
+    if not parts:
+        raise ValueError("there is nothing to judge")
+    out = parts[0].select("field", "rule", "found")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("field", "rule", "found"))
+    return out
+
+
 def require(violations: DataFrame, most: int = 20) -> None:
     """Raise if a gate found something, with the first of it."""
     found = violations.limit(most).collect()

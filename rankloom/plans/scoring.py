@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import encode, sizing
 from rankloom.sources.shared import shared_folder
 from rankloom.operators import contract, expand, metrics, profile
-from rankloom.plans import fixtures
+from rankloom.plans import fixtures, registry
 from rankloom.plans.registry import FLAT, REQ, SCORED, SEEN, joined, mixed, query, signed, unsigned
 from rankloom.streaming import incremental
 
@@ -543,3 +543,37 @@ def field_profile_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders.groupBy("c").agg(F.collect_list(F.struct(own.alias("v"))).alias("x")).select("c", F.col("x.v").alias("x"))
     planted = F.when(F.col("c") % 13 == 1, F.array().cast("array<array<bigint>>")).when(F.col("c") % 13 != 0, F.col("x"))
     return profile.field_profile(rows.select(planted.alias("x")), "x")
+
+
+def _gate_sql() -> str:
+    """All violations, from the SQL of the tables that are judged."""
+    from rankloom.plans import ranking  # noqa: F401  these queries are parts
+
+    q = lambda name: f"({registry.SQL[name]})"
+    parts = [f"SELECT field, rule, found FROM {q('profile_gate')}"]
+    for rule, found in (("null labels", "nulls"), ("missing labels", "minus_one"), ("labels that aren't 0 or 1", "other")):
+        parts.append(f"SELECT task || ' ' || scene_id, '{rule.replace(chr(39), chr(39) * 2)}', CAST({found} AS BIGINT) FROM {q('label_distribution_by_scene')} WHERE {found} > 0")
+    for name, columns in _COUNTERS.items():
+        parts += [f"SELECT 'contract.{name}', '{c}', CAST({c} AS BIGINT) FROM {q(f'contract_{name}')} WHERE {c} <> 0" for c in columns]
+    parts.append(f'SELECT "column", \'lengths differ\', CAST(rows AS BIGINT) FROM {q("contract_lengths")} WHERE rows > 0')
+    parts.append(f'SELECT "group", \'bags differ in length\', CAST(positions AS BIGINT) FROM {q("contract_bag_groups")} WHERE positions > 0')
+    parts.append(f"SELECT field, 'several values of a scalar', CAST(longest AS BIGINT) FROM {q('overfull_scalars')}")
+    parts.append(f"SELECT 'scene ' || scene, 'too few requests of a scene', CAST(requests AS BIGINT) FROM {q('scene_counts')} WHERE requests < 28")
+    parts.append(f'SELECT input || \'.\' || "column", \'missing column\', CAST(rows AS BIGINT) FROM {q("missing_columns")}')
+    return " UNION ALL ".join(parts)
+
+
+_COUNTERS = {"indices": ("invalid", "duplicate_rows", "dangling"), "event_times": ("unordered_rows", "future_events"), "sequences": ("misaligned", "missing", "orphans", "invalid"), "request_times": ("layout", "invalid")}
+
+
+@query(_gate_sql())
+def production_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole verdict on a profile with planted faults of each kind."""
+    of = lambda name: registry.QUERIES[name](spark, sf_dir)
+    wide = profile.strategy_profile(_strategy_values(spark, sf_dir), "field", "v")
+    labels = of("label_distribution_by_scene").withColumn("task", F.concat_ws(" ", "task", F.col("scene_id").cast("string")))
+    return contract.production_gate(
+        rows=fixtures.table(spark, sf_dir, "events").agg(F.count("*").alias("rows")), fields=wide.withColumn("buckets", F.when(F.col("distinct") <= 1024, sizing.power_of_two(F.col("distinct")))), labels=labels,
+        counters={name: of(f"contract_{name}") for name in _COUNTERS}, scenes=of("scene_counts"), least_requests=28, missing=of("missing_columns"),
+        by_name={"lengths differ": (of("contract_lengths"), "column", "rows"), "bags differ in length": (of("contract_bag_groups"), "group", "positions"), "several values of a scalar": (of("overfull_scalars"), "field", "longest")},
+    )

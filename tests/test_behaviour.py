@@ -383,3 +383,16 @@ def test_bottom_samples_merge(spark):
     parts = [profile.bottom_sample(df.where(f"v % 2 = {b}"), "v", 20) for b in (0, 1)]
     merged = parts[0].unionByName(parts[1]).orderBy("priority").limit(20)
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, profile.bottom_sample(df, "v", 20).collect()))
+
+
+def test_production_gate_rules(spark):
+    scenes = spark.createDataFrame([(1, 5, 0), (2, 1, 3), (3, 9, 9)], "scene int, requests long, candidates long")
+    depths = spark.createDataFrame([("f", 0, 10, 0, 2), ("g", 1, 10, 3, 0), ("h", 0, 4, 1, 0)], "field string, depth int, cells long, nulls long, empties long")
+    none = spark.createDataFrame([(0,)], "rows long")
+    got = sorted(map(tuple, contract.production_gate(rows=none, depths=depths, scenes=scenes, least_requests=2).collect()))
+    assert got == [("f", "empty outer lists", 2), ("g", "nulls inside a history", 3), ("rows", "nothing was scanned", 0), ("scene 1", "a scene without candidates", 5), ("scene 2", "too few requests of a scene", 1)]
+    with pytest.raises(ValueError, match="nothing was scanned"):
+        contract.require(contract.production_gate(rows=none))
+    contract.require(contract.production_gate(rows=spark.createDataFrame([(3,)], "rows long")))
+    with pytest.raises(ValueError, match="nothing to judge"):
+        contract.production_gate()
