@@ -97,6 +97,7 @@ def test_token_batches(spark, frame):
     assert [t for r in runs for t in r] == texts and all(sum(len(t.encode()) for t in r[:-1]) < 1000 for r in runs)
     assert runs == list(token_counts.by_bytes(texts, limit=1000))
     rows = [(None, "a b"), (1, "a b"), (1, "a b")]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")  # other tests leave a smaller limit, which would stay
     assert sorted((tuple(r) for r in token_counts.count_tokens(frame(rows), MODEL).collect()), key=str) == [(1, 3, 2, False), (1, 3, 2, False), (None, 3, 2, False)]
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(16 << 20)
     sizes = []
