@@ -99,15 +99,17 @@ def _bounded_buckets(distinct: Column, most: float) -> Column:
     return F.get(fit, F.lit(0)).cast("long")
 
 
-def table_shapes(fields: DataFrame, projected: str = "projected", retained: str = "retained", tier: str = "tier") -> DataFrame:
+def table_shapes(fields: DataFrame, projected: str = "projected", retained: str = "retained", tier: str = "tier", widest: int | None = None) -> DataFrame:
     """Adds ideal_buckets, buckets, ideal_width, width, collision, weight_bytes and action to
-    fields with distinct values projected to the target and to the retention period."""
+    fields with distinct values projected to the target and to the retention period. ``widest`` is
+    the width beyond which the tiers don't go."""
     d = F.col(projected)
+    within = lambda w: F.least(w, F.lit(widest)) if widest else w
     small = F.when(d <= SMALL_TABLE, _bounded_buckets(d, SMALL_COLLISION)).otherwise(F.lit(MIN_BUCKETS).cast("long"))
     ideal = F.greatest(power_of_two(F.ceil(d / IDEAL_LOAD)), small)
     needed = F.greatest(power_of_two(F.ceil(F.col(retained) / IDEAL_LOAD)), power_of_two(F.ceil(d / PRODUCTION_LOAD)), small)
     live = F.col(tier) != "dead"
-    out = fields.withColumns({"ideal_buckets": F.when(live, ideal), "needed": F.when(live, needed), "ideal_width": F.when(live, table_width(d)), "width": F.when(live, table_width(d, production=True))})
+    out = fields.withColumns({"ideal_buckets": F.when(live, ideal), "needed": F.when(live, needed), "ideal_width": F.when(live, within(table_width(d))), "width": F.when(live, within(table_width(d, production=True)))})
     out = out.withColumn("buckets", F.least("needed", F.lit(MAX_BUCKETS).cast("long")))
     action = (
         F.when(~live, "exclude_constant").when(F.col(tier) == "near_const", "weak_optional").when(F.col("buckets") < F.col("needed"), "use_hard_capped")

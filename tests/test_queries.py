@@ -61,3 +61,11 @@ def test_whole_pooling_has_every_order_and_line(spark, con, sf, name, padding):
         n = max(1, len(ids) if padding else sum(i != 0 for i in ids))
         for d, x in zip((0, 63), got[k], strict=True):
             assert abs(x - sum(vectors[i][d] for i in ids if i) / n) < 0.00051
+
+
+def test_table_shapes_equal_sql_beyond_the_widths_of_small_tables(spark, con, monkeypatch):
+    rows = [(f"b{p}", p, 2 * p, "mild") for p in (1, 900, 1001, 4096, 4097, 65_536, 65_537, 131_072, 900_000, 1_000_001, 3_000_000)]
+    monkeypatch.setattr(scoring, "_grown", lambda *_: spark.createDataFrame(rows, "field string, projected long, stress long, tier string"))
+    given = "g AS (SELECT 1), u AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {p}.0, {r}.0, '{t}')" for f, p, r, t in rows) + ") v(field, p, r, tier))"
+    sql = registry.SQL["table_shapes"].replace(scoring._GROWN, given)
+    assert rows_of(registry.QUERIES["table_shapes"](spark, "")) == rows_of_sql(con, sql)
