@@ -90,3 +90,13 @@ def test_files_of_a_query_grow_with_its_table(spark, con, sf, small_parts, name,
     before = set(top.glob(f"{tag}/*.parquet"))
     assert rows_of(registry.QUERIES[name](spark, sf)) == rows_of_sql(con, registry.SQL[name])
     assert len(set(top.glob(f"{tag}/*.parquet")) - before) >= least
+
+
+@pytest.mark.parametrize("name", ["batches_of_rows", "pack_by_length", "compare_pipelines", "differences_by_path"])
+def test_nested_rows_are_joined_once_in_a_query(spark, sf, monkeypatch, name):
+    from rankloom.plans import fixtures
+
+    own, calls = fixtures.nested, []
+    monkeypatch.setattr(fixtures, "nested", lambda *args: calls.append(1) or own(*args))
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "events.parquet" not in plan and "event_type" not in plan
