@@ -11,7 +11,8 @@ end. Matrices of neighbours are multiplied in the max-plus sense, pair by pair i
 product is associative: after log2(chunks) rounds of joins a document has one matrix. The rounds
 are then gone back, which gives every boundary its piece, and each chunk is traced back by itself.
 Where a safe boundary stands, with no piece that reaches across, the matrix has rank one, and what
-lies between safe boundaries is solved once.
+lies between safe boundaries is solved once in a run of texts: all of a run's distinct parts go forward
+in step, on arrays, and are traced back in step.
 
 Defined results: a null text counts as empty and has no tokens. Special strings in a text are
 ordinary text; unknown characters become their bytes. A text that holds the space mark itself
@@ -21,7 +22,7 @@ decodes with a space there, so it isn't exact. Repeated rows each get a row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,11 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import bounded_batches, discard, each_value, release_memory, written
-from rankloom.llm.token_counts import META, by_bytes, word_parts
+from rankloom.llm.token_counts import META, by_bytes
 
-CHUNK_CHARS, CACHED_WORDS, CACHED_PAIRS, CACHED_CHARS, BATCH_BYTES = 1 << 14, 450_000, 400_000, 40, 4 << 20
-#: By so many last signs of a text's beginning its last piece's length is bounded.
-ENDING = 4
+#: Of distinct texts between safe boundaries, so many signs are solved in step, as long as it's not FEW texts.
+CHUNK_CHARS, CACHED_PAIRS, SOLVED, FEW, BATCH_BYTES = 1 << 14, 1 << 20, 1 << 18, 64, 2 << 20
 NONE = float("-inf")
 #: First of 256 private characters that no piece of a vocabulary holds.
 _PRIVATE = 0x10FF00
@@ -42,6 +42,45 @@ _BYTES = re.compile(f"[{chr(_PRIVATE)}-{chr(_PRIVATE + 255)}]+")
 State = tuple[int, int]
 
 
+class Numbers:
+    """A table from non-negative 64-bit keys to small numbers, looked up by arrays of keys."""
+
+    def __init__(self, slots: int, kind: str) -> None:
+        self.bits, self.mask, self.held = 64 - (slots - 1).bit_length(), (1 << (slots - 1).bit_length()) - 1, 0
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, kind)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.bits)).astype(np.int64)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add keys that differ from each other and from those held; a table half full is emptied first."""
+        if self.held + len(keys) > len(self.keys) // 2:
+            self.keys.fill(-1)
+            self.held = 0
+        self.held += len(keys)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.values[slots[placed]] = values[placed]
+            keys, values, slots = keys[~placed], values[~placed], (slots[~placed] + 1) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 where a key isn't held."""
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.values[slots], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & self.mask
+            there = self.keys[slots[left]]
+            met = there == keys[left]
+            out[left[met]] = self.values[slots[left[met]]]
+            left = left[~met & (there >= 0)]
+        return out
+
+
 class PieceModel:
     """A vocabulary with identity normalisation and a space mark in front of every text."""
 
@@ -62,23 +101,47 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         #: What a piece shows; a byte is a private character until its neighbours are known.
         self.shown = [chr(_PRIVATE + self.byte_of[i]) if i in self.byte_of else name.replace(META, " ") for i, name in enumerate(self.names)]
+        self._raw = pa.array([bytes([self.byte_of[i]]) if i in self.byte_of else name.replace(META, " ").encode() for i, name in enumerate(self.names)], pa.binary())
         #: Signs that any piece has side by side: between two others no merge is possible, which is a safe
         #: boundary. Whether a space mark after another sign always has one before it.
         self.neighbours = frozenset(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
         self.safe_space = not any(META in p.lstrip(META) for p in self.ids)
-        self._pairs: dict[str, dict[str, bool]] = {}
-        self._known = 0
-        self._words: dict[str, bytes] = {}
-        self._units: dict[str, bytes] = {}
-        self._bytes: dict[str, bytes] = {}
-        #: Pieces that come out whole when encoded by themselves, and by their last ENDING signs the longest's length.
-        self.whole_pieces = frozenset(p for p in self.ids if self.merged(p) == [p])
-        self.reach: dict[str, int] = {}
-        for p in self.whole_pieces:
-            if len(p) > ENDING and len(p) > self.reach.get(p[-ENDING:], 0):
-                self.reach[p[-ENDING:]] = len(p)
-
-    def merged(self, text: str) -> list[str]:
+        #: How a piece's last and first part grow while it is merged: each part with the score of the merge that
+        #: ends it. Pieces that aren't merged best score first throughout have None.
+        self.grown: dict[str, tuple[list, list] | None] = {c: ([(c, NONE)], [(c, NONE)]) for c in set().union(*self.ids)}
+        #: Pieces that come out whole when encoded by themselves.
+        self.whole_pieces = frozenset(p for p in self.ids if self._grow(p))
+        self._number()
+
+    def _number(self) -> None:
+        """Number signs and forms, which are nothing, whole pieces, single signs and bytes, for work on arrays."""
+        linked = sorted(set().union(*self.neighbours))
+        signs = linked + sorted(set().union(*self.ids).difference(linked))
+        #: Codes of characters: 0 for those that no piece holds, whose bytes have the codes from _foreign on.
+        self._code = np.zeros(0x110000, np.min_scalar_type(len(signs) + 257))
+        for k, c in enumerate(signs, 1):
+            self._code[ord(c)] = k
+        self._linked, self._foreign, self._width = len(linked), len(signs) + 1, len(signs) + 257
+        self._near = np.zeros((len(linked) + 2, len(linked) + 2), bool)
+        for x, y in self.neighbours:
+            self._near[self._code[ord(x)], self._code[ord(y)]] = True
+        own = sorted(self.whole_pieces.union(signs))
+        self.forms = ["", *own, *(chr(_PRIVATE + b) for b in range(256))]
+        ids = [b"", *map(self.token_ids, ([p] for p in own)), *(np.array([self.bytes.get(b, self.unknown)], "<i4").tobytes() for b in range(256))]
+        self._form_ids, self._form_size = pa.array(ids, pa.binary()), np.array([len(p) for p in self.forms], np.int64)
+        nodes = {"": 0}  # of a tree of the forms' beginnings
+        for p in own:
+            for i in range(1, len(p) + 1):
+                nodes.setdefault(p[:i], len(nodes))
+        form = dict(zip(own, range(1, len(own) + 1), strict=True))
+        self._form_of = np.array([form.get(p, 0) for p in nodes] + list(range(len(own) + 1, len(self.forms))), np.int32)
+        keys = [nodes[p[:-1]] * self._width + int(self._code[ord(p[-1])]) for p in nodes if p] + [self._foreign + b for b in range(256)]
+        self._child = Numbers(8 * len(keys), "<i4")
+        self._child.add(np.array(keys, np.int64), np.arange(1, len(keys) + 1))
+        #: Which pairs of forms agree, by their numbers: for arrays and for single texts.
+        self._agreed, self._pairs = Numbers(2 * CACHED_PAIRS, "i1"), dict[int, bool]()
+
+    def merged(self, text: str, steps: list | None = None) -> list[str]:
         """The merges themselves on a short text: best score first, leftmost on ties."""
         parts, scores = list(text), self.scores
         while len(parts) > 1:
@@ -89,111 +152,201 @@ class PieceModel:
                     best, at = s, i
             if at < 0:
                 break
+            if steps is not None:
+                steps.append((best, parts[0] if at == 0 else None, parts[-1] if at == len(parts) - 2 else None))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _grow(self, piece: str) -> bool:
+        """Note how a piece grows; whether it comes out whole."""
+        if len(piece) == 1:
+            return True
+        steps: list[tuple] = []
+        if self.merged(piece, steps) != [piece]:
+            return False
+        falling = all(x[0] >= y[0] for x, y in zip(steps, steps[1:], strict=False))
+        first, last = ([(x[k], x[0]) for x in steps if x[k]] + [(piece, NONE)] for k in (1, 2))
+        self.grown[piece] = (last, first) if falling else None
+        return True
+
     def agree(self, a: str, b: str) -> bool:
-        """Whether a and b side by side are encoded as a and b; with a empty, whether b is whole."""
+        """Whether a and b side by side are encoded as a and b; with a empty, whether b is whole.
+
+        They aren't if, at some time, a's last part and b's first merge before either of them grows."""
         if not a:
             return b in self.whole_pieces or len(b) == 1
-        own = self._pairs.get(a)
-        if own is None:
-            own = self._pairs[a] = {}
-        if (found := own.get(b)) is None:
-            self._known += 1
-            found = own[b] = self.merged(a + b) == [a, b]
-        return found
+        left, right = self.grown.get(a), self.grown.get(b)
+        if left is None or right is None:
+            return self.merged(a + b) == [a, b]
+        left, right, scores, i, j = left[0], right[1], self.scores, 0, 0
+        while True:
+            (x, ends), (y, other) = left[i], right[j]
+            s = scores.get(x + y)
+            if ends >= other:
+                if s is not None and s > ends:
+                    return False
+                if ends == NONE:
+                    return True
+                i += 1
+            else:
+                if s is not None and s >= other:
+                    return False
+                j += 1
+
+    def _agree(self, before: np.ndarray, forms: np.ndarray) -> np.ndarray:
+        """Whether each form agrees with the one before it; 0 before a text's first."""
+        n = len(self.forms)
+        keys = before.astype(np.int64) * n + forms
+        found = self._agreed.find(keys)
+        if (missing := np.unique(keys[found < 0])).size:
+            names = self.forms
+            known = np.array([self.agree(names[k // n], names[k % n]) for k in missing.tolist()], np.int8)
+            self._agreed.add(missing, known)
+            new = found < 0
+            found[new] = known[np.searchsorted(missing, keys[new])]
+        return found > 0
 
     def token_ids(self, pieces: list[str]) -> bytes:
         """The pieces' ids as little-endian 32-bit integers."""
-        known = self._bytes
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            for p in pieces:
-                if p not in known:
-                    own = [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode("utf-8", "replace")] if self.bytes else [self.unknown]
-                    known[p] = np.array(own, "<i4").tobytes()
-            return b"".join([known[p] for p in pieces])
-
-    def solve(self, units: Iterable[str]) -> dict[str, bytes]:
-        """Ids of texts between safe boundaries: for each prefix the one last piece that agrees with
-        the last piece before it. In sorted order a text reuses what it shares with the one before."""
-        if self._known > CACHED_PAIRS:
-            self._pairs, self._known = {}, 0
-        whole, pairs, reach, agree = self.whole_pieces, self._pairs, self.reach, self.agree
-        last, after, before, out = [""], [{}], "", {}
-        for text in sorted(units):
-            same = 0
-            for x, y in zip(before, text):  # noqa: B905
-                if x != y:
-                    break
-                same += 1
-            del last[same + 1 :], after[same + 1 :]
-            for end in range(same + 1, len(text) + 1):
-                far = reach.get(text[end - ENDING : end], ENDING) if end > ENDING else end
-                for start in range(end - far if end > far else 0, end):
-                    piece = text[start:end]
-                    if piece in whole or start + 1 == end:
-                        if start:
-                            found = after[start].get(piece)
-                            if not (agree(last[start], piece) if found is None else found):
-                                continue
-                        last.append(piece)
-                        own = pairs.get(piece)
-                        if own is None:
-                            own = pairs[piece] = {}
-                        after.append(own)
-                        break
-            pieces, end = [], len(text)
-            while end:
-                pieces.append(last[end])
-                end -= len(last[end])
-            out[text] = self.token_ids(pieces[::-1])
-            before = text
-        return out
-
-    def units(self, text: str) -> list[str]:
-        """The text cut at safe boundaries. Words of letters alone are left whole."""
-        if text[1:].isalpha():
-            return [text]
-        out, at, neighbours = [], 0, self.neighbours
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in neighbours:
-                out.append(text[at:i])
-                at = i
-        out.append(text[at:])
-        return out
-
-    def words(self, runs: list[list[str]]) -> list[bytes]:
-        """Ids of runs of parts that each stand for a space mark and what follows."""
-        known, solved = self._words, self._units
-        if len(known) + len(solved) > CACHED_WORDS:
-            known.clear()
-            solved.clear()
-        new = set().union(*runs).difference(known)
-        split = {p: self.units(META + p.replace(" ", META)) for p in new}
-        wanted = {u for units in split.values() for u in units}.difference(solved)
-        solved.update(self.solve(wanted))
-        known.update((p, solved[units[0]] if len(units) == 1 else b"".join([solved[u] for u in units])) for p, units in split.items())
-        out = [b"".join(map(known.__getitem__, run)) for run in runs]
-        for cache, used in ((known, new), (solved, wanted)):
-            for p in used:
-                if len(p) > CACHED_CHARS:
-                    del cache[p]
+        out: list[int] = []
+        for p in pieces:
+            out += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode("utf-8", "replace")] if self.bytes else [self.unknown]
+        return np.array(out, "<i4").tobytes()
+
+    def _candidates(self, codes: np.ndarray) -> list[np.ndarray]:
+        """By the place where they end, the forms that may end there, longest first; a code 0 stands after each text."""
+        at = np.flatnonzero(codes)
+        node, size, found = np.zeros(len(at), np.int64), 0, []
+        while len(at):
+            node = self._child.find(node * self._width + codes[at + size])
+            at, node, size = at[node >= 0], node[node >= 0].astype(np.int64), size + 1
+            forms = self._form_of[node]
+            found.append((at[forms > 0] + size, forms[forms > 0]))
+        out, count = [], np.zeros(len(codes), np.int64)
+        for ends, forms in reversed(found):
+            rank = count[ends]
+            for k in range(rank.max(initial=-1) + 1):
+                if k == len(out):
+                    out.append(np.zeros(len(codes), np.int32))
+                out[k][ends[rank == k]] = forms[rank == k]
+            count[ends] += 1
         return out
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def _solved(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The forms of texts, longest text first, and where each text's begin: for each prefix of a text the one
+        last piece that agrees with the last piece before it, all texts in step."""
+        candidates, last = self._candidates(codes), np.zeros(len(codes), np.int32)
+        for end in range(1, int(sizes[0]) + 1):
+            places = starts[: np.searchsorted(-sizes, -end, "right")] + end
+            if len(places) < FEW:
+                for start, size in zip(starts[: len(places)].tolist(), sizes.tolist(), strict=False):
+                    self._finish(candidates, last[start : start + size + 1], start, end)
+                break
+            for own in candidates:
+                forms = own[places]
+                ok = self._agree(last[places - self._form_size[forms]], forms)
+                last[places[ok]] = forms[ok]
+                places = places[~ok]
+                if not len(places):
+                    break
+            else:
+                raise ValueError("a prefix has no last piece")
+        rounds, texts, places = [], np.arange(len(starts)), starts + sizes
+        counts = np.zeros(len(starts), np.int64)
+        while len(texts):
+            forms = last[places]
+            rounds.append((texts, forms))
+            counts[texts] += 1
+            places = places - self._form_size[forms]
+            more = places > starts[texts]
+            texts, places = texts[more], places[more]
+        ends = np.cumsum(counts)
+        out = np.zeros(int(ends[-1]), np.int32)
+        for k, (texts, forms) in enumerate(rounds, 1):
+            out[ends[texts] - k] = forms
+        return out, ends - counts
+
+    def _finish(self, candidates: list[np.ndarray], last: np.ndarray, start: int, end: int) -> None:
+        """The last pieces of one text's prefixes from length ``end`` on: of a few long texts, this is faster than in step."""
+        if len(self._pairs) > CACHED_PAIRS // 4:
+            self._pairs.clear()
+        pairs, names, known, n = self._pairs, self.forms, last[:end].tolist(), len(self.forms)
+        for at, forms in enumerate(zip(*(own[start + end : start + len(last)].tolist() for own in candidates), strict=True), end):
+            for f in forms:
+                before = known[at - len(names[f])]
+                found = pairs.get(before * n + f)
+                if found is None:
+                    found = pairs[before * n + f] = self.agree(names[before], names[f])
+                if found:
+                    known.append(f)
+                    break
+            else:
+                raise ValueError("a prefix has no last piece")
+        last[:] = known
+
+    def _distinct(self, data: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """Ids of distinct texts that lie side by side in ``data`` from ``starts`` to the last of them."""
+        sizes = np.diff(starts)
+        order = np.argsort(-sizes, kind="stable")
+        total, at, found = np.cumsum(sizes[order] + 1), 0, []
+        while at < len(order):
+            stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + SOLVED, "right"))
+            own = order[at : max(stop, at + 1)]
+            ends = np.cumsum(sizes[own] + 1)
+            begin = ends - sizes[own] - 1
+            codes = np.zeros(int(ends[-1]), data.dtype)
+            codes[np.arange(len(codes)) != np.repeat(ends - 1, sizes[own] + 1)] = data[_ranges(starts[own], sizes[own])]
+            forms, firsts = self._solved(codes, begin, sizes[own])
+            ids = self._form_ids.take(pa.array(forms))
+            bounds = np.frombuffer(ids.buffers()[1], "<i4")[: len(ids) + 1]
+            found.append(_cut(ids, np.append(bounds[firsts], bounds[-1])))
+            at += len(own)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays(found).take(pa.array(back)) if found else pa.array([], pa.binary())
+
+    def encoded(self, shown: list[str]) -> pa.Array:
+        """Ids of texts with their space marks, as little-endian 32-bit integers. Texts are cut at
+        safe boundaries; what lies between them is solved once."""
+        points = np.frombuffer("".join(shown).encode("utf-32-le", "replace"), "<u4")
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in shown], dtype=np.int64)])
+        if not len(points):
+            return pa.array([b""] * len(shown), pa.binary())
+        codes = self._code[points]
+        if not codes.all():
+            strange = codes == 0
+            if self.bytes:
+                own = points[strange]
+                wide = np.ones(len(points), np.int64)
+                wide[strange] += (own > 0x7F).astype(np.int64) + (own > 0x7FF) + (own > 0xFFFF)
+                bounds = np.concatenate([[0], np.cumsum(wide)])[bounds]
+                codes, strange = np.repeat(codes, wide), np.repeat(strange, wide)
+                codes[strange] = np.frombuffer(own.tobytes().decode("utf-32-le").encode(), np.uint8) + np.uint32(self._foreign)
+            else:
+                codes[strange] = self._foreign
+        near = np.minimum(codes, self._linked + 1)
+        safe = np.append(True, ~self._near[near[:-1], near[1:]])
+        safe[bounds[bounds < len(codes)]] = True
+        cuts = np.append(np.flatnonzero(safe), len(codes))
+        width = codes.dtype.itemsize
+        units = _cut_bytes(codes, cuts * width).dictionary_encode()
+        data, starts = units.dictionary.buffers()[2], np.frombuffer(units.dictionary.buffers()[1], "<i4")[: len(units.dictionary) + 1] // width
+        ids = self._distinct(np.frombuffer(data, codes.dtype)[: starts[-1]], starts.astype(np.int64)).take(units.indices)
+        return _cut(ids, np.frombuffer(ids.buffers()[1], "<i4")[np.searchsorted(cuts, bounds)])
+
+    def whole(self, texts: list[str]) -> pa.Array:
         """Ids of texts of ordinary length, each the single chunk of its document."""
-        if self.safe_space:
-            return self.words([word_parts(t) if t else [] for t in texts])
-        solved = self.solve({META + t.replace(" ", META) for t in texts if t})
-        return [solved[META + t.replace(" ", META)] if t else b"" for t in texts]
-
-    def forget(self) -> None:
-        """Drop the solved words: a Python worker lives on after its task and serves other stages."""
-        self._words, self._units = {}, {}
-        release_memory()
+        return self.encoded([META + t.replace(" ", META) if t else "" for t in texts])
+
+    def same(self, ids: pa.Array, texts: list[str]) -> list[bool]:
+        """Whether ids, read back piece by piece, give exactly these texts."""
+        bounds = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1] // 4
+        if bounds[0] == bounds[-1]:
+            return [not t for t in texts]
+        read = self._raw.take(pa.array(np.frombuffer(ids.buffers()[2], "<i4")[bounds[0] : bounds[-1]]))
+        ends = np.frombuffer(read.buffers()[1], "<i4")[bounds - bounds[0]].tolist()
+        shown = memoryview(read.buffers()[2]).cast("B")
+        return [shown[a:b] == t.encode("utf-8", "replace") for a, b, t in zip(ends, ends[1:], texts, strict=False)]
 
     def decode(self, data: bytes, start: bool = True) -> str:
         """The text of ids; ``start`` says that the first space mark was put in front."""
@@ -202,6 +355,22 @@ class PieceModel:
         return text[1:] if start and text[:1] == " " else text
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1])) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _cut_bytes(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of an array, cut at ``bounds``."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype("<i4")), pa.py_buffer(data)])
+
+
+def _cut(ids: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The bytes of all values together, cut at ``bounds``."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype("<i4")), ids.buffers()[2]])
+
+
 @lru_cache(2)
 def model(path: str) -> PieceModel:
     return PieceModel(path)
@@ -214,9 +383,13 @@ def boundary_states(m: PieceModel, text: str, at: int) -> list[State]:
 
 def safe_places(m: PieceModel, text: str, start: int, end: int) -> tuple[int, int]:
     """The first and last safe boundary strictly inside, or (-1, -1)."""
-    pattern = f"(?<=[^{META}])(?={META})" if m.safe_space else "(?!)"
-    found = [x.start() for x in re.finditer(pattern, text) if start < x.start() < end]
-    return (found[0], found[-1]) if found else (-1, -1)
+    one = text.find(META, start + 1, end) if m.safe_space else -1
+    while one > 0 and text[one - 1] == META:
+        one = text.find(META, one + 1, end)
+    two = text.rfind(META, one, end) if one > 0 else -1
+    while two > one and text[two - 1] == META:
+        two = text.rfind(META, one, two)
+    return one, two
 
 
 def forward(m: PieceModel, text: str, begin: list[State], end: int) -> tuple[dict[State, np.ndarray], dict[tuple[int, State], State]]:
@@ -272,15 +445,14 @@ def _path(m: PieceModel, text: str, entry: State, leave: State, end: int) -> lis
     return pieces[::-1]
 
 
-def _chunk_ids(m: PieceModel, text: str, start: int, end: int, entry: State, leave: State) -> bytes:
-    """Ids of a chunk's pieces after ``entry`` up to ``leave``."""
+def _chunk_parts(m: PieceModel, text: str, start: int, end: int, entry: State, leave: State) -> tuple[bytes, str, bytes]:
+    """Ids of a chunk's pieces after ``entry`` up to ``leave``: those before and after safe boundaries, and the text between."""
     one, two = safe_places(m, text, start, end)
     if one < 0 or entry[1] > one:
-        return m.token_ids(_path(m, text, entry, leave, end))
+        return m.token_ids(_path(m, text, entry, leave, end)), "", b""
     left, _ = forward(m, text[:one], [entry], one)
     head = _path(m, text[:one], entry, next(iter(left)), one) if entry[1] < one else []
-    middle = m.words([word_parts(text[one + 1 : two].replace(META, " "))])[0] if two > one else b""
-    return m.token_ids(head) + middle + m.token_ids(_path(m, text, (two, two), leave, end))
+    return m.token_ids(head), text[one:two], m.token_ids(_path(m, text, (two, two), leave, end))
 
 
 def _small(path: str):
@@ -291,11 +463,12 @@ def _small(path: str):
                 at = 0
                 for texts in by_bytes(each_value(batch.column(1)), limit=BATCH_BYTES):
                     found = m.whole(texts)
-                    exact = [m.decode(f) == t for f, t in zip(found, texts, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary()), pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
+                    exact = m.same(found, [f" {t}" if t else t for t in texts])
+                    sizes = pa.array(np.diff(np.frombuffer(found.buffers()[1], "<i4")[: len(texts) + 1]) // 4, pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), sizes, found, pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
                     at += len(texts)
         finally:
-            m.forget()
+            release_memory()
 
     return run
 
@@ -364,15 +537,16 @@ def _traced(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            uids, ks, ids, exact = [], [], [], []
-            for uid, k, text, start, end, first, _, s0, s1, e0, e1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            uids, ks, parts, texts = [], [], [], []
+            for uid, k, text, start, end, _, _, s0, s1, e0, e1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 entry, leave = (start - s0, start + s1), (end - e0, end + e1)
-                found = _chunk_ids(m, text, start, end, entry, leave)
                 uids.append(uid)
                 ks.append(k)
-                ids.append(found)
-                exact.append(m.decode(found, first) == text[entry[1] + first : leave[1]].replace(META, " "))
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ks, pa.int64()), pa.array(ids, pa.binary()), pa.array(exact, pa.bool_())], ["uid", "k", "ids", "exact"])
+                parts.append(_chunk_parts(m, text, start, end, entry, leave))
+                texts.append(text[entry[1] : leave[1]].replace(META, " "))
+            middles = (x for run in by_bytes((p[1] for p in parts), limit=BATCH_BYTES) for x in m.encoded(run).to_pylist())
+            ids = pa.array([p[0] + x + p[2] for p, x in zip(parts, middles, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ks, pa.int64()), ids, pa.array(m.same(ids, texts), pa.bool_())], ["uid", "k", "ids", "exact"])
 
     return run
 

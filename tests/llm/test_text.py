@@ -145,6 +145,33 @@ def test_piece_encoding(frame, documents, library):
     assert piece_codec.encode(frame([]), MODEL).count() == 0
 
 
+def test_distinct_words_are_solved_on_arrays(library):
+    """Pairs of pieces are judged by how the pieces grow, as the merges judge them, and not by merging each pair."""
+    rng, model = random.Random(3), piece_codec.PieceModel(MODEL)
+    pieces = sorted(model.whole_pieces)
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(3000)] + [(p[:k], p[k:]) for p in rng.sample(pieces, 500) for k in range(1, len(p)) if {p[:k], p[k:]} <= model.whole_pieces]
+    assert all(model.agree(a, b) == (model.merged(a + b) == [a, b]) for a, b in pairs)
+    words = ["".join(rng.choices("etaoinshrdluéñ,.", k=rng.randint(1, 14))) for _ in range(20_000)]
+    texts = [*(" ".join(words[i : i + 40]) for i in range(0, len(words), 40)), *ODD, "".join(words[:600]), *("".join(rng.choices("ethaino", k=90)) for _ in range(100)), "\U0010ff41é\ufffd"]
+    merges = []
+    model.merged = lambda text: merges.append(text)
+    found = model.whole(texts)
+    assert not merges
+    assert [np.frombuffer(x, "<i4").tolist() for x in found.to_pylist()] == library.encode(texts)
+    assert model.same(found, [f" {t}" if t else t for t in texts]) == ["▁" not in t for t in texts]
+    assert not any(model.same(found, [f" {t}x" for t in texts]))
+
+
+def test_tables_of_numbers():
+    table, held = piece_codec.Numbers(64, "<i4"), {}
+    for start in (0, 10, 20, 30, 40):  # the fourth doesn't fit
+        keys = np.arange(start, start + 10) * 7919
+        held = (held if start != 30 else {}) | dict(zip(keys.tolist(), range(start, start + 10), strict=True))
+        table.add(keys, np.arange(start, start + 10))
+        every = np.arange(60) * 7919
+        assert table.find(every).tolist() == [held.get(k, -1) for k in every.tolist()]
+
+
 def test_products_in_any_order(spark):
     """Pairwise products and their way back give the best path, as plain dynamic programming does."""
     rng = random.Random(8)
